@@ -181,7 +181,7 @@ def plan_mix(
         ask = spark.createDataFrame([(p, mix.cuts[p], need) for p, need in partial.items()], "pattern string, cut bigint, need bigint")
         both = rows.join(ask, "pattern").groupBy("pattern", "cut", "need").agg(F.sum(F.when(F.col("h") < F.col("cut"), F.col("size")).otherwise(0)).alias("got"))
         short = both.select("pattern", "cut", (F.col("need") - F.col("got")).alias("short")).filter("short > 0").collect()
-        for _ in range(3):  # the largest documents that still fit close the gap
+        for _ in range(8):  # the largest documents that still fit close the gap
             if not short:
                 break
             ask = spark.createDataFrame([(r[0], r[1], r[2], sorted(mix.fills.get(r[0], []))) for r in short], "pattern string, cut bigint, short bigint, used array<bigint>")
