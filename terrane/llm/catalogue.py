@@ -6,11 +6,13 @@ from terrane.llm.bpe import op6_bpe
 from terrane.llm.chat_format import op4_chat_format
 from terrane.llm.exact_dedup import OP10_SQL, op10_exact_dedup
 from terrane.llm.html_extract import op1_html_extract
+from terrane.llm.media_chunks import op3_media_chunks
 from terrane.llm.mixing import op7_mix_sources
 from terrane.llm.ngram_join import op9_ngram_jaccard
 
 QUERIES = {
     "op1_html_extract": op1_html_extract,
+    "op3_media_chunks": op3_media_chunks,
     "op4_chat_format": op4_chat_format,
     "op6_bpe": op6_bpe,
     "op7_mix_sources": op7_mix_sources,
