@@ -9,9 +9,11 @@ from terrane.llm.html_extract import op1_html_extract
 from terrane.llm.media_chunks import op3_media_chunks
 from terrane.llm.mixing import op7_mix_sources
 from terrane.llm.ngram_join import op9_ngram_jaccard
+from terrane.llm.warc_index import op2_warc_index
 
 QUERIES = {
     "op1_html_extract": op1_html_extract,
+    "op2_warc_index": op2_warc_index,
     "op3_media_chunks": op3_media_chunks,
     "op4_chat_format": op4_chat_format,
     "op6_bpe": op6_bpe,
