@@ -25,12 +25,14 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terrane.llm.common import small_batches
+
 #: Fixed value: the pattern of byte-level pre-tokenization.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: White space as in Unicode; the regex module's own \s has the separators 1C to 1F besides.
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: Words kept between batches, and characters looked up at a time.
-KEPT_WORDS, CHUNK_CHARS = 400_000, 1 << 20
+#: Words and pairs of tokens kept between batches, and characters looked up at a time.
+KEPT_WORDS, KEPT_PAIRS, CHUNK_CHARS = 150_000, 200_000, 1 << 19
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -216,6 +218,8 @@ class Encoder:
         words = [w for s in split for w in s]
         if len(self.index) > KEPT_WORDS:
             self._clear()
+        if len(self.vocabulary.known_pairs) > KEPT_PAIRS:
+            self.vocabulary.known_pairs.clear()
         if new := set(words).difference(self.index):
             self._learn(new)
         at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
@@ -276,6 +280,7 @@ def _decode(path: str):
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids): the tokens of every whole text."""
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     return rows.mapInArrow(_encode(path), f"id {kind}, ids array<int>")

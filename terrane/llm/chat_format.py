@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terrane.llm.common import small_batches
+
 #: The control strings of the templates in use.
 CONTROL = ("<|im_start|>", "<|im_end|>", "<|endoftext|>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<s>", "</s>")
 
@@ -133,6 +135,7 @@ def _format(template: Template):
 
 def format_chats(turns: DataFrame, template: Template = chatml) -> DataFrame:
     """One row for each conversation: formatted text, span of each turn, whether the template rewrites history."""
+    small_batches(turns.sparkSession)
     rows = turns.select(F.col("conv_id").cast("bigint").alias("conv_id"), "role", "text", F.col("turn").alias("__turn"))
     ordered = rows.repartition("conv_id").sortWithinPartitions("conv_id", "__turn", "role", "text")
     return ordered.select("conv_id", "role", "text").mapInArrow(_format(template), OUT_DDL)

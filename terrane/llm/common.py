@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: White space of the word and normalisation rules, and a word.
@@ -13,6 +13,16 @@ WORD = r"[^\x20\x09-\x0D]+"
 BROADCAST_BYTES = 64 << 20
 
 
+#: Rows of an Arrow batch: texts are long, and a worker holds a batch several times over.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Smaller Arrow batches for this session, unless it has chosen a size itself."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
 

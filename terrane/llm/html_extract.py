@@ -19,6 +19,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from terrane.llm.common import small_batches
+
 #: Elements whose text is never page text.
 RAW = frozenset("script style noscript template iframe object embed svg math canvas audio video head title select textarea".split())
 #: Elements that never have content.
@@ -240,6 +242,7 @@ def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars) of every page; one pass, no shuffle."""
+    small_batches(pages.sparkSession)
     rows = pages.selectExpr(f"CAST(`{id_col}` AS BIGINT) AS page_id", f"CAST(`{url_col}` AS STRING) AS url", f"CAST(`{html_col}` AS STRING) AS html")
     return rows.mapInArrow(_run, "page_id bigint, url string, text string, n_chars bigint")
 

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrane.llm.common import BROADCAST_BYTES
+from terrane.llm.common import BROADCAST_BYTES, small_batches
 from terrane.operators.skew import attach
 from terrane.session import cut, new_path
 
@@ -228,6 +228,7 @@ class MediaStore:
 
     def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_broadcast: int = BROADCAST_BYTES):
         self.spark, self.most_broadcast = docs.sparkSession, most_broadcast
+        small_batches(self.spark)
         self.docs = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
         rows = self.docs.select("id", "text").mapInArrow(_lists, "row bigint, media binary, digests array<binary>, lengths array<int>, n_bytes bigint")
         self.lists = cut(rows.withColumnRenamed("row", "id"), "media-lists")

@@ -25,6 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terrane.llm.common import small_batches
 from terrane.session import cut
 
 #: Rounds of exchange, probability from which a pseudo-label counts as confident, and its weight.
@@ -239,6 +240,7 @@ def feature_table(docs: DataFrame, id_col="doc_id", text_col="text", source_col=
 
 def train(docs: DataFrame, labels: DataFrame) -> tuple[CoTrained | None, DataFrame]:
     """The co-trained classifier, and the written features of all documents. labels: doc_id, quality."""
+    small_batches(docs.sparkSession)
     given = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").alias("l_id")).agg((F.avg("quality") >= 0.5).cast("double").alias("label"))
     features = cut(feature_table(docs), "quality-features")
     known = features.join(given, F.col("doc_id") == F.col("l_id"), "left").drop("l_id")

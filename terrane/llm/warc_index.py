@@ -29,7 +29,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrane.llm.common import BROADCAST_BYTES
+from terrane.llm.common import BROADCAST_BYTES, small_batches
 from terrane.operators.skew import attach
 from terrane.session import cut, new_path
 
@@ -177,6 +177,7 @@ class CaptureArchive:
     @classmethod
     def write(cls, pages: DataFrame, path: str | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> CaptureArchive:
         spark = pages.sparkSession
+        small_batches(spark)
         self = cls(spark, _uri(path or new_path(spark, "warc")))
         body = F.coalesce(F.col(f"`{html_col}`").cast("string"), F.lit(""))
         rows = pages.select(
