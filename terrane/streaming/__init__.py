@@ -1 +1 @@
-
+"""Operators here are batch operators; this package is the place for streams, of which there are none yet."""
