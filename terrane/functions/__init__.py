@@ -94,12 +94,12 @@ def regexp_replace(value: str | Column, regexp: str | Column, replacement: str |
     return F.regexp_replace(column(value), literal(regexp), literal(replacement))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _to_base32(values):
     return values.map(lambda v: None if v is None else base64.b32encode(bytes(v)).decode())
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def _from_base32(values):
     return values.map(lambda v: None if v is None else base64.b32decode(v))
 

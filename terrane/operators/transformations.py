@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import re
 import warnings
 from collections.abc import Callable
 
@@ -132,9 +133,10 @@ def pivot(df: DataFrame, pivot_column: str, aggs: Column | str | list[Column | s
 
     A single aggregate without alias gives columns named by the value; else ``{alias}_{value}``, value by value.
     """
-    listed = [F.expr(a) if isinstance(a, str) else a for a in (aggs if isinstance(aggs, (list, tuple)) else [aggs])]
+    given = list(aggs) if isinstance(aggs, (list, tuple)) else [aggs]
+    listed = [F.expr(a) if isinstance(a, str) else a for a in given]
     names = [c for c in df.agg(*listed).columns]
-    aliased = [is_aliased(a) for a in listed]
+    aliased = [is_aliased(a) or isinstance(t, str) and re.search(r"\sas\s+\S+$", t.strip(), re.I) is not None for a, t in zip(listed, given, strict=True)]
     if len(listed) > 1 and not all(aliased):
         raise AnalysisException("several aggregates must each have an alias")
     used = _names_in(df, listed) | {pivot_column}
