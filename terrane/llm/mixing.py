@@ -208,9 +208,9 @@ def apply_mix(docs: DataFrame, mix: Mix, members: Column, id_: Column, seed: int
 
 def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The rows that the mix takes, a repeated document as repeated rows, all columns kept."""
-    members, id_ = F.array(F.col(f"`{source_col}`")), F.col(f"`{id_col}`")
-    mix, _ = plan_mix(docs, members, word_count(F.col(f"`{text_col}`")), id_)
-    taken = apply_mix(docs, mix, members, id_).filter("__copies > 0")
+    members, id_, size = F.array(F.col(f"`{source_col}`")), F.col(f"`{id_col}`"), word_count(F.col(f"`{text_col}`"))
+    mix, _ = plan_mix(docs, members, size, id_)
+    taken = apply_mix(docs, mix, members, id_).filter((F.col("__copies") > 0) & (size > 0))
     return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).drop("__copies", "__copy")
 
 

@@ -134,29 +134,33 @@ def _write(folder: str):
     return run
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted manifest lines to compressed blocks; a block never crosses a partition."""
-    lines: list[str] = []
-    keys: list[tuple[str, int]] = []
-
-    def block() -> pa.RecordBatch:
-        key, capture = keys[0]
-        data = compress("\n".join(lines).encode("utf-8", "surrogatepass"))
-        out = pa.RecordBatch.from_arrays(
-            [pa.array([key], pa.string()), pa.array([capture], pa.int64()), pa.array([data], pa.binary()), pa.array([len(lines)], pa.int64())], names=["first_key", "first_capture", "lines", "n"]
-        )
-        lines.clear()
-        keys.clear()
-        return out
+def _blocks(most: int):
+    """Sorted manifest lines to compressed blocks of ``most`` lines; a block never crosses a partition."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lines: list[str] = []
+        keys: list[tuple[str, int]] = []
+
+        def block() -> pa.RecordBatch:
+            key, capture = keys[0]
+            data = compress("\n".join(lines).encode("utf-8", "surrogatepass"))
+            out = pa.RecordBatch.from_arrays(
+                [pa.array([key], pa.string()), pa.array([capture], pa.int64()), pa.array([data], pa.binary()), pa.array([len(lines)], pa.int64())], names=["first_key", "first_capture", "lines", "n"]
+            )
+            lines.clear()
+            keys.clear()
+            return out
 
-    for batch in batches:
-        for key, capture, archive, offset, length in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            lines.append(f"{key} {capture} {archive} {offset} {length}")
-            keys.append((key, capture))
-            if len(lines) == BLOCK_LINES:
-                yield block()
-    if lines:
-        yield block()
+        for batch in batches:
+            for key, capture, archive, offset, length in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                lines.append(f"{key} {capture} {archive} {offset} {length}")
+                keys.append((key, capture))
+                if len(lines) == most:
+                    yield block()
+        if lines:
+            yield block()
+
+    return run
 
 
 class CaptureArchive:
@@ -195,7 +199,7 @@ class CaptureArchive:
         written = marked.select("page_id", "url", "html", "refers_to", "revisit").mapInArrow(_write(f"{self.path}/archives"), MANIFEST_DDL)
         self.manifest = cut(written, "warc-manifest")
         order = self.manifest.repartitionByRange(F.col("line_key"), F.col("capture")).sortWithinPartitions("line_key", "capture")
-        blocks = order.mapInArrow(_blocks, "first_key string, first_capture bigint, lines binary, n bigint")
+        blocks = order.mapInArrow(_blocks(BLOCK_LINES), "first_key string, first_capture bigint, lines binary, n bigint")
         blocks.withColumn("block", F.monotonically_increasing_id()).write.option("compression", "uncompressed").parquet(f"{self.path}/index")
         self.blocks.select("block", "first_key", "first_capture").write.parquet(f"{self.path}/directory")
         return self
