@@ -95,6 +95,11 @@ def show(df: DataFrame, n: int = 20, simplify_structs: bool = False) -> None:
     print(show_string(df, n, simplify_structs))
 
 
+def compile(df: DataFrame) -> str:  # noqa: A001
+    """The plan that runs, as text; the same for the same steps."""
+    return df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+
+
 def estimated_bytes(df: DataFrame) -> int:
     """What the optimizer expects the result to hold."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -6,6 +6,7 @@ passed on as it is, so Spark can prune what is not read. A null struct stays nul
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable, Mapping
 from typing import Any
 
@@ -19,7 +20,8 @@ from terrane.plans import paths as P
 from terrane.plans.schema import fields, flatten_schema, print_schema, schema_string
 
 __all__ = [
-    "build_from_schema", "fields", "print_schema", "resolve", "schema_string", "select", "show_resolved", "unnest_all_fields", "unnest_field", "unnest_fields", "with_fields",
+    "build_from_schema", "fields", "print_schema", "resolve", "schema_string", "select", "select_nested_columns", "show_resolved", "unnest_all_fields", "unnest_field", "unnest_fields", "with_fields",
+    "with_nested_columns",
 ]
 
 Transformation = None | str | Column | Callable[..., Column] | PrintableFunction
@@ -134,6 +136,18 @@ def with_fields(df: DataFrame, changes: Mapping[str, Transformation]) -> DataFra
     return df.select(*kept, *built.values())
 
 
+def select_nested_columns(df: DataFrame, changes: Mapping[str, Transformation]) -> DataFrame:
+    """Former name of select."""
+    warnings.warn("select_nested_columns is now nested.select", DeprecationWarning, stacklevel=2)
+    return select(df, changes)
+
+
+def with_nested_columns(df: DataFrame, changes: Mapping[str, Transformation]) -> DataFrame:
+    """Former name of with_fields."""
+    warnings.warn("with_nested_columns is now nested.with_fields", DeprecationWarning, stacklevel=2)
+    return with_fields(df, changes)
+
+
 def show_resolved(changes: Mapping[str, Transformation]) -> str:
     """The function that ``select`` builds, as text."""
     _check(changes, None)

@@ -69,6 +69,14 @@ def test_only_touched_columns_are_read(spark, tmp_path):
     assert "ReadSchema: struct<a:struct<x:int>>" in plan
 
 
+def test_former_names_warn(spark):
+    df = frame(spark, "id int, s struct<a:int>", (1, (2,)))
+    with pytest.warns(DeprecationWarning):
+        assert rows(nested.select_nested_columns(df, {"s.a": None})) == [((2,),)]
+    with pytest.warns(DeprecationWarning):
+        assert rows(nested.with_nested_columns(df, {"s.b": F.lit(3)})) == [(1, (2, 3))]
+
+
 def test_errors(spark):
     df = frame(spark, "id int, s array<struct<a:int>>", (1, [(1,)]))
     with pytest.raises(AnalysisException, match="Invalid field name 'a!b'"):

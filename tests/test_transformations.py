@@ -114,6 +114,7 @@ def test_frame_helpers(spark):
     assert text == "+----+------------+\n| id |          s |\n+----+------------+\n|  1 | {2, [{3}]} |\n+----+------------+\nonly showing top 1 row"
     assert frame.human_bytes(1536) == "1.50 KiB" and frame.human_bytes(8) == "8 B"
     assert rows(df1.select(frame.item(df1, 0))) == [(2,), (5,)] and rows(frame.item(df1, ["name"])) == [("Alice",), ("Bob",)]
+    assert "Scan ExistingRDD" in frame.compile(df1)
     seen, stats = frame.observed(df1, "n")
     seen.collect()
     assert stats.get["rows"] == 2
