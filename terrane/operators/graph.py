@@ -13,6 +13,10 @@ from terrane.operators.skew import attach
 from terrane.session import cut, drop_path
 
 
+#: So many edges are joined by one task in memory; larger graphs take star steps over all tasks.
+LOCAL_EDGES = 200_000
+
+
 def _pairs_schema(kind: str) -> str:
     return f"u {kind}, v {kind}"
 
@@ -20,29 +24,39 @@ def _pairs_schema(kind: str) -> str:
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Edges of one partition -> the same components as stars on their smallest node.
 
-    Union-find on the edges of each batch: memory is bounded by the batch, and a hub's edges
-    are rewired before they are shuffled.
+    Union-find on up to LOCAL_EDGES edges at a time: memory is bounded, and a hub's edges are rewired
+    before they are shuffled.
     """
-    for batch in batches:
-        parent: dict = {}
-
-        def root(x):
-            top = x
-            while (up := parent.setdefault(top, top)) != top:
-                top = up
-            while parent[x] != top:
-                parent[x], x = top, parent[x]
-            return top
+    parent: dict = {}
+    held, kinds = 0, None
+
+    def root(x):
+        top = x
+        while (up := parent.setdefault(top, top)) != top:
+            top = up
+        while parent[x] != top:
+            parent[x], x = top, parent[x]
+        return top
+
+    def stars() -> Iterator[pa.RecordBatch]:
+        nodes = list(parent)
+        for i in range(0, len(nodes), 50_000):
+            some = nodes[i : i + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array(some, kinds), pa.array([root(x) for x in some], kinds)], names=["u", "v"])
 
+    for batch in batches:
+        kinds = batch.schema.field(0).type
         for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             a, b = root(u), root(v)
             if a != b:
                 parent[max(a, b)] = min(a, b)
-        nodes = list(parent)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(nodes, batch.schema.field(0).type), pa.array([root(x) for x in nodes], batch.schema.field(0).type)],
-            names=["u", "v"],
-        )
+        held += batch.num_rows
+        if held >= LOCAL_EDGES:
+            yield from stars()
+            parent.clear()
+            held = 0
+    if parent:
+        yield from stars()
 
 
 def _min_neighbour(edges: DataFrame) -> DataFrame:
@@ -72,11 +86,12 @@ def _state(edges: DataFrame) -> tuple:
 
 
 def connected_components(
-    df: DataFrame, node_name: str = "node_id", connected_component_col_name: str = "connected_component_id"
+    df: DataFrame, node_name: str = "node_id", connected_component_col_name: str = "connected_component_id", local_edges: int = LOCAL_EDGES
 ) -> DataFrame:
     """(node, smallest node of its component) for an edge table of two columns of one type, string or integer.
 
-    Alternating large-star and small-star steps (2014) run until the edges stay the same, each a
+    Edges are first joined within each partition. If fewer than ``local_edges`` are left, one task joins them; else
+    alternating large-star and small-star steps (2014) run until the edges stay the same, each a
     min-aggregation joined back, never an array of neighbours. A null endpoint links nothing; its partner
     stays as a component of one. Self-loops and repeated edges are fine; an empty table gives an empty result.
     """
@@ -91,6 +106,9 @@ def connected_components(
     raw = df.select(left.alias("u"), right.alias("v"))
     raw = raw.select(F.coalesce("u", "v").alias("u"), F.coalesce("v", "u").alias("v")).filter("u IS NOT NULL")
     stars = cut(raw.mapInArrow(_forest, _pairs_schema(kind)), "cc-forest")
+    if stars.count() < local_edges:
+        whole = cut(stars.coalesce(1).mapInArrow(_forest, _pairs_schema(kind)), "cc-whole")
+        return whole.select(F.col("u").alias(node_name), F.col("v").alias(connected_component_col_name))
     nodes = stars.select("u").unionByName(stars.select(F.col("v").alias("u"))).distinct()
     edges = cut(stars.filter("u <> v").distinct(), "cc-edges")
     before = _state(edges)

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 #: At most this many keys can each hold more than 1/HOT_SHARE of all rows.
 HOT_SHARE = 2000
 HOT_LEAST = 200
+#: So few unique keys are broadcast all together.
+FEW_KEYS = 500_000
 
 
 def hot_limit(rows: int) -> int:
@@ -15,15 +17,17 @@ def hot_limit(rows: int) -> int:
     return max(HOT_LEAST, -(-rows // HOT_SHARE))
 
 
-def attach(left: DataFrame, right: DataFrame, key: str, weight: str, how: str = "left") -> DataFrame:
+def attach(left: DataFrame, right: DataFrame, key: str, weight: str, how: str = "left", few: int = 0) -> DataFrame:
     """``left`` joined to ``right`` on ``key``; ``right`` has each key once and its count in ``left`` as ``weight``.
 
-    Keys with more than ``hot_limit`` rows are joined by broadcast: the counts prove that there are at most
+    Up to FEW_KEYS keys (``few`` for wide rows) are all broadcast. Beyond that, keys with more than ``hot_limit`` rows are joined by broadcast: the counts prove that there are at most
     HOT_SHARE of them. All other keys are shuffled. ``right`` must be cheap to read twice (a written table).
     A null key matches nothing.
     """
-    total = right.agg(F.sum(weight)).first()[0] or 0
-    limit = hot_limit(total)
+    keys, total = right.agg(F.count(F.lit(1)), F.sum(weight)).first()
+    if keys <= (few or FEW_KEYS):
+        return left.join(F.broadcast(right), key, how)
+    limit = hot_limit(total or 0)
     hot = right.filter(F.col(weight) >= limit)
     cold = right.filter(F.col(weight) < limit)
     marked = left.join(F.broadcast(hot.select(key, F.lit(True).alias("__hot"))), key, "left")

@@ -58,12 +58,20 @@ def new_path(spark: SparkSession, name: str) -> str:
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """Write to the shared folder as Parquet and read back: lineage ends here and survives lost executors."""
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.coalesce(files_for(df)).write.parquet(path)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
     back.terrane_path = path
     return back
 
 
+def files_for(df: DataFrame) -> int:
+    """Files for a written intermediate: one for 4 MB that is read, up to two for each core; beyond that one for 512 MB."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    read = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return max(1, min(read >> 22, 2 * cores), min(read >> 29, 1_000_000))
+
+
 def drop_path(spark: SparkSession, path: str | DataFrame) -> None:
     """Delete a folder made by new_path() or cut() once nothing lazy reads it any more."""
     path = path if isinstance(path, str) else path.terrane_path

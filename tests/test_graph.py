@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from terrane.operators import skew
 from terrane.operators.graph import connected_components
 from terrane.operators.skew import attach, hot_limit
 
@@ -32,7 +33,8 @@ def test_wrong_types_and_empty(spark):
     assert connected_components(spark.createDataFrame([], "a int, b int")).count() == 0
 
 
-def test_random_graph_with_a_hub_and_a_long_path(spark):
+@pytest.mark.parametrize("local", [0, 200_000])
+def test_random_graph_with_a_hub_and_a_long_path(spark, local):
     rnd = random.Random(3)
     edges = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(150)] + [(1000, 1001 + i) for i in range(600)] + [(5000 + i, 5001 + i) for i in range(60)]
     parent = {}
@@ -45,10 +47,12 @@ def test_random_graph_with_a_hub_and_a_long_path(spark):
     for a, b in edges:
         a, b = sorted((root(a), root(b)))
         parent[b] = a
-    assert found(connected_components(spark.createDataFrame(edges, "a bigint, b bigint").repartition(7))) == {x: root(x) for x in list(parent)}
+    assert found(connected_components(spark.createDataFrame(edges, "a bigint, b bigint").repartition(7), local_edges=local)) == {x: root(x) for x in list(parent)}
 
 
-def test_attach_hot_and_cold_keys(spark):
+@pytest.mark.parametrize("few", [0, 100])
+def test_attach_hot_and_cold_keys(spark, monkeypatch, few):
+    monkeypatch.setattr(skew, "FEW_KEYS", few)
     left = spark.createDataFrame([(1, i) for i in range(500)] + [(2, i) for i in range(5)] + [(None, 0), (9, 0)], "k int, v int")
     right = spark.createDataFrame([(1, "one", 500), (2, "two", 5)], "k int, name string, n int")
     out = attach(left, right, "k", "n").groupBy("k", "name").count().collect()
