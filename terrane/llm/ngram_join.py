@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrane.llm.common import BROADCAST_BYTES, keep_without
+from terrane.llm.common import BROADCAST_BYTES, keep_without, small_batches
 from terrane.operators.graph import connected_components
 from terrane.operators.skew import attach
 from terrane.session import cut, drop_path
@@ -42,29 +42,76 @@ COMMON = 1000
 TASK_POSTINGS, TASK_TOKENS, TASK_MEMBERS = 400_000, 4_000_000, 2_000
 #: The constant of DivideSkip's rule for the number of long lists.
 MU = 0.0085
-#: Words whose hashes are kept by a worker.
-KEPT_WORDS = 1_000_000
-
-_words: dict[bytes, int] = {}
-
-
-def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the text's word shingles, lower-cased A to Z."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if len(words) < width:
-        return np.array([xxhash.xxh3_64_intdigest(b" ".join(words), seed=width)] if words else [], np.uint64)
-    if len(_words) > KEPT_WORDS:
-        _words.clear()
-    for w in set(words).difference(_words):
-        _words[w] = xxhash.xxh3_64_intdigest(w)
-    h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+#: Text bytes that are hashed at a time.
+CHUNK_BYTES = 1 << 18
+_BLANK = np.zeros(256, bool)
+_BLANK[[0x20, *range(0x09, 0x0E)]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[0x41:0x5B] += 32
+#: A random number for each byte value (blanks weigh nothing), and an odd base with its inverse modulo 2^64.
+_WEIGHT = np.array([0 if _BLANK[b] else xxhash.xxh3_64_intdigest(bytes([b]), seed=WIDTH) for b in _LOWER], np.uint64)
+_BASE = 0x9E3779B97F4A7C15
+_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The base's powers and their inverses, at least n of each."""
+    if len(_powers[0]) < n:
+        size = max(n, CHUNK_BYTES * 2)
+        for k, b in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            steps = np.full(size, b, np.uint64)
+            steps[0] = 1
+            _powers[k] = np.multiply.accumulate(steps)
+    return _powers[0], _powers[1]
+
+
+def _word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word of the bytes starts, and its hash: differences of one running sum, moved to the origin."""
+    blank = _BLANK[data]
+    edge = np.flatnonzero(blank[1:] != blank[:-1]) + 1
+    edge = np.concatenate(([0], edge)) if len(data) and not blank[0] else edge
+    edge = np.append(edge, len(data)) if len(edge) % 2 else edge
+    start, end = edge[::2], edge[1::2]
+    power, inverse = _powers_to(len(data))
+    total = np.cumsum(_WEIGHT[data] * power[: len(data)])
+    before = np.where(start > 0, total[start - 1], np.uint64(0)) if len(start) else np.zeros(0, np.uint64)
+    return start, mix((total[end - 1] - before) * inverse[start] + (end - start).astype(np.uint64))
+
+
+def _sequence(h: np.ndarray, width: int) -> np.ndarray:
+    """Hash of each run of ``width`` words."""
     n = len(h) - width + 1
     out = h[:n].copy()
     for k in range(1, width):
-        out *= np.uint64(0x9E3779B97F4A7C15)
+        out *= np.uint64(_BASE)
         out ^= out >> np.uint64(29)
         out += h[k : k + n]
-    return np.unique(mix(out))
+    return mix(out + np.uint64(width))
+
+
+def shingle_sets(texts: list[str | None], width: int = WIDTH) -> Iterator[np.ndarray]:
+    """For each text the sorted distinct 64-bit hashes of its word shingles, lower-cased A to Z; whole if shorter."""
+    group: list[bytes] = []
+    size = 0
+    for i, text in enumerate(texts):
+        group.append((text or "").encode("utf-8", "surrogatepass"))
+        size += len(group[-1])
+        if size >= CHUNK_BYTES or i + 1 == len(texts):
+            data = np.frombuffer(b"\n".join(group) + b"\n", np.uint8)
+            start, words = _word_hashes(data)
+            bound = np.searchsorted(start, np.cumsum([0, *(len(g) + 1 for g in group)]))
+            runs = _sequence(words, width) if len(words) >= width else np.zeros(0, np.uint64)
+            for a, b in zip(bound[:-1].tolist(), bound[1:].tolist(), strict=True):
+                if b - a >= width:
+                    x = np.sort(runs[a : b - width + 1])
+                    yield x[np.concatenate(([True], x[1:] != x[:-1]))]
+                else:
+                    yield _sequence(words[a:b], b - a) if b > a else np.zeros(0, np.uint64)
+            group, size = [], 0
+
+
+def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
+    return next(shingle_sets([text], width))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -88,28 +135,63 @@ def prefix_length(n: int) -> int:
     return n - -(-PERCENT * n // 100) + 1
 
 
-# Pass 1: sizes, nodes, and tokens that are frequent within a batch.
+def odd_sketch(tokens: np.ndarray) -> bytes:
+    """Parity of the tokens in each of about 2n cells: two sets differ in at least as many tokens as their sketches in bits."""
+    bits = 1 << max(6, int(2 * len(tokens) - 1).bit_length())
+    flips = np.bincount((tokens >> np.uint64(40)).astype(np.int64) & (bits - 1), minlength=bits) & 1
+    return np.packbits(flips.astype(np.uint8), bitorder="little").tobytes()
+
+
+def may_link(n1: int, sketch1: bytes, n2: int, sketch2: bytes) -> bool:
+    """False only for sets below the similarity. A larger sketch is folded to the smaller one's cells."""
+    a, b = int.from_bytes(sketch1, "little"), int.from_bytes(sketch2, "little")
+    if len(sketch1) < len(sketch2):
+        a, b, sketch1, sketch2 = b, a, sketch2, sketch1
+    bits, least = 8 * len(sketch1), 8 * len(sketch2)
+    while bits > least:
+        bits //= 2
+        a = (a >> bits) ^ (a & ((1 << bits) - 1))
+    return (a ^ b).bit_count() <= n1 + n2 - 2 * needed(n1, n2)
+
+
+def _refute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keep = [may_link(*x) for x in zip(*(batch.column(c).to_pylist() for c in ("qn", "qs", "mn", "ms")), strict=True)]
+        yield batch.select(["q", "m"]).filter(pa.array(keep, pa.bool_()))
+
+
+# Pass 1: sizes, sketches, nodes, and tokens that are frequent within a few thousand texts.
 
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "n", "node", "token", "df"]
+    names = ["doc_id", "n", "node", "sketch", "token", "df"]
+    sets: dict[int, np.ndarray] = {}
+    held = 0
+
+    def frequent() -> pa.RecordBatch:
+        token, df = np.unique(np.concatenate(list(sets.values())), return_counts=True)
+        often = df >= max(8, len(sets) // COMMON)
+        some = pa.nulls(int(often.sum()), pa.int64())
+        return pa.RecordBatch.from_arrays([some, some, some, pa.nulls(len(some), pa.binary()), pa.array(token[often].view(np.int64)), pa.array(df[often])], names=names)
+
     for batch in batches:
-        ids, sizes, nodes, sets = [], [], [], {}
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            tokens = shingle_set(text)
+        ids, sizes, nodes, sketches = [], [], [], []
+        for doc, tokens in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1).to_pylist()), strict=True):
             node = node_of(tokens) if len(tokens) else None
             ids.append(doc)
             sizes.append(len(tokens))
             nodes.append(node)
-            if node is not None:
+            sketches.append(odd_sketch(tokens) if len(tokens) else None)
+            if node is not None and node not in sets:
                 sets[node] = tokens
+                held += len(tokens)
         blank = pa.nulls(len(ids), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), blank, blank], names=names)
-        if sets:
-            token, df = np.unique(np.concatenate(list(sets.values())), return_counts=True)
-            often = df >= max(8, len(sets) // COMMON)
-            some = pa.nulls(int(often.sum()), pa.int64())
-            yield pa.RecordBatch.from_arrays([some, some, some, pa.array(token[often].view(np.int64)), pa.array(df[often])], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(sketches, pa.binary()), blank, blank], names=names)
+        if held > 2_000_000:
+            yield frequent()
+            sets, held = {}, 0
+    if sets:
+        yield frequent()
 
 
 # Pass 2: postings of the first tokens.
@@ -130,8 +212,7 @@ def _post(common: np.ndarray, place: np.ndarray, salts: np.ndarray, buckets: int
         for batch in batches:
             seen: set[int] = set()
             parts: list[tuple[np.ndarray, int, int]] = []
-            for text in batch.column(0).to_pylist():
-                tokens = shingle_set(text)
+            for tokens in shingle_sets(batch.column(0).to_pylist()):
                 if not len(tokens) or (node := node_of(tokens)) in seen:
                     continue
                 seen.add(node)
@@ -180,39 +261,61 @@ def band(size: np.ndarray) -> np.ndarray:
 BLOCK_DDL = "kind int, a bigint, b bigint, n bigint, pos bigint"
 
 
-def _blocks(key: tuple, table: pa.Table) -> pa.Table:
-    """Pairs with pivots (kind 0: pivot, node), and blocks that pivots alone may not settle (kind 1: block, node)."""
-    cells = np.concatenate([unpack(b) for b in table.column("cells").to_pylist()], axis=1)
-    cells = np.unique(cells, axis=1) if table.num_rows > 1 else cells[:, np.lexsort(cells[::-1])]
-    token, node, size, pos = cells
-    first = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
-    df = np.diff(np.append(first, len(token)))
-    keep = np.repeat(df > 1, df)
-    token, node, size, pos = token[keep], node[keep], size[keep], pos[keep]
-    order = np.lexsort((node, pos, band(size), token))
-    token, node, size, pos = token[order], node[order], size[order], pos[order]
-    a, b, group, counts = pivot_pairs(token, node, size, pos)
-    # Blocks of three and more in neighbouring bands; one block for tokens with the same nodes.
-    number = np.cumsum(np.concatenate(([0], token[1:] != token[:-1]))) if len(token) else np.zeros(0, np.int64)
-    total = np.bincount(number) if len(number) else np.zeros(0, np.int64)
-    large = total[number] > 2 if len(number) else np.zeros(0, bool)
-    sign = np.zeros(len(total), np.uint64)
-    np.add.at(sign, number, mix(node.view(np.uint64)))
-    block = sign.view(np.int64)[number][large]
-    rows = np.stack([block, node[large], size[large], pos[large]])
-    if rows.shape[1]:
-        rows = rows[:, np.lexsort((rows[3], rows[1], rows[0]))]
-        once = np.concatenate(([True], (rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1])))
-        rows = rows[:, once]
-    pairs = np.unique(np.stack([a, b]), axis=1) if len(a) else np.zeros((2, 0), np.int64)
-    n, m = pairs.shape[1], rows.shape[1]
-    zero = np.zeros(n, np.int64)
-    return pa.table(
-        {
-            "kind": pa.array(np.repeat([0, 1], [n, m]).astype(np.int32)), "a": np.concatenate([pairs[0], rows[0]]), "b": np.concatenate([pairs[1], rows[1]]),
-            "n": np.concatenate([zero, rows[2]]), "pos": np.concatenate([zero, rows[3]]),
-        }
-    )
+def _blocks(salted: np.ndarray):
+    """Pairs with pivots and how often they met (kind 0: pivot, node), and blocks that these may not settle (kind 1: block, node).
+
+    A salted token has only a part of its block here; all its postings go on under one block.
+    """
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        cells = np.concatenate([unpack(b) for b in table.column("cells").to_pylist()], axis=1)
+        cells = np.unique(cells, axis=1) if table.num_rows > 1 else cells[:, np.lexsort(cells[::-1])]
+        token, node, size, pos = cells
+        first = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
+        df = np.diff(np.append(first, len(token)))
+        keep = np.repeat(df > 1, df) | np.isin(token, salted)
+        token, node, size, pos = token[keep], node[keep], size[keep], pos[keep]
+        for _ in range(3):
+            keep = has_partner(token, size, pos) | np.isin(token, salted)
+            token, node, size, pos = token[keep], node[keep], size[keep], pos[keep]
+        order = np.lexsort((node, pos, band(size), token))
+        token, node, size, pos = token[order], node[order], size[order], pos[order]
+        a, b, group, counts = pivot_pairs(token, node, size, pos)
+        # Blocks of three and more; one block for tokens with the same nodes.
+        number = np.cumsum(np.concatenate(([0], token[1:] != token[:-1]))) if len(token) else np.zeros(0, np.int64)
+        total = np.bincount(number) if len(number) else np.zeros(0, np.int64)
+        apart = np.isin(token, salted)
+        large = (total[number] > 2 if len(number) else np.zeros(0, bool)) | apart
+        sign = np.zeros(len(total), np.uint64)
+        np.add.at(sign, number, mix(node.view(np.uint64)))
+        block = np.where(apart, mix(token.view(np.uint64)).view(np.int64), sign.view(np.int64)[number] if len(number) else token)[large]
+        rows = np.stack([block, node[large], size[large], pos[large]])
+        if rows.shape[1]:
+            rows = rows[:, np.lexsort((rows[3], rows[1], rows[0]))]
+            once = np.concatenate(([True], (rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1])))
+            rows = rows[:, once]
+        pairs, often = np.unique(np.stack([a, b]), axis=1, return_counts=True) if len(a) else (np.zeros((2, 0), np.int64), np.zeros(0, np.int64))
+        n, m = pairs.shape[1], rows.shape[1]
+        return pa.table(
+            {
+                "kind": pa.array(np.repeat([0, 1], [n, m]).astype(np.int32)), "a": np.concatenate([pairs[0], rows[0]]), "b": np.concatenate([pairs[1], rows[1]]),
+                "n": np.concatenate([often, rows[2]]), "pos": np.concatenate([np.zeros(n, np.int64), rows[3]]),
+            }
+        )
+
+    return run
+
+
+def has_partner(token: np.ndarray, size: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    """Whether a posting's block has another of a size that its own size and position allow to link."""
+    if not len(token):
+        return np.zeros(0, bool)
+    block = np.unique(token, return_inverse=True)[1].astype(np.int64) << 32
+    order = np.sort(block + size)
+    least = -(-PERCENT * size // 100)
+    most = np.maximum((100 + PERCENT) * (size - pos) // PERCENT - size, 0)
+    found = np.searchsorted(order, block + most, "right") - np.searchsorted(order, block + least, "left")
+    return found - ((least <= size) & (size <= most)) > 0
 
 
 def possible(n1, p1, n2, p2):
@@ -299,25 +402,27 @@ def divide_skip(lists: list[list[int]], least: int) -> dict[int, int]:
     return found
 
 
-def _search(key: tuple, members: pa.Table, queries: pa.Table) -> pa.Table:
+def _search(key: tuple, table: pa.Table) -> pa.Table:
     """Links (a < b) between the queries and the members of one task."""
-    nodes = members.column("node").to_pylist()
-    sets = [np.frombuffer(b, np.uint64) for b in members.column("tokens").to_pylist()]
+    nodes, blobs, asks = (table.column(c).to_pylist() for c in ("node", "tokens", "asks"))
+    members = {n: np.frombuffer(b, np.uint64) for n, b, q in zip(nodes, blobs, asks, strict=True) if not q}
+    queries = {n: np.frombuffer(b, np.uint64) for n, b, q in zip(nodes, blobs, asks, strict=True) if q}
+    names, sets = list(members), list(members.values())
     index = InvertedIndex(sets)
     links: set[tuple[int, int]] = set()
-    for q, blob in zip(queries.column("query").to_pylist(), queries.column("asked").to_pylist(), strict=True):
-        tokens = np.frombuffer(blob, np.uint64)
+    for q, tokens in queries.items():
         for m, overlap in divide_skip(index.lists(tokens), -(-PERCENT * len(tokens) // 100)).items():
-            if nodes[m] != q and 100 * overlap >= PERCENT * (len(tokens) + len(sets[m]) - overlap):
-                links.add((min(q, nodes[m]), max(q, nodes[m])))
+            if names[m] != q and 100 * overlap >= PERCENT * (len(tokens) + len(sets[m]) - overlap):
+                links.add((min(q, names[m]), max(q, names[m])))
     return pa.table({"a": pa.array([x[0] for x in links], pa.int64()), "b": pa.array([x[1] for x in links], pa.int64())})
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sets = [shingle_set(t) for t in batch.column(0).to_pylist()]
-        sets = [s for s in sets if len(s)]
-        yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "tokens"])
+        for part in (batch.slice(i, 512) for i in range(0, batch.num_rows, 512)):
+            sets = list(shingle_sets(part.column(0).to_pylist()))
+            columns = [part.column(1), part.column(2), pa.array([node_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["bucket", "asks", "node", "tokens"])
 
 
 class NgramJoin:
@@ -325,12 +430,14 @@ class NgramJoin:
 
     def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"):
         self.spark = docs.sparkSession
+        small_batches(self.spark)
         self.docs = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
         self.live = self.docs.filter("doc_id IS NOT NULL")
-        seen = cut(self.docs.mapInArrow(_describe, "doc_id bigint, n bigint, node bigint, token bigint, df bigint"), "ngram-sets")
-        self.sets = seen.filter("token IS NULL").select("doc_id", "n", "node")
-        nodes = self.sets.filter("node IS NOT NULL AND doc_id IS NOT NULL").groupBy("node")
-        self.nodes = cut(nodes.agg(F.min("doc_id").alias("first_id"), F.count("*").alias("rows"), F.first("n").alias("n")), "ngram-nodes")
+        seen = cut(self.docs.mapInArrow(_describe, "doc_id bigint, n bigint, node bigint, sketch binary, token bigint, df bigint"), "ngram-sets")
+        rows = seen.filter("token IS NULL")
+        self.sets = rows.select("doc_id", "n", "node")
+        nodes = rows.filter("node IS NOT NULL AND doc_id IS NOT NULL").groupBy("node")
+        self.nodes = cut(nodes.agg(F.min("doc_id").alias("first_id"), F.count("*").alias("rows"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "ngram-nodes")
         self.count, postings, tokens = self.nodes.agg(F.count("*"), F.sum(F.expr(f"n - ceil({PERCENT} * n / 100) + 1")), F.sum("n")).first()
         self.postings, self.tokens = int(postings or 0), int(tokens or 0)
         floor = max(8, self.count // COMMON)
@@ -344,44 +451,73 @@ class NgramJoin:
         """Pivot pairs and open blocks."""
         buckets = max(1, -(-self.postings // TASK_POSTINGS), int(self.spark.conf.get("spark.sql.shuffle.partitions")))
         blobs = self.live.select("text").mapInArrow(_post(self.common, self.place, self.salts, buckets), "bucket bigint, cells binary")
-        return cut(blobs.groupBy("bucket").applyInArrow(_blocks, BLOCK_DDL), "ngram-blocks")
+        salted = self.common[self.salts > 1].view(np.int64)
+        return cut(blobs.groupBy("bucket").applyInArrow(_blocks(salted), BLOCK_DDL), "ngram-blocks")
 
     def search(self, pairs: DataFrame) -> DataFrame:
         """Links found by queries of column q against candidates m; pairs is a cut table of distinct rows."""
+        pairs = self._plausible(pairs)
         per_q = cut(pairs.groupBy("q").agg(F.count("*").alias("n")), "ngram-queries")
         per_q = per_q.withColumn("chunks", F.ceil(F.col("n") / TASK_MEMBERS))
-        wanted = cut(pairs.select(F.col("q").alias("node")).unionByName(pairs.select(F.col("m").alias("node"))).distinct().join(self.nodes, "node"), "ngram-wanted")
-        rows, tokens = wanted.agg(F.count("*"), F.sum("n")).first()
-        buckets = max(1, -(-2 * (tokens or 0) // TASK_TOKENS), int(self.spark.conf.get("spark.sql.shuffle.partitions")))
-        ids = wanted.select(F.col("first_id").alias("doc_id"))
-        ids = F.broadcast(ids) if rows * 16 <= BROADCAST_BYTES else ids
-        sets = cut(self.live.join(ids, "doc_id", "left_semi").select("text").mapInArrow(_sets, "node bigint, tokens binary").dropDuplicates(["node"]), "ngram-tokens")
-        dealt = attach(pairs, per_q, "q", "n").withColumn("bucket", F.pmod(F.xxhash64("q", F.pmod(F.xxhash64("m"), "chunks")), F.lit(buckets)))
-        dealt = cut(dealt.select("bucket", "q", "m"), "ngram-dealt")
-        members = dealt.select("bucket", F.col("m").alias("node")).distinct().join(sets, "node").select("bucket", "node", "tokens")
-        queries = dealt.select("bucket", F.col("q").alias("node")).distinct().join(sets, "node")
-        queries = queries.select(F.col("bucket").alias("deal"), F.col("node").alias("query"), F.col("tokens").alias("asked"))
-        links = members.groupBy("bucket").cogroup(queries.groupBy("deal")).applyInArrow(_search, "a bigint, b bigint")
-        links = cut(links, "ngram-links")
-        for t in (sets, dealt, wanted):
-            drop_path(self.spark, t)
+        sized = self.nodes.select("node", F.col("n").alias("size"), "first_id")
+        dealt = cut(attach(pairs, per_q, "q", "n").withColumn("deal", F.xxhash64("q", F.pmod(F.xxhash64("m"), "chunks"))).select("deal", "q", "m"), "ngram-dealt")
+        roles = dealt.select("deal", F.col("m").alias("node"), F.lit(False).alias("asks")).unionByName(dealt.select("deal", F.col("q").alias("node"), F.lit(True).alias("asks")))
+        roles = cut(roles.distinct().join(sized, "node"), "ngram-roles")
+        tokens = roles.agg(F.sum("size")).first()[0] or 0
+        buckets = max(1, -(-tokens // TASK_TOKENS), int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+        asked = roles.select(F.col("first_id").alias("doc_id"), F.pmod("deal", F.lit(buckets)).alias("bucket"), "asks").distinct()
+        asked = F.broadcast(asked) if roles.count() * 24 <= BROADCAST_BYTES else asked  # else texts are shuffled by id
+        sets = self.live.join(asked, "doc_id").select("text", "bucket", "asks").mapInArrow(_sets, "bucket bigint, asks boolean, node bigint, tokens binary")
+        links = cut(sets.groupBy("bucket").applyInArrow(_search, "a bigint, b bigint").distinct(), "ngram-links")
         return links
 
-    def labels(self, links: DataFrame) -> DataFrame:
-        return cut(connected_components(links.select("a", "b"), "node", "label"), "ngram-labels")
-
-    def components(self, rounds: int = 4, eager: int = 8) -> DataFrame:
+    def _plausible(self, pairs: DataFrame) -> DataFrame:
+        """The pairs that their sketches do not rule out; sketches are a thirtieth of the sets."""
+        per_q = pairs.groupBy("q").agg(F.count("*").alias("uses")).join(self.nodes.select(F.col("node").alias("q"), F.col("n").alias("qn"), F.col("sketch").alias("qs")), "q")
+        per_q = cut(per_q, "ngram-sketches")
+        other = self.nodes.select(F.col("node").alias("m"), F.col("n").alias("mn"), F.col("sketch").alias("ms"))
+        both = attach(pairs.select("q", "m"), per_q, "q", "uses", "inner", few=50_000).join(other, "m")
+        return cut(both.select("q", "m", "qn", "qs", "mn", "ms").mapInArrow(_refute, "q bigint, m bigint"), "ngram-plausible")
+
+    def merge(self, labels: DataFrame | None, links: DataFrame) -> DataFrame:
+        """(node, label) after more links: only what still differs is joined anew."""
+        if labels is None:
+            return cut(connected_components(links.select("a", "b"), "node", "label"), "ngram-labels")
+        a, b = (labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}")) for c in "ab")
+        edges = links.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).filter("a <> b").distinct()
+        edges = cut(edges, "ngram-edges")
+        if edges.isEmpty():
+            return labels
+        higher = cut(connected_components(edges, "label", "above"), "ngram-higher")
+        every = labels.unionByName(higher.select(F.col("label").alias("node"), "label").join(labels.select("node"), "node", "left_anti"))
+        return cut(every.join(higher, "label", "left").select("node", F.coalesce("above", "label").alias("label")), "ngram-labels")
+
+    def _sized(self, df: DataFrame) -> DataFrame:
+        """Broadcast if its counted rows are few."""
+        return F.broadcast(df) if df.count() * 24 <= BROADCAST_BYTES else df
+
+    def _apart(self, pairs: DataFrame, labels: DataFrame) -> DataFrame:
+        """Pairs whose nodes are in different components so far."""
+        q, m = (self._sized(labels).select(F.col("node").alias(c), F.col("label").alias(f"l{c}")) for c in "qm")
+        told = pairs.join(q, "q", "left").join(m, "m", "left")
+        return told.filter(F.coalesce("lq", "q") != F.coalesce("lm", "m")).select("q", "m")
+
+    def components(self, rounds: int = 3, eager: int = 8) -> DataFrame:
         """(node, label) for nodes that link with others."""
         found = self.candidates()
-        done = cut(found.filter("kind = 0").select(F.col("a").alias("q"), F.col("b").alias("m")).distinct(), "ngram-pairs")
+        pairs = cut(found.filter("kind = 0").groupBy(F.col("a").alias("q"), F.col("b").alias("m")).agg(F.sum("n").alias("met")), "ngram-pairs")
         open_ = found.filter("kind = 1").groupBy(F.col("a").alias("block"), F.col("b").alias("node")).agg(F.first("n").alias("n"), F.min("pos").alias("pos"))
         open_ = cut(open_, "ngram-open")
-        links = self.search(done)
-        labels = self.labels(links)
-        pivots = None
-        size = open_.count()
+        # First each node against the pivot it met most; then the other pivots, where that has not joined them.
+        best = pairs.groupBy("m").agg(F.max(F.struct("met", "q")).alias("b")).select(F.col("b.q").alias("q"), "m")
+        best = cut(best, "ngram-best")
+        labels = self.merge(None, self.search(best))
+        other = cut(self._apart(pairs.select("q", "m").join(best, ["q", "m"], "left_anti"), labels), "ngram-other")
+        labels = self.merge(labels, self.search(other))
+        done = pairs.select(F.least("q", "m").alias("x"), F.greatest("q", "m").alias("y"))
+        pivots, size = None, open_.count()
         for turn in range(rounds + 1):
-            named = open_.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+            named = open_.join(self._sized(labels), "node", "left").withColumn("label", F.coalesce("label", "node"))
             parts = named.groupBy("block", "label").agg(F.count("*").alias("c"))
             blocks = parts.groupBy("block").agg(F.sum("c").alias("rows"), F.sum(F.col("c") * F.col("c")).alias("same"), F.count("*").alias("labels")).filter("labels > 1")
             blocks = cut(blocks.withColumn("pairs", (F.col("rows") * F.col("rows") - F.col("same")) / 2), "ngram-unsettled")
@@ -389,6 +525,7 @@ class NgramJoin:
             if not left:
                 break
             rest = cut(attach(named, blocks.select("block", "rows"), "block", "rows", "inner"), "ngram-rest")
+            open_ = rest.drop("label", "rows")  # blocks that are settled stay so
             last = left <= max(eager * size, 100_000) or turn == rounds
             more = self._all_pairs(rest) if last else self._further(rest, pivots)
             if not last:
@@ -396,12 +533,10 @@ class NgramJoin:
                 now = more.select("block", "q").distinct()
                 pivots = cut(now if pivots is None else pivots.unionByName(now).distinct(), "ngram-pivots")
                 more = more.select("q", "m").distinct()
-            seen = done.select(F.least("q", "m").alias("x"), F.greatest("q", "m").alias("y"))
-            more = more.withColumns({"x": F.least("q", "m"), "y": F.greatest("q", "m")}).join(seen, ["x", "y"], "left_anti").select("q", "m").distinct()
-            more = cut(more, "ngram-pairs")
-            links = cut(links.unionByName(self.search(more)), "ngram-links")
-            done = cut(done.unionByName(more), "ngram-pairs")
-            labels = self.labels(links)
+            more = more.withColumns({"x": F.least("q", "m"), "y": F.greatest("q", "m")}).join(done, ["x", "y"], "left_anti")
+            more = cut(more.groupBy("x", "y").agg(F.first("q").alias("q"), F.first("m").alias("m")).select("q", "m"), "ngram-more")
+            labels = self.merge(labels, self.search(more))
+            done = cut(done.unionByName(more.select(F.least("q", "m").alias("x"), F.greatest("q", "m").alias("y"))).distinct(), "ngram-done")
             if last:
                 break
         return labels

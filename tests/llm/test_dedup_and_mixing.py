@@ -117,10 +117,11 @@ def test_components_against_all_pairs(spark, seed):
 
 def test_large_families_and_forced_rounds(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "TASK_MEMBERS", 7)
-    monkeypatch.setattr(ngram_join, "TASK_POSTINGS", 50)
+    monkeypatch.setattr(ngram_join, "TASK_POSTINGS", 5)
     monkeypatch.setattr(ngram_join, "BROADCAST_BYTES", 0)
     texts = corpus(4) + corpus(5)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert ngram_join.NgramJoin(df).salts.max() > 2
     out = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(df).collect()}
     assert out == plain_components(list(range(len(texts))), texts)
 
