@@ -1,7 +1,7 @@
 """Hierarchical Pitman-Yor language model of words and their spelling, and text scores.
 
 A word restaurant serves the corpus's words; each of its tables orders a word from the kitchen that spells words byte
-by byte. There, every context of up to four bytes is a restaurant whose parent is the context without its oldest
+by byte. There, every context of up to three bytes is a restaurant whose parent is the context without its oldest
 byte, down to a uniform choice; contexts with a common ending share that parent. Seating is sampled by Gibbs sweeps:
 the tables of a word (or of a byte in a context) are seated anew, customer by customer, given the rest; large groups
 advance in steps in which the odds change by a few hundredths. Predictive probabilities are averaged over samples.
@@ -29,14 +29,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terrane.llm.common import small_batches
 from terrane.session import cut, drop_path
 
 #: Every seventh hash class is held out.
 FOLDS, HELD = 7, 2
 #: Words that are broadcast, and byte n-grams above which contexts get a byte shorter.
-HEAD_WORDS, MOST_NGRAMS = 1_000_000, 6_000_000
+HEAD_WORDS, MOST_NGRAMS = 300_000, 2_000_000
 #: Longest context in bytes, sweeps before the first sample, samples, strength, steps of seating.
-CONTEXT, BURN, SAMPLES, STRENGTH, STEP = 4, 1, 2, 1.0, 0.05
+CONTEXT, BURN, SAMPLES, STRENGTH, STEP = 3, 1, 2, 1.0, 0.05
 #: The byte that ends a word and stands before it; no word has it.
 END = 0x20
 
@@ -187,7 +188,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             if not held_out(doc):
                 counts.update(words_of(text))
-            if len(counts) > 500_000:
+            if len(counts) > 250_000:
                 yield flush(counts)
                 counts = Counter()
     if counts:
@@ -203,10 +204,11 @@ def _rows(**columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[k], kind) if k in columns else pa.nulls(size, kind) for k, kind in _EMPTY.items()], names=list(_EMPTY))
 
 
-def _sweep(context: int, sample: Sample | None, tokens: int, discount: float, turn: int, add: float):
+def _sweep(context: int, told, tokens: int, discount: float, turn: int, add: float):
     """Seat the words anew. ``add`` is the number of tables if the state that is read is a sample, else zero."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sample: Sample | None = told.value
         rng = np.random.default_rng([turn, TaskContext.get().partitionId()])
         keys, counts, held = [], [], 0
 
@@ -231,7 +233,7 @@ def _sweep(context: int, sample: Sample | None, tokens: int, discount: float, tu
             keys.append(k)
             counts.append(np.repeat(t, np.diff(np.append(starts, len(k)))))
             held += len(k)
-            if held > 4_000_000:
+            if held > 1_000_000:
                 found, total = merged()
                 keys, counts, held = [found], [total], len(found)
         if keys:
@@ -245,6 +247,7 @@ def _sweep(context: int, sample: Sample | None, tokens: int, discount: float, tu
 def fit(docs: DataFrame, seed: int = 0) -> WordModel | None:
     """The model of all training texts; docs has id and text. None if there are no training texts."""
     spark = docs.sparkSession
+    small_batches(spark)
     counted = docs.mapInArrow(_count, "word binary, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
     zero = F.lit(0.0)
     state = cut(counted.select("word", "c", zero.alias("t"), zero.alias("h"), zero.alias("acc"), F.lit(None).cast("bigint").alias("key"), zero.alias("n")), "words")
@@ -254,7 +257,9 @@ def fit(docs: DataFrame, seed: int = 0) -> WordModel | None:
     discount = min(0.95, max(0.05, one / (one + 2 * two))) if one else 0.5
     rng, context, sample, samples, add = np.random.default_rng(seed), CONTEXT, None, [], 0.0
     for turn in range(1 + BURN + SAMPLES):
-        after = cut(state.select("word", "c", "t", "h", "acc").mapInArrow(_sweep(context, sample, tokens, discount, turn, add), STATE_DDL), "words")
+        told = spark.sparkContext.broadcast(sample)
+        after = cut(state.select("word", "c", "t", "h", "acc").mapInArrow(_sweep(context, told, tokens, discount, turn, add), STATE_DDL), "words")
+        told.unpersist()
         drop_path(spark, state)
         state = after.filter("word IS NOT NULL")
         state.terrane_path = after.terrane_path
@@ -273,9 +278,11 @@ def fit(docs: DataFrame, seed: int = 0) -> WordModel | None:
                 break
             context -= 1
             grams = grams.groupBy(F.col("key").bitwiseAND(F.lit((1 << 8 * (context + 1)) - 1)).alias("key")).agg(F.sum("n").alias("n"))
-        found = grams.toPandas().sort_values("key")
+        found = grams.toArrow()
+        keys = found["key"].to_numpy().view(np.uint64)
+        order = np.argsort(keys)
         before = sample.speller if sample and sample.speller.context == context else None
-        sample = Sample(Speller.sample(found.key.to_numpy(np.int64).view(np.uint64), found.n.to_numpy(np.float64), context, before, rng), tables)
+        sample = Sample(Speller.sample(keys[order], found["n"].to_numpy()[order], context, before, rng), tables)
     last = samples[-1]
     own = F.col("c") - discount * F.col("t") + F.lit(STRENGTH + discount * last.tables) * F.col("h")
     chance = (F.col("acc") + own / F.lit(STRENGTH + tokens)) / F.lit(len(samples))
@@ -296,28 +303,25 @@ def _base(c, tokens: int, distinct: int):
 
 def _score(head, tokens: int, distinct: int):
     known: dict = {}
+    values: list[np.ndarray] = []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not known:
             words, c, logp = head.value
-            known.update(zip(words, zip(c.tolist(), _base(c, tokens, distinct).tolist(), logp.tolist(), strict=True), strict=True))
+            known.update(zip(words, range(len(words)), strict=True))
+            values.extend((_base(c, tokens, distinct), logp))
         place = TaskContext.get().partitionId() << 40
         for batch in batches:
             texts, rest = [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 counts = Counter(words_of(text))
-                n = n_known = 0
-                base = score = 0.0
-                for w, k in counts.items():
-                    n += k
-                    found = known.get(w)
-                    if found is None:
-                        rest.append((place, w, k))
-                    else:
-                        n_known += k
-                        base += k * found[1]
-                        score += k * found[2]
-                texts.append((place, doc, held_out(doc), n, n_known, base, score))
+                times = np.fromiter(counts.values(), np.float64, len(counts))
+                at = np.fromiter((known.get(w, -1) for w in counts), np.int64, len(counts))
+                if (at < 0).any():
+                    rest += [(place, w, k) for (w, k), i in zip(counts.items(), at.tolist(), strict=True) if i < 0]
+                times, n = times[at >= 0], int(times.sum())
+                at = at[at >= 0]
+                texts.append((place, doc, held_out(doc), n, int(times.sum()), float(times @ values[0][at]), float(times @ values[1][at])))
                 place += 1
             columns = [*zip(*texts, strict=True)] or [[]] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(columns, _SCORE[:7], strict=True)] + [pa.nulls(len(texts), pa.binary()), pa.nulls(len(texts), pa.int64())], names=[n for n, _ in _SCORE])
@@ -334,14 +338,14 @@ def score(docs: DataFrame, model: WordModel | None) -> DataFrame:
     spark = docs.sparkSession
     if model is None:  # no training text: all words are unseen
         model = WordModel(spark.createDataFrame([], "word binary, c bigint, logp double"), 0, 0, 0.0)
-    levels = model.words.groupBy("c").count().withColumn("words", F.col("count")).orderBy(F.desc("c")).select("c", "words")
+    levels = model.words.groupBy(F.floor(F.log2("c") * 16).alias("level")).agg(F.min("c").alias("c"), F.count("*").alias("words")).collect()
     least, total = 1 << 62, 0
-    for r in levels.toLocalIterator():
+    for r in sorted(levels, key=lambda r: -r.c):  # sixteen levels for each doubling of the count
         if total + r.words > HEAD_WORDS:
             break
         least, total = r.c, total + r.words
-    head = model.words.filter(F.col("c") >= least).toPandas()
-    told = spark.sparkContext.broadcast(([bytes(w) for w in head.word], head.c.to_numpy(np.int64), head.logp.to_numpy(np.float64)))
+    head = model.words.filter(F.col("c") >= least).toArrow()
+    told = spark.sparkContext.broadcast((head["word"].to_pylist(), head["c"].to_numpy(), head["logp"].to_numpy()))
     found = cut(docs.mapInArrow(_score(told, model.tokens, model.distinct), SCORE_DDL), "scores")
     rest = found.filter("word IS NOT NULL").select("place", "word", "n")
     tail = model.words.filter(F.col("c") < least)
