@@ -31,8 +31,8 @@ from terrane.llm.common import small_batches
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: White space as in Unicode; the regex module's own \s has the separators 1C to 1F besides.
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: Words and pairs of tokens kept between batches, and characters looked up at a time.
-KEPT_WORDS, KEPT_PAIRS, CHUNK_CHARS = 150_000, 200_000, 1 << 19
+#: Words kept by a task, pairs of tokens kept by a worker, and characters looked up at a time.
+KEPT_WORDS, KEPT_PAIRS, CHUNK_CHARS = 300_000, 300_000, 1 << 19
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -228,11 +228,6 @@ class Encoder:
         return _gather(self.tokens, start, length), np.diff(ends)
 
 
-@functools.lru_cache(maxsize=2)
-def _encoder(path: str) -> Encoder:
-    return Encoder(path)
-
-
 def _chunks(sizes: list[int]) -> Iterator[tuple[int, int]]:
     first = total = 0
     for i, n in enumerate(sizes):
@@ -246,7 +241,7 @@ def _chunks(sizes: list[int]) -> Iterator[tuple[int, int]]:
 
 def _encode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(path)
+        encoder = Encoder(path)  # its words go with the task: idle workers hold only the vocabulary
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for a, b in _chunks([len(t) for t in texts]):

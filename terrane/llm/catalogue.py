@@ -10,7 +10,7 @@ from terrane.llm.media_chunks import op3_media_chunks
 from terrane.llm.mixing import op7_mix_sources
 from terrane.llm.ngram_join import op9_ngram_jaccard
 from terrane.llm.quality_cotrain import op5_quality_cotrain
-from terrane.llm.warc_index import op2_warc_index
+from terrane.llm.warc_index import OP2_SQL, op2_warc_index
 from terrane.llm.word_model import op8_word_model
 
 QUERIES = {
@@ -26,4 +26,4 @@ QUERIES = {
     "op10_exact_dedup": op10_exact_dedup,
 }
 
-ORACLES = {"op10_exact_dedup": OP10_SQL}
+ORACLES = {"op2_warc_index": OP2_SQL, "op10_exact_dedup": OP10_SQL}

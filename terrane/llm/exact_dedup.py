@@ -46,7 +46,7 @@ class DigestIndex:
         self.spark = spark
         self.path = path or new_path(spark, "digest-index")
         self.name = name or f"digest_index_{uuid.uuid4().hex}"
-        self.buckets = buckets or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        self.buckets = buckets or max(8, spark.sparkContext.defaultParallelism)
         self.loads = 0
         if path and not spark.catalog.tableExists(self.name) and self._exists():
             spark.sql(
@@ -70,7 +70,7 @@ class DigestIndex:
             _best(F.struct((-F.col("points")).alias("less"), F.col("id").isNull().alias("no_id"), F.col("id").cast("bigint").alias("id"), "row")),
             F.count("*").alias("rows"),
         )
-        summary = cut(summary.repartition(self.buckets, "digest"), "digest-load")
+        summary = cut(summary, "digest-load")
         if self.loads:
             known = self.table().filter("fresh").select("digest").hint("merge")
             new = summary.join(known, "digest", "left_anti").withColumn("fresh", F.lit(True))
@@ -79,7 +79,7 @@ class DigestIndex:
         else:
             delta = summary.withColumn("fresh", F.lit(True))
         load = delta.select("digest", F.lit(self.loads).alias("load"), "fresh", "best", "rows")
-        writer = load.repartition(self.buckets, "digest").write.mode("append").bucketBy(self.buckets, "digest").sortBy("digest")
+        writer = load.repartition(self.buckets, "digest").coalesce(self.buckets).write.mode("append").bucketBy(self.buckets, "digest").sortBy("digest")
         writer.option("path", self.path).format("parquet").saveAsTable(self.name)
         if self.loads:
             drop_path(self.spark, summary)

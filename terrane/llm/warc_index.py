@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from terrane.llm.common import BROADCAST_BYTES, small_batches
 from terrane.operators.skew import attach
-from terrane.session import cut, new_path
+from terrane.session import cut, files_for, new_path
 
 #: Payloads of at least this many bytes are stored once.
 LEAST_REVISIT = 1000
@@ -200,8 +200,9 @@ class CaptureArchive:
         self.manifest = cut(written, "warc-manifest")
         order = self.manifest.repartitionByRange(F.col("line_key"), F.col("capture")).sortWithinPartitions("line_key", "capture")
         blocks = order.mapInArrow(_blocks(BLOCK_LINES), "first_key string, first_capture bigint, lines binary, n bigint")
+        blocks = blocks.coalesce(files_for(self.manifest))
         blocks.withColumn("block", F.monotonically_increasing_id()).write.option("compression", "uncompressed").parquet(f"{self.path}/index")
-        self.blocks.select("block", "first_key", "first_capture").write.parquet(f"{self.path}/directory")
+        self.blocks.select("block", "first_key", "first_capture").coalesce(files_for(self.manifest)).write.parquet(f"{self.path}/directory")
         return self
 
     def locate(self, keys: DataFrame, piece_rows: int = 500_000) -> DataFrame:
@@ -324,3 +325,13 @@ def op2_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     archive = CaptureArchive.write(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"))
     keys = archive.manifest.select("line_key", "capture")
     return archive.read(archive.locate(keys)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP2_SQL = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS h FROM pages),
+r AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS answers FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, h AS payload_digest,
+       CASE WHEN n >= 1000 AND page_id <> answers THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 1000 AND page_id <> answers THEN answers END AS refers_to
+FROM r
+"""
