@@ -32,7 +32,7 @@ SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: White space as in Unicode; the regex module's own \s has the separators 1C to 1F besides.
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Words kept by a task, pairs of tokens kept by a worker, and characters looked up at a time.
-KEPT_WORDS, KEPT_PAIRS, CHUNK_CHARS = 300_000, 300_000, 1 << 19
+KEPT_WORDS, KEPT_PAIRS, CHUNK_CHARS = 250_000, 250_000, 1 << 18
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -63,7 +63,8 @@ class Vocabulary:
             whole = names[_joined(pair)]
             self.rank[a, b] = rank
             self.parts.setdefault(whole, (a, b, rank))
-        self.longest = max(map(len, self.ids))
+        #: Every beginning of a token: the token it is, or -1.
+        self.begins = {t[:n]: -1 for t in self.ids for n in range(1, len(t))} | self.ids
         ordered = all(self._rank(a) < r and self._rank(b) < r for a, b, r in self.parts.values())
         self._apart = self._apart_by_spines if ordered else self._apart_by_merging
         self.known_pairs: dict[tuple[int, int], bool] = {}
@@ -125,35 +126,41 @@ class Vocabulary:
 
     def encode_words(self, words: list[bytes]) -> Iterator[list[int]]:
         """The tokens of each word; words must be sorted and distinct. Depth-first over their trie."""
-        ids, pairs, longest = self.ids, self.known_pairs, self.longest
+        begins, pairs = self.begins, self.known_pairs
         last: list[int] = [-1]  # state of each node on the path: its prefix's last token
         width: list[int] = [0]
+        alive: list[list[int]] = [[]]  # and from where on the path its end may lie within a token
         before = b""
         for word in words:
             size = len(word)
             depth, most = 0, min(size, len(before))
             while depth < most and word[depth] == before[depth]:
                 depth += 1
-            del last[depth + 1 :], width[depth + 1 :]
+            del last[depth + 1 :], width[depth + 1 :], alive[depth + 1 :]
             for end in range(depth + 1, size + 1):
-                for start in range(max(0, end - longest), end):
-                    token = ids.get(word[start:end])
+                starts, chosen, origin = [], -1, 0
+                for start in (*alive[-1], end - 1):
+                    token = begins.get(word[start:end])
                     if token is None:
                         continue
+                    starts.append(start)
+                    if token < 0 or chosen >= 0:
+                        continue
                     if start == 0:
                         if self.whole(token):
-                            break
+                            chosen = token
                         continue
                     pair = (last[start], token)
                     apart = pairs.get(pair)
                     if apart is None:
                         apart = pairs[pair] = self._apart(*pair) and self.whole(token)
                     if apart:
-                        break
-                else:
+                        chosen, origin = token, start
+                if chosen < 0:
                     raise ValueError("no token ends here")
-                last.append(token)
-                width.append(end - start)
+                alive.append(starts)
+                last.append(chosen)
+                width.append(end - origin)
             before, out, at = word, [], size
             while at:
                 out.append(last[at])
@@ -252,27 +259,53 @@ def _encode(path: str):
     return run
 
 
-def _decode(path: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+class Decoder:
+    """Token numbers to texts."""
+
+    def __init__(self, path: str):
         v = vocabulary(path)
         size = max(v.bytes) + 1
-        length = np.fromiter((len(v.bytes.get(i, b"")) for i in range(size)), np.int64, size)
-        data = np.frombuffer(b"".join(v.bytes.get(i, b"") for i in range(size)), np.uint8)
-        start = _starts(length)[:-1]
+        self.length = np.fromiter((len(v.bytes.get(i, b"")) for i in range(size)), np.int64, size)
+        self.data = np.frombuffer(b"".join(v.bytes.get(i, b"") for i in range(size)), np.uint8)
+        self.start = _starts(self.length)[:-1]
+
+    def decode(self, ids: np.ndarray, counts: np.ndarray) -> list[str]:
+        """One text for each run of ``counts`` tokens; bytes that are no UTF-8 are replaced."""
+        ends, texts = _starts(counts), []
+        for a, b in _chunks([int(c) * 4 for c in counts]):
+            some = ids[ends[a] : ends[b]]
+            raw = _gather(self.data, self.start[some], self.length[some]).tobytes()
+            cut = _starts(self.length[some])[ends[a : b + 1] - ends[a]]
+            texts += [raw[x:y].decode("utf-8", "replace") for x, y in zip(cut[:-1], cut[1:], strict=True)]
+        return texts
+
+
+def _decode(path: str):
+    decoders: list[Decoder] = []
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not decoders:
+            decoders.append(Decoder(path))
+        decoder = decoders[0]
         for batch in batches:
             counts = batch.column(1).value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-            ids, ends = batch.column(1).flatten().to_numpy(zero_copy_only=False), _starts(counts)
-            texts: list[str] = []
-            for a, b in _chunks([int(c) * 4 for c in counts]):
-                some = ids[ends[a] : ends[b]]
-                raw = _gather(data, start[some], length[some]).tobytes()
-                cut = _starts(length[some])[ends[a : b + 1] - ends[a]]
-                texts += [raw[x:y].decode("utf-8", "replace") for x, y in zip(cut[:-1], cut[1:], strict=True)]
+            texts = decoder.decode(batch.column(1).flatten().to_numpy(zero_copy_only=False), counts)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["id", "ids", "decoded"])
 
     return run
 
 
+def _both(path: str):
+    """Encode, and decode what came out, in one worker."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        back = _decode(path)
+        for batch in _encode(path)(batches):
+            yield from back(iter([batch]))
+
+    return run
+
+
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids): the tokens of every whole text."""
     small_batches(docs.sparkSession)
@@ -289,7 +322,10 @@ def decode(coded: DataFrame, path: str) -> DataFrame:
 
 def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Number of tokens, digest of the tokens and of what they decode to, for each text."""
-    back = decode(encode(docs, path, id_col, text_col), path)
+    small_batches(docs.sparkSession)
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    back = rows.mapInArrow(_both(path), f"id {kind}, ids array<int>, decoded string")
     joined = F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary")
     return back.select(
         F.col("id").alias(id_col), F.size("ids").cast("bigint").alias("n_tokens"),
