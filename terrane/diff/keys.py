@@ -22,15 +22,15 @@ def growth_estimate(df: DataFrame, keys: list[str]) -> float:
 
 
 def candidates(left: DataFrame, right: DataFrame) -> list[str]:
-    """Common scalar columns with nearly as many values as rows on either side: one pass over each table."""
+    """Common scalar columns with nearly as many values as rows on either side: one pass over each table, with sketches."""
     kinds = (T.StringType, *INTEGERS, *FLOATS)
     names = [f.name for f in left.schema.fields if isinstance(f.dataType, kinds) and f.name in right.columns and isinstance(right.schema[f.name].dataType, kinds)]
     if not names:
         return []
     found: set[str] = set()
     for df in (left, right):
-        row = df.agg(F.count(F.lit(1)), *[F.approx_count_distinct(quoted(n), 0.01) for n in names]).first()
-        found |= {n for n, d in zip(names, row[1:], strict=True) if row[0] and d * 100 / row[0] > DISTINCT_PERCENT}
+        row = df.agg(F.count(F.lit(1)), *[F.hll_sketch_estimate(F.hll_sketch_agg(quoted(n).cast("string"), F.lit(14))) for n in names]).first()
+        found |= {n for n, d in zip(names, row[1:], strict=True) if row[0] and (d or 0) * 100 / row[0] > DISTINCT_PERCENT}
         if not row[0]:
             found |= set(names[:1])
     return [n for n in names if n in found]
