@@ -518,9 +518,8 @@ class NgramJoin:
         pivots, size = None, open_.count()
         for turn in range(rounds + 1):
             named = open_.join(self._sized(labels), "node", "left").withColumn("label", F.coalesce("label", "node"))
-            parts = named.groupBy("block", "label").agg(F.count("*").alias("c"))
-            blocks = parts.groupBy("block").agg(F.sum("c").alias("rows"), F.sum(F.col("c") * F.col("c")).alias("same"), F.count("*").alias("labels")).filter("labels > 1")
-            blocks = cut(blocks.withColumn("pairs", (F.col("rows") * F.col("rows") - F.col("same")) / 2), "ngram-unsettled")
+            blocks = named.groupBy("block").agg(F.count("*").alias("rows"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
+            blocks = cut(blocks.select("block", "rows", (F.col("rows") * (F.col("rows") - 1) / 2).alias("pairs")), "ngram-unsettled")
             left = blocks.agg(F.sum("pairs")).first()[0] or 0
             if not left:
                 break
