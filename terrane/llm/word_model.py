@@ -1,14 +1,17 @@
-"""Hierarchical Pitman-Yor language model of words and their spelling, and text scores.
+"""Hierarchical Pitman-Yor language model of words, their contexts and their spelling, and text scores.
 
-A word restaurant serves the corpus's words; each of its tables orders a word from the kitchen that spells words byte
-by byte. There, every context of up to three bytes is a restaurant whose parent is the context without its oldest
-byte, down to a uniform choice; contexts with a common ending share that parent. Seating is sampled by Gibbs sweeps:
-the tables of a word (or of a byte in a context) are seated anew, customer by customer, given the rest; large groups
-advance in steps in which the odds change by a few hundredths. Predictive probabilities are averaged over samples.
+Every word is a restaurant that serves the words after it; the end token's serves the first words. Each table there
+orders a word from the word restaurant that they all share; each of its tables orders a word from the kitchen that
+spells words byte by byte. There, every context of up to three bytes is a restaurant whose parent is the context
+without its oldest byte, down to a uniform choice; contexts with a common ending share that parent. Seating is sampled
+by Gibbs sweeps: the tables of a pair (of a word, of a byte in a context) are seated anew, customer by customer, given
+the rest; large groups advance in steps in which the odds change by a few hundredths. Word probabilities and the
+seating of pairs are averaged over samples.
 
-Word counts cover all training texts and stay distributed, as does the seating of words; a sweep sends the driver only
-its byte n-grams, summed. To score texts, the most frequent words (a bounded number) are broadcast, and the rest of
-each text's words meets the count table in a shuffle join, summed per text, so no hot word is shuffled.
+Counts cover all training texts and stay distributed, as does the seating of pairs and words; a sweep sends the driver
+only its byte n-grams, summed. Pairs are keyed by 64-bit hashes of their words. A pair that was seen once has one table
+in every state, so only the others are seated. To score texts, their pairs meet the pair table in a shuffle join, and
+pairs that no training text has back off to the word without its context; frequent words and contexts are broadcast.
 
 Cases. A null text counts as empty: it has the end token only. A null id counts as an empty text for the split. Rows
 with repeated ids are scored one by one. Words that were never seen are one class, as in the base score, and get all
@@ -17,6 +20,7 @@ the probability that the seen words leave over. Empty tables give empty results.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import zlib
 from collections import Counter
@@ -30,6 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrane.llm.common import small_batches
+from terrane.operators.skew import attach
 from terrane.session import cut, drop_path
 
 #: Every seventh hash class is held out.
@@ -47,6 +52,26 @@ def words_of(text: str | None) -> list[bytes]:
     return [*(text or "").encode("utf-8", "surrogatepass").lower().split(), b""]
 
 
+def word_id(word: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little", signed=True)
+
+
+class Ids(dict):
+    """Word -> 64-bit hash, computed once per word."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        self[word] = found = word_id(word)
+        return found
+
+
+def pairs_of(words: list[bytes], ids: Ids) -> Counter:
+    """(Preceding word, word) -> times, as hashes; the end token stands before the first word."""
+    w = [ids[x] for x in words]
+    return Counter(zip([ids[b""], *w[:-1]], w, strict=True))
+
+
 def held_out(doc_id) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % FOLDS == HELD
 
@@ -158,21 +183,27 @@ class Speller:
 
 @dataclass
 class Sample:
-    """One state of the chain: the kitchen, and the number of tables in the word restaurant."""
+    """One state of the chain: the kitchen, the number of tables in the word restaurant and its share for the kitchen."""
 
     speller: Speller
     tables: float
+    back: float = 1.0
 
 
 @dataclass
 class WordModel:
-    """words: word, c, and log10 of its averaged predictive probability; what they leave over is for unseen words."""
+    """The averaged restaurants.
+
+    words: word, its hash w, c, log10 of its averaged probability without context (unseen words share what they leave
+    over), and the share ``back`` that it passes on to the word restaurant when it stands before a word. pairs: preceding
+    word x, word w, and log10 of the probability of w after x.
+    """
 
     words: DataFrame
+    pairs: DataFrame | None
     tokens: int
     distinct: int
     unseen: float
-    discount: float = 0.5
     samples: list[Sample] = field(default_factory=list)
 
 
@@ -181,7 +212,7 @@ class WordModel:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def flush(counts: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["word", "c"])
+        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array([word_id(w) for w in counts], pa.int64()), pa.array(list(counts.values()), pa.int64())], names=["word", "w", "c"])
 
     counts: Counter = Counter()
     for batch in batches:
@@ -195,8 +226,40 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush(counts)
 
 
-STATE_DDL = "word binary, c bigint, t double, h double, acc double, key bigint, n double"
-_EMPTY = {"word": pa.binary(), "c": pa.int64(), "t": pa.float64(), "h": pa.float64(), "acc": pa.float64(), "key": pa.int64(), "n": pa.float64()}
+def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def flush(counts: Counter) -> pa.RecordBatch:
+        x, w = zip(*counts, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(w, pa.int64()), pa.array(list(counts.values()), pa.int64())], names=["x", "w", "c"])
+
+    ids, counts = Ids(), Counter()
+    for batch in batches:
+        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if not held_out(doc):
+                counts.update(pairs_of(words_of(text), ids))
+            if len(counts) > 500_000:
+                yield flush(counts)
+                counts = Counter()
+    if counts:
+        yield flush(counts)
+
+
+SEATED_DDL = "x bigint, w bigint, c bigint, ones bigint, t double, seated double"
+
+
+def _seat_pairs(discount: float, turn: int):
+    """Tables of pairs that were seen more than once, given the weight ``pull`` of a new table."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rng = np.random.default_rng([turn, TaskContext.get().partitionId(), 1])
+        for batch in batches:
+            c, pull = (batch[k].to_numpy(zero_copy_only=False).astype(np.float64) for k in ("c", "pull"))
+            yield pa.RecordBatch.from_arrays([batch["x"], batch["w"], batch["c"], batch["ones"], pa.array(seat(c, pull, discount, rng), pa.float64()), batch["seated"]], names=["x", "w", "c", "ones", "t", "seated"])
+
+    return run
+
+
+STATE_DDL = "word binary, w bigint, c bigint, ones bigint, kinds bigint, k double, t double, h double, acc double, key bigint, n double"
+_EMPTY = {"word": pa.binary(), "w": pa.int64(), "c": pa.int64(), "ones": pa.int64(), "kinds": pa.int64(), "k": pa.float64(), "t": pa.float64(), "h": pa.float64(), "acc": pa.float64(), "key": pa.int64(), "n": pa.float64()}
 
 
 def _rows(**columns) -> pa.RecordBatch:
@@ -204,8 +267,8 @@ def _rows(**columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[k], kind) if k in columns else pa.nulls(size, kind) for k, kind in _EMPTY.items()], names=list(_EMPTY))
 
 
-def _sweep(context: int, told, tokens: int, discount: float, turn: int, add: float):
-    """Seat the words anew. ``add`` is the number of tables if the state that is read is a sample, else zero."""
+def _sweep(context: int, told, discount: float, turn: int):
+    """Seat the words anew: k customers of each, which are the tables of its pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sample: Sample | None = told.value
@@ -219,16 +282,14 @@ def _sweep(context: int, told, tokens: int, discount: float, turn: int, add: flo
         for batch in batches:
             if not batch.num_rows:
                 continue
-            words = batch.column(0).to_pylist()
-            c, t, h, acc = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.float64) for i in range(1, 5))
-            if add:
-                acc = acc + (c - discount * t + (STRENGTH + discount * add) * h) / (STRENGTH + tokens)
+            words = batch["word"].to_pylist()
+            customers = batch["k"].to_numpy(zero_copy_only=False).astype(np.float64)
             if sample is None:
-                t, h = np.ones(len(c)), np.zeros(len(c))
+                t, h = np.ones(len(words)), np.zeros(len(words))
             else:
                 h = sample.speller.words(words)
-                t = seat(c, (STRENGTH + discount * sample.tables) * h, discount, rng)
-            yield _rows(word=words, c=c.astype(np.int64), t=t, h=h, acc=acc)
+                t = seat(customers, (STRENGTH + discount * sample.tables) * h, discount, rng)
+            yield _rows(word=words, k=customers, t=t, h=h, **{k: batch[k] for k in ("w", "c", "ones", "kinds", "acc")})
             k, starts = word_keys(words, context)
             keys.append(k)
             counts.append(np.repeat(t, np.diff(np.append(starts, len(k)))))
@@ -244,34 +305,61 @@ def _sweep(context: int, told, tokens: int, discount: float, turn: int, add: flo
     return run
 
 
+def _discount(df: DataFrame, c: str) -> float:
+    one, two = df.agg(F.count_if(F.col(c) == 1), F.count_if(F.col(c) == 2)).first()
+    return min(0.95, max(0.05, one / (one + 2 * two))) if one else 0.5
+
+
 def fit(docs: DataFrame, seed: int = 0) -> WordModel | None:
     """The model of all training texts; docs has id and text. None if there are no training texts."""
     spark = docs.sparkSession
     small_batches(spark)
-    counted = docs.mapInArrow(_count, "word binary, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
-    zero = F.lit(0.0)
-    state = cut(counted.select("word", "c", zero.alias("t"), zero.alias("h"), zero.alias("acc"), F.lit(None).cast("bigint").alias("key"), zero.alias("n")), "words")
-    tokens, distinct, one, two = state.agg(F.sum("c"), F.count("*"), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
+    c, t, lit = F.col("c"), F.col("t"), F.lit
+    words = cut(docs.mapInArrow(_count, "word binary, w bigint, c bigint").groupBy("word", "w").agg(F.sum("c").alias("c")), "words")
+    tokens, distinct = words.agg(F.sum("c"), F.count("*")).first()
     if not distinct:
         return None
-    discount = min(0.95, max(0.05, one / (one + 2 * two))) if one else 0.5
-    rng, context, sample, samples, add = np.random.default_rng(seed), CONTEXT, None, [], 0.0
+    pairs = cut(docs.mapInArrow(_count_pairs, "x bigint, w bigint, c bigint").groupBy("x", "w").agg(F.sum("c").alias("c")), "pairs")
+    single = F.count_if(c == 1).alias("ones")
+    # A pair that was seen once sits alone at its table in every state; only the others are seated anew.
+    before = cut(pairs.groupBy("x").agg(single, F.sum("c").alias("total"), F.count("*").alias("nx"), F.count_if(c > 1).alias("n")), "before")
+    after = cut(pairs.groupBy("w").agg(single, F.count("*").alias("kinds"), F.count_if(c > 1).alias("n")), "after")
+    of_pair, of_word = _discount(pairs, "c"), _discount(after, "kinds")
+    seated = cut(attach(pairs.filter(c > 1), before.select("x", "ones", "n"), "x", "n").select("x", "w", "c", "ones", lit(1.0).alias("t"), lit(0.0).alias("seated")), "seated")
+    state = cut(words.join(after.select("w", "ones", "kinds"), "w").withColumn("acc", lit(0.0)), "words")
+    drop_path(spark, words)
+    rng, context, sample, samples, chance = np.random.default_rng(seed), CONTEXT, None, [], None
+    acc, sat = F.col("acc"), F.col("seated")
     for turn in range(1 + BURN + SAMPLES):
+        if chance is not None:
+            tables = cut(seated.groupBy("x").agg((F.first("ones") + F.sum("t")).alias("tables"), F.count("*").alias("n")), "tables")
+            orders = cut(state.filter("kinds > ones").select("w", chance.alias("p"), (F.col("kinds") - F.col("ones")).alias("n")), "orders")
+            near = attach(attach(seated.select("x", "w", "c", "ones", sat.alias("seated")), tables, "x", "n").drop("n"), orders, "w", "n")
+            pull = (lit(STRENGTH) + lit(of_pair) * F.col("tables")) * F.col("p")
+            found = cut(near.select("x", "w", "c", "ones", "seated", pull.alias("pull")).mapInArrow(_seat_pairs(of_pair, turn), SEATED_DDL), "seated")
+            for path in (seated, tables, orders):
+                drop_path(spark, path)
+            seated = found
         told = spark.sparkContext.broadcast(sample)
-        after = cut(state.select("word", "c", "t", "h", "acc").mapInArrow(_sweep(context, told, tokens, discount, turn, add), STATE_DDL), "words")
+        more = seated.groupBy("w").agg(F.sum("t").alias("more"))
+        customers = F.col("ones") + F.coalesce("more", lit(0.0))
+        fed = state.select("word", "w", "c", "ones", "kinds", acc.alias("acc")).join(more, "w", "left").select("word", "w", "c", "ones", "kinds", "acc", customers.alias("k"))
+        whole = cut(fed.mapInArrow(_sweep(context, told, of_word, turn), STATE_DDL), "words")
         told.unpersist()
         drop_path(spark, state)
-        state = after.filter("word IS NOT NULL")
-        state.terrane_path = after.terrane_path
-        tables = float(state.agg(F.sum("t")).first()[0])
+        state = whole.filter("word IS NOT NULL")
+        state.terrane_path = whole.terrane_path
+        all_tables, all_customers = state.agg(F.sum("t"), F.sum("k")).first()
+        chance = (F.col("k") - lit(of_word) * t + lit(STRENGTH + of_word * all_tables) * F.col("h")) / lit(STRENGTH + all_customers)
         if sample is not None:
-            sample.tables = tables
-        add = tables if turn > BURN else 0.0
+            sample.back = (STRENGTH + of_word * all_tables) / (STRENGTH + all_customers)
+            sample.tables = all_tables
         if turn > BURN:
             samples.append(sample)
+            acc, sat = F.col("acc") + chance, F.col("seated") + t
         if turn == BURN + SAMPLES:
             break
-        grams = after.filter("key IS NOT NULL").groupBy("key").agg(F.sum("n").alias("n"))
+        grams = whole.filter("key IS NOT NULL").groupBy("key").agg(F.sum("n").alias("n"))
         while True:
             size = grams.count()
             if size <= MOST_NGRAMS or context == 1:
@@ -281,54 +369,71 @@ def fit(docs: DataFrame, seed: int = 0) -> WordModel | None:
         found = grams.toArrow()
         keys = found["key"].to_numpy().view(np.uint64)
         order = np.argsort(keys)
-        before = sample.speller if sample and sample.speller.context == context else None
-        sample = Sample(Speller.sample(keys[order], found["n"].to_numpy()[order], context, before, rng), tables)
-    last = samples[-1]
-    own = F.col("c") - discount * F.col("t") + F.lit(STRENGTH + discount * last.tables) * F.col("h")
-    chance = (F.col("acc") + own / F.lit(STRENGTH + tokens)) / F.lit(len(samples))
-    words = state.select("word", "c", F.log10(chance).alias("logp"))
-    left = 1.0 - float(words.agg(F.sum(F.pow(F.lit(10.0), "logp"))).first()[0])
-    return WordModel(words, tokens, distinct, math.log10(max(left, 1 / (tokens + distinct + 1))), discount, samples)
+        last = sample.speller if sample and sample.speller.context == context else None
+        sample = Sample(Speller.sample(keys[order], found["n"].to_numpy()[order], context, last, rng), all_tables)
+    # The mean seating of the samples.
+    sat = sat / lit(len(samples))
+    tables = before.join(seated.groupBy("x").agg(F.sum(sat).alias("more")), "x", "left")
+    back = (lit(STRENGTH) + lit(of_pair) * (F.col("ones") + F.coalesce("more", lit(0.0)))) / (lit(STRENGTH) + F.col("total"))
+    backs = cut(tables.select("x", "total", "nx", back.alias("back")), "backs")
+    kept = state.select("word", "w", "c", "kinds", F.log10(acc / lit(len(samples))).alias("logp"))
+    known = cut(kept.join(backs.select(F.col("x").alias("w"), "back"), "w", "left"), "words")
+    own = pairs.filter(c == 1).select("x", "w", lit(1 - of_pair).alias("own")).unionByName(seated.select("x", "w", (c - lit(of_pair) * sat).alias("own")))
+    met = attach(attach(own, backs, "x", "nx"), known.select("w", "logp", "kinds"), "w", "kinds")
+    chances = cut(met.select("x", "w", F.log10(F.col("own") / (lit(STRENGTH) + F.col("total")) + F.col("back") * F.pow(lit(10.0), "logp")).alias("p")), "pairs")
+    for path in (pairs, before, after, seated, state, backs):
+        drop_path(spark, path)
+    left = 1.0 - float(known.agg(F.sum(F.pow(F.lit(10.0), "logp"))).first()[0])
+    return WordModel(known, chances, tokens, distinct, math.log10(max(left, 1 / (tokens + distinct + 1))), samples)
 
 
 # Scoring.
 
-SCORE_DDL = "place bigint, doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base double, score double, word binary, n bigint"
-_SCORE = [("place", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("word", pa.binary()), ("n", pa.int64())]
+SCORE_DDL = "place bigint, doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base double, word binary, x bigint, w bigint, n bigint"
+_SCORE = {"place": pa.int64(), "doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(), "base": pa.float64(), "word": pa.binary(), "x": pa.int64(), "w": pa.int64(), "n": pa.int64()}
 
 
 def _base(c, tokens: int, distinct: int):
     return np.log10((c + 1) / (tokens + distinct + 1))
 
 
+def _score_rows(rows: list[tuple], names: str) -> pa.RecordBatch:
+    given = dict(zip(names.split(), zip(*rows, strict=True) if rows else [[]] * len(names.split()), strict=True))
+    return pa.RecordBatch.from_arrays([pa.array(given[k], kind) if k in given else pa.nulls(len(rows), kind) for k, kind in _SCORE.items()], names=list(_SCORE))
+
+
 def _score(head, tokens: int, distinct: int):
+    """Per text: one row with the counts of frequent words, its other words, and its pairs."""
     known: dict = {}
     values: list[np.ndarray] = []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not known:
-            words, c, logp = head.value
+            words, c = head.value
             known.update(zip(words, range(len(words)), strict=True))
-            values.extend((_base(c, tokens, distinct), logp))
-        place = TaskContext.get().partitionId() << 40
+            values.append(_base(c, tokens, distinct))
+        place, ids = TaskContext.get().partitionId() << 40, Ids()
         for batch in batches:
-            texts, rest = [], []
+            texts, rest, pairs = [], [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                counts = Counter(words_of(text))
+                words = words_of(text)
+                counts = Counter(words)
                 times = np.fromiter(counts.values(), np.float64, len(counts))
                 at = np.fromiter((known.get(w, -1) for w in counts), np.int64, len(counts))
                 if (at < 0).any():
-                    rest += [(place, w, k) for (w, k), i in zip(counts.items(), at.tolist(), strict=True) if i < 0]
-                times, n = times[at >= 0], int(times.sum())
-                at = at[at >= 0]
-                texts.append((place, doc, held_out(doc), n, int(times.sum()), float(times @ values[0][at]), float(times @ values[1][at])))
+                    rest += [(place, w, ids[w], k) for (w, k), i in zip(counts.items(), at.tolist(), strict=True) if i < 0]
+                pairs += [(place, x, w, k) for (x, w), k in pairs_of(words, ids).items()]
+                times = times[at >= 0]
+                texts.append((place, doc, held_out(doc), len(words), int(times.sum()), float(times @ values[0][at[at >= 0]])))
                 place += 1
-            columns = [*zip(*texts, strict=True)] or [[]] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(columns, _SCORE[:7], strict=True)] + [pa.nulls(len(texts), pa.binary()), pa.nulls(len(texts), pa.int64())], names=[n for n, _ in _SCORE])
+                if len(pairs) > 200_000:
+                    yield _score_rows(pairs, "place x w n")
+                    pairs = []
+            yield _score_rows(texts, "place doc_id held_out n_tokens n_known base")
             if rest:
-                where, words, n = zip(*rest, strict=True)
-                blank = [pa.nulls(len(rest), k) for _, k in _SCORE[1:7]]
-                yield pa.RecordBatch.from_arrays([pa.array(where, pa.int64()), *blank, pa.array(words, pa.binary()), pa.array(n, pa.int64())], names=[n for n, _ in _SCORE])
+                yield _score_rows(rest, "place word w n")
+            if pairs:
+                yield _score_rows(pairs, "place x w n")
 
     return run
 
@@ -336,32 +441,48 @@ def _score(head, tokens: int, distinct: int):
 def score(docs: DataFrame, model: WordModel | None) -> DataFrame:
     """One row for each text of (id, text): log10 probability by the model and by smoothed word counts."""
     spark = docs.sparkSession
+    none = F.lit(0)
     if model is None:  # no training text: all words are unseen
-        model = WordModel(spark.createDataFrame([], "word binary, c bigint, logp double"), 0, 0, 0.0)
+        told = spark.sparkContext.broadcast(([], np.zeros(0)))
+        texts = cut(docs.mapInArrow(_score(told, 0, 0), SCORE_DDL), "scores").filter("n_tokens IS NOT NULL")
+        zero = F.lit(0.0)
+        return texts.select("doc_id", "held_out", "n_tokens", "n_known", none.cast("bigint").alias("train_tokens"), zero.alias("base_score"), zero.alias("score"))
     levels = model.words.groupBy(F.floor(F.log2("c") * 16).alias("level")).agg(F.min("c").alias("c"), F.count("*").alias("words")).collect()
     least, total = 1 << 62, 0
     for r in sorted(levels, key=lambda r: -r.c):  # sixteen levels for each doubling of the count
         if total + r.words > HEAD_WORDS:
             break
         least, total = r.c, total + r.words
-    head = model.words.filter(F.col("c") >= least).toArrow()
-    told = spark.sparkContext.broadcast((head["word"].to_pylist(), head["c"].to_numpy(), head["logp"].to_numpy()))
+    head = model.words.filter(F.col("c") >= least).select("word", "c").toArrow()
+    told = spark.sparkContext.broadcast((head["word"].to_pylist(), head["c"].to_numpy()))
     found = cut(docs.mapInArrow(_score(told, model.tokens, model.distinct), SCORE_DDL), "scores")
     rest = found.filter("word IS NOT NULL").select("place", "word", "n")
-    tail = model.words.filter(F.col("c") < least)
-    met = rest.join(tail, "word", "left").select("place", "n", F.coalesce("c", F.lit(0)).alias("c"), F.coalesce("logp", F.lit(model.unseen)).alias("logp"))
+    tail = model.words.filter(F.col("c") < least).select("word", "c")
     base = F.log10((F.col("c") + 1) / F.lit(float(model.tokens + model.distinct + 1)))
-    sums = met.groupBy("place").agg(
-        F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("more_known"), F.sum(F.col("n") * base).alias("more_base"), F.sum(F.col("n") * F.col("logp")).alias("more_score")
+    more = rest.join(tail, "word", "left").select("place", "n", F.coalesce("c", none).alias("c")).groupBy("place").agg(
+        F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("more_known"), F.sum(F.col("n") * base).alias("more_base")
     )
-    texts = found.filter("word IS NULL").drop("word", "n").join(sums, "place", "left")
-    none = F.lit(0)
-    return texts.select(
+    sums = _chances(found, model).groupBy("place").agg(F.sum(F.col("n") * F.col("p")).alias("score"))
+    texts = found.filter("n_tokens IS NOT NULL").select("place", "doc_id", "held_out", "n_tokens", "n_known", "base")
+    return texts.join(more, "place", "left").join(sums, "place", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more_known", none)).alias("n_known"), F.lit(model.tokens).cast("bigint").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more_base", none)).alias("base_score"), (F.col("score") + F.coalesce("more_score", none)).alias("score"),
+        (F.col("base") + F.coalesce("more_base", none)).alias("base_score"), "score",
     )
 
 
+def _chances(found: DataFrame, model: WordModel) -> DataFrame:
+    """log10 probability of each text's pairs; a pair that was never seen backs off to the word without its context."""
+    both = found.filter("x IS NOT NULL").select("place", "x", "w", "n").join(model.pairs, ["x", "w"], "left")
+    both = cut(both, "pairs-met")
+    seen = both.filter("p IS NOT NULL").select("place", "n", "p")
+    missed = both.filter("p IS NULL").drop("p")
+    contexts = cut(missed.groupBy("x").agg(F.count("*").alias("nx")).join(model.words.select(F.col("w").alias("x"), "back"), "x", "left"), "contexts")
+    words = cut(missed.groupBy("w").agg(F.count("*").alias("nw")).join(model.words.select("w", "logp"), "w", "left"), "words-met")
+    near = attach(attach(missed, contexts, "x", "nx"), words, "w", "nw")
+    p = F.log10(F.coalesce("back", F.lit(1.0))) + F.coalesce("logp", F.lit(model.unseen))
+    return seen.unionByName(near.select("place", "n", p.alias("p")))
+
+
 def perplexity(scores: DataFrame) -> DataFrame:
     """Perplexity per token of held-out and training texts, by the model and by smoothed word counts."""
     per = lambda c: F.pow(F.lit(10.0), -F.sum(c) / F.sum("n_tokens"))

@@ -257,6 +257,33 @@ def test_word_model_of_nothing(spark):
     assert (row.n_tokens, row.n_known, row.train_tokens, row.base_score, row.score) == (4, 0, 0, 0.0, 0.0)
 
 
+def test_word_order_counts(spark):
+    rnd = random.Random(4)
+    chain = {w: rnd.sample(range(40), 2) for w in range(40)}
+    rows = []
+    for i in range(400):
+        w = [rnd.randrange(40)]
+        while len(w) < 40:
+            w.append(rnd.choice(chain[w[-1]]))
+        rows.append((i, " ".join(f"word{x}" for x in w)))
+    mixed = [(i, " ".join(rnd.sample(t.split(), 40))) for i, t in rows]
+    model = word_model.fit(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3))
+    held = {i for i, _ in rows if word_model.held_out(i)}
+    per_token = {}
+    for name, texts in (("plain", rows), ("mixed", mixed)):
+        out = word_model.score(spark.createDataFrame(texts, "doc_id bigint, text string"), model).filter("held_out").collect()
+        assert {r.doc_id for r in out} == held
+        per_token[name] = sum(r.score for r in out) / sum(r.n_tokens for r in out)
+    # Two words can follow each word: about one bit a word, against log2(40) without the order.
+    assert per_token["plain"] > -0.6 and per_token["mixed"] < -1.2
+    # After a word, all words together have probability one.
+    words = {r.w: r for r in model.words.collect()}
+    pairs = {(r.x, r.w): 10**r.p for r in model.pairs.collect()}
+    for x in list(words)[:5]:
+        total = sum(pairs.get((x, w), words[x].back * 10 ** words[w].logp) for w in words)
+        assert total + words[x].back * 10**model.unseen == pytest.approx(1.0, abs=1e-6)
+
+
 # Pipeline.
 
 
