@@ -14,8 +14,9 @@ in every state, so only the others are seated. To score texts, their pairs meet
 pairs that no training text has back off to the word without its context; frequent words and contexts are broadcast.
 
 Cases. A null text counts as empty: it has the end token only. A null id counts as an empty text for the split. Rows
-with repeated ids are scored one by one. Words that were never seen are one class, as in the base score, and get all
-the probability that the seen words leave over. Empty tables give empty results.
+with repeated ids are scored one by one. A word that was never seen gets the back-off weights times the probability of
+its spelling, while the base score has one class for all of them; so the scores of known words are also given by
+themselves. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -175,10 +176,13 @@ class Speller:
 
     def words(self, words: list[bytes]) -> np.ndarray:
         """Probability of spelling each word."""
+        return np.exp(self.log_words(words))
+
+    def log_words(self, words: list[bytes]) -> np.ndarray:
         if not words:
             return np.zeros(0)
         keys, starts = word_keys(words, self.context)
-        return np.exp(np.add.reduceat(np.log(self.probability(keys)), starts))
+        return np.add.reduceat(np.log(self.probability(keys)), starts)
 
 
 @dataclass
@@ -194,8 +198,8 @@ class Sample:
 class WordModel:
     """The averaged restaurants.
 
-    words: word, its hash w, c, log10 of its averaged probability without context (unseen words share what they leave
-    over), and the share ``back`` that it passes on to the word restaurant when it stands before a word. pairs: preceding
+    words: word, its hash w, c, log10 of its averaged probability without context (``unseen`` is what they leave
+    over for all others), and the share ``back`` that it passes on to the word restaurant when it stands before a word. pairs: preceding
     word x, word w, and log10 of the probability of w after x.
     """
 
@@ -445,8 +449,8 @@ def score(docs: DataFrame, model: WordModel | None) -> DataFrame:
     if model is None:  # no training text: all words are unseen
         told = spark.sparkContext.broadcast(([], np.zeros(0)))
         texts = cut(docs.mapInArrow(_score(told, 0, 0), SCORE_DDL), "scores").filter("n_tokens IS NOT NULL")
-        zero = F.lit(0.0)
-        return texts.select("doc_id", "held_out", "n_tokens", "n_known", none.cast("bigint").alias("train_tokens"), zero.alias("base_score"), zero.alias("score"))
+        zeros = [F.lit(0.0).alias(k) for k in ("base_score", "score", "known_base_score", "known_score")]
+        return texts.select("doc_id", "held_out", "n_tokens", "n_known", none.cast("bigint").alias("train_tokens"), *zeros)
     levels = model.words.groupBy(F.floor(F.log2("c") * 16).alias("level")).agg(F.min("c").alias("c"), F.count("*").alias("words")).collect()
     least, total = 1 << 62, 0
     for r in sorted(levels, key=lambda r: -r.c):  # sixteen levels for each doubling of the count
@@ -462,31 +466,53 @@ def score(docs: DataFrame, model: WordModel | None) -> DataFrame:
     more = rest.join(tail, "word", "left").select("place", "n", F.coalesce("c", none).alias("c")).groupBy("place").agg(
         F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("more_known"), F.sum(F.col("n") * base).alias("more_base")
     )
-    sums = _chances(found, model).groupBy("place").agg(F.sum(F.col("n") * F.col("p")).alias("score"))
+    one = F.col("n") * F.col("p")
+    sums = _chances(found, model).groupBy("place").agg(F.sum(one).alias("score"), F.coalesce(F.sum(F.when(F.col("known"), one)), F.lit(0.0)).alias("known_score"))
     texts = found.filter("n_tokens IS NOT NULL").select("place", "doc_id", "held_out", "n_tokens", "n_known", "base")
+    known, total = F.col("n_known") + F.coalesce("more_known", none), F.col("base") + F.coalesce("more_base", none)
+    known_base = total - (F.col("n_tokens") - known) * F.lit(float(_base(0, model.tokens, model.distinct)))
     return texts.join(more, "place", "left").join(sums, "place", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more_known", none)).alias("n_known"), F.lit(model.tokens).cast("bigint").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more_base", none)).alias("base_score"), "score",
+        "doc_id", "held_out", "n_tokens", known.alias("n_known"), F.lit(model.tokens).cast("bigint").alias("train_tokens"),
+        total.alias("base_score"), "score", known_base.alias("known_base_score"), "known_score",
     )
 
 
+def _spell(told):
+    """log10 probability without context of words that no training text has, by the mean of the samples."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = batch["word"].to_pylist()
+            each = [math.log(s.back) + s.speller.log_words(words) for s in told.value]
+            logp = (np.logaddexp.reduce(each, axis=0) - math.log(len(each))) / math.log(10)
+            yield pa.RecordBatch.from_arrays([batch["w"], pa.array(logp, pa.float64())], names=["w", "spelled"])
+
+    return run
+
+
 def _chances(found: DataFrame, model: WordModel) -> DataFrame:
     """log10 probability of each text's pairs; a pair that was never seen backs off to the word without its context."""
     both = found.filter("x IS NOT NULL").select("place", "x", "w", "n").join(model.pairs, ["x", "w"], "left")
     both = cut(both, "pairs-met")
-    seen = both.filter("p IS NOT NULL").select("place", "n", "p")
+    seen = both.filter("p IS NOT NULL").select("place", "n", "p", F.lit(True).alias("known"))
     missed = both.filter("p IS NULL").drop("p")
     contexts = cut(missed.groupBy("x").agg(F.count("*").alias("nx")).join(model.words.select(F.col("w").alias("x"), "back"), "x", "left"), "contexts")
-    words = cut(missed.groupBy("w").agg(F.count("*").alias("nw")).join(model.words.select("w", "logp"), "w", "left"), "words-met")
+    told = found.sparkSession.sparkContext.broadcast(model.samples)
+    new = found.filter("word IS NOT NULL").select("w", "word").distinct().join(model.words.select("w"), "w", "left_anti").mapInArrow(_spell(told), "w bigint, spelled double")
+    words = cut(missed.groupBy("w").agg(F.count("*").alias("nw")).join(model.words.select("w", "logp"), "w", "left").join(new, "w", "left"), "words-met")
     near = attach(attach(missed, contexts, "x", "nx"), words, "w", "nw")
-    p = F.log10(F.coalesce("back", F.lit(1.0))) + F.coalesce("logp", F.lit(model.unseen))
-    return seen.unionByName(near.select("place", "n", p.alias("p")))
+    p = F.log10(F.coalesce("back", F.lit(1.0))) + F.coalesce("logp", "spelled")
+    return seen.unionByName(near.select("place", "n", p.alias("p"), F.col("logp").isNotNull().alias("known")))
 
 
 def perplexity(scores: DataFrame) -> DataFrame:
-    """Perplexity per token of held-out and training texts, by the model and by smoothed word counts."""
-    per = lambda c: F.pow(F.lit(10.0), -F.sum(c) / F.sum("n_tokens"))
-    return scores.groupBy("held_out").agg(per("score").alias("perplexity"), per("base_score").alias("base_perplexity"))
+    """Perplexity per token of held-out and training texts, by the model and by smoothed word counts; also of known and unseen words alone."""
+    ten = lambda c, n: F.pow(F.lit(10.0), -F.try_divide(F.sum(c), F.sum(n)))
+    known, unseen = F.col("n_known"), F.col("n_tokens") - F.col("n_known")
+    pairs = [("", "score", "base_score", F.col("n_tokens")), ("known_", "known_score", "known_base_score", known)]
+    of = [x for k, a, b, n in pairs for x in (ten(a, n).alias(f"{k}perplexity"), ten(b, n).alias(f"{k}base_perplexity"))]
+    rest = [ten(F.col(a) - F.col(f"known_{a}"), unseen).alias(f"unseen_{k}perplexity") for k, a in (("", "score"), ("base_", "base_score"))]
+    return scores.groupBy("held_out").agg(*of, *rest)
 
 
 def op8_word_model(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -284,6 +284,20 @@ def test_word_order_counts(spark):
         assert total + words[x].back * 10**model.unseen == pytest.approx(1.0, abs=1e-6)
 
 
+def test_unseen_words_are_spelled(spark):
+    rows = _texts(400)
+    model = word_model.fit(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    words = {w for _, t in rows for w in t.split()}
+    like = next(a + b + c + d for a in ("tion", "ment") for b in ("er", "le") for c in ("the", "st") for d in ("in", "ou") if a + b + c + d not in words)
+    texts = [(1, " ".join(["of", "the"] * 10)), (2, " ".join(["zqxjv", "kqzzw"] * 10)), (3, like), (4, "zq" * (len(like) // 2)), (5, "z" * 70_000), (6, "")]
+    out = {r.doc_id: r for r in word_model.score(spark.createDataFrame(texts, "doc_id bigint, text string"), model).collect()}
+    assert out[1].score / out[1].n_tokens > out[2].score / out[2].n_tokens + 2
+    assert out[3].score > out[4].score + 3
+    assert all(math.isfinite(r.score) for r in out.values()) and out[5].score < -70_000
+    assert out[1].known_score == out[1].score and (out[2].n_known, out[6].known_score) == (1, out[6].score)
+    assert out[2].known_base_score == pytest.approx(out[6].base_score)
+
+
 # Pipeline.
 
 
