@@ -9,7 +9,7 @@ the rest; large groups advance in steps in which the odds change by a few hundre
 seating of pairs are averaged over samples.
 
 Counts cover all training texts and stay distributed, as does the seating of pairs and words; a sweep sends the driver
-only its byte n-grams, summed. Pairs are keyed by 64-bit hashes of their words. A pair that was seen once has one table
+only its distinct byte n-grams, summed: the driver and every worker hold them all. Pairs are keyed by 64-bit hashes of their words. A pair that was seen once has one table
 in every state, so only the others are seated. To score texts, their pairs meet the pair table in a shuffle join, and
 pairs that no training text has back off to the word without its context; frequent words and contexts are broadcast.
 
@@ -40,8 +40,8 @@ from terrane.session import cut, drop_path
 
 #: Every seventh hash class is held out.
 FOLDS, HELD = 7, 2
-#: Words that are broadcast, and byte n-grams above which contexts get a byte shorter.
-HEAD_WORDS, MOST_NGRAMS = 300_000, 2_000_000
+#: Words that are broadcast.
+HEAD_WORDS = 300_000
 #: Longest context in bytes, sweeps before the first sample, samples, strength, steps of seating.
 CONTEXT, BURN, SAMPLES, STRENGTH, STEP = 3, 1, 2, 1.0, 0.05
 #: The byte that ends a word and stands before it; no word has it.
@@ -271,7 +271,7 @@ def _rows(**columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[k], kind) if k in columns else pa.nulls(size, kind) for k, kind in _EMPTY.items()], names=list(_EMPTY))
 
 
-def _sweep(context: int, told, discount: float, turn: int):
+def _sweep(told, discount: float, turn: int):
     """Seat the words anew: k customers of each, which are the tables of its pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -294,7 +294,7 @@ def _sweep(context: int, told, discount: float, turn: int):
                 h = sample.speller.words(words)
                 t = seat(customers, (STRENGTH + discount * sample.tables) * h, discount, rng)
             yield _rows(word=words, k=customers, t=t, h=h, **{k: batch[k] for k in ("w", "c", "ones", "kinds", "acc")})
-            k, starts = word_keys(words, context)
+            k, starts = word_keys(words, CONTEXT)
             keys.append(k)
             counts.append(np.repeat(t, np.diff(np.append(starts, len(k)))))
             held += len(k)
@@ -332,7 +332,7 @@ def fit(docs: DataFrame, seed: int = 0) -> WordModel | None:
     seated = cut(attach(pairs.filter(c > 1), before.select("x", "ones", "n"), "x", "n").select("x", "w", "c", "ones", lit(1.0).alias("t"), lit(0.0).alias("seated")), "seated")
     state = cut(words.join(after.select("w", "ones", "kinds"), "w").withColumn("acc", lit(0.0)), "words")
     drop_path(spark, words)
-    rng, context, sample, samples, chance = np.random.default_rng(seed), CONTEXT, None, [], None
+    rng, sample, samples, chance = np.random.default_rng(seed), None, [], None
     acc, sat = F.col("acc"), F.col("seated")
     for turn in range(1 + BURN + SAMPLES):
         if chance is not None:
@@ -348,7 +348,7 @@ def fit(docs: DataFrame, seed: int = 0) -> WordModel | None:
         more = seated.groupBy("w").agg(F.sum("t").alias("more"))
         customers = F.col("ones") + F.coalesce("more", lit(0.0))
         fed = state.select("word", "w", "c", "ones", "kinds", acc.alias("acc")).join(more, "w", "left").select("word", "w", "c", "ones", "kinds", "acc", customers.alias("k"))
-        whole = cut(fed.mapInArrow(_sweep(context, told, of_word, turn), STATE_DDL), "words")
+        whole = cut(fed.mapInArrow(_sweep(told, of_word, turn), STATE_DDL), "words")
         told.unpersist()
         drop_path(spark, state)
         state = whole.filter("word IS NOT NULL")
@@ -364,17 +364,10 @@ def fit(docs: DataFrame, seed: int = 0) -> WordModel | None:
         if turn == BURN + SAMPLES:
             break
         grams = whole.filter("key IS NOT NULL").groupBy("key").agg(F.sum("n").alias("n"))
-        while True:
-            size = grams.count()
-            if size <= MOST_NGRAMS or context == 1:
-                break
-            context -= 1
-            grams = grams.groupBy(F.col("key").bitwiseAND(F.lit((1 << 8 * (context + 1)) - 1)).alias("key")).agg(F.sum("n").alias("n"))
         found = grams.toArrow()
         keys = found["key"].to_numpy().view(np.uint64)
         order = np.argsort(keys)
-        last = sample.speller if sample and sample.speller.context == context else None
-        sample = Sample(Speller.sample(keys[order], found["n"].to_numpy()[order], context, last, rng), all_tables)
+        sample = Sample(Speller.sample(keys[order], found["n"].to_numpy()[order], CONTEXT, sample and sample.speller, rng), all_tables)
     # The mean seating of the samples.
     sat = sat / lit(len(samples))
     tables = before.join(seated.groupBy("x").agg(F.sum(sat).alias("more")), "x", "left")

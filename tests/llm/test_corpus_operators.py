@@ -298,6 +298,12 @@ def test_unseen_words_are_spelled(spark):
     assert out[2].known_base_score == pytest.approx(out[6].base_score)
 
 
+def test_spelling_contexts_do_not_depend_on_the_size(spark, monkeypatch):
+    monkeypatch.setattr(word_model, "MOST_NGRAMS", 10, raising=False)
+    model = word_model.fit(spark.createDataFrame(_texts(60), "doc_id bigint, text string"))
+    assert {s.speller.context for s in model.samples} == {word_model.CONTEXT}
+
+
 # Pipeline.
 
 
