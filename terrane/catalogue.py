@@ -743,6 +743,12 @@ def graph_components(spark, d):
     return connected_components(_edges(spark, d))
 
 
+@query()
+def graph_components_whole(spark, d):
+    line = load(spark, d, "lineitem")
+    return connected_components(line.select((F.col("l_partkey") * 2).alias("a"), (F.col("l_suppkey") * 2 + 1).alias("b")))
+
+
 @query("SELECT * FROM nation WHERE n_regionkey < 3 UNION ALL SELECT * FROM nation WHERE n_regionkey = 3")
 def write_overwrite_append_roundtrip(spark, d):
     path = new_path(spark, "written")

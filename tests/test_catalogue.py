@@ -43,3 +43,18 @@ def test_against_sql(spark, duck, name):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() == 6
     assert set(catalogue.QUERIES) <= set(__spark_entry__.queries()) and set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_components_of_all_lines(spark, duck):
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in duck.execute("SELECT l_partkey * 2, l_suppkey * 2 + 1 FROM lineitem").fetchall():
+        a, b = sorted((root(a), root(b)))
+        parent[b] = a
+    found = catalogue.QUERIES["graph_components_whole"](spark, SF).collect()
+    assert {r.node_id: r.connected_component_id for r in found} == {x: root(x) for x in list(parent)} and len(found) == len(parent)
