@@ -186,6 +186,27 @@ _join_query("join_full", "outer", "FULL")
 _join_query("join_semi", "semi", "SEMI", "c_custkey, o_orderkey")
 
 
+# The same joins over the whole tables: every row takes part, and some keys of both sides are null, so that they match nothing.
+
+
+_WHOLE_OC = "(SELECT o_orderkey, CASE WHEN o_orderkey % 10 <> 0 THEN o_custkey END AS c_custkey FROM orders) o {kind} JOIN (SELECT CASE WHEN c_nationkey % 4 <> 0 THEN c_custkey END AS c_custkey, c_name FROM customer) c USING (c_custkey)"
+
+
+def _whole_join_query(how: str, kind: str, columns: str = "c_custkey, o_orderkey, c_name"):
+    def run(spark, d):
+        left = load(spark, d, "orders").select("o_orderkey", F.expr("CASE WHEN o_orderkey % 10 <> 0 THEN o_custkey END AS c_custkey"))
+        right = load(spark, d, "customer").select(F.expr("CASE WHEN c_nationkey % 4 <> 0 THEN c_custkey END AS c_custkey"), "c_name")
+        return frame.join(left, right, "c_custkey", how).select(*columns.split(", "))
+
+    run.__name__ = f"join_{kind.lower()}_whole"
+    query(f"SELECT {columns} FROM {_WHOLE_OC.format(kind=kind)}")(run)
+
+
+for _how, _kind in (("inner", "INNER"), ("left_outer", "LEFT"), ("right", "RIGHT"), ("outer", "FULL")):
+    _whole_join_query(_how, _kind)
+_whole_join_query("semi", "SEMI", "c_custkey, o_orderkey")
+
+
 @query("SELECT o_orderkey, o_custkey FROM orders o ANTI JOIN lineitem l ON o.o_orderkey = l.l_orderkey")
 def join_anti(spark, d):
     return frame.join(load(spark, d, "orders"), load(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"), "left_anti").select("o_orderkey", "o_custkey")
@@ -355,6 +376,12 @@ def union_all(spark, d):
     return o.filter("o_orderkey % 2 = 0").select("o_orderkey").union(o.select("o_custkey"))
 
 
+@query("SELECT o_orderkey FROM orders UNION ALL SELECT o_custkey FROM orders")
+def union_all_whole(spark, d):
+    o = load(spark, d, "orders")
+    return o.select("o_orderkey").union(o.select("o_custkey"))
+
+
 @query("SELECT o_orderkey, o_custkey, NULL::VARCHAR AS o_orderstatus FROM orders UNION ALL SELECT o_orderkey, NULL, o_orderstatus FROM orders")
 def union_by_name_missing(spark, d):
     o = load(spark, d, "orders")
