@@ -3,8 +3,8 @@
 A page is read into text nodes, each with its root-to-leaf tag path. Per path, text length and punctuation are set
 against the number of nodes: long, punctuated paths are prose, short ones are menus. The two ratios are smoothed
 along the page, fused by product, and paths above a threshold select the content nodes. The smallest element that
-holds nearly all of the selected text is the article; all of its blocks that are not boilerplate by their element,
-role or class are kept, so short paragraphs and headings stay with the prose around them.
+holds all of the selected text is the article; all of its blocks that are not boilerplate by their element, role or
+class are kept, so short paragraphs and headings stay with the prose around them, and so are headings before it.
 
 Cases. Null or empty html gives an empty text. Unclosed, stray and misnested tags are tolerated. Very long pages are
 read in one linear pass. Null ids and urls are passed on; other columns are not read.
@@ -46,6 +46,7 @@ BLOCKS = frozenset(
 )
 #: An opening tag of the first closes an open one of the second, as browsers do.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _SCOPE = frozenset("ul ol dl table div section article aside main nav footer header form body".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
@@ -56,12 +57,10 @@ _SPACES = re.compile(r"\s+")
 
 
 class Element:
-    __slots__ = ("boiler", "depth", "name", "parent", "text_inside")
+    __slots__ = ("boiler", "name", "parent")
 
     def __init__(self, name: str, parent: Element | None, boiler: bool):
         self.name, self.parent, self.boiler = name, parent, boiler
-        self.depth = parent.depth + 1 if parent else 0
-        self.text_inside = 0.0
 
 
 class Node:
@@ -180,7 +179,7 @@ def path_scores(nodes: list[Node], width: int = 1) -> dict[str, float]:
     return {p: total[p] / count[p] for p in total}
 
 
-def select_nodes(nodes: list[Node], spread: float = 0.3, whole: float = 0.9) -> list[Node]:
+def select_nodes(nodes: list[Node], spread: float = 0.3) -> list[Node]:
     """The content nodes: those of paths above the threshold, and what stands with them in the article."""
     live = [n for n in nodes if not n.element.boiler]
     real = [n for n in live if n.text.strip()]
@@ -191,19 +190,18 @@ def select_nodes(nodes: list[Node], spread: float = 0.3, whole: float = 0.9) ->
     mean = sum(values) / len(values)
     threshold = spread * (sum((v - mean) ** 2 for v in values) / len(values)) ** 0.5
     chosen = [n for n in real if scores[n.path] >= threshold and not n.linked] or real
-    total = 0
-    for n in chosen:
-        total += len(n.text)
-        e: Element | None = n.element
-        while e is not None:
-            e.text_inside += len(n.text)
-            e = e.parent
-    home = max((e for e in _ancestors(chosen) if e.text_inside >= whole * total), key=lambda e: e.depth)
+    shared = list(_up(chosen[0].element))
+    for n in chosen[1:]:
+        above = {id(e) for e in _up(n.element)}
+        shared = [e for e in shared if id(e) in above]
+    home = shared[0]
     while home.parent is not None and home.name not in ("#root", "html", "body") and home.name not in _SCOPE:
         home = home.parent
     while home.parent is not None and home.name not in ("article", "main") and any(a.name in ("article", "main") for a in _up(home)):
         home = home.parent
-    return [n for n in live if any(a is home for a in _up(n.element))]
+    inside = [any(a is home for a in _up(n.element)) for n in live]
+    start = inside.index(True)
+    return [n for i, n in enumerate(live) if inside[i] or (i < start and any(a.name in HEADINGS for a in _up(n.element)))]
 
 
 def _up(e: Element | None) -> Iterator[Element]:
@@ -212,16 +210,6 @@ def _up(e: Element | None) -> Iterator[Element]:
         e = e.parent
 
 
-def _ancestors(nodes: list[Node]) -> list[Element]:
-    seen: dict[int, Element] = {}
-    for n in nodes:
-        for e in _up(n.element):
-            if id(e) in seen:
-                break
-            seen[id(e)] = e
-    return list(seen.values())
-
-
 def extract(html: str | None) -> str:
     """The main text: blocks in page order joined by a line end, white space inside a block as one space."""
     if not html:

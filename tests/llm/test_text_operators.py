@@ -43,6 +43,15 @@ def test_no_markup_breaks_extraction(page):
     extract(page)
 
 
+def test_no_selected_prose_is_dropped():
+    long, short = "Some words, and more of them. " * 40, "A last part, shorter than the first. " * 3
+    parts = [" ".join(x.split()) for x in (long, short)]
+    assert extract(f"<body><div><p>{long}</p></div><div><p>{short}</p></div></body>") == "\n".join(parts)
+    assert extract(f"<body><article><p>{long}</p></article><article><p>{short}</p></article></body>") == "\n".join(parts)
+    page = f"<body><nav><h2>Menu</h2></nav><h1>The title</h1><div><p>{long}</p><p>{short}</p></div><footer>end</footer></body>"
+    assert extract(page) == "\n".join(["The title", *parts])
+
+
 def test_extraction_query(spark):
     df = spark.createDataFrame([(1, "u", ARTICLE, 7), (None, None, None, 7), (1, "u", ARTICLE, 7)], "page_id bigint, url string, html string, text int")
     out = extract_main_text(df).collect()
