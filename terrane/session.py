@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,6 +15,8 @@ TABLES = (
     "documents embeddings pages benchmark labels conversations"
 ).split()
 
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def build_session(app: str = "terrane", master: str | None = None, **conf: str) -> SparkSession:
     """A session with adaptive execution on; anything else is left to the cluster's defaults."""
@@ -58,12 +62,24 @@ def new_path(spark: SparkSession, name: str) -> str:
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """Write to the shared folder as Parquet and read back: lineage ends here and survives lost executors."""
     path = new_path(df.sparkSession, name)
-    df.coalesce(files_for(df)).write.parquet(path)
+    with shuffles_removed(df.sparkSession):
+        df.coalesce(files_for(df)).write.parquet(path)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
     back.terrane_path = path
     return back
 
 
+@contextlib.contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Writes made inside remove their shuffle files when they are done: what they wrote is read from then on."""
+    was = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, was)
+
+
 def files_for(df: DataFrame) -> int:
     """Files for a written intermediate: one for 4 MB that is read, up to two for each core; beyond that one for 512 MB."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
