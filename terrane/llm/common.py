@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,3 +40,47 @@ def keep_without(docs: DataFrame, dropped: DataFrame, keys: dict, rows: int, row
         right = F.broadcast(right)
     on = [F.col(f"__{k}").eqNullSafe(F.col(f"__r_{k}")) for k in keys]
     return named.join(right, on, "left_anti").drop(*[f"__{k}" for k in keys])
+
+
+# Hashes of words.
+
+_BLANK = np.zeros(256, bool)
+_BLANK[[0x20, *range(0x09, 0x0E)]] = True
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[0x41:0x5B] += 32
+#: A random number for each byte value (blanks weigh nothing), and an odd base with its inverse modulo 2^64.
+_WEIGHT = np.array([0 if _BLANK[b] else xxhash.xxh3_64_intdigest(bytes([b]), seed=5) for b in LOWER], np.uint64)
+BASE = 0x9E3779B97F4A7C15
+_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The base's powers and their inverses, at least n of each."""
+    if len(_powers[0]) < n:
+        size = max(n, 1 << 19)
+        for k, b in enumerate((BASE, pow(BASE, -1, 1 << 64))):
+            steps = np.full(size, b, np.uint64)
+            steps[0] = 1
+            _powers[k] = np.multiply.accumulate(steps)
+    return _powers[0], _powers[1]
+
+
+def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each word of the bytes starts and ends, and its hash: differences of one running sum, moved to the origin."""
+    blank = _BLANK[data]
+    edge = np.flatnonzero(blank[1:] != blank[:-1]) + 1
+    edge = np.concatenate(([0], edge)) if len(data) and not blank[0] else edge
+    edge = np.append(edge, len(data)) if len(edge) % 2 else edge
+    start, end = edge[::2], edge[1::2]
+    power, inverse = _powers_to(len(data))
+    total = np.cumsum(_WEIGHT[data] * power[: len(data)])
+    before = np.where(start > 0, total[start - 1], np.uint64(0)) if len(start) else np.zeros(0, np.uint64)
+    return start, end, mix((total[end - 1] - before) * inverse[start] + (end - start).astype(np.uint64))
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """A bijection that spreads 64-bit values."""
+    x = x.astype(np.uint64)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrane.llm.common import BROADCAST_BYTES, keep_without, small_batches
+from terrane.llm.common import BASE, BROADCAST_BYTES, keep_without, mix, small_batches, word_hashes
 from terrane.operators.graph import connected_components
 from terrane.operators.skew import attach
 from terrane.session import cut, drop_path
@@ -44,38 +44,6 @@ TASK_POSTINGS, TASK_TOKENS, TASK_MEMBERS = 400_000, 4_000_000, 2_000
 MU = 0.0085
 #: Text bytes that are hashed at a time.
 CHUNK_BYTES = 1 << 18
-_BLANK = np.zeros(256, bool)
-_BLANK[[0x20, *range(0x09, 0x0E)]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[0x41:0x5B] += 32
-#: A random number for each byte value (blanks weigh nothing), and an odd base with its inverse modulo 2^64.
-_WEIGHT = np.array([0 if _BLANK[b] else xxhash.xxh3_64_intdigest(bytes([b]), seed=WIDTH) for b in _LOWER], np.uint64)
-_BASE = 0x9E3779B97F4A7C15
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The base's powers and their inverses, at least n of each."""
-    if len(_powers[0]) < n:
-        size = max(n, CHUNK_BYTES * 2)
-        for k, b in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            steps = np.full(size, b, np.uint64)
-            steps[0] = 1
-            _powers[k] = np.multiply.accumulate(steps)
-    return _powers[0], _powers[1]
-
-
-def _word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where each word of the bytes starts, and its hash: differences of one running sum, moved to the origin."""
-    blank = _BLANK[data]
-    edge = np.flatnonzero(blank[1:] != blank[:-1]) + 1
-    edge = np.concatenate(([0], edge)) if len(data) and not blank[0] else edge
-    edge = np.append(edge, len(data)) if len(edge) % 2 else edge
-    start, end = edge[::2], edge[1::2]
-    power, inverse = _powers_to(len(data))
-    total = np.cumsum(_WEIGHT[data] * power[: len(data)])
-    before = np.where(start > 0, total[start - 1], np.uint64(0)) if len(start) else np.zeros(0, np.uint64)
-    return start, mix((total[end - 1] - before) * inverse[start] + (end - start).astype(np.uint64))
 
 
 def _sequence(h: np.ndarray, width: int) -> np.ndarray:
@@ -83,7 +51,7 @@ def _sequence(h: np.ndarray, width: int) -> np.ndarray:
     n = len(h) - width + 1
     out = h[:n].copy()
     for k in range(1, width):
-        out *= np.uint64(_BASE)
+        out *= np.uint64(BASE)
         out ^= out >> np.uint64(29)
         out += h[k : k + n]
     return mix(out + np.uint64(width))
@@ -98,7 +66,7 @@ def shingle_sets(texts: list[str | None], width: int = WIDTH) -> Iterator[np.nda
         size += len(group[-1])
         if size >= CHUNK_BYTES or i + 1 == len(texts):
             data = np.frombuffer(b"\n".join(group) + b"\n", np.uint8)
-            start, words = _word_hashes(data)
+            start, _, words = word_hashes(data)
             bound = np.searchsorted(start, np.cumsum([0, *(len(g) + 1 for g in group)]))
             runs = _sequence(words, width) if len(words) >= width else np.zeros(0, np.uint64)
             for a, b in zip(bound[:-1].tolist(), bound[1:].tolist(), strict=True):
@@ -114,14 +82,6 @@ def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
     return next(shingle_sets([text], width))
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """A bijection that spreads 64-bit values."""
-    x = x.astype(np.uint64)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def node_of(tokens: np.ndarray) -> int:
     return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(tokens.tobytes()))))
 

@@ -1,501 +1,955 @@
-"""Hierarchical Pitman-Yor language model of words, their contexts and their spelling, and text scores.
+"""Hierarchical Pitman-Yor language model of words, the word before them and their spelling, and text scores.
 
 Every word is a restaurant that serves the words after it; the end token's serves the first words. Each table there
-orders a word from the word restaurant that they all share; each of its tables orders a word from the kitchen that
-spells words byte by byte. There, every context of up to three bytes is a restaurant whose parent is the context
-without its oldest byte, down to a uniform choice; contexts with a common ending share that parent. Seating is sampled
-by Gibbs sweeps: the tables of a pair (of a word, of a byte in a context) are seated anew, customer by customer, given
-the rest; large groups advance in steps in which the odds change by a few hundredths. Word probabilities and the
-seating of pairs are averaged over samples.
-
-Counts cover all training texts and stay distributed, as does the seating of pairs and words; a sweep sends the driver
-only its distinct byte n-grams, summed: the driver and every worker hold them all. Pairs are keyed by 64-bit hashes of their words. A pair that was seen once has one table
-in every state, so only the others are seated. To score texts, their pairs meet the pair table in a shuffle join, and
-pairs that no training text has back off to the word without its context; frequent words and contexts are broadcast.
+orders a word from the word restaurant that all contexts share as their parent; each of its tables orders a word from
+the kitchen that spells words byte by byte. There, contexts of up to three bytes are restaurants whose parent lacks
+the oldest byte, down to a uniform choice. Seating is sampled by Gibbs sweeps: a sweep draws each dish's number of
+tables from its conditional given all other tables, with the sizes of the tables summed out (generalised Stirling
+numbers: from their table up to LADDER customers of one dish, by a saddle point beyond). Chance comes from hashes of the words, so results do not depend on the partitioning. Probabilities of
+words and the tables of pairs are averaged over samples after burn-in.
+
+All counts stay distributed, as packed arrays: pairs in buckets by their first word (frequent first words by the pair),
+words in buckets by their hash. In a sweep, buckets of pairs send words their tables and receive probabilities. To
+score, texts are hashed in chunks; a chunk asks each bucket for its distinct pairs and sums the answers by text, so
+nothing that is sent grows with repetition, and no key gathers more than one request of each chunk. Pairs that no
+training text has back off to the word without its context. Documents are scored in ROUNDS parts to bound the disk.
+
+Bounds. The driver and each worker hold the kitchen (at most 32 * 32 * 32 * 256 cells, as bytes of context count by class) and words with
+more than 1/HOT_SHARE of all tokens (at most HOT_SHARE of them). Words and pairs are told apart by 64-bit hashes:
+among n distinct ones about n^2 / 2^65 are confused.
 
 Cases. A null text counts as empty: it has the end token only. A null id counts as an empty text for the split. Rows
-with repeated ids are scored one by one. A word that was never seen gets the back-off weights times the probability of
-its spelling, while the base score has one class for all of them; so the scores of known words are also given by
-themselves. Empty tables give empty results.
+with repeated ids, or equal texts, are scored one by one and equal texts alike. A word that was never seen gets the
+back-off weights times the probability of its spelling, while the base score has one class for all of them; so the
+scores of known words are also given by themselves. Long texts are read whole; a chunk holds at least one text. Empty
+tables give empty results. Only the named columns are read, so other columns may have any name.
 """
 
 from __future__ import annotations
 
-import hashlib
+import functools
 import math
+import struct
 import zlib
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrane.llm.common import small_batches
-from terrane.operators.skew import attach
+from terrane.llm.common import LOWER, mix, small_batches, word_hashes
 from terrane.session import cut, drop_path
 
 #: Every seventh hash class is held out.
 FOLDS, HELD = 7, 2
-#: Words that are broadcast.
-HEAD_WORDS = 300_000
-#: Longest context in bytes, sweeps before the first sample, samples, strength, steps of seating.
-CONTEXT, BURN, SAMPLES, STRENGTH, STEP = 3, 1, 2, 1.0, 0.05
-#: The byte that ends a word and stands before it; no word has it.
-END = 0x20
+#: Tokens of a bucket and of a chunk, and bytes that are hashed at a time.
+TASK_TOKENS, CHUNK_TOKENS, GROUP_BYTES = 1 << 20, 1 << 20, 1 << 20
+#: Words that hold more than 1/HOT_SHARE of all tokens may be dealt out by pair.
+HOT_SHARE = 100_000
+#: Sweeps before the first sample, samples, strength, customers of one dish for which there are tabled weights.
+BURN, SAMPLES, STRENGTH, LADDER = 1, 3, 1.0, 1024
+#: Parts in which texts are scored.
+ROUNDS = 3
+#: The end token's hash, and the byte that ends a word and stands before it; no word has either.
+END_ID, END = np.uint64(0), 0x20
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+#: Bytes of context in the kitchen. Their classes, which are letters, the end, digits, other ASCII, and parts of UTF-8.
+CONTEXT = 3
+CLASS = np.array([b - 0x61 if 0x61 <= b <= 0x7A else 26 if b == END else 27 if 0x30 <= b <= 0x39 else 28 if b < 0x80 else 29 if b < 0xC0 else 30 if b < 0xE0 else 31 for b in range(256)])
 
 
-def words_of(text: str | None) -> list[bytes]:
-    """Lower-cased words of the whole text; the empty word is the end token."""
-    return [*(text or "").encode("utf-8", "surrogatepass").lower().split(), b""]
+def held_out(doc_id) -> bool:
+    return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % FOLDS == HELD
 
 
-def word_id(word: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little", signed=True)
+# Packed arrays.
 
 
-class Ids(dict):
-    """Word -> 64-bit hash, computed once per word."""
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays of one dimension as bytes."""
+    heads = [struct.pack("<2sq", a.dtype.str[1:].encode(), a.nbytes) for a in arrays]
+    return b"".join([struct.pack("<B", len(arrays)), *heads, *(a.tobytes() for a in arrays)])
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        self[word] = found = word_id(word)
-        return found
 
+def unpack(blob: bytes) -> list[np.ndarray]:
+    count, out = blob[0], []
+    at = 1 + 10 * count
+    for i in range(count):
+        kind, size = struct.unpack_from("<2sq", blob, 1 + 10 * i)
+        kind = np.dtype(kind.decode())
+        out.append(np.frombuffer(blob, kind, size // kind.itemsize, at))
+        at += size
+    return out
 
-def pairs_of(words: list[bytes], ids: Ids) -> Counter:
-    """(Preceding word, word) -> times, as hashes; the end token stands before the first word."""
-    w = [ids[x] for x in words]
-    return Counter(zip([ids[b""], *w[:-1]], w, strict=True))
 
+def slim(a: np.ndarray) -> np.ndarray:
+    """Whole numbers in the narrowest type that holds them."""
+    top = int(a.max(initial=0))
+    return a.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32 if top < 1 << 32 else np.uint64)
 
-def held_out(doc_id) -> bool:
-    return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % FOLDS == HELD
 
+def spans(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The bytes of data[start : start + size], one after another."""
+    size = size.astype(np.int64)
+    before = np.cumsum(size) - size
+    return data[np.arange(int(size.sum())) + np.repeat(start - before, size)]
 
-def seat(count: np.ndarray, pull: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
-    """Tables of each dish after seating ``count`` customers; pull is the weight of a new table."""
-    tables = np.minimum(count, 1).astype(np.float64)
-    seated = tables.copy()
-    live = np.flatnonzero(count > 1)
-    while len(live):
-        c, k, t, a = count[live], seated[live], tables[live], pull[live]
-        weight = a + np.maximum(k - discount * t, 0.0)
-        step = np.clip(np.floor(STEP * weight), 1, c - k)
-        tables[live] = t + rng.binomial(step.astype(np.int64), np.clip(a / weight, 0.0, 1.0))
-        seated[live] = k + step
-        live = live[seated[live] < c]
-    return tables
 
+def starts_of(sizes: np.ndarray) -> np.ndarray:
+    sizes = sizes.astype(np.int64)
+    return np.cumsum(sizes) - sizes
 
-def discount_of(count: np.ndarray) -> float:
-    one, two = float(np.count_nonzero(count == 1)), float(np.count_nonzero(count == 2))
-    return min(0.95, max(0.05, one / (one + 2 * two))) if one else 0.5
 
+def runs_of(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each run of equal numbers starts, and how long it is."""
+    first = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1]))) if len(x) else np.zeros(0, np.int64)
+    return first, np.diff(np.append(first, len(x)))
+
+
+def found_in(keys: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions in sorted ``keys``, and whether they hit."""
+    if not len(keys):
+        return np.zeros(len(asked), np.int64), np.zeros(len(asked), bool)
+    at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+    return at, keys[at] == asked
+
+
+ROW_DDL = "kind string, bucket bigint, src bigint, blob binary, n double"
+_ROW = pa.schema([("kind", pa.string()), ("bucket", pa.int64()), ("src", pa.int64()), ("blob", pa.binary()), ("n", pa.float64())])
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [[]] * 5
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ROW, strict=True)], schema=_ROW)
+
+
+def _table(rows: list[tuple]) -> pa.Table:
+    return pa.Table.from_batches([_batch(rows)])
+
+
+def _parts(table: pa.Table) -> dict[str, list[tuple[int, list[np.ndarray]]]]:
+    """kind -> [(src, arrays)], by src."""
+    out: dict[str, list] = {}
+    for kind, src, blob in zip(*(table.column(c).to_pylist() for c in ("kind", "src", "blob")), strict=True):
+        out.setdefault(kind, []).append((src or 0, unpack(blob)))
+    for v in out.values():
+        v.sort(key=lambda r: r[0])
+    return out
+
+
+def _joined(parts: list, i: int, kind=None) -> np.ndarray:
+    """The i-th arrays of all parts, one after another."""
+    found = [p[1][i] for p in parts]
+    out = np.concatenate(found) if found else np.zeros(0, kind or np.float64)
+    return out.astype(kind) if kind else out
+
+
+def _slices(bucket: np.ndarray) -> Iterator[tuple[int, slice]]:
+    """Runs of a sorted bucket column."""
+    first, size = runs_of(bucket)
+    for b, a, n in zip(bucket[first].tolist(), first.tolist(), size.tolist(), strict=True):
+        yield b, slice(a, a + n)
+
+
+# Words and pairs of texts.
+
+
+@dataclass
+class Group:
+    """Some texts: hash of each word, with the end token after each text; where words lie in data; tokens per text."""
+
+    w: np.ndarray
+    start: np.ndarray
+    size: np.ndarray
+    data: np.ndarray
+    tokens: np.ndarray
+
+    @property
+    def x(self) -> np.ndarray:
+        """The token before each."""
+        return np.concatenate(([END_ID], self.w[:-1]))
+
+
+def groups(texts: list[str | None]) -> Iterator[Group]:
+    """The lower-cased words of whole texts, about GROUP_BYTES at a time."""
+    held: list[bytes] = []
+    total = 0
+    for i, text in enumerate(texts):
+        held.append((text or "").encode("utf-8", "surrogatepass"))
+        total += len(held[-1])
+        if total >= GROUP_BYTES or i + 1 == len(texts):
+            data = LOWER[np.frombuffer(b"\n".join(held) + b"\n", np.uint8)]
+            start, end, h = word_hashes(data)
+            bound = np.searchsorted(start, np.cumsum([0, *(len(t) + 1 for t in held)]))
+            last = bound[1:]
+            yield Group(np.insert(h, last, END_ID), np.insert(start, last, 0), np.insert(end - start, last, 0), data, np.diff(bound) + 1)
+            held, total = [], 0
+
+
+def words_of(text: str | None) -> list[bytes]:
+    """Lower-cased words of the whole text; the empty word is the end token."""
+    return [*(text or "").encode("utf-8", "surrogatepass").lower().split(), b""]
 
-# Spelling.
 
+def word_id(word: bytes) -> np.uint64:
+    return word_hashes(np.frombuffer(word.lower() + b"\n", np.uint8))[2][0] if word else END_ID
 
-def word_keys(words: list[bytes], context: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each byte of each word and its end: the context and the byte as one number; and where words start."""
-    pad = bytes([END]) * context
-    flat = np.frombuffer(b"".join(pad + w + b" " for w in words), np.uint8).astype(np.uint64)
-    sizes = np.fromiter(map(len, words), np.int64, len(words))
-    keys = np.zeros(len(flat), np.uint64)
-    for back in range(context, -1, -1):
-        keys[back:] |= flat[: len(flat) - back] << np.uint64(8 * back) if back else flat
-    full = sizes + context + 1
-    starts = np.cumsum(full) - full
-    inside = np.arange(len(flat)) - np.repeat(starts, full) >= context
-    return keys[inside], np.cumsum(sizes + 1) - (sizes + 1)
+
+def pair_key(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return mix(mix(x) * _ODD + w)
 
 
 @dataclass
-class Level:
-    """Restaurants of one context length: dishes by key, and per context the weight that goes to the parent."""
+class Deal:
+    """Which bucket holds what: pairs in 0 .. pairs - 1, words in pairs .. pairs + words - 1. hot: sorted hashes."""
+
+    pairs: int
+    words: int
+    hot: np.ndarray
+
+    def of_pairs(self, x: np.ndarray, k: np.ndarray) -> np.ndarray:
+        h = mix(x + _ODD)
+        if len(self.hot):
+            h = np.where(found_in(self.hot, x)[1], mix(k + _ODD), h)
+        return (h % np.uint64(self.pairs)).astype(np.int64)
+
+    def of_words(self, w: np.ndarray) -> np.ndarray:
+        return (mix(w + _ODD) % np.uint64(self.words)).astype(np.int64) + self.pairs
+
+    def word_order(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct words by bucket and hash, and their buckets."""
+        u = np.unique(w)
+        bucket = self.of_words(u)
+        order = np.lexsort((u, bucket))
+        return u[order], bucket[order]
+
+
+# Tables of a dish.
+
+
+@functools.lru_cache(maxsize=8)
+def stirling(discount: float) -> np.ndarray:
+    """log of the generalised Stirling numbers: weight of all ways to seat c customers at t tables of one dish."""
+    out = np.full((LADDER + 1, LADDER + 1), -np.inf)
+    out[0, 0] = 0.0
+    t = np.arange(LADDER + 1)
+    with np.errstate(divide="ignore"):
+        for c in range(LADDER):
+            stay = out[c] + np.log(np.maximum(c - discount * t, 0.0))
+            out[c + 1, 1:] = np.logaddexp(out[c, :-1], stay[1:])
+    return out
+
+
+def chance(keys: np.ndarray, turn: int) -> np.ndarray:
+    """A number in (0, 1) for each key and turn."""
+    salt = mix(np.array([turn + 1], np.uint64))[0]
+    return ((mix(keys.astype(np.uint64) ^ salt) >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53)
+
+
+def draw_tables(c: np.ndarray, parent: np.ndarray, others: np.ndarray, discount: float, u: np.ndarray) -> np.ndarray:
+    """Number of tables of dishes with c customers, given their parent's probability and the restaurant's other tables."""
+    c = c.astype(np.int64)
+    out = np.minimum(c, 1)
+    first = np.minimum(c, LADDER)
+    ladder = stirling(discount)
+    width = 2
+    while width // 2 < LADDER:
+        rows = np.flatnonzero((first > width // 2) & (first <= width))
+        t = np.arange(1, width + 1)
+        for at in range(0, len(rows), max(1, 1_000_000 // width)):
+            r = rows[at : at + max(1, 1_000_000 // width)]
+            weight = ladder[first[r], 1 : width + 1] + t * np.log(parent[r])[:, None] + np.cumsum(np.log(STRENGTH + discount * (others[r][:, None] + t - 1)), axis=1)
+            p = np.cumsum(np.exp(weight - weight.max(axis=1)[:, None]), axis=1)
+            out[r] = np.minimum((p < (u[r] * p[:, -1])[:, None]).sum(axis=1) + 1, first[r])
+        width *= 2
+    large = np.flatnonzero(c > LADDER)
+    if len(large):
+        out[large] = _draw_many(c[large].astype(np.float64), parent[large], others[large], discount, u[large])
+    return out
+
+
+def _share(t: np.ndarray, c: np.ndarray, d: float) -> np.ndarray:
+    """1 - s^d at the saddle point s of the numbers' generating function, by halving log s."""
+    low = np.minimum(np.log(t * d / c), 0.0) / (1 - d) - 1
+    high = np.zeros(np.broadcast(t, c).shape)
+    low = low + high
+    for _ in range(40):
+        y = (low + high) / 2
+        up = np.log(t * d / c) + np.log(-np.expm1(y)) + (d - 1) * y - np.log(-np.expm1(d * y)) > 0
+        low, high = np.where(up, y, low), np.where(up, high, y)
+    return -np.expm1(d * (low + high) / 2)
+
+
+def _draw_many(c: np.ndarray, parent: np.ndarray, others: np.ndarray, d: float, u: np.ndarray, grid: int = 64) -> np.ndarray:
+    """The same draw for dishes with many customers, from the slope of the log weight by a saddle point, on a grid around its top."""
+    c, parent, others, u = c[:, None], np.minimum(parent, 1 - 1e-9)[:, None], others[:, None] + STRENGTH / d, u[:, None]
+    slope = lambda t: np.log((others + t - 0.5) * parent * _share(t, c, d) / (t - 0.5))
+    low, high = np.ones_like(c), c - 1
+    for _ in range(40):
+        t = np.sqrt(low * high)
+        up = slope(t) > 0
+        low, high = np.where(up, t, low), np.where(up, high, t)
+    top = np.sqrt(low * high)
+    width = 1 / np.sqrt(np.maximum((slope(top) - slope(top * 1.01)) / (0.01 * top), 1e-300))
+    width = np.minimum(width, 4 * top + 10)
+    first = np.maximum(1.0, np.floor(top - 6 * width))
+    step = np.maximum(1.0, np.ceil((top + 8 * width - first) / grid))
+    t = np.minimum(first + step * np.arange(grid), c - 1)
+    log = np.cumsum(np.concatenate([np.zeros_like(c), step * slope((t[:, :-1] + t[:, 1:]) / 2)], axis=1), axis=1)
+    p = np.cumsum(np.exp(log - log.max(axis=1)[:, None]), axis=1)
+    cell = np.minimum((p < u * p[:, -1:]).sum(axis=1), grid - 1)
+    at = np.arange(len(c))
+    within = (u[:, 0] * p[:, -1] - np.where(cell > 0, p[at, np.maximum(cell, 1) - 1], 0)) / np.maximum(np.diff(p, axis=1, prepend=0)[at, cell], 1e-300)
+    return np.clip(np.round(t[at, cell] + (within - 0.5) * (step[:, 0] - 1)), 1, c[:, 0]).astype(np.int64)
+
+
+def discount_from(one: float, two: float) -> float:
+    return min(0.95, max(0.05, one / (one + 2 * two))) if one else 0.5
+
+
+# Spelling.
+
 
-    keys: np.ndarray
-    probability: np.ndarray
-    contexts: np.ndarray
-    back: np.ndarray
+def spelling(data: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each byte of each word and its end: the classes of the bytes before and the byte as one number; and where words start."""
+    size = size.astype(np.int64)
+    flat = np.full(int(size.sum()) + (CONTEXT + 1) * len(size), END, np.int64)
+    start = starts_of(size + CONTEXT + 1)
+    flat[np.arange(int(size.sum())) + np.repeat(start + CONTEXT - starts_of(size), size)] = data
+    here = np.ones(len(flat), bool)
+    for i in range(CONTEXT):
+        here[start + i] = False
+    at = np.flatnonzero(here)
+    key, kind = flat[at], CLASS[flat]
+    for back in range(1, CONTEXT + 1):
+        key |= kind[at - back] << (3 + 5 * back)
+    return key, starts_of(size + 1)
+
+
+def _lower(keys: np.ndarray, level: int) -> np.ndarray:
+    """The same bytes after contexts without their oldest byte."""
+    return keys & (1 << 3 + 5 * level) - 1
 
 
 class Speller:
-    """Byte restaurants with contexts of 0 .. ``context`` bytes."""
+    """Probability of each byte after contexts of 0 .. CONTEXT bytes by class; levels: sorted keys, probabilities, and per context the share of its parent."""
 
-    def __init__(self, context: int):
-        self.context = context
-        self.levels: list[Level] = []
+    def __init__(self):
+        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.seats: list[tuple[np.ndarray, np.ndarray]] = []
 
     @classmethod
-    def sample(cls, keys: np.ndarray, counts: np.ndarray, context: int, before: Speller | None, rng: np.random.Generator, sweeps: int = 2) -> Speller:
-        """Seat all customers of the longest contexts, then their tables' orders in the parents, and so on down."""
-        model = before
-        for _ in range(sweeps):
-            seats, k, c = [], keys, counts.astype(np.float64)
-            for level in range(context, -1, -1):
-                discount = discount_of(c)
-                ctx, of = np.unique(k >> np.uint64(8), return_inverse=True)
-                below = model.probability(k & np.uint64((1 << 8 * level) - 1), level - 1) if model else np.full(len(k), 1 / 64)
-                tables = np.minimum(c, np.maximum(1.0, c**discount))
-                total = np.bincount(of, tables, len(ctx))
-                tables = seat(c, (STRENGTH + discount * total[of]) * below, discount, rng)
-                seats.append((k, c, tables, discount, ctx, of))
-                if level:
-                    parents, where = np.unique(k & np.uint64((1 << 8 * level) - 1), return_inverse=True)
-                    k, c = parents, np.bincount(where, tables, len(parents))
-            model = cls(context)
-            for level, (k, c, tables, discount, ctx, of) in enumerate(reversed(seats)):
-                customers, total = np.bincount(of, c, len(ctx)), np.bincount(of, tables, len(ctx))
-                back = (STRENGTH + discount * total) / (STRENGTH + customers)
-                below = model.probability(k & np.uint64((1 << 8 * level) - 1), level - 1)
-                own = (c - discount * tables) / (STRENGTH + customers)[of]
-                model.levels.append(Level(k, own + back[of] * below, ctx, back))
+    def sample(cls, keys: np.ndarray, customers: np.ndarray, before: Speller | None, turn: int) -> Speller:
+        """Seat the customers of the longest contexts, then their tables' orders in the parents, and so on down. keys: sorted."""
+        seated = []
+        for level in range(CONTEXT, -1, -1):
+            discount = discount_from(float((customers == 1).sum()), float((customers == 2).sum()))
+            parent = before.probability(_lower(keys, level), level - 1) if before else np.full(len(keys), 1 / 64)
+            if before is None:
+                tables = np.minimum(customers, np.maximum(1, np.floor(customers**discount)))
+            else:
+                at, hit = found_in(before.seats[level][0], keys)
+                tables = np.where(hit, np.clip(before.seats[level][1][at], 1, customers), 1)
+            total = np.bincount(keys >> 8, tables, 1 << 5 * level)
+            tables = draw_tables(customers, parent, total[keys >> 8] - tables, discount, chance(keys.astype(np.uint64) + np.uint64(level << 40), turn))
+            seated.append((keys, customers, tables, discount))
+            if level:
+                keys, at = np.unique(_lower(keys, level), return_inverse=True)
+                customers = np.bincount(at, tables, len(keys)).astype(np.int64)
+        model = cls()
+        for level, (keys, customers, tables, discount) in enumerate(reversed(seated)):
+            context = keys >> 8
+            everyone, total = np.bincount(context, customers, 1 << 5 * level), np.bincount(context, tables, 1 << 5 * level)
+            back = (STRENGTH + discount * total) / (STRENGTH + everyone)
+            p = (customers - discount * tables) / (STRENGTH + everyone[context]) + back[context] * model.probability(_lower(keys, level), level - 1)
+            model.levels.append((keys, p, back))
+            model.seats.append((keys, tables))
         return model
 
-    def probability(self, keys: np.ndarray, level: int | None = None) -> np.ndarray:
-        """Of each byte given its context; unseen ones from shorter contexts."""
-        level = self.context if level is None else level
+    def probability(self, keys: np.ndarray, level: int = -2) -> np.ndarray:
+        """Of each byte in its context; unseen ones from shorter contexts."""
+        level = CONTEXT if level == -2 else level
         if level < 0:
             return np.full(len(keys), 1 / 256)
-        here = self.levels[level]
-        at = np.minimum(np.searchsorted(here.keys, keys), len(here.keys) - 1)
-        out = here.probability[at]
-        miss = np.flatnonzero(here.keys[at] != keys)
+        known, p, back = self.levels[level]
+        at, hit = found_in(known, keys)
+        out = p[at]
+        miss = np.flatnonzero(~hit)
         if len(miss):
-            lost = keys[miss]
-            lower = self.probability(lost & np.uint64((1 << 8 * level) - 1), level - 1)
-            ctx = lost >> np.uint64(8)
-            at = np.minimum(np.searchsorted(here.contexts, ctx), len(here.contexts) - 1)
-            out[miss] = lower * np.where(here.contexts[at] == ctx, here.back[at], 1.0)
+            out[miss] = back[keys[miss] >> 8] * self.probability(_lower(keys[miss], level), level - 1)
         return out
 
-    def words(self, words: list[bytes]) -> np.ndarray:
-        """Probability of spelling each word."""
-        return np.exp(self.log_words(words))
 
-    def log_words(self, words: list[bytes]) -> np.ndarray:
-        if not words:
-            return np.zeros(0)
-        keys, starts = word_keys(words, self.context)
-        return np.add.reduceat(np.log(self.probability(keys)), starts)
+def log_words(speller: Speller, data: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """log10 probability of spelling each word."""
+    if not len(size):
+        return np.zeros(0)
+    keys, start = spelling(data, size)
+    return np.add.reduceat(np.log10(speller.probability(keys)), start)
 
 
-@dataclass
-class Sample:
-    """One state of the chain: the kitchen, the number of tables in the word restaurant and its share for the kitchen."""
+# Counting.
+
+
+def _trained(batch: pa.RecordBatch) -> list[str | None]:
+    return [t for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if not held_out(d)]
+
 
-    speller: Speller
-    tables: float
-    back: float = 1.0
+def _merged_words(w, c, size, data) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    u, first, at = np.unique(w, return_index=True, return_inverse=True)
+    return u, np.bincount(at, c, len(u)).astype(np.int64), size[first], spans(data, starts_of(size)[first], size[first])
+
+
+def _count_words(deal: Deal):
+    def flush(parts: list) -> pa.RecordBatch:
+        w, c, size, data = _merged_words(*(np.concatenate([p[i] for p in parts]) for i in range(4)))
+        bucket = deal.of_words(w)
+        order = np.argsort(bucket, kind="stable")
+        start, size, rows = starts_of(size)[order], size[order], []
+        for b, s in _slices(bucket[order]):
+            rows.append(("v", b, None, pack(w[order][s], slim(c[order][s]), slim(size[s]), spans(data, start[s], size[s])), None))
+        return _batch(rows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held = [], 0
+        for batch in batches:
+            for g in groups(_trained(batch)):
+                u, first, c = np.unique(g.w, return_index=True, return_counts=True)
+                parts.append((u, c, g.size[first], spans(g.data, g.start[first], g.size[first])))
+                held += len(u)
+                if held > TASK_TOKENS:
+                    yield flush(parts)
+                    parts, held = [], 0
+        if parts:
+            yield flush(parts)
+
+    return run
+
+
+def _merge_words(key: tuple, table: pa.Table) -> pa.Table:
+    parts = _parts(table)["v"]
+    w, c, size, data = _merged_words(*(_joined(parts, i, np.uint8 if i == 3 else np.int64 if i else np.uint64) for i in range(4)))
+    return _table([("v", key[0].as_py(), None, pack(w, slim(c), slim(size), data), None), ("tokens", None, None, None, float(c.sum())), ("distinct", None, None, None, float(len(w)))])
+
+
+def _hot_words(limit: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for blob in batch.column("blob").to_pylist():
+                w, c, *_ = unpack(blob)
+                at = np.flatnonzero(c >= limit)
+                rows += [("hot", i, None, None, float(n)) for i, n in zip(w[at].view(np.int64).tolist(), c[at].tolist(), strict=True)]
+            yield _batch(rows)
+
+    return run
+
+
+def _csr(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    first, size = runs_of(x)
+    return x[first], slim(size)
+
+
+def _count_pairs(deal: Deal):
+    def flush(parts: list) -> pa.RecordBatch:
+        k, x, w, c = (np.concatenate([p[i] for p in parts]) for i in range(4))
+        k, first, at = np.unique(k, return_index=True, return_inverse=True)
+        x, w, c = x[first], w[first], np.bincount(at, c, len(k)).astype(np.int64)
+        bucket = deal.of_pairs(x, k)
+        order = np.lexsort((x, bucket))
+        x, w, c = x[order], w[order], c[order]
+        return _batch([("p", b, None, pack(*_csr(x[s]), w[s], slim(c[s])), None) for b, s in _slices(bucket[order])])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held = [], 0
+        for batch in batches:
+            for g in groups(_trained(batch)):
+                x = g.x
+                k, first, c = np.unique(pair_key(x, g.w), return_index=True, return_counts=True)
+                parts.append((k, x[first], g.w[first], c))
+                held += len(k)
+                if held > TASK_TOKENS:
+                    yield flush(parts)
+                    parts, held = [], 0
+        if parts:
+            yield flush(parts)
+
+    return run
+
+
+def _pairs_in(parts: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """x, w, c of a bucket."""
+    p = parts.get("p", [])
+    x = [np.repeat(a[0], a[1].astype(np.int64)) for _, a in p]
+    return np.concatenate(x) if x else np.zeros(0, np.uint64), _joined(p, 2, np.uint64), _joined(p, 3, np.int64)
+
+
+def _merge_pairs(deal: Deal):
+    """The bucket's pairs by context; pairs that were seen more than once with one table each; what it tells words."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        me = key[0].as_py()
+        x, w, c = _pairs_in(_parts(table))
+        k, first, at = np.unique(pair_key(x, w), return_index=True, return_inverse=True)
+        x, w, c = x[first], w[first], np.bincount(at, c, len(k)).astype(np.int64)
+        order = np.lexsort((k, x))
+        x, w, c = x[order], w[order], c[order]
+        rows = [("p", me, None, pack(*_csr(x), w, slim(c)), None), ("one", None, None, None, float((c == 1).sum())), ("two", None, None, None, float((c == 2).sum()))]
+        many = c > 1
+        mx = np.unique(np.concatenate([x[many], x[found_in(deal.hot, x)[1]]]))  # frequent contexts in any case
+        xi = np.searchsorted(mx, x[many])
+        mw, bucket = deal.word_order(w[many])
+        sorter = np.argsort(mw)
+        wi = sorter[np.searchsorted(mw[sorter], w[many])] if len(mw) else np.zeros(0, np.int64)
+        at, hit = found_in(mx, x[~many])
+        ones = np.bincount(at[hit], minlength=len(mx))
+        n = int(many.sum())
+        rows.append(("m", me, None, pack(mx, slim(ones), mw, slim(xi), slim(wi), slim(c[many]), np.ones(n, np.uint8), np.zeros(n, np.uint8)), None))
+        rows += [("e", b, me, pack(mw[s], np.zeros(s.stop - s.start, np.uint8)), None) for b, s in _slices(bucket)]
+        uw, bucket = deal.word_order(w)
+        sorter = np.argsort(uw)
+        kinds = np.bincount(sorter[np.searchsorted(uw[sorter], w)], minlength=len(uw))
+        rows += [("k", b, me, pack(uw[s], slim(kinds[s])), None) for b, s in _slices(bucket)]
+        return _table(rows + _hot_tables(deal, x, np.ones(len(x), np.int64)))
+
+    return run
+
+
+def _hot_tables(deal: Deal, x: np.ndarray, t: np.ndarray) -> list[tuple]:
+    """Tables that frequent contexts have in this bucket."""
+    at, hit = found_in(deal.hot, x)
+    total = np.bincount(at[hit], t[hit], len(deal.hot)) if len(deal.hot) else np.zeros(0)
+    return [("hx", i, None, None, float(total[i])) for i in np.flatnonzero(total).tolist()]
+
+
+def _grams(size: np.ndarray, data: np.ndarray, t: np.ndarray) -> list[tuple]:
+    """How often each byte follows its context in the orders of the word restaurant."""
+    keys, start = spelling(data, size)
+    found, at = np.unique(keys, return_inverse=True)
+    total = np.bincount(at, np.repeat(t, size.astype(np.int64) + 1), len(found))
+    return [("g", i, None, None, n) for i, n in zip(found.tolist(), total.tolist(), strict=True)]
+
+
+def _open_words(key: tuple, table: pa.Table) -> pa.Table:
+    """Words with the number of their contexts, one table each."""
+    parts = _parts(table)
+    _, (w, c, size, data) = parts["v"][0]
+    at, _ = found_in(w, _joined(parts.get("k", []), 0, np.uint64))
+    kinds = np.bincount(at, _joined(parts.get("k", []), 1, np.int64), len(w)).astype(np.int64)
+    rows = [("v", key[0].as_py(), None, pack(w, c, size, data, slim(kinds)), None), ("s", key[0].as_py(), None, pack(np.ones(len(w), np.uint8)), None)]
+    rows += [("one", None, None, None, float((kinds == 1).sum())), ("two", None, None, None, float((kinds == 2).sum()))]
+    return _table(rows + _grams(size, data, np.ones(len(w))))
+
+
+# Gibbs sweeps.
+
+
+def _seat_words(turn: int, told, tables: float, discount: float, keep: bool):
+    """The word restaurant: customers are the tables of all contexts. Answers each bucket's words in its order."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        me, parts = key[0].as_py(), _parts(table)
+        _, (w, _, size, data, kinds) = parts["v"][0]
+        was, *kept = parts["s"][0][1]
+        k = kinds.astype(np.int64)
+        places = {src: found_in(w, asked)[0] for src, (asked, _) in parts.get("e", [])}
+        for src, (_, extra) in parts.get("e", []):
+            np.add.at(k, places[src], extra.astype(np.int64))
+        h = 10 ** log_words(told.value[-1], data, size)
+        t = draw_tables(k, np.maximum(h, 1e-300), tables - was, discount, chance(w, 2 * turn))
+        own = k - discount * t
+        rows = [("r", src, me, pack(own[at], h[at]), None) for src, at in places.items()]
+        rows.append(("s", me, None, pack(slim(t), *kept, *([own, h] if keep else [])), None))
+        rows += [("tables", None, None, None, float(t.sum())), ("customers", None, None, None, float(k.sum()))]
+        return _table(rows + _grams(size, data, t))
+
+    return run
+
+
+def _seat_pairs(turn: int, deal: Deal, hot_tables: np.ndarray, tables: float, customers: float, of_word: float, of_pair: float, keep: bool):
+    """The context restaurants of a bucket, given the words' probabilities."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        me, parts = key[0].as_py(), _parts(table)
+        if "m" not in parts:
+            return _table([])
+        mx, ones, mw, xi, wi, c, t, total = parts["m"][0][1]
+        xi, wi, ones, t = xi.astype(np.int64), wi.astype(np.int64), ones.astype(np.int64), t.astype(np.int64)
+        own, h = _joined(parts.get("r", []), 0), _joined(parts.get("r", []), 1)
+        p = (own + (STRENGTH + of_word * tables) * h) / (STRENGTH + customers)
+        here = ones + np.bincount(xi, t, len(mx))
+        at, hit = found_in(deal.hot, mx)
+        if len(deal.hot):
+            here = np.where(hit, hot_tables[at], here)
+        keys = pair_key(mx[xi], mw[wi])
+        now = draw_tables(c, p[wi], here[xi] - t, of_pair, chance(keys, 2 * turn + 1))
+        total = total.astype(np.int64) + (now if keep else 0)
+        rows = [("m", me, None, pack(mx, slim(ones), mw, slim(xi), slim(wi), c, slim(now), slim(total)), None)]
+        extra = np.bincount(wi, now - 1, len(mw)).astype(np.int64)
+        rows += [("e", b, me, pack(mw[s], slim(extra[s])), None) for b, s in _slices(deal.of_words(mw))]
+        more = np.bincount(xi, now, len(mx))
+        return _table(rows + _hot_tables(deal, mx, more + ones))
+
+    return run
 
 
 @dataclass
 class WordModel:
-    """The averaged restaurants.
+    """The averaged restaurants, in tables of packed buckets, and what all workers are told.
 
-    words: word, its hash w, c, log10 of its averaged probability without context (``unseen`` is what they leave
-    over for all others), and the share ``back`` that it passes on to the word restaurant when it stands before a word. pairs: preceding
-    word x, word w, and log10 of the probability of w after x.
+    pairs: kinds p (pairs), m (tables of those seen more than once); words: kinds v (words), s (their samples);
+    answers: kind a, each pair bucket's words with their probability and count. samples: (tables, customers) of the word restaurant.
     """
 
-    words: DataFrame
-    pairs: DataFrame | None
+    deal: Deal
+    pairs: list[DataFrame]
+    words: list[DataFrame]
+    answers: DataFrame
     tokens: int
     distinct: int
-    unseen: float
-    samples: list[Sample] = field(default_factory=list)
+    of_pair: float
+    of_word: float
+    samples: list[tuple[float, float]]
+    spellers: list[Speller]
+    hot_counts: np.ndarray
+    hot_tables: np.ndarray
 
+    def known_words(self) -> DataFrame:
+        """(word, w, c, logp): log10 of each word's averaged probability without context."""
+        return _union(self.words).groupBy("bucket").applyInArrow(_show_words(self._rule()), "word binary, w bigint, c bigint, logp double")
 
-# Counting.
+    def known_pairs(self) -> DataFrame:
+        """(x, w, logp) of each pair, and for each context a row without w: the log10 share that it passes on to its parent."""
+        return _union([*self.pairs, self.answers]).groupBy("bucket").applyInArrow(_show_pairs(self._rule()), "x bigint, w bigint, logp double")
 
+    def _rule(self) -> Rule:
+        return Rule(self.deal, self.of_pair, self.of_word, self.samples, self.hot_counts, self.hot_tables)
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def flush(counts: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array([word_id(w) for w in counts], pa.int64()), pa.array(list(counts.values()), pa.int64())], names=["word", "w", "c"])
 
-    counts: Counter = Counter()
-    for batch in batches:
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if not held_out(doc):
-                counts.update(words_of(text))
-            if len(counts) > 250_000:
-                yield flush(counts)
-                counts = Counter()
-    if counts:
-        yield flush(counts)
-
-
-def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def flush(counts: Counter) -> pa.RecordBatch:
-        x, w = zip(*counts, strict=True)
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(w, pa.int64()), pa.array(list(counts.values()), pa.int64())], names=["x", "w", "c"])
-
-    ids, counts = Ids(), Counter()
-    for batch in batches:
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if not held_out(doc):
-                counts.update(pairs_of(words_of(text), ids))
-            if len(counts) > 500_000:
-                yield flush(counts)
-                counts = Counter()
-    if counts:
-        yield flush(counts)
+@dataclass
+class Rule:
+    """How probabilities follow from seats."""
+
+    deal: Deal
+    of_pair: float
+    of_word: float
+    samples: list[tuple[float, float]]
+    hot_counts: np.ndarray
+    hot_tables: np.ndarray
+
+    def word_chances(self, kept: list[np.ndarray]) -> np.ndarray:
+        p = [(own + (STRENGTH + self.of_word * t) * h) / (STRENGTH + k) for own, h, (t, k) in zip(kept[::2], kept[1::2], self.samples, strict=True)]
+        return sum(p) / len(p)
+
+    def bucket(self, parts: dict) -> tuple:
+        """x, w, log10 probability and count of w of each pair; contexts and the log10 share that goes to their parent."""
+        x, w, c = _pairs_in(parts)
+        t = np.ones(len(c))
+        if "m" in parts:
+            t[c > 1] = parts["m"][0][1][7].astype(np.float64) / len(self.samples)
+        first, size = runs_of(x)
+        xs = x[first]
+        customers, tables = (np.add.reduceat(v, first) if len(first) else np.zeros(0) for v in (c.astype(np.float64), t))
+        if len(self.deal.hot):
+            at, hit = found_in(self.deal.hot, xs)
+            customers, tables = np.where(hit, self.hot_counts[at], customers), np.where(hit, self.hot_tables[at], tables)
+        back = (STRENGTH + self.of_pair * tables) / (STRENGTH + customers)
+        p1, counts = _joined(parts.get("a", []), 0, np.float64), _joined(parts.get("a", []), 1, np.int64)
+        uw, _ = self.deal.word_order(w)
+        sorter = np.argsort(uw)
+        at = sorter[np.searchsorted(uw[sorter], w)] if len(uw) else np.zeros(0, np.int64)
+        p = (c - self.of_pair * t) / np.repeat(STRENGTH + customers, size) + np.repeat(back, size) * p1[at]
+        return x, w, np.log10(p), counts[at], xs, np.log10(back)
+
+
+def _answer_words(rule: Rule):
+    """Probability and count of each pair bucket's words."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        me, parts = key[0].as_py(), _parts(table)
+        w, c = parts["v"][0][1][:2]
+        p = rule.word_chances(parts["s"][0][1][1:]).astype(np.float32)
+        out = []
+        for src, (asked, _) in parts.get("k", []):
+            at, _ = found_in(w, asked)
+            out.append(("a", src, me, pack(p[at], c[at]), None))
+        return _table(out)
+
+    return run
 
 
-SEATED_DDL = "x bigint, w bigint, c bigint, ones bigint, t double, seated double"
+def _show_words(rule: Rule):
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        parts = _parts(table)
+        _, (w, c, size, data, _) = parts["v"][0]
+        logp, start = np.log10(rule.word_chances(parts["s"][0][1][1:])), starts_of(size)
+        words = [data[a : a + n].tobytes() for a, n in zip(start.tolist(), size.tolist(), strict=True)]
+        return pa.table({"word": pa.array(words, pa.binary()), "w": w.view(np.int64), "c": c.astype(np.int64), "logp": logp})
 
+    return run
 
-def _seat_pairs(discount: float, turn: int):
-    """Tables of pairs that were seen more than once, given the weight ``pull`` of a new table."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rng = np.random.default_rng([turn, TaskContext.get().partitionId(), 1])
-        for batch in batches:
-            c, pull = (batch[k].to_numpy(zero_copy_only=False).astype(np.float64) for k in ("c", "pull"))
-            yield pa.RecordBatch.from_arrays([batch["x"], batch["w"], batch["c"], batch["ones"], pa.array(seat(c, pull, discount, rng), pa.float64()), batch["seated"]], names=["x", "w", "c", "ones", "t", "seated"])
+def _show_pairs(rule: Rule):
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        x, w, logp, _, xs, back = rule.bucket(_parts(table))
+        return pa.table({"x": np.concatenate([x, xs]).view(np.int64), "w": pa.array([*w.view(np.int64).tolist(), *[None] * len(xs)], pa.int64()), "logp": np.concatenate([logp, back])})
 
     return run
 
 
-STATE_DDL = "word binary, w bigint, c bigint, ones bigint, kinds bigint, k double, t double, h double, acc double, key bigint, n double"
-_EMPTY = {"word": pa.binary(), "w": pa.int64(), "c": pa.int64(), "ones": pa.int64(), "kinds": pa.int64(), "k": pa.float64(), "t": pa.float64(), "h": pa.float64(), "acc": pa.float64(), "key": pa.int64(), "n": pa.float64()}
+def _union(tables: list[DataFrame]) -> DataFrame:
+    return functools.reduce(DataFrame.unionAll, tables)
 
 
-def _rows(**columns) -> pa.RecordBatch:
-    size = len(next(iter(columns.values())))
-    return pa.RecordBatch.from_arrays([pa.array(columns[k], kind) if k in columns else pa.nulls(size, kind) for k, kind in _EMPTY.items()], names=list(_EMPTY))
+def _grouped(tables: list[DataFrame], run) -> DataFrame:
+    return _union([t.select("kind", "bucket", "src", "blob", "n") for t in tables]).groupBy("bucket").applyInArrow(run, ROW_DDL)
 
 
-def _sweep(told, discount: float, turn: int):
-    """Seat the words anew: k customers of each, which are the tables of its pairs."""
+def _kind(table: DataFrame, *kinds: str) -> DataFrame:
+    return table.filter(F.col("kind").isin(*kinds))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sample: Sample | None = told.value
-        rng = np.random.default_rng([turn, TaskContext.get().partitionId()])
-        keys, counts, held = [], [], 0
 
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            found, at = np.unique(np.concatenate(keys), return_inverse=True)
-            return found, np.bincount(at, np.concatenate(counts), len(found))
+def _numbers(table: DataFrame, *kinds: str) -> list[float]:
+    got = {r.kind: r.n for r in _kind(table, *kinds).groupBy("kind").agg(F.sum("n").alias("n")).collect()}
+    return [got.get(k) or 0.0 for k in kinds]
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            words = batch["word"].to_pylist()
-            customers = batch["k"].to_numpy(zero_copy_only=False).astype(np.float64)
-            if sample is None:
-                t, h = np.ones(len(words)), np.zeros(len(words))
-            else:
-                h = sample.speller.words(words)
-                t = seat(customers, (STRENGTH + discount * sample.tables) * h, discount, rng)
-            yield _rows(word=words, k=customers, t=t, h=h, **{k: batch[k] for k in ("w", "c", "ones", "kinds", "acc")})
-            k, starts = word_keys(words, CONTEXT)
-            keys.append(k)
-            counts.append(np.repeat(t, np.diff(np.append(starts, len(k)))))
-            held += len(k)
-            if held > 1_000_000:
-                found, total = merged()
-                keys, counts, held = [found], [total], len(found)
-        if keys:
-            found, total = merged()
-            for i in range(0, len(found), 500_000):
-                yield _rows(key=found[i : i + 500_000].view(np.int64), n=total[i : i + 500_000])
 
-    return run
+def _cells(table: DataFrame, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of cells and their sums, sorted."""
+    got = _kind(table, kind).groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    order = np.argsort(got["bucket"].to_numpy())
+    return got["bucket"].to_numpy()[order], got["n"].to_numpy()[order].astype(np.int64)
 
 
-def _discount(df: DataFrame, c: str) -> float:
-    one, two = df.agg(F.count_if(F.col(c) == 1), F.count_if(F.col(c) == 2)).first()
-    return min(0.95, max(0.05, one / (one + 2 * two))) if one else 0.5
+def _hot_sums(table: DataFrame, size: int) -> np.ndarray:
+    out = np.zeros(size)
+    if size:
+        at, n = _cells(table, "hx")
+        out[at] = n
+    return out
 
 
-def fit(docs: DataFrame, seed: int = 0) -> WordModel | None:
+def fit(docs: DataFrame, burn: int | None = None, samples: int | None = None) -> WordModel | None:
     """The model of all training texts; docs has id and text. None if there are no training texts."""
     spark = docs.sparkSession
     small_batches(spark)
-    c, t, lit = F.col("c"), F.col("t"), F.lit
-    words = cut(docs.mapInArrow(_count, "word binary, w bigint, c bigint").groupBy("word", "w").agg(F.sum("c").alias("c")), "words")
-    tokens, distinct = words.agg(F.sum("c"), F.count("*")).first()
+    burn, samples = BURN if burn is None else burn, samples or SAMPLES
+    size = docs.agg(F.sum(F.octet_length(docs.columns[1]))).first()[0] or 0
+    least = max(1, spark.sparkContext.defaultParallelism)
+    deal = Deal(max(least, size // (6 * TASK_TOKENS)), max(least // 2, size // (24 * TASK_TOKENS), 1), np.zeros(0, np.uint64))
+    counted = cut(_grouped([docs.mapInArrow(_count_words(deal), ROW_DDL)], _merge_words), "words")
+    tokens, distinct = map(int, _numbers(counted, "tokens", "distinct"))
     if not distinct:
         return None
-    pairs = cut(docs.mapInArrow(_count_pairs, "x bigint, w bigint, c bigint").groupBy("x", "w").agg(F.sum("c").alias("c")), "pairs")
-    single = F.count_if(c == 1).alias("ones")
-    # A pair that was seen once sits alone at its table in every state; only the others are seated anew.
-    before = cut(pairs.groupBy("x").agg(single, F.sum("c").alias("total"), F.count("*").alias("nx"), F.count_if(c > 1).alias("n")), "before")
-    after = cut(pairs.groupBy("w").agg(single, F.count("*").alias("kinds"), F.count_if(c > 1).alias("n")), "after")
-    of_pair, of_word = _discount(pairs, "c"), _discount(after, "kinds")
-    seated = cut(attach(pairs.filter(c > 1), before.select("x", "ones", "n"), "x", "n").select("x", "w", "c", "ones", lit(1.0).alias("t"), lit(0.0).alias("seated")), "seated")
-    state = cut(words.join(after.select("w", "ones", "kinds"), "w").withColumn("acc", lit(0.0)), "words")
-    drop_path(spark, words)
-    rng, sample, samples, chance = np.random.default_rng(seed), None, [], None
-    acc, sat = F.col("acc"), F.col("seated")
-    for turn in range(1 + BURN + SAMPLES):
-        if chance is not None:
-            tables = cut(seated.groupBy("x").agg((F.first("ones") + F.sum("t")).alias("tables"), F.count("*").alias("n")), "tables")
-            orders = cut(state.filter("kinds > ones").select("w", chance.alias("p"), (F.col("kinds") - F.col("ones")).alias("n")), "orders")
-            near = attach(attach(seated.select("x", "w", "c", "ones", sat.alias("seated")), tables, "x", "n").drop("n"), orders, "w", "n")
-            pull = (lit(STRENGTH) + lit(of_pair) * F.col("tables")) * F.col("p")
-            found = cut(near.select("x", "w", "c", "ones", "seated", pull.alias("pull")).mapInArrow(_seat_pairs(of_pair, turn), SEATED_DDL), "seated")
-            for path in (seated, tables, orders):
-                drop_path(spark, path)
-            seated = found
-        told = spark.sparkContext.broadcast(sample)
-        more = seated.groupBy("w").agg(F.sum("t").alias("more"))
-        customers = F.col("ones") + F.coalesce("more", lit(0.0))
-        fed = state.select("word", "w", "c", "ones", "kinds", acc.alias("acc")).join(more, "w", "left").select("word", "w", "c", "ones", "kinds", "acc", customers.alias("k"))
-        whole = cut(fed.mapInArrow(_sweep(told, of_word, turn), STATE_DDL), "words")
-        told.unpersist()
-        drop_path(spark, state)
-        state = whole.filter("word IS NOT NULL")
-        state.terrane_path = whole.terrane_path
-        all_tables, all_customers = state.agg(F.sum("t"), F.sum("k")).first()
-        chance = (F.col("k") - lit(of_word) * t + lit(STRENGTH + of_word * all_tables) * F.col("h")) / lit(STRENGTH + all_customers)
-        if sample is not None:
-            sample.back = (STRENGTH + of_word * all_tables) / (STRENGTH + all_customers)
-            sample.tables = all_tables
-        if turn > BURN:
-            samples.append(sample)
-            acc, sat = F.col("acc") + chance, F.col("seated") + t
-        if turn == BURN + SAMPLES:
-            break
-        grams = whole.filter("key IS NOT NULL").groupBy("key").agg(F.sum("n").alias("n"))
-        found = grams.toArrow()
-        keys = found["key"].to_numpy().view(np.uint64)
-        order = np.argsort(keys)
-        sample = Sample(Speller.sample(keys[order], found["n"].to_numpy()[order], CONTEXT, sample and sample.speller, rng), all_tables)
-    # The mean seating of the samples.
-    sat = sat / lit(len(samples))
-    tables = before.join(seated.groupBy("x").agg(F.sum(sat).alias("more")), "x", "left")
-    back = (lit(STRENGTH) + lit(of_pair) * (F.col("ones") + F.coalesce("more", lit(0.0)))) / (lit(STRENGTH) + F.col("total"))
-    backs = cut(tables.select("x", "total", "nx", back.alias("back")), "backs")
-    kept = state.select("word", "w", "c", "kinds", F.log10(acc / lit(len(samples))).alias("logp"))
-    known = cut(kept.join(backs.select(F.col("x").alias("w"), "back"), "w", "left"), "words")
-    own = pairs.filter(c == 1).select("x", "w", lit(1 - of_pair).alias("own")).unionByName(seated.select("x", "w", (c - lit(of_pair) * sat).alias("own")))
-    met = attach(attach(own, backs, "x", "nx"), known.select("w", "logp", "kinds"), "w", "kinds")
-    chances = cut(met.select("x", "w", F.log10(F.col("own") / (lit(STRENGTH) + F.col("total")) + F.col("back") * F.pow(lit(10.0), "logp")).alias("p")), "pairs")
-    for path in (pairs, before, after, seated, state, backs):
-        drop_path(spark, path)
-    left = 1.0 - float(known.agg(F.sum(F.pow(F.lit(10.0), "logp"))).first()[0])
-    return WordModel(known, chances, tokens, distinct, math.log10(max(left, 1 / (tokens + distinct + 1))), samples)
+    limit = max(tokens // HOT_SHARE + 1, TASK_TOKENS // 8)
+    hot = sorted((r.bucket % (1 << 64), r.n) for r in _kind(counted, "v").mapInArrow(_hot_words(limit), ROW_DDL).collect())
+    deal.hot, hot_counts = np.array([h for h, _ in hot], np.uint64), np.array([n for _, n in hot])
+    shops = cut(_grouped([docs.mapInArrow(_count_pairs(deal), ROW_DDL)], _merge_pairs(deal)), "pairs")
+    opened = cut(_grouped([_kind(counted, "v"), _kind(shops, "k")], _open_words), "words")
+    of_pair, of_word = discount_from(*_numbers(shops, "one", "two")), discount_from(*_numbers(opened, "one", "two"))
+    words, state, seats = _kind(opened, "v"), opened, shops
+    drop_path(spark, counted)
+    spellers, told_spellers, kept, tables = [], [], [], float(distinct)
+    hot_tables, mean_hot = _hot_sums(shops, len(hot)), np.zeros(len(hot))
+    for turn in range(burn + samples):
+        keep = turn >= burn
+        spellers = [Speller.sample(*_cells(state, "g"), spellers[-1] if spellers else None, turn)]
+        told = spark.sparkContext.broadcast(spellers)
+        served = cut(_grouped([words, _kind(state, "s"), _kind(seats, "e")], _seat_words(turn, told, tables, of_word, keep)), "served")
+        tables, customers = _numbers(served, "tables", "customers")
+        moved = cut(_grouped([_kind(seats, "m"), _kind(served, "r")], _seat_pairs(turn, deal, hot_tables, tables, customers, of_word, of_pair, keep)), "seated")
+        hot_tables = _hot_sums(moved, len(hot))
+        if keep:
+            kept.append((tables, customers))
+            told_spellers.append(spellers[-1])
+            mean_hot += hot_tables / samples
+        for old in (state, seats):
+            if old is not opened and old is not shops:
+                drop_path(spark, old)
+        state, seats = served, moved
+    rule = Rule(deal, of_pair, of_word, kept, hot_counts, mean_hot)
+    answers = cut(_grouped([words, _kind(state, "s"), _kind(shops, "k")], _answer_words(rule)), "answers")
+    return WordModel(deal, [_kind(shops, "p"), _kind(seats, "m")], [words, _kind(state, "s")], answers, tokens, distinct, of_pair, of_word, kept, told_spellers, hot_counts, mean_hot)
 
 
 # Scoring.
 
-SCORE_DDL = "place bigint, doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base double, word binary, x bigint, w bigint, n bigint"
-_SCORE = {"place": pa.int64(), "doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(), "base": pa.float64(), "word": pa.binary(), "x": pa.int64(), "w": pa.int64(), "n": pa.int64()}
 
+def _chunks(deal: Deal):
+    """Texts in chunks: what each token asks for (kind c), distinct pairs by bucket (q), held-out words by bucket (h)."""
+
+    def flush(held: list) -> pa.RecordBatch:
+        number = held[0][0]
+        ids = [d for h in held for d in h[1]]
+        out = np.concatenate([h[2] for h in held])
+        tokens = np.concatenate([h[3].tokens for h in held])
+        x, w = np.concatenate([h[3].x for h in held]), np.concatenate([h[3].w for h in held])
+        k, apart = pair_key(x, w), np.repeat(out, tokens)
+        place, rows, sent = np.zeros(len(k), np.int64), [], {}
+        for side, use in enumerate((~apart, apart)):
+            u, first, at = np.unique(k[use], return_index=True, return_inverse=True)
+            bucket = deal.of_pairs(x[use][first], u)
+            order = np.argsort(bucket, kind="stable")
+            rank = np.empty(len(u), np.int64)
+            rank[order] = np.arange(len(u))
+            place[use] = rank[at]
+            for b, s in _slices(bucket[order]):
+                sent.setdefault(b, [np.zeros(0, np.uint64)] * 3)[side] = u[order][s]
+                if side:
+                    sent[b][2] = x[use][first][order][s]
+        rows += [("q", b, number, pack(*sent[b]), None) for b in sent]
+        counts = np.array([(b, len(sent[b][0]), len(sent[b][1])) for b in sorted(sent)], np.int64).reshape(-1, 3)
+        u, first, at = np.unique(w[apart], return_index=True, return_inverse=True)
+        bucket = deal.of_words(u)
+        order = np.argsort(bucket, kind="stable")
+        rank = np.empty(len(u), np.int64)
+        rank[order] = np.arange(len(u))
+        # Words of all groups lie in one array of bytes.
+        base = np.repeat(starts_of(np.array([len(h[3].data) for h in held])), [len(h[3].w) for h in held])
+        start = (np.concatenate([h[3].start for h in held]) + base)[apart][first][order]
+        size = np.concatenate([h[3].size for h in held])[apart][first][order]
+        data = np.concatenate([h[3].data for h in held]) if len(u) else np.zeros(0, np.uint8)
+        rows += [("h", b, number, pack(u[order][s], slim(size[s]), spans(data, start[s], size[s])), None) for b, s in _slices(bucket[order])]
+        null = np.array([d is None for d in ids])
+        doc = np.array([d or 0 for d in ids], np.int64)
+        rows.append(("c", number, None, pack(doc, null.astype(np.uint8), out.astype(np.uint8), slim(tokens), slim(place), slim(rank[at]), *(slim(counts[:, i]) for i in (1, 2))), None))
+        return _batch(rows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, total = [], 0
+        for batch in batches:
+            ids, texts, numbers = (batch.column(i).to_pylist() for i in range(3))
+            at = 0
+            for g in groups(texts):
+                some = ids[at : at + len(g.tokens)]
+                held.append((numbers[at], some, np.array([held_out(d) for d in some]), g))
+                at += len(g.tokens)
+                total += len(g.w)
+                if total > CHUNK_TOKENS:
+                    yield flush(held)
+                    held, total = [], 0
+        if held:
+            yield flush(held)
 
-def _base(c, tokens: int, distinct: int):
-    return np.log10((c + 1) / (tokens + distinct + 1))
+    return run
 
 
-def _score_rows(rows: list[tuple], names: str) -> pa.RecordBatch:
-    given = dict(zip(names.split(), zip(*rows, strict=True) if rows else [[]] * len(names.split()), strict=True))
-    return pa.RecordBatch.from_arrays([pa.array(given[k], kind) if k in given else pa.nulls(len(rows), kind) for k, kind in _SCORE.items()], names=list(_SCORE))
+def _answer(rule: Rule, told):
+    """A bucket's answers to all chunks: log10 probability and the word's count; a missing pair has none and its context's back-off."""
+
+    def pairs(parts: dict) -> list[tuple]:
+        x, w, logp, counts, xs, back = rule.bucket(parts)
+        k = pair_key(x, w)
+        order = np.argsort(k)
+        k, logp, counts = k[order], logp[order], counts[order]
+        out = []
+        for src, (train, apart, of) in parts["q"]:
+            at, hit = found_in(k, np.concatenate([train, apart]))
+            p, c = (np.where(hit, v[at], 0) if len(k) else np.zeros(len(at)) for v in (logp, counts))
+            miss = np.flatnonzero(~hit[len(train) :])
+            where, known = found_in(xs, of[miss])
+            p[len(train) + miss] = np.where(known, back[where], 0.0) if len(xs) else 0.0
+            if len(rule.deal.hot):  # a frequent context is known even where this bucket has none of its pairs
+                where, known = found_in(rule.deal.hot, of[miss])
+                share = (STRENGTH + rule.of_pair * rule.hot_tables) / (STRENGTH + rule.hot_counts)
+                p[len(train) + miss] = np.where(known, np.log10(share[where]), p[len(train) + miss])
+            out.append(("z", src, key_of(parts), pack(p.astype(np.float32), slim(c.astype(np.int64))), None))
+        return out
 
+    def words(parts: dict) -> list[tuple]:
+        w, c = parts["v"][0][1][:2] if "v" in parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        logp = np.log10(rule.word_chances(parts["s"][0][1][1:])) if "v" in parts else np.zeros(0)
+        shares = [math.log10((STRENGTH + rule.of_word * t) / (STRENGTH + k)) for t, k in rule.samples]
+        out = []
+        for src, (asked, size, data) in parts["h"]:
+            at, hit = found_in(w, asked)
+            p, n = (np.where(hit, v[at], 0) if len(w) else np.zeros(len(at)) for v in (logp, c))
+            new = np.flatnonzero(~hit)
+            text = spans(data, starts_of(size)[new], size[new])
+            each = [(share + log_words(s, text, size[new])) * math.log(10) for share, s in zip(shares, told.value, strict=True)]
+            p[new] = (np.logaddexp.reduce(each, axis=0) - math.log(len(each))) / math.log(10)
+            out.append(("z", src, key_of(parts), pack(p.astype(np.float32), slim(n.astype(np.int64))), None))
+        return out
 
-def _score(head, tokens: int, distinct: int):
-    """Per text: one row with the counts of frequent words, its other words, and its pairs."""
-    known: dict = {}
-    values: list[np.ndarray] = []
+    def key_of(parts: dict) -> int:
+        return parts["me"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not known:
-            words, c = head.value
-            known.update(zip(words, range(len(words)), strict=True))
-            values.append(_base(c, tokens, distinct))
-        place, ids = TaskContext.get().partitionId() << 40, Ids()
-        for batch in batches:
-            texts, rest, pairs = [], [], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = words_of(text)
-                counts = Counter(words)
-                times = np.fromiter(counts.values(), np.float64, len(counts))
-                at = np.fromiter((known.get(w, -1) for w in counts), np.int64, len(counts))
-                if (at < 0).any():
-                    rest += [(place, w, ids[w], k) for (w, k), i in zip(counts.items(), at.tolist(), strict=True) if i < 0]
-                pairs += [(place, x, w, k) for (x, w), k in pairs_of(words, ids).items()]
-                times = times[at >= 0]
-                texts.append((place, doc, held_out(doc), len(words), int(times.sum()), float(times @ values[0][at[at >= 0]])))
-                place += 1
-                if len(pairs) > 200_000:
-                    yield _score_rows(pairs, "place x w n")
-                    pairs = []
-            yield _score_rows(texts, "place doc_id held_out n_tokens n_known base")
-            if rest:
-                yield _score_rows(rest, "place word w n")
-            if pairs:
-                yield _score_rows(pairs, "place x w n")
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        parts = _parts(table)
+        parts["me"] = key[0].as_py()
+        return _table(pairs(parts) if "q" in parts else words(parts) if "h" in parts else [])
 
     return run
 
 
-def score(docs: DataFrame, model: WordModel | None) -> DataFrame:
-    """One row for each text of (id, text): log10 probability by the model and by smoothed word counts."""
-    spark = docs.sparkSession
-    none = F.lit(0)
-    if model is None:  # no training text: all words are unseen
-        told = spark.sparkContext.broadcast(([], np.zeros(0)))
-        texts = cut(docs.mapInArrow(_score(told, 0, 0), SCORE_DDL), "scores").filter("n_tokens IS NOT NULL")
-        zeros = [F.lit(0.0).alias(k) for k in ("base_score", "score", "known_base_score", "known_score")]
-        return texts.select("doc_id", "held_out", "n_tokens", "n_known", none.cast("bigint").alias("train_tokens"), *zeros)
-    levels = model.words.groupBy(F.floor(F.log2("c") * 16).alias("level")).agg(F.min("c").alias("c"), F.count("*").alias("words")).collect()
-    least, total = 1 << 62, 0
-    for r in sorted(levels, key=lambda r: -r.c):  # sixteen levels for each doubling of the count
-        if total + r.words > HEAD_WORDS:
-            break
-        least, total = r.c, total + r.words
-    head = model.words.filter(F.col("c") >= least).select("word", "c").toArrow()
-    told = spark.sparkContext.broadcast((head["word"].to_pylist(), head["c"].to_numpy()))
-    found = cut(docs.mapInArrow(_score(told, model.tokens, model.distinct), SCORE_DDL), "scores")
-    rest = found.filter("word IS NOT NULL").select("place", "word", "n")
-    tail = model.words.filter(F.col("c") < least).select("word", "c")
-    base = F.log10((F.col("c") + 1) / F.lit(float(model.tokens + model.distinct + 1)))
-    more = rest.join(tail, "word", "left").select("place", "n", F.coalesce("c", none).alias("c")).groupBy("place").agg(
-        F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("more_known"), F.sum(F.col("n") * base).alias("more_base")
-    )
-    one = F.col("n") * F.col("p")
-    sums = _chances(found, model).groupBy("place").agg(F.sum(one).alias("score"), F.coalesce(F.sum(F.when(F.col("known"), one)), F.lit(0.0)).alias("known_score"))
-    texts = found.filter("n_tokens IS NOT NULL").select("place", "doc_id", "held_out", "n_tokens", "n_known", "base")
-    known, total = F.col("n_known") + F.coalesce("more_known", none), F.col("base") + F.coalesce("more_base", none)
-    known_base = total - (F.col("n_tokens") - known) * F.lit(float(_base(0, model.tokens, model.distinct)))
-    return texts.join(more, "place", "left").join(sums, "place", "left").select(
-        "doc_id", "held_out", "n_tokens", known.alias("n_known"), F.lit(model.tokens).cast("bigint").alias("train_tokens"),
-        total.alias("base_score"), "score", known_base.alias("known_base_score"), "known_score",
-    )
-
-
-def _spell(told):
-    """log10 probability without context of words that no training text has, by the mean of the samples."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            words = batch["word"].to_pylist()
-            each = [math.log(s.back) + s.speller.log_words(words) for s in told.value]
-            logp = (np.logaddexp.reduce(each, axis=0) - math.log(len(each))) / math.log(10)
-            yield pa.RecordBatch.from_arrays([batch["w"], pa.array(logp, pa.float64())], names=["w", "spelled"])
+SCORE_DDL = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double, known_base_score double, known_score double"
+
+
+def _sum_up(tokens: int, distinct: int, pairs: int):
+    """The texts of a chunk, from the answers."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        parts = _parts(table)
+        doc, null, out, sizes, place, word, n_train, n_apart = parts["c"][0][1]
+        sizes = sizes.astype(np.int64)
+        first, apart = starts_of(sizes), np.repeat(out.astype(bool), sizes)
+        told = [a for src, a in parts["z"] if src < pairs]
+        split = [np.split(v, [n]) for a, n in zip(told, n_train.tolist(), strict=True) for v in a]
+        p, c = np.zeros(len(place)), np.zeros(len(place), np.int64)
+        for side, use in enumerate((~apart, apart)):
+            if use.any():
+                p[use] = np.concatenate([s[side] for s in split[::2]])[place[use]]
+                c[use] = np.concatenate([s[side].astype(np.int64) for s in split[1::2]])[place[use]]
+        words = [(src, a) for src, a in parts["z"] if src >= pairs]
+        if words:
+            miss = np.zeros(len(place), bool)
+            miss[apart] = c[apart] == 0
+            of = word[miss[apart]]
+            p[miss] += _joined(words, 0, np.float64)[of]
+            c[miss] = _joined(words, 1, np.int64)[of]
+        base, known = np.log10((c + 1) / (tokens + distinct + 1)), c > 0
+        total = lambda v: np.add.reduceat(v, first)
+        return pa.table(
+            {
+                "doc_id": pa.array(doc, pa.int64(), mask=null.astype(bool)), "held_out": out.astype(bool), "n_tokens": sizes, "n_known": total(known.astype(np.int64)),
+                "base_score": total(base), "score": total(p), "known_base_score": total(np.where(known, base, 0.0)), "known_score": total(np.where(known, p, 0.0)),
+            }
+        )
 
     return run
 
 
-def _chances(found: DataFrame, model: WordModel) -> DataFrame:
-    """log10 probability of each text's pairs; a pair that was never seen backs off to the word without its context."""
-    both = found.filter("x IS NOT NULL").select("place", "x", "w", "n").join(model.pairs, ["x", "w"], "left")
-    both = cut(both, "pairs-met")
-    seen = both.filter("p IS NOT NULL").select("place", "n", "p", F.lit(True).alias("known"))
-    missed = both.filter("p IS NULL").drop("p")
-    contexts = cut(missed.groupBy("x").agg(F.count("*").alias("nx")).join(model.words.select(F.col("w").alias("x"), "back"), "x", "left"), "contexts")
-    told = found.sparkSession.sparkContext.broadcast(model.samples)
-    new = found.filter("word IS NOT NULL").select("w", "word").distinct().join(model.words.select("w"), "w", "left_anti").mapInArrow(_spell(told), "w bigint, spelled double")
-    words = cut(missed.groupBy("w").agg(F.count("*").alias("nw")).join(model.words.select("w", "logp"), "w", "left").join(new, "w", "left"), "words-met")
-    near = attach(attach(missed, contexts, "x", "nx"), words, "w", "nw")
-    p = F.log10(F.coalesce("back", F.lit(1.0))) + F.coalesce("logp", "spelled")
-    return seen.unionByName(near.select("place", "n", p.alias("p"), F.col("logp").isNotNull().alias("known")))
+def _unknown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Without training texts, all words are unseen and scores are zero."""
+    for batch in batches:
+        ids = batch.column(0).to_pylist()
+        sizes = [n for g in groups(batch.column(1).to_pylist()) for n in g.tokens.tolist()]
+        zeros = pa.array(np.zeros(len(ids)))
+        columns = [batch.column(0), pa.array([held_out(d) for d in ids], pa.bool_()), pa.array(sizes, pa.int64()), pa.array(np.zeros(len(ids), np.int64)), zeros, zeros, zeros, zeros]
+        yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in SCORE_DDL.split(", ")])
+
+
+def score(docs: DataFrame, model: WordModel | None, rounds: int | None = None) -> DataFrame:
+    """One row for each text of (id, text): log10 probability by the model and by smoothed word counts."""
+    spark, (id_, text) = docs.sparkSession, docs.columns[:2]
+    trained = F.lit(model.tokens if model else 0).cast("bigint").alias("train_tokens")
+    columns = ["doc_id", "held_out", "n_tokens", "n_known", trained, "base_score", "score", "known_base_score", "known_score"]
+    if model is None:
+        return cut(docs.select(id_, text).mapInArrow(_unknown, SCORE_DDL), "scores").select(*columns)
+    told, rule, out = spark.sparkContext.broadcast(model.spellers), model._rule(), []
+    rounds = rounds or ROUNDS
+    rows = docs.select(F.col(id_).alias("id"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("row"))
+    for turn in range(rounds):
+        some = rows.filter(F.pmod(F.xxhash64("row"), F.lit(rounds)) == turn)
+        asked = cut(some.mapInArrow(_chunks(model.deal), ROW_DDL), "chunks")
+        answers = cut(_grouped([*model.pairs, model.answers, *model.words, _kind(asked, "q", "h")], _answer(rule, told)), "answers")
+        both = _union([_kind(asked, "c"), answers]).groupBy("bucket").applyInArrow(_sum_up(model.tokens, model.distinct, model.deal.pairs), SCORE_DDL)
+        out.append(cut(both, "scores"))
+        drop_path(spark, asked)
+        drop_path(spark, answers)
+    return _union(out).select(*columns)
 
 
 def perplexity(scores: DataFrame) -> DataFrame:

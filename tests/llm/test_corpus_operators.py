@@ -1,4 +1,4 @@
-"""Media, archives, classifier, word model and pipeline against plain versions."""
+"""Media, archives, classifier and pipeline against plain versions."""
 
 import collections
 import hashlib
@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from terrane.llm import media_chunks, quality_cotrain, warc_index, word_model
+from terrane.llm import media_chunks, quality_cotrain, warc_index
 
 sha = lambda b: hashlib.sha256(b).hexdigest()
 
@@ -178,132 +178,6 @@ def test_classifier_without_labels_and_with_nulls(spark):
     assert quality_cotrain.score_documents(both, lab).count() == 203 and quality_cotrain.score_documents(df.limit(0), lab).count() == 0
 
 
-# Word model.
-
-
-def _texts(n=300, seed=8):
-    rnd = random.Random(seed)
-    parts = ["tion", "er", "the", "an", "in", "re", "ou", "st", "le", "ment"]
-    word = lambda: rnd.choice(["the", "of", "and", "a"]) if rnd.random() < 0.4 else "".join(rnd.choice(parts) for _ in range(rnd.randint(1, 3)))
-    return [(i, " ".join(word() for _ in range(rnd.randint(0, 80)))) for i in range(n)]
-
-
-def plain_base(rows):
-    count = collections.Counter()
-    for d, t in rows:
-        if zlib.crc32(str(d).encode() if d is not None else b"") % 7 != 2:
-            count.update(w for w in (t or "").encode().lower().split())
-            count[b""] += 1
-    total, kinds = sum(count.values()), len(count)
-    out = {}
-    for d, t in rows:
-        words = [*(t or "").encode().lower().split(), b""]
-        base = sum(math.log10((count[w] + 1) / (total + kinds + 1)) for w in words)
-        out[d, t] = (zlib.crc32(str(d).encode() if d is not None else b"") % 7 == 2, len(words), sum(count[w] > 0 for w in words), total, base)
-    return out
-
-
-@pytest.mark.parametrize("head", [300_000, 5])
-def test_scores(spark, monkeypatch, head):
-    monkeypatch.setattr(word_model, "HEAD_WORDS", head)
-    rows = [*_texts(), (1000, None), (None, "The END"), (1001, "x " * 40000)]
-    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
-    model = word_model.fit(df)
-    out = word_model.score(df, model).collect()
-    expected = plain_base(rows)
-    got = sorted((r.doc_id is None, r.doc_id or 0, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5)) for r in out)
-    assert got == sorted((d is None, d or 0, *e[:4], round(e[4], 5)) for (d, _), e in expected.items())
-    assert all(math.isfinite(r.score) and r.score < 0 for r in out)
-    held = [r for r in out if r.held_out]
-    assert sum(r.score for r in held) > sum(r.base_score for r in held)
-    mass = model.words.agg(F.sum(F.pow(F.lit(10.0), "logp"))).first()[0]
-    assert mass + 10**model.unseen == pytest.approx(1.0, abs=1e-6)
-    assert word_model.perplexity(word_model.score(df, model)).count() == 2
-
-
-def test_spelling_is_a_distribution():
-    rng = np.random.default_rng(0)
-    words = [b"the", b"then", b"that", b"cat", b"", b"a"] * 20
-    keys, _ = word_model.word_keys(words, 3)
-    found, count = np.unique(keys, return_counts=True)
-    model = word_model.Speller.sample(found, count.astype(float), 3, None, rng)
-    for context in (b"   ", b" th", b"the", b"zzz"):
-        key = np.uint64(int.from_bytes(context, "big") << 8) + np.arange(256, dtype=np.uint64)
-        assert model.probability(key).sum() == pytest.approx(1.0, abs=1e-9)
-    assert model.words([b"the"])[0] > model.words([b"het"])[0]
-
-
-def test_seating_matches_customer_by_customer():
-    rng = np.random.default_rng(1)
-    count, pull, discount = 40, 2.0, 0.3
-
-    def slowly():
-        tables = 1
-        for k in range(1, count):
-            tables += rng.random() < pull / (pull + k - discount * tables)
-        return tables
-
-    fast = word_model.seat(np.full(4000, float(count)), np.full(4000, pull), discount, rng)
-    assert fast.mean() == pytest.approx(np.mean([slowly() for _ in range(4000)]), rel=0.05)
-    assert word_model.seat(np.array([0.0, 1.0]), np.ones(2), 0.5, rng).tolist() == [0, 1]
-
-
-def test_word_model_of_nothing(spark):
-    df = spark.createDataFrame([], "doc_id bigint, text string")
-    assert word_model.fit(df) is None and word_model.score(df, None).count() == 0
-    held = next(i for i in range(100) if word_model.held_out(i))
-    one = spark.createDataFrame([(held, "only held out")], "doc_id bigint, text string")
-    row = word_model.score(one, word_model.fit(one)).first()
-    assert (row.n_tokens, row.n_known, row.train_tokens, row.base_score, row.score) == (4, 0, 0, 0.0, 0.0)
-
-
-def test_word_order_counts(spark):
-    rnd = random.Random(4)
-    chain = {w: rnd.sample(range(40), 2) for w in range(40)}
-    rows = []
-    for i in range(400):
-        w = [rnd.randrange(40)]
-        while len(w) < 40:
-            w.append(rnd.choice(chain[w[-1]]))
-        rows.append((i, " ".join(f"word{x}" for x in w)))
-    mixed = [(i, " ".join(rnd.sample(t.split(), 40))) for i, t in rows]
-    model = word_model.fit(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3))
-    held = {i for i, _ in rows if word_model.held_out(i)}
-    per_token = {}
-    for name, texts in (("plain", rows), ("mixed", mixed)):
-        out = word_model.score(spark.createDataFrame(texts, "doc_id bigint, text string"), model).filter("held_out").collect()
-        assert {r.doc_id for r in out} == held
-        per_token[name] = sum(r.score for r in out) / sum(r.n_tokens for r in out)
-    # Two words can follow each word: about one bit a word, against log2(40) without the order.
-    assert per_token["plain"] > -0.6 and per_token["mixed"] < -1.2
-    # After a word, all words together have probability one.
-    words = {r.w: r for r in model.words.collect()}
-    pairs = {(r.x, r.w): 10**r.p for r in model.pairs.collect()}
-    for x in list(words)[:5]:
-        total = sum(pairs.get((x, w), words[x].back * 10 ** words[w].logp) for w in words)
-        assert total + words[x].back * 10**model.unseen == pytest.approx(1.0, abs=1e-6)
-
-
-def test_unseen_words_are_spelled(spark):
-    rows = _texts(400)
-    model = word_model.fit(spark.createDataFrame(rows, "doc_id bigint, text string"))
-    words = {w for _, t in rows for w in t.split()}
-    like = next(a + b + c + d for a in ("tion", "ment") for b in ("er", "le") for c in ("the", "st") for d in ("in", "ou") if a + b + c + d not in words)
-    texts = [(1, " ".join(["of", "the"] * 10)), (2, " ".join(["zqxjv", "kqzzw"] * 10)), (3, like), (4, "zq" * (len(like) // 2)), (5, "z" * 70_000), (6, "")]
-    out = {r.doc_id: r for r in word_model.score(spark.createDataFrame(texts, "doc_id bigint, text string"), model).collect()}
-    assert out[1].score / out[1].n_tokens > out[2].score / out[2].n_tokens + 2
-    assert out[3].score > out[4].score + 3
-    assert all(math.isfinite(r.score) for r in out.values()) and out[5].score < -70_000
-    assert out[1].known_score == out[1].score and (out[2].n_known, out[6].known_score) == (1, out[6].score)
-    assert out[2].known_base_score == pytest.approx(out[6].base_score)
-
-
-def test_spelling_contexts_do_not_depend_on_the_size(spark, monkeypatch):
-    monkeypatch.setattr(word_model, "MOST_NGRAMS", 10, raising=False)
-    model = word_model.fit(spark.createDataFrame(_texts(60), "doc_id bigint, text string"))
-    assert {s.speller.context for s in model.samples} == {word_model.CONTEXT}
-
-
 # Pipeline.
 
 
