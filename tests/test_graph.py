@@ -50,9 +50,9 @@ def test_random_graph_with_a_hub_and_a_long_path(spark, local):
     assert found(connected_components(spark.createDataFrame(edges, "a bigint, b bigint").repartition(7), local_edges=local)) == {x: root(x) for x in list(parent)}
 
 
-@pytest.mark.parametrize("few", [0, 100])
-def test_attach_hot_and_cold_keys(spark, monkeypatch, few):
-    monkeypatch.setattr(skew, "FEW_KEYS", few)
+@pytest.mark.parametrize("most", [50, 10_000])
+def test_attach_hot_and_cold_keys(spark, monkeypatch, most):
+    monkeypatch.setattr(skew, "MOST_BYTES", most)  # 43 bytes a row: the hot key alone fits the smaller
     left = spark.createDataFrame([(1, i) for i in range(500)] + [(2, i) for i in range(5)] + [(None, 0), (9, 0)], "k int, v int")
     right = spark.createDataFrame([(1, "one", 500), (2, "two", 5)], "k int, name string, n int")
     out = attach(left, right, "k", "n").groupBy("k", "name").count().collect()
