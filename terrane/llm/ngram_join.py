@@ -436,7 +436,7 @@ class NgramJoin:
         per_q = pairs.groupBy("q").agg(F.count("*").alias("uses")).join(self.nodes.select(F.col("node").alias("q"), F.col("n").alias("qn"), F.col("sketch").alias("qs")), "q")
         per_q = cut(per_q, "ngram-sketches")
         other = self.nodes.select(F.col("node").alias("m"), F.col("n").alias("mn"), F.col("sketch").alias("ms"))
-        both = attach(pairs.select("q", "m"), per_q, "q", "uses", "inner", few=50_000).join(other, "m")
+        both = attach(pairs.select("q", "m"), per_q, "q", "uses", "inner").join(other, "m")
         return cut(both.select("q", "m", "qn", "qs", "mn", "ms").mapInArrow(_refute, "q bigint, m bigint"), "ngram-plausible")
 
     def merge(self, labels: DataFrame | None, links: DataFrame) -> DataFrame:

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrane.llm.common import LOWER, mix, small_batches, word_hashes
-from terrane.session import cut, drop_path
+from terrane.session import cut, drop_path, files_for, new_path, shuffles_removed
 
 #: Every seventh hash class is held out.
 FOLDS, HELD = 7, 2
@@ -51,7 +51,7 @@ HOT_SHARE = 100_000
 #: Sweeps before the first sample, samples, strength, customers of one dish for which there are tabled weights.
 BURN, SAMPLES, STRENGTH, LADDER = 1, 3, 1.0, 1024
 #: Parts in which texts are scored.
-ROUNDS = 3
+ROUNDS = 5
 #: The end token's hash, and the byte that ends a word and stands before it; no word has either.
 END_ID, END = np.uint64(0), 0x20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -479,24 +479,26 @@ def _count_pairs(deal: Deal):
     return run
 
 
-def _pairs_in(parts: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """x, w, c of a bucket."""
-    p = parts.get("p", [])
-    x = [np.repeat(a[0], a[1].astype(np.int64)) for _, a in p]
-    return np.concatenate(x) if x else np.zeros(0, np.uint64), _joined(p, 2, np.uint64), _joined(p, 3, np.int64)
-
-
 def _merge_pairs(deal: Deal):
-    """The bucket's pairs by context; pairs that were seen more than once with one table each; what it tells words."""
+    """The bucket's pairs by context (b); those that were seen more than once with one table each (m); what it tells words (k, e).
+
+    A pair names its word by place among the bucket's words, which are ordered by bucket and hash.
+    """
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        me = key[0].as_py()
-        x, w, c = _pairs_in(_parts(table))
+        me, parts = key[0].as_py(), _parts(table)["p"]
+        x, w, c = np.concatenate([np.repeat(a[0], a[1].astype(np.int64)) for _, a in parts]), _joined(parts, 2, np.uint64), _joined(parts, 3, np.int64)
         k, first, at = np.unique(pair_key(x, w), return_index=True, return_inverse=True)
         x, w, c = x[first], w[first], np.bincount(at, c, len(k)).astype(np.int64)
-        order = np.lexsort((k, x))
-        x, w, c = x[order], w[order], c[order]
-        rows = [("p", me, None, pack(*_csr(x), w, slim(c)), None), ("one", None, None, None, float((c == 1).sum())), ("two", None, None, None, float((c == 2).sum()))]
+        uw, bucket = deal.word_order(w)
+        sorter = np.argsort(uw)
+        place = sorter[np.searchsorted(uw[sorter], w)]
+        order = np.lexsort((place, x))
+        x, w, c, place = x[order], w[order], c[order], place[order]
+        rows = [("b", me, None, pack(*_csr(x), (place & 0xFFFF).astype(np.uint16), slim(place >> 16), slim(c)), None)]
+        rows += [("one", None, None, None, float((c == 1).sum())), ("two", None, None, None, float((c == 2).sum()))]
+        kinds = np.bincount(place, minlength=len(uw))
+        rows += [("k", b, me, pack(uw[s], slim(kinds[s])), None) for b, s in _slices(bucket)]
         many = c > 1
         mx = np.unique(np.concatenate([x[many], x[found_in(deal.hot, x)[1]]]))  # frequent contexts in any case
         xi = np.searchsorted(mx, x[many])
@@ -508,10 +510,6 @@ def _merge_pairs(deal: Deal):
         n = int(many.sum())
         rows.append(("m", me, None, pack(mx, slim(ones), mw, slim(xi), slim(wi), slim(c[many]), np.ones(n, np.uint8), np.zeros(n, np.uint8)), None))
         rows += [("e", b, me, pack(mw[s], np.zeros(s.stop - s.start, np.uint8)), None) for b, s in _slices(bucket)]
-        uw, bucket = deal.word_order(w)
-        sorter = np.argsort(uw)
-        kinds = np.bincount(sorter[np.searchsorted(uw[sorter], w)], minlength=len(uw))
-        rows += [("k", b, me, pack(uw[s], slim(kinds[s])), None) for b, s in _slices(bucket)]
         return _table(rows + _hot_tables(deal, x, np.ones(len(x), np.int64)))
 
     return run
@@ -557,7 +555,7 @@ def _seat_words(turn: int, told, tables: float, discount: float, keep: bool):
         places = {src: found_in(w, asked)[0] for src, (asked, _) in parts.get("e", [])}
         for src, (_, extra) in parts.get("e", []):
             np.add.at(k, places[src], extra.astype(np.int64))
-        h = 10 ** log_words(told.value[-1], data, size)
+        h = 10 ** log_words(told.value, data, size)
         t = draw_tables(k, np.maximum(h, 1e-300), tables - was, discount, chance(w, 2 * turn))
         own = k - discount * t
         rows = [("r", src, me, pack(own[at], h[at]), None) for src, at in places.items()]
@@ -568,8 +566,8 @@ def _seat_words(turn: int, told, tables: float, discount: float, keep: bool):
     return run
 
 
-def _seat_pairs(turn: int, deal: Deal, hot_tables: np.ndarray, tables: float, customers: float, of_word: float, of_pair: float, keep: bool):
-    """The context restaurants of a bucket, given the words' probabilities."""
+def _seat_pairs(turn: int, deal: Deal, hot_tables: np.ndarray, tables: float, customers: float, of_word: float, of_pair: float, keep: bool, last: bool):
+    """The context restaurants of a bucket, given the words' probabilities. The last turn leaves sums of tables only (t)."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         me, parts = key[0].as_py(), _parts(table)
@@ -586,11 +584,12 @@ def _seat_pairs(turn: int, deal: Deal, hot_tables: np.ndarray, tables: float, cu
         keys = pair_key(mx[xi], mw[wi])
         now = draw_tables(c, p[wi], here[xi] - t, of_pair, chance(keys, 2 * turn + 1))
         total = total.astype(np.int64) + (now if keep else 0)
-        rows = [("m", me, None, pack(mx, slim(ones), mw, slim(xi), slim(wi), c, slim(now), slim(total)), None)]
+        rows = _hot_tables(deal, mx, np.bincount(xi, now, len(mx)) + ones)
+        if last:
+            return _table([*rows, ("t", me, None, pack(slim(total)), None)])
         extra = np.bincount(wi, now - 1, len(mw)).astype(np.int64)
         rows += [("e", b, me, pack(mw[s], slim(extra[s])), None) for b, s in _slices(deal.of_words(mw))]
-        more = np.bincount(xi, now, len(mx))
-        return _table(rows + _hot_tables(deal, mx, more + ones))
+        return _table([*rows, ("m", me, None, pack(mx, slim(ones), mw, slim(xi), slim(wi), c, slim(now), slim(total)), None)])
 
     return run
 
@@ -599,14 +598,14 @@ def _seat_pairs(turn: int, deal: Deal, hot_tables: np.ndarray, tables: float, cu
 class WordModel:
     """The averaged restaurants, in tables of packed buckets, and what all workers are told.
 
-    pairs: kinds p (pairs), m (tables of those seen more than once); words: kinds v (words), s (their samples);
-    answers: kind a, each pair bucket's words with their probability and count. samples: (tables, customers) of the word restaurant.
+    pairs: kinds b (pairs), t (tables of those seen more than once), a (the bucket's words with their probability and count);
+    words: kind f (words with their count and probability); spelled: kind v (words with their spelling). samples: (tables, customers) of the word restaurant.
     """
 
     deal: Deal
     pairs: list[DataFrame]
-    words: list[DataFrame]
-    answers: DataFrame
+    words: DataFrame
+    spelled: DataFrame
     tokens: int
     distinct: int
     of_pair: float
@@ -618,11 +617,11 @@ class WordModel:
 
     def known_words(self) -> DataFrame:
         """(word, w, c, logp): log10 of each word's averaged probability without context."""
-        return _union(self.words).groupBy("bucket").applyInArrow(_show_words(self._rule()), "word binary, w bigint, c bigint, logp double")
+        return _union([self.words, self.spelled]).groupBy("bucket").applyInArrow(_show_words, "word binary, w bigint, c bigint, logp double")
 
     def known_pairs(self) -> DataFrame:
         """(x, w, logp) of each pair, and for each context a row without w: the log10 share that it passes on to its parent."""
-        return _union([*self.pairs, self.answers]).groupBy("bucket").applyInArrow(_show_pairs(self._rule()), "x bigint, w bigint, logp double")
+        return _union(self.pairs).groupBy("bucket").applyInArrow(_show_pairs(self._rule()), "x bigint, w bigint, logp double")
 
     def _rule(self) -> Rule:
         return Rule(self.deal, self.of_pair, self.of_word, self.samples, self.hot_counts, self.hot_tables)
@@ -645,50 +644,46 @@ class Rule:
 
     def bucket(self, parts: dict) -> tuple:
         """x, w, log10 probability and count of w of each pair; contexts and the log10 share that goes to their parent."""
-        x, w, c = _pairs_in(parts)
+        if "b" not in parts:
+            none = np.zeros(0)
+            return none.astype(np.uint64), none.astype(np.uint64), none, none.astype(np.int64), none.astype(np.uint64), none
+        xs, size, low, high, c = parts["b"][0][1]
+        size, place, c = size.astype(np.int64), low.astype(np.int64) | high.astype(np.int64) << 16, c.astype(np.int64)
         t = np.ones(len(c))
-        if "m" in parts:
-            t[c > 1] = parts["m"][0][1][7].astype(np.float64) / len(self.samples)
-        first, size = runs_of(x)
-        xs = x[first]
-        customers, tables = (np.add.reduceat(v, first) if len(first) else np.zeros(0) for v in (c.astype(np.float64), t))
+        if "t" in parts:
+            t[c > 1] = parts["t"][0][1][0].astype(np.float64) / len(self.samples)
+        first = starts_of(size)
+        customers, tables = (np.add.reduceat(v, first) for v in (c.astype(np.float64), t))
         if len(self.deal.hot):
             at, hit = found_in(self.deal.hot, xs)
             customers, tables = np.where(hit, self.hot_counts[at], customers), np.where(hit, self.hot_tables[at], tables)
         back = (STRENGTH + self.of_pair * tables) / (STRENGTH + customers)
-        p1, counts = _joined(parts.get("a", []), 0, np.float64), _joined(parts.get("a", []), 1, np.int64)
-        uw, _ = self.deal.word_order(w)
-        sorter = np.argsort(uw)
-        at = sorter[np.searchsorted(uw[sorter], w)] if len(uw) else np.zeros(0, np.int64)
-        p = (c - self.of_pair * t) / np.repeat(STRENGTH + customers, size) + np.repeat(back, size) * p1[at]
-        return x, w, np.log10(p), counts[at], xs, np.log10(back)
+        words, p1, counts = (_joined(parts["a"], i, kind) for i, kind in enumerate((np.uint64, np.float64, np.int64)))
+        p = (c - self.of_pair * t) / np.repeat(STRENGTH + customers, size) + np.repeat(back, size) * p1[place]
+        return np.repeat(xs, size), words[place], np.log10(p), counts[place], xs, np.log10(back)
 
 
 def _answer_words(rule: Rule):
-    """Probability and count of each pair bucket's words."""
+    """Probability and count of the words (f), and of each pair bucket's words (a)."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         me, parts = key[0].as_py(), _parts(table)
         w, c = parts["v"][0][1][:2]
         p = rule.word_chances(parts["s"][0][1][1:]).astype(np.float32)
-        out = []
+        out = [("f", me, None, pack(w, c, p), None)]
         for src, (asked, _) in parts.get("k", []):
             at, _ = found_in(w, asked)
-            out.append(("a", src, me, pack(p[at], c[at]), None))
+            out.append(("a", src, me, pack(asked, p[at], c[at]), None))
         return _table(out)
 
     return run
 
 
-def _show_words(rule: Rule):
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        parts = _parts(table)
-        _, (w, c, size, data, _) = parts["v"][0]
-        logp, start = np.log10(rule.word_chances(parts["s"][0][1][1:])), starts_of(size)
-        words = [data[a : a + n].tobytes() for a, n in zip(start.tolist(), size.tolist(), strict=True)]
-        return pa.table({"word": pa.array(words, pa.binary()), "w": w.view(np.int64), "c": c.astype(np.int64), "logp": logp})
-
-    return run
+def _show_words(key: tuple, table: pa.Table) -> pa.Table:
+    parts = _parts(table)
+    (w, c, p), (_, _, size, data, _) = parts["f"][0][1], parts["v"][0][1]
+    words = [data[a : a + n].tobytes() for a, n in zip(starts_of(size).tolist(), size.tolist(), strict=True)]
+    return pa.table({"word": pa.array(words, pa.binary()), "w": w.view(np.int64), "c": c.astype(np.int64), "logp": np.log10(p.astype(np.float64))})
 
 
 def _show_pairs(rule: Rule):
@@ -711,6 +706,21 @@ def _kind(table: DataFrame, *kinds: str) -> DataFrame:
     return table.filter(F.col("kind").isin(*kinds))
 
 
+def _cut(df: DataFrame, name: str) -> DataFrame:
+    """Written by kind, so that each kind can be read and deleted by itself."""
+    path = new_path(df.sparkSession, name)
+    with shuffles_removed(df.sparkSession):
+        df.coalesce(files_for(df)).write.partitionBy("kind").option("compression", "zstd").parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back.terrane_path = path
+    return back
+
+
+def _forget(table: DataFrame, *kinds: str) -> None:
+    for kind in kinds:
+        drop_path(table.sparkSession, f"{table.terrane_path}/kind={kind}")
+
+
 def _numbers(table: DataFrame, *kinds: str) -> list[float]:
     got = {r.kind: r.n for r in _kind(table, *kinds).groupBy("kind").agg(F.sum("n").alias("n")).collect()}
     return [got.get(k) or 0.0 for k in kinds]
@@ -738,40 +748,45 @@ def fit(docs: DataFrame, burn: int | None = None, samples: int | None = None) ->
     burn, samples = BURN if burn is None else burn, samples or SAMPLES
     size = docs.agg(F.sum(F.octet_length(docs.columns[1]))).first()[0] or 0
     least = max(1, spark.sparkContext.defaultParallelism)
-    deal = Deal(max(least, size // (6 * TASK_TOKENS)), max(least // 2, size // (24 * TASK_TOKENS), 1), np.zeros(0, np.uint64))
-    counted = cut(_grouped([docs.mapInArrow(_count_words(deal), ROW_DDL)], _merge_words), "words")
+    deal = Deal(max(least, size // (8 * TASK_TOKENS)), max(least // 2, size // (24 * TASK_TOKENS), 1), np.zeros(0, np.uint64))
+    counted = _cut(_grouped([docs.mapInArrow(_count_words(deal), ROW_DDL)], _merge_words), "words")
     tokens, distinct = map(int, _numbers(counted, "tokens", "distinct"))
     if not distinct:
         return None
     limit = max(tokens // HOT_SHARE + 1, TASK_TOKENS // 8)
     hot = sorted((r.bucket % (1 << 64), r.n) for r in _kind(counted, "v").mapInArrow(_hot_words(limit), ROW_DDL).collect())
     deal.hot, hot_counts = np.array([h for h, _ in hot], np.uint64), np.array([n for _, n in hot])
-    shops = cut(_grouped([docs.mapInArrow(_count_pairs(deal), ROW_DDL)], _merge_pairs(deal)), "pairs")
-    opened = cut(_grouped([_kind(counted, "v"), _kind(shops, "k")], _open_words), "words")
+    shops = _cut(_grouped([docs.mapInArrow(_count_pairs(deal), ROW_DDL)], _merge_pairs(deal)), "pairs")
+    opened = _cut(_grouped([_kind(counted, "v"), _kind(shops, "k")], _open_words), "words")
     of_pair, of_word = discount_from(*_numbers(shops, "one", "two")), discount_from(*_numbers(opened, "one", "two"))
     words, state, seats = _kind(opened, "v"), opened, shops
     drop_path(spark, counted)
-    spellers, told_spellers, kept, tables = [], [], [], float(distinct)
-    hot_tables, mean_hot = _hot_sums(shops, len(hot)), np.zeros(len(hot))
+    spellers, kept, tables = [], [], float(distinct)
+    hot_tables, mean_hot, speller = _hot_sums(shops, len(hot)), np.zeros(len(hot)), None
     for turn in range(burn + samples):
         keep = turn >= burn
-        spellers = [Speller.sample(*_cells(state, "g"), spellers[-1] if spellers else None, turn)]
-        told = spark.sparkContext.broadcast(spellers)
-        served = cut(_grouped([words, _kind(state, "s"), _kind(seats, "e")], _seat_words(turn, told, tables, of_word, keep)), "served")
+        speller = Speller.sample(*_cells(state, "g"), speller, turn)
+        told = spark.sparkContext.broadcast(speller)
+        served = _cut(_grouped([words, _kind(state, "s"), _kind(seats, "e")], _seat_words(turn, told, tables, of_word, keep)), "served")
+        _forget(state, "s", "g")
+        _forget(seats, "e")
         tables, customers = _numbers(served, "tables", "customers")
-        moved = cut(_grouped([_kind(seats, "m"), _kind(served, "r")], _seat_pairs(turn, deal, hot_tables, tables, customers, of_word, of_pair, keep)), "seated")
+        seat = _seat_pairs(turn, deal, hot_tables, tables, customers, of_word, of_pair, keep, turn == burn + samples - 1)
+        moved = _cut(_grouped([_kind(seats, "m"), _kind(served, "r")], seat), "seated")
+        _forget(seats, "m")
+        _forget(served, "r")
         hot_tables = _hot_sums(moved, len(hot))
         if keep:
             kept.append((tables, customers))
-            told_spellers.append(spellers[-1])
+            spellers.append(speller)
             mean_hot += hot_tables / samples
-        for old in (state, seats):
-            if old is not opened and old is not shops:
-                drop_path(spark, old)
         state, seats = served, moved
     rule = Rule(deal, of_pair, of_word, kept, hot_counts, mean_hot)
-    answers = cut(_grouped([words, _kind(state, "s"), _kind(shops, "k")], _answer_words(rule)), "answers")
-    return WordModel(deal, [_kind(shops, "p"), _kind(seats, "m")], [words, _kind(state, "s")], answers, tokens, distinct, of_pair, of_word, kept, told_spellers, hot_counts, mean_hot)
+    answers = _cut(_grouped([words, _kind(state, "s"), _kind(shops, "k")], _answer_words(rule)), "answers")
+    _forget(state, "s", "g")
+    _forget(shops, "k")
+    pairs = [_kind(shops, "b"), _kind(seats, "t"), _kind(answers, "a")]
+    return WordModel(deal, pairs, _kind(answers, "f"), words, tokens, distinct, of_pair, of_word, kept, spellers, hot_counts, mean_hot)
 
 
 # Scoring.
@@ -859,8 +874,8 @@ def _answer(rule: Rule, told):
         return out
 
     def words(parts: dict) -> list[tuple]:
-        w, c = parts["v"][0][1][:2] if "v" in parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        logp = np.log10(rule.word_chances(parts["s"][0][1][1:])) if "v" in parts else np.zeros(0)
+        w, c, p1 = parts["f"][0][1] if "f" in parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0))
+        logp = np.log10(p1.astype(np.float64))
         shares = [math.log10((STRENGTH + rule.of_word * t) / (STRENGTH + k)) for t, k in rule.samples]
         out = []
         for src, (asked, size, data) in parts["h"]:
@@ -943,9 +958,10 @@ def score(docs: DataFrame, model: WordModel | None, rounds: int | None = None) -
     rows = docs.select(F.col(id_).alias("id"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("row"))
     for turn in range(rounds):
         some = rows.filter(F.pmod(F.xxhash64("row"), F.lit(rounds)) == turn)
-        asked = cut(some.mapInArrow(_chunks(model.deal), ROW_DDL), "chunks")
-        answers = cut(_grouped([*model.pairs, model.answers, *model.words, _kind(asked, "q", "h")], _answer(rule, told)), "answers")
-        both = _union([_kind(asked, "c"), answers]).groupBy("bucket").applyInArrow(_sum_up(model.tokens, model.distinct, model.deal.pairs), SCORE_DDL)
+        asked = _cut(some.mapInArrow(_chunks(model.deal), ROW_DDL), "chunks")
+        answers = _cut(_grouped([*model.pairs, model.words, _kind(asked, "q", "h")], _answer(rule, told)), "answers")
+        _forget(asked, "q", "h")
+        both = _union([t.select("kind", "bucket", "src", "blob") for t in (_kind(asked, "c"), answers)]).groupBy("bucket").applyInArrow(_sum_up(model.tokens, model.distinct, model.deal.pairs), SCORE_DDL)
         out.append(cut(both, "scores"))
         drop_path(spark, asked)
         drop_path(spark, answers)
