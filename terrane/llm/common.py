@@ -29,17 +29,34 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
 
 
+def free_names(columns: list[str], *wanted: str) -> list[str]:
+    """Names like the wanted ones that no column has, whatever its case."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def few(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
+    """``df`` marked for broadcast if its counted rows and the size of a row allow it."""
+    return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
+
+
 def keep_without(docs: DataFrame, dropped: DataFrame, keys: dict, rows: int, row_bytes: int = 64) -> DataFrame:
     """The rows of ``docs`` that ``dropped`` does not name. keys: column of dropped -> expression on docs.
 
     A small counted ``dropped`` is broadcast, so texts are not shuffled; a large one is a shuffled anti-join.
     """
-    named = docs.select(*[F.col(f"`{c}`") for c in docs.columns], *[e.alias(f"__{k}") for k, e in keys.items()])
-    right = dropped.select(*[F.col(k).alias(f"__r_{k}") for k in keys])
-    if rows * row_bytes <= BROADCAST_BYTES:
-        right = F.broadcast(right)
-    on = [F.col(f"__{k}").eqNullSafe(F.col(f"__r_{k}")) for k in keys]
-    return named.join(right, on, "left_anti").drop(*[f"__{k}" for k in keys])
+    names = free_names(docs.columns, *(f"key_{k}" for k in keys))
+    named = docs.withColumns(dict(zip(names, keys.values(), strict=True)))
+    rights = free_names(named.columns, *(f"other_{k}" for k in keys))
+    right = dropped.select(*[F.col(k).alias(r) for k, r in zip(keys, rights, strict=True)])
+    on = [F.col(f"`{n}`").eqNullSafe(F.col(f"`{r}`")) for n, r in zip(names, rights, strict=True)]
+    return named.join(few(right, rows, row_bytes), on, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 # Hashes of words.

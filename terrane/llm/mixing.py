@@ -7,18 +7,20 @@ into documents along a seeded hash order: whole passes, and a last partial pass
 histograms of hash ranges, so no source is ever sorted or gathered in one task.
 
 Cases. A null text has size 0 and is never taken; a null source is a source of its own, ranked last. Repeated ids
-share their place in the order and are taken together. Empty tables give empty results.
+share their place in the order and are taken together. Empty tables give empty results. Other columns may have any
+name and are passed on.
 """
 
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from terrane.llm.common import word_count
+from terrane.llm.common import few, free_names, word_count
 from terrane.session import cut
 
 #: Bits of the seeded order, and of one histogram level.
@@ -132,7 +134,7 @@ def _cuts(spark: SparkSession, rows: DataFrame, wanted: dict[tuple, int]) -> dic
     while state and shift > 0:
         shift -= LEVEL_BITS
         ask = spark.createDataFrame([(p, first, need) for p, (first, need) in state.items()], schema)
-        hits = rows.join(ask, "pattern").filter(F.shiftright("h", shift + LEVEL_BITS) == F.shiftright("first", shift + LEVEL_BITS))
+        hits = rows.join(few(ask, len(state), _widest(state)), "pattern").filter(F.shiftright("h", shift + LEVEL_BITS) == F.shiftright("first", shift + LEVEL_BITS))
         cells = hits.groupBy("pattern", "need", F.shiftright("h", shift).alias("cell")).agg(F.sum("size").alias("words"), F.count("*").alias("n"))
         upto = F.sum("words").over(Window.partitionBy("pattern").orderBy("cell"))
         found = {r.pattern: r for r in cells.withColumn("upto", upto).filter("upto > need AND upto - words <= need").collect()}
@@ -150,6 +152,11 @@ def _cuts(spark: SparkSession, rows: DataFrame, wanted: dict[tuple, int]) -> dic
     return done
 
 
+def _widest(patterns: Iterable[str]) -> int:
+    """Bytes of the widest row that holds one of these patterns and some numbers."""
+    return 64 + max((len(p.encode("utf-8", "surrogatepass")) for p in patterns), default=0)
+
+
 def plan_mix(
     docs: DataFrame, members: Column, size: Column, id_: Column, weights=(3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 7
 ) -> tuple[Mix, DataFrame]:
@@ -179,13 +186,12 @@ def plan_mix(
     mix.cuts = _cuts(spark, rows, partial)
     if partial:
         ask = spark.createDataFrame([(p, mix.cuts[p], need) for p, need in partial.items()], "pattern string, cut bigint, need bigint")
-        both = rows.join(ask, "pattern").groupBy("pattern", "cut", "need").agg(F.sum(F.when(F.col("h") < F.col("cut"), F.col("size")).otherwise(0)).alias("got"))
+        both = rows.join(few(ask, len(partial), _widest(partial)), "pattern").groupBy("pattern", "cut", "need").agg(F.sum(F.when(F.col("h") < F.col("cut"), F.col("size")).otherwise(0)).alias("got"))
         short = both.select("pattern", "cut", (F.col("need") - F.col("got")).alias("short")).filter("short > 0").collect()
-        for _ in range(8):  # the largest documents that still fit close the gap
-            if not short:
-                break
+        while short:  # the largest documents that still fit close the gap; each round takes one for each pattern
             ask = spark.createDataFrame([(r[0], r[1], r[2], sorted(mix.fills.get(r[0], []))) for r in short], "pattern string, cut bigint, short bigint, used array<bigint>")
-            fit = rows.join(ask, "pattern").filter("h >= cut AND size <= short AND size > 0 AND NOT array_contains(used, h)")
+            wide = _widest(r[0] for r in short) + 8 * max(len(mix.fills.get(r[0], [])) for r in short)
+            fit = rows.join(few(ask, len(short), wide), "pattern").filter("h >= cut AND size <= short AND size > 0 AND NOT array_contains(used, h)")
             best = fit.groupBy("pattern", "cut", "short").agg(F.max(F.struct("size", (-F.col("h")).alias("h"))).alias("b")).collect()
             for r in best:
                 mix.fills.setdefault(r.pattern, set()).add(-r.b.h)
@@ -193,25 +199,29 @@ def plan_mix(
     return mix, rows
 
 
-def apply_mix(docs: DataFrame, mix: Mix, members: Column, id_: Column, seed: int = 7) -> DataFrame:
-    """``docs`` with __copies, how often the mix takes the document. No column of docs is shuffled if the mix is small."""
-    spark = docs.sparkSession
+def apply_mix(docs: DataFrame, mix: Mix, members: Column, id_: Column, seed: int = 7, copies: str = "__copies") -> DataFrame:
+    """``docs`` with a column ``copies``, how often the mix takes the document.
+
+    The plan has a row for each pattern and is broadcast if these are small, so documents stay where they are.
+    """
+    spark, names = docs.sparkSession, docs.columns
+    own, place, key, passes, below, fills = free_names([*names, copies], "own", "place", "key", "passes", "below", "fills")
     pattern = F.to_json(F.struct(F.sort_array(F.array_distinct(members)).alias("s")), {"ignoreNullFields": "false"})
-    plan = spark.createDataFrame(
-        [(p, n, mix.cuts.get(p, 0), sorted(mix.fills.get(p, []))) for p, n in mix.passes.items()],
-        "__pattern string, __passes bigint, __cut bigint, __fills array<bigint>",
-    )
-    joined = docs.withColumns({"__p": pattern, "__h": seeded_order(id_, seed)}).join(plan, F.col("__p") == F.col("__pattern"), "left")
-    more = (F.col("__h") < F.col("__cut")) | F.array_contains("__fills", F.col("__h"))
-    return joined.withColumn("__copies", F.coalesce(F.col("__passes") + more.cast("bigint"), F.lit(0))).drop("__p", "__h", "__pattern", "__passes", "__cut", "__fills")
+    plan = [(p, n, mix.cuts.get(p, 0), sorted(mix.fills.get(p, []))) for p, n in mix.passes.items()]
+    wide = _widest(mix.passes) + 8 * max((len(r[3]) for r in plan), default=0)
+    plan = few(spark.createDataFrame(plan, f"{key} string, {passes} bigint, {below} bigint, {fills} array<bigint>"), len(plan), wide)
+    joined = docs.withColumns({own: pattern, place: seeded_order(id_, seed)}).join(plan, F.col(own) == F.col(key), "left")
+    more = (F.col(place) < F.col(below)) | F.array_contains(fills, F.col(place))
+    return joined.select(*[F.col(f"`{c}`") for c in names], F.coalesce(F.col(passes) + more.cast("bigint"), F.lit(0)).alias(copies))
 
 
 def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The rows that the mix takes, a repeated document as repeated rows, all columns kept."""
     members, id_, size = F.array(F.col(f"`{source_col}`")), F.col(f"`{id_col}`"), word_count(F.col(f"`{text_col}`"))
     mix, _ = plan_mix(docs, members, size, id_)
-    taken = apply_mix(docs, mix, members, id_).filter((F.col("__copies") > 0) & (size > 0))
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).drop("__copies", "__copy")
+    copies, copy = free_names(docs.columns, "copies", "copy")
+    taken = apply_mix(docs, mix, members, id_, copies=copies).filter((F.col(copies) > 0) & (size > 0))
+    return taken.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -219,8 +229,7 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     members, id_ = F.array("source"), F.col("doc_id")
     docs = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
     mix, _ = plan_mix(docs, members, F.col("size"), id_)
-    per_source = spark.createDataFrame(
-        [(s, mix.sizes[s], float(mix.targets[s])) for s in mix.targets], "__s string, source_size bigint, target double"
-    )
-    out = apply_mix(docs, mix, members, id_).join(per_source, F.col("source").eqNullSafe(F.col("__s")), "left")
+    rows = [(s, mix.sizes[s], float(mix.targets[s])) for s in mix.targets]
+    per_source = few(spark.createDataFrame(rows, "name string, source_size bigint, target double"), len(rows), _widest(s or "" for s in mix.targets))
+    out = apply_mix(docs, mix, members, id_).join(per_source, F.col("source").eqNullSafe(F.col("name")), "left")
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("__copies")).alias("taken"))
