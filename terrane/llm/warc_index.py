@@ -3,7 +3,9 @@
 Archives hold one gzip member per record, so any record can be read by its offset. The index has a line per capture,
 sorted by reversed-host key (com,example,www)/path, capture number: the lines are cut into compressed blocks, and a
 sparse directory keeps the first key of each block. A lookup searches the directory by halves, opens one block,
-searches its lines by halves, and reads just the record's range from its archive.
+searches its lines by halves, and reads just the record's range from its archive. Lookups of many keys meet the
+directory in segments of about SEGMENT_BLOCKS entries; the driver holds one key for each segment, which is one for half
+a million captures.
 
 Writing is idempotent: a task writes archives under names of their own, and only those that its committed rows name
 belong to the result, so retried or lost tasks leave nothing that is read.
@@ -37,6 +39,8 @@ from terrane.session import cut, files_for, new_path
 LEAST_REVISIT = 1000
 #: Bytes after which a task begins another archive, and lines of an index block.
 ARCHIVE_BYTES, BLOCK_LINES = 64 << 20, 500
+#: Directory entries of a segment on average, and keys that one task looks up in it.
+SEGMENT_BLOCKS, SEGMENT_KEYS = 1000, 500_000
 #: A fixed date: records carry no clock, so reruns give equal archives.
 DATE = "1970-01-01T00:00:00Z"
 
@@ -205,33 +209,24 @@ class CaptureArchive:
         self.blocks.select("block", "first_key", "first_capture").coalesce(files_for(self.manifest)).write.parquet(f"{self.path}/directory")
         return self
 
-    def locate(self, keys: DataFrame, piece_rows: int = 500_000) -> DataFrame:
+    def locate(self, keys: DataFrame) -> DataFrame:
         """(line_key, capture, archive, offset, length) of captures. keys: line_key, capture; null capture asks for all of a key.
 
-        The directory is searched by halves in pieces of bounded size: one piece in all but the largest indexes.
+        One directory entry in SEGMENT_BLOCKS, chosen by its hash, begins a segment; only these reach the driver. Keys and
+        directory meet by segment and are searched by halves there; keys of a crowded segment are dealt to several tasks.
         """
-        total = self.directory.count()
-        found = None
-        pieces = max(1, -(-total // piece_rows))
-        directory = self.directory.repartitionByRange(pieces, "first_key", "first_capture").sortWithinPartitions("first_key", "first_capture") if pieces > 1 else self.directory
-        bounds: list[tuple] = []
-        parts = [directory] if pieces == 1 else [directory.filter(F.spark_partition_id() == i) for i in range(pieces)]
-        tables = []
-        for part in parts:
-            rows = sorted((r.first_key, r.first_capture, r.block) for r in part.collect())
-            if rows:
-                tables.append(rows)
-                bounds.append(rows[0][:2])
-        for i, rows in enumerate(tables):
-            low = bounds[i] if i else None
-            high = bounds[i + 1] if i + 1 < len(bounds) else None
-            hits = keys.select("line_key", "capture").mapInArrow(_assign(rows, low, high), "line_key string, capture bigint, block bigint")
-            found = hits if found is None else found.unionByName(hits)
-        if found is None:
-            return self.spark.createDataFrame([], MANIFEST_DDL)
-        asked = found.distinct().groupBy("block")
+        mine = F.pmod(F.xxhash64("first_key", "first_capture"), F.lit(SEGMENT_BLOCKS)) == 0
+        bounds = sorted((r.first_key, r.first_capture) for r in self.directory.filter(mine).select("first_key", "first_capture").collect())
+        asked = cut(keys.select("line_key", "capture").distinct().mapInArrow(_segments(bounds), "line_key string, capture bigint, segment bigint"), "warc-asked")
+        crowded = asked.groupBy("segment").agg(F.ceil(F.count("*") / SEGMENT_KEYS).alias("parts")).filter("parts > 1")
+        crowded = F.broadcast(cut(crowded, "warc-crowded"))  # no more rows than segments
+        directory = self.directory.select(F.col("first_key").alias("line_key"), F.col("first_capture").alias("capture"), "block")
+        placed = directory.mapInArrow(_segments(bounds), "line_key string, capture bigint, segment bigint, block bigint")
+        left = asked.join(crowded, "segment", "left").withColumn("part", F.pmod(F.xxhash64("line_key", "capture"), F.coalesce("parts", F.lit(1)).cast("bigint"))).drop("parts")
+        right = placed.join(crowded, "segment", "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("parts", F.lit(1)).cast("bigint") - 1))).drop("parts")
+        found = left.groupBy("segment", "part").cogroup(right.groupBy("segment", "part")).applyInArrow(_search_directory, "line_key string, capture bigint, wanted bigint")
         blocks = self.blocks.select(F.col("block").alias("of"), "lines").groupBy("of")
-        return asked.cogroup(blocks).applyInArrow(_open_block, MANIFEST_DDL)
+        return found.groupBy("wanted").cogroup(blocks).applyInArrow(_open_block, MANIFEST_DDL)
 
     def read(self, where: DataFrame) -> DataFrame:
         """The records at (archive, offset, length) by range reads: (page_id, url, type, payload_bytes, payload_digest, refers_to, payload)."""
@@ -244,27 +239,35 @@ class CaptureArchive:
         return self.read(self.locate(keys))
 
 
-def _assign(rows: list[tuple], low: tuple | None, high: tuple | None):
-    firsts, numbers = [r[:2] for r in rows], [r[2] for r in rows]
+def _segments(bounds: list[tuple]):
+    """Adds the segment of each (key, capture); a key without capture goes to every segment that can hold one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple] = []
-            for key, capture in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                a = b = (key, capture)
-                if capture is None:
-                    a, b = (key, -1), (key, 1 << 62)
-                if (high is not None and a >= high and b >= high) or (low is not None and b < low):
-                    continue
-                first = max(0, bisect.bisect_right(firsts, a) - 1)
-                last = max(0, bisect.bisect_right(firsts, b) - 1)
-                out += [(key, capture, numbers[i]) for i in range(first, last + 1)]
-            columns = list(zip(*out, strict=True)) or [[]] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int64(), pa.int64()), strict=True)], names=["line_key", "capture", "block"])
+            at, segments = [], []
+            for i, (key, capture) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                low = bisect.bisect_right(bounds, (key, -1 if capture is None else capture))
+                high = low if capture is not None else bisect.bisect_right(bounds, (key, 1 << 63))
+                at += [i] * (high - low + 1)
+                segments += range(low, high + 1)
+            rows = batch.take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*rows.columns[:2], pa.array(segments, pa.int64()), *rows.columns[2:]], names=["line_key", "capture", "segment", *batch.schema.names[2:]])
 
     return run
 
 
+def _search_directory(key: tuple, asked: pa.Table, directory: pa.Table) -> pa.Table:
+    """Binary search for the blocks that can hold the asked captures, in one segment of the directory."""
+    rows = sorted(zip(*(directory.column(c).to_pylist() for c in ("line_key", "capture", "block")), strict=True))
+    firsts, out = [r[:2] for r in rows], []
+    for line_key, capture in zip(asked.column("line_key").to_pylist(), asked.column("capture").to_pylist(), strict=True):
+        low, high = ((line_key, capture),) * 2 if capture is not None else ((line_key, -1), (line_key, 1 << 63))
+        first, last = bisect.bisect_right(firsts, low) - 1, bisect.bisect_right(firsts, high) - 1
+        out += [(line_key, capture, rows[i][2]) for i in range(max(0, first), last + 1)]
+    columns = list(zip(*out, strict=True)) or [[]] * 3
+    return pa.table({n: pa.array(c, k) for n, c, k in zip(("line_key", "capture", "wanted"), columns, (pa.string(), pa.int64(), pa.int64()), strict=True)})
+
+
 def _open_block(key: tuple, asked: pa.Table, blocks: pa.Table) -> pa.Table:
     """Binary search for the asked captures in one block's lines."""
     out: list[tuple] = []

@@ -103,7 +103,9 @@ def test_archive_index_and_lookups(spark, monkeypatch):
     archive = warc_index.CaptureArchive.write(df)
     assert archive.directory.count() == archive.blocks.count() > 8
     found = archive.read(archive.locate(archive.manifest.select("line_key", "capture"))).collect()
-    pieces = archive.read(archive.locate(archive.manifest.select("line_key", "capture"), piece_rows=4)).collect()
+    monkeypatch.setattr(warc_index, "SEGMENT_BLOCKS", 4)
+    monkeypatch.setattr(warc_index, "SEGMENT_KEYS", 3)
+    pieces = archive.read(archive.locate(archive.manifest.select("line_key", "capture"))).collect()
     assert sorted(map(str, found)) == sorted(map(str, pieces)) and len(found) == len(rows)
     for r in found:
         if r.payload_bytes == 2000:
@@ -116,6 +118,21 @@ def test_archive_index_and_lookups(spark, monkeypatch):
     assert warc_index.CaptureArchive.write(df.limit(0)).lookup(["http://a.com"]).count() == 0
 
 
+def test_every_capture_is_found_in_a_large_directory(spark, monkeypatch):
+    monkeypatch.setattr(warc_index, "BLOCK_LINES", 1)
+    monkeypatch.setattr(warc_index, "SEGMENT_BLOCKS", 50)
+    monkeypatch.setattr(warc_index, "SEGMENT_KEYS", 40)
+    url = F.when(F.col("id") % 3 == 0, "http://often.com/same").otherwise(F.concat(F.lit("http://h"), F.col("id") % 7, F.lit(".com/"), "id"))
+    df = spark.range(6000).repartition(5).select(F.col("id").alias("page_id"), url.alias("url"), F.concat(F.lit("page "), "id").alias("html"))
+    archive = warc_index.CaptureArchive.write(df)
+    assert archive.directory.count() == 6000
+    keys = archive.manifest.select("line_key", "capture")
+    nowhere = spark.createDataFrame([("com,none)/", 3), (")", 0), ("zz", 5)], keys.schema)
+    found = archive.locate(keys.unionByName(keys).unionByName(nowhere))
+    assert found.exceptAll(archive.manifest).count() == 0 and found.count() == 6000
+    assert archive.lookup(["http://often.com/same"]).agg(F.count("*"), F.countDistinct("page_id")).first()[:] == (2000, 2000)
+
+
 def test_large_sets_of_equal_payloads(spark, monkeypatch):
     monkeypatch.setattr(warc_index, "BROADCAST_BYTES", 0)
     df = spark.range(900).select(F.col("id").alias("page_id"), F.concat(F.lit("http://a.com/"), "id").alias("url"), F.when(F.col("id") % 3 == 0, "h" * 1500).otherwise(F.repeat(F.concat("id", F.lit("-")), 400)).alias("html"))
