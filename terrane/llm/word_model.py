@@ -44,8 +44,8 @@ from terrane.session import cut, drop_path, files_for, new_path, shuffles_remove
 
 #: Every seventh hash class is held out.
 FOLDS, HELD = 7, 2
-#: Tokens of a bucket and of a chunk, and bytes that are hashed at a time.
-TASK_TOKENS, CHUNK_TOKENS, GROUP_BYTES = 1 << 20, 1 << 20, 1 << 20
+#: Text bytes of a bucket of pairs, tokens after which counts are sent on, tokens of a chunk, and bytes that are hashed at a time.
+BUCKET_BYTES, TASK_TOKENS, CHUNK_TOKENS, GROUP_BYTES = 8 << 20, 1 << 19, 1 << 18, 1 << 19
 #: Words that hold more than 1/HOT_SHARE of all tokens may be dealt out by pair.
 HOT_SHARE = 100_000
 #: Sweeps before the first sample, samples, strength, customers of one dish for which there are tabled weights.
@@ -384,10 +384,19 @@ class Speller:
 
 def log_words(speller: Speller, data: np.ndarray, size: np.ndarray) -> np.ndarray:
     """log10 probability of spelling each word."""
-    if not len(size):
-        return np.zeros(0)
-    keys, start = spelling(data, size)
-    return np.add.reduceat(np.log10(speller.probability(keys)), start)
+    out = [np.zeros(0)]
+    for some, letters in _portions(data, size):
+        keys, start = spelling(letters, some)
+        out.append(np.add.reduceat(np.log10(speller.probability(keys)), start))
+    return np.concatenate(out)
+
+
+def _portions(data: np.ndarray, size: np.ndarray, words: int = 1 << 15) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Sizes and bytes of some words at a time."""
+    ends = np.concatenate(([0], np.cumsum(size.astype(np.int64))))
+    for a in range(0, len(size), words):
+        b = min(len(size), a + words)
+        yield size[a:b], data[ends[a] : ends[b]]
 
 
 # Counting.
@@ -524,9 +533,13 @@ def _hot_tables(deal: Deal, x: np.ndarray, t: np.ndarray) -> list[tuple]:
 
 def _grams(size: np.ndarray, data: np.ndarray, t: np.ndarray) -> list[tuple]:
     """How often each byte follows its context in the orders of the word restaurant."""
-    keys, start = spelling(data, size)
-    found, at = np.unique(keys, return_inverse=True)
-    total = np.bincount(at, np.repeat(t, size.astype(np.int64) + 1), len(found))
+    parts, at = [], 0
+    for some, letters in _portions(data, size):
+        found, place = np.unique(spelling(letters, some)[0], return_inverse=True)
+        parts.append((found, np.bincount(place, np.repeat(t[at : at + len(some)], some.astype(np.int64) + 1), len(found))))
+        at += len(some)
+    found, place = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    total = np.bincount(place, np.concatenate([p[1] for p in parts]), len(found))
     return [("g", i, None, None, n) for i, n in zip(found.tolist(), total.tolist(), strict=True)]
 
 
@@ -748,12 +761,12 @@ def fit(docs: DataFrame, burn: int | None = None, samples: int | None = None) ->
     burn, samples = BURN if burn is None else burn, samples or SAMPLES
     size = docs.agg(F.sum(F.octet_length(docs.columns[1]))).first()[0] or 0
     least = max(1, spark.sparkContext.defaultParallelism)
-    deal = Deal(max(least, size // (8 * TASK_TOKENS)), max(least // 2, size // (24 * TASK_TOKENS), 1), np.zeros(0, np.uint64))
+    deal = Deal(max(least, size // BUCKET_BYTES), max(least // 2, size // (3 * BUCKET_BYTES), 1), np.zeros(0, np.uint64))
     counted = _cut(_grouped([docs.mapInArrow(_count_words(deal), ROW_DDL)], _merge_words), "words")
     tokens, distinct = map(int, _numbers(counted, "tokens", "distinct"))
     if not distinct:
         return None
-    limit = max(tokens // HOT_SHARE + 1, TASK_TOKENS // 8)
+    limit = max(tokens // HOT_SHARE + 1, BUCKET_BYTES // 64)
     hot = sorted((r.bucket % (1 << 64), r.n) for r in _kind(counted, "v").mapInArrow(_hot_words(limit), ROW_DDL).collect())
     deal.hot, hot_counts = np.array([h for h, _ in hot], np.uint64), np.array([n for _, n in hot])
     shops = _cut(_grouped([docs.mapInArrow(_count_pairs(deal), ROW_DDL)], _merge_pairs(deal)), "pairs")

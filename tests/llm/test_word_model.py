@@ -44,6 +44,7 @@ def _odd_texts():
 @pytest.mark.parametrize("small", [False, True])
 def test_scores_of_written_tables(spark, monkeypatch, tmp_path, small):
     if small:  # many buckets and chunks, and some words frequent enough to be dealt out
+        monkeypatch.setattr(word_model, "BUCKET_BYTES", 6400)
         monkeypatch.setattr(word_model, "TASK_TOKENS", 800)
         monkeypatch.setattr(word_model, "CHUNK_TOKENS", 500)
         monkeypatch.setattr(word_model, "HOT_SHARE", 50)
