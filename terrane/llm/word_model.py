@@ -51,7 +51,7 @@ HOT_SHARE = 100_000
 #: Sweeps before the first sample, samples, strength, customers of one dish for which there are tabled weights.
 BURN, SAMPLES, STRENGTH, LADDER = 1, 3, 1.0, 1024
 #: Parts in which texts are scored.
-ROUNDS = 5
+ROUNDS = 4
 #: The end token's hash, and the byte that ends a word and stands before it; no word has either.
 END_ID, END = np.uint64(0), 0x20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -116,6 +116,21 @@ def found_in(keys: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return at, keys[at] == asked
 
 
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct keys, where one of each is, and each key's place among them."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    first, size = runs_of(keys)
+    place = np.empty(len(keys), np.int64)
+    place[order] = np.repeat(np.arange(len(first)), size)
+    return keys[first], order[first], place
+
+
+def by_bucket(bucket: np.ndarray) -> np.ndarray:
+    """Order by bucket that leaves equals as they are."""
+    return np.argsort(slim(bucket), kind="stable")
+
+
 ROW_DDL = "kind string, bucket bigint, src bigint, blob binary, n double"
 _ROW = pa.schema([("kind", pa.string()), ("bucket", pa.int64()), ("src", pa.int64()), ("blob", pa.binary()), ("n", pa.float64())])
 
@@ -222,7 +237,7 @@ class Deal:
         """Distinct words by bucket and hash, and their buckets."""
         u = np.unique(w)
         bucket = self.of_words(u)
-        order = np.lexsort((u, bucket))
+        order = by_bucket(bucket)
         return u[order], bucket[order]
 
 
@@ -407,7 +422,7 @@ def _trained(batch: pa.RecordBatch) -> list[str | None]:
 
 
 def _merged_words(w, c, size, data) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    u, first, at = np.unique(w, return_index=True, return_inverse=True)
+    u, first, at = distinct(w)
     return u, np.bincount(at, c, len(u)).astype(np.int64), size[first], spans(data, starts_of(size)[first], size[first])
 
 
@@ -415,18 +430,18 @@ def _count_words(deal: Deal):
     def flush(parts: list) -> pa.RecordBatch:
         w, c, size, data = _merged_words(*(np.concatenate([p[i] for p in parts]) for i in range(4)))
         bucket = deal.of_words(w)
-        order = np.argsort(bucket, kind="stable")
-        start, size, rows = starts_of(size)[order], size[order], []
+        order = by_bucket(bucket)
+        start, w, c, size, rows = starts_of(size)[order], w[order], c[order], size[order], []
         for b, s in _slices(bucket[order]):
-            rows.append(("v", b, None, pack(w[order][s], slim(c[order][s]), slim(size[s]), spans(data, start[s], size[s])), None))
+            rows.append(("v", b, None, pack(w[s], slim(c[s]), slim(size[s]), spans(data, start[s], size[s])), None))
         return _batch(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
         for batch in batches:
             for g in groups(_trained(batch)):
-                u, first, c = np.unique(g.w, return_index=True, return_counts=True)
-                parts.append((u, c, g.size[first], spans(g.data, g.start[first], g.size[first])))
+                u, first, at = distinct(g.w)
+                parts.append((u, np.bincount(at), g.size[first], spans(g.data, g.start[first], g.size[first])))
                 held += len(u)
                 if held > TASK_TOKENS:
                     yield flush(parts)
@@ -464,21 +479,22 @@ def _csr(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _count_pairs(deal: Deal):
     def flush(parts: list) -> pa.RecordBatch:
         k, x, w, c = (np.concatenate([p[i] for p in parts]) for i in range(4))
-        k, first, at = np.unique(k, return_index=True, return_inverse=True)
+        k, first, at = distinct(k)
         x, w, c = x[first], w[first], np.bincount(at, c, len(k)).astype(np.int64)
-        bucket = deal.of_pairs(x, k)
-        order = np.lexsort((x, bucket))
+        order = np.argsort(x)
+        bucket = deal.of_pairs(x, k)[order]
+        again = by_bucket(bucket)
+        bucket, order = bucket[again], order[again]
         x, w, c = x[order], w[order], c[order]
-        return _batch([("p", b, None, pack(*_csr(x[s]), w[s], slim(c[s])), None) for b, s in _slices(bucket[order])])
+        return _batch([("p", b, None, pack(*_csr(x[s]), w[s], slim(c[s])), None) for b, s in _slices(bucket)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
         for batch in batches:
             for g in groups(_trained(batch)):
                 x = g.x
-                k, first, c = np.unique(pair_key(x, g.w), return_index=True, return_counts=True)
-                parts.append((k, x[first], g.w[first], c))
-                held += len(k)
+                parts.append((pair_key(x, g.w), x, g.w, np.ones(len(x), np.uint8)))
+                held += len(x)
                 if held > TASK_TOKENS:
                     yield flush(parts)
                     parts, held = [], 0
@@ -497,12 +513,11 @@ def _merge_pairs(deal: Deal):
     def run(key: tuple, table: pa.Table) -> pa.Table:
         me, parts = key[0].as_py(), _parts(table)["p"]
         x, w, c = np.concatenate([np.repeat(a[0], a[1].astype(np.int64)) for _, a in parts]), _joined(parts, 2, np.uint64), _joined(parts, 3, np.int64)
-        k, first, at = np.unique(pair_key(x, w), return_index=True, return_inverse=True)
-        x, w, c = x[first], w[first], np.bincount(at, c, len(k)).astype(np.int64)
+        _, first, at = distinct(pair_key(x, w))
+        x, w, c = x[first], w[first], np.bincount(at, c, len(first)).astype(np.int64)
         uw, bucket = deal.word_order(w)
-        sorter = np.argsort(uw)
-        place = sorter[np.searchsorted(uw[sorter], w)]
-        order = np.lexsort((place, x))
+        place = _places(uw, w)
+        order = np.argsort(distinct(x)[2] << 32 | place)
         x, w, c, place = x[order], w[order], c[order], place[order]
         rows = [("b", me, None, pack(*_csr(x), (place & 0xFFFF).astype(np.uint16), slim(place >> 16), slim(c)), None)]
         rows += [("one", None, None, None, float((c == 1).sum())), ("two", None, None, None, float((c == 2).sum()))]
@@ -512,8 +527,7 @@ def _merge_pairs(deal: Deal):
         mx = np.unique(np.concatenate([x[many], x[found_in(deal.hot, x)[1]]]))  # frequent contexts in any case
         xi = np.searchsorted(mx, x[many])
         mw, bucket = deal.word_order(w[many])
-        sorter = np.argsort(mw)
-        wi = sorter[np.searchsorted(mw[sorter], w[many])] if len(mw) else np.zeros(0, np.int64)
+        wi = _places(mw, w[many])
         at, hit = found_in(mx, x[~many])
         ones = np.bincount(at[hit], minlength=len(mx))
         n = int(many.sum())
@@ -524,6 +538,12 @@ def _merge_pairs(deal: Deal):
     return run
 
 
+def _places(listed: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Where each word stands in a list of distinct words that has all of them."""
+    rank = distinct(w)[2]
+    return np.argsort(listed)[rank] if len(w) else rank
+
+
 def _hot_tables(deal: Deal, x: np.ndarray, t: np.ndarray) -> list[tuple]:
     """Tables that frequent contexts have in this bucket."""
     at, hit = found_in(deal.hot, x)
@@ -817,21 +837,22 @@ def _chunks(deal: Deal):
         k, apart = pair_key(x, w), np.repeat(out, tokens)
         place, rows, sent = np.zeros(len(k), np.int64), [], {}
         for side, use in enumerate((~apart, apart)):
-            u, first, at = np.unique(k[use], return_index=True, return_inverse=True)
+            u, first, at = distinct(k[use])
             bucket = deal.of_pairs(x[use][first], u)
-            order = np.argsort(bucket, kind="stable")
+            order = by_bucket(bucket)
             rank = np.empty(len(u), np.int64)
             rank[order] = np.arange(len(u))
             place[use] = rank[at]
+            u, of = u[order], x[use][first[order]]
             for b, s in _slices(bucket[order]):
-                sent.setdefault(b, [np.zeros(0, np.uint64)] * 3)[side] = u[order][s]
+                sent.setdefault(b, [np.zeros(0, np.uint64)] * 3)[side] = u[s]
                 if side:
-                    sent[b][2] = x[use][first][order][s]
+                    sent[b][2] = of[s]
         rows += [("q", b, number, pack(*sent[b]), None) for b in sent]
         counts = np.array([(b, len(sent[b][0]), len(sent[b][1])) for b in sorted(sent)], np.int64).reshape(-1, 3)
-        u, first, at = np.unique(w[apart], return_index=True, return_inverse=True)
+        u, first, at = distinct(w[apart])
         bucket = deal.of_words(u)
-        order = np.argsort(bucket, kind="stable")
+        order = by_bucket(bucket)
         rank = np.empty(len(u), np.int64)
         rank[order] = np.arange(len(u))
         # Words of all groups lie in one array of bytes.
@@ -839,7 +860,8 @@ def _chunks(deal: Deal):
         start = (np.concatenate([h[3].start for h in held]) + base)[apart][first][order]
         size = np.concatenate([h[3].size for h in held])[apart][first][order]
         data = np.concatenate([h[3].data for h in held]) if len(u) else np.zeros(0, np.uint8)
-        rows += [("h", b, number, pack(u[order][s], slim(size[s]), spans(data, start[s], size[s])), None) for b, s in _slices(bucket[order])]
+        u = u[order]
+        rows += [("h", b, number, pack(u[s], slim(size[s]), spans(data, start[s], size[s])), None) for b, s in _slices(bucket[order])]
         null = np.array([d is None for d in ids])
         doc = np.array([d or 0 for d in ids], np.int64)
         rows.append(("c", number, None, pack(doc, null.astype(np.uint8), out.astype(np.uint8), slim(tokens), slim(place), slim(rank[at]), *(slim(counts[:, i]) for i in (1, 2))), None))
