@@ -38,7 +38,7 @@ def row_bytes(df: DataFrame) -> Column:
     return sum((measured_bytes(F.col(f"`{f.name}`"), f.dataType) for f in df.schema), F.lit(16).cast("bigint"))
 
 
-def attach(left: DataFrame, right: DataFrame, key: str, weight: str, how: str = "left", most: int = 0) -> DataFrame:
+def attach(left: DataFrame, right: DataFrame, key: str, weight: str, how: str = "left", most: int | None = None) -> DataFrame:
     """``left`` joined to ``right`` on ``key``; ``right`` has each key once and its count in ``left`` as ``weight``.
 
     A ``right`` of at most MOST_BYTES (``most``) is broadcast whole. Beyond that, keys with more than ``hot_limit`` rows
@@ -46,7 +46,7 @@ def attach(left: DataFrame, right: DataFrame, key: str, weight: str, how: str =
     limit rises until they fit. All other keys are shuffled. ``right`` must be cheap to read twice (a written table).
     A null key matches nothing.
     """
-    most = most or MOST_BYTES
+    most = MOST_BYTES if most is None else most
     size, total = right.agg(F.sum(row_bytes(right)), F.sum(weight)).first()
     if (size or 0) <= most:
         return left.join(F.broadcast(right), key, how)

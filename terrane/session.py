@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import contextlib
-import os
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -42,10 +41,12 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``, which the driver and all executors share.
 
-    Only where the setting is absent (tests, a laptop) a temporary folder is made for the session.
+    Only where the setting is absent on a local master (tests, a laptop) a temporary folder is made for the session.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="terrane-")
         spark.sparkContext.setCheckpointDir(named)
         named = spark.sparkContext.getCheckpointDir()
@@ -81,11 +82,11 @@ def shuffles_removed(spark: SparkSession) -> Iterator[None]:
 
 
 def files_for(df: DataFrame) -> int:
-    """Files for a written intermediate: one for 4 MB that is read, up to two for each core; beyond that one for 512 MB."""
+    """Files for a written intermediate: one for 4 MB that is read up to two for each core, and one for 64 MB beyond that."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
     read = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return max(1, min(read >> 22, 2 * cores), min(read >> 29, 1_000_000))
+    return max(1, min(read >> 22, max(2 * cores, read >> 26), 1_000_000))
 
 
 def drop_path(spark: SparkSession, path: str | DataFrame) -> None:
@@ -93,7 +94,3 @@ def drop_path(spark: SparkSession, path: str | DataFrame) -> None:
     path = path if isinstance(path, str) else path.terrane_path
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def default_parallelism() -> int:
-    return int(os.environ.get("BENCH_CPUS", "8"))
