@@ -8,29 +8,37 @@ over their candidates: DivideSkip merges the short lists with a heap that skips,
 search, and keeps nodes that reach the overlap T. Links join nodes into components.
 
 No group is expanded into all its pairs: a pair of one block is looked at again only while its nodes are still in
-different components, first against further pivots, and in the end every such pair that size and position allow.
-So no link between components is lost, whatever the groups look like.
+different components, first against further pivots. What is left in the end is dealt out in tiles of TILE_ROWS nodes
+with their sketches; a task compares two tiles and emits only pairs of different components whose sketches, sizes and
+positions allow a link. So no link between components is lost, whatever the groups look like.
 
 Node and token are 64-bit hashes: among n distinct texts about n^2 / 2^65 pairs are confused.
 
+Postings are sent in PASSES parts, each from a pass over the texts, and written tables are deleted once they are read,
+which bounds the disk. The driver holds the tokens that go last, at most MOST_COMMON of them: any order common to all
+documents gives the same links.
+
 Cases. Null and empty texts have empty sets and link with nothing, as do rows with a null id (their component is
-null). Rows with a repeated id count as one document of that id. Texts are read whole.
+null). Each row is a document: rows with a repeated id and different texts may lie in different components, and equal
+texts are in one. Texts are read whole. Other columns may have any name; empty tables give empty results.
 """
 
 from __future__ import annotations
 
 import bisect
+import functools
 import heapq
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrane.llm.common import BASE, BROADCAST_BYTES, keep_without, mix, small_batches, word_hashes
+from terrane.llm.common import BASE, BROADCAST_BYTES, few, free_names, keep_without, mix, small_batches, word_hashes
 from terrane.operators.graph import connected_components
 from terrane.operators.skew import attach
 from terrane.session import cut, drop_path
@@ -38,8 +46,10 @@ from terrane.session import cut, drop_path
 WIDTH, PERCENT = 5, 75
 #: Tokens in more than 1/COMMON of the documents go last; there are at most COMMON times the mean set size of them.
 COMMON = 1000
-#: Postings and set members that one task should hold.
-TASK_POSTINGS, TASK_TOKENS, TASK_MEMBERS = 400_000, 4_000_000, 2_000
+#: Tokens that go last, at most.
+MOST_COMMON = 1_000_000
+#: Postings and set members that one task should hold, nodes of a tile, and passes over the texts for postings.
+TASK_POSTINGS, TASK_TOKENS, TASK_MEMBERS, TILE_ROWS, PASSES = 400_000, 4_000_000, 2_000, 2_000, 3
 #: The constant of DivideSkip's rule for the number of long lists.
 MU = 0.0085
 #: Text bytes that are hashed at a time.
@@ -120,11 +130,49 @@ def _refute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["q", "m"]).filter(pa.array(keep, pa.bool_()))
 
 
+def _fold(words: np.ndarray, cells: int) -> np.ndarray:
+    """Rows of 64-bit words of sketches, folded to that many words."""
+    while words.shape[1] > cells:
+        half = words.shape[1] // 2
+        words = words[:, :half] ^ words[:, half:]
+    return words
+
+
+def _compare(key: tuple, table: pa.Table) -> pa.Table:
+    """Pairs of two tiles of one block (or within one tile) that may link and lie in different components."""
+    low, high = key[1].as_py(), key[2].as_py()
+    node, n, pos, label, tile = (table.column(c).to_numpy() for c in ("node", "n", "pos", "label", "tile"))
+    sketches = table.column("sketch").to_pylist()
+    cells = np.array([len(x) // 8 for x in sketches], np.int64)
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    for width in np.unique(cells).tolist():  # sets that can link have sketches of one width or of neighbours
+        mine = np.flatnonzero((cells == width) & (tile == low))
+        near = np.flatnonzero(((cells == width) | (cells == 2 * width) | (2 * cells == width)) & (tile == high))
+        if not len(mine) or not len(near):
+            continue
+        least = np.minimum(cells[near], width)
+        for c in np.unique(least).tolist():
+            at = near[least == c]
+            left = _fold(np.frombuffer(b"".join(sketches[i] for i in mine), np.uint64).reshape(len(mine), -1), c)
+            right = np.concatenate([_fold(np.frombuffer(sketches[i], np.uint64).reshape(1, -1), c) for i in at])
+            for i, row in zip(mine, left, strict=True):
+                ok = (label[at] != label[i]) & (node[at] > node[i] if low == high else True)
+                need = needed(n[i], n[at])
+                ok &= np.minimum(n[i] - pos[i], n[at] - pos[at]) >= need
+                j = np.flatnonzero(ok)
+                if len(j):
+                    differ = np.bitwise_count(right[j] ^ row).sum(axis=1, dtype=np.int64)
+                    j = j[differ <= n[i] + n[at[j]] - 2 * need[j]]
+                    found.append((np.full(len(j), node[i]), node[at[j]]))
+    a, b = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
+    return pa.table({"q": np.minimum(a, b), "m": np.maximum(a, b)})
+
+
 # Pass 1: sizes, sketches, nodes, and tokens that are frequent within a few thousand texts.
 
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "n", "node", "sketch", "token", "df"]
+    names = ["doc_id", "mark", "n", "node", "sketch", "token", "df"]
     sets: dict[int, np.ndarray] = {}
     held = 0
 
@@ -132,7 +180,7 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token, df = np.unique(np.concatenate(list(sets.values())), return_counts=True)
         often = df >= max(8, len(sets) // COMMON)
         some = pa.nulls(int(often.sum()), pa.int64())
-        return pa.RecordBatch.from_arrays([some, some, some, pa.nulls(len(some), pa.binary()), pa.array(token[often].view(np.int64)), pa.array(df[often])], names=names)
+        return pa.RecordBatch.from_arrays([some, some, some, some, pa.nulls(len(some), pa.binary()), pa.array(token[often].view(np.int64)), pa.array(df[often])], names=names)
 
     for batch in batches:
         ids, sizes, nodes, sketches = [], [], [], []
@@ -146,7 +194,7 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 sets[node] = tokens
                 held += len(tokens)
         blank = pa.nulls(len(ids), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(sketches, pa.binary()), blank, blank], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), batch.column(2), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(sketches, pa.binary()), blank, blank], names=names)
         if held > 2_000_000:
             yield frequent()
             sets, held = {}, 0
@@ -167,7 +215,9 @@ def first_tokens(tokens: np.ndarray, common: np.ndarray, place: np.ndarray) -> n
     return tokens[: prefix_length(len(tokens))]
 
 
-def _post(common: np.ndarray, place: np.ndarray, salts: np.ndarray, buckets: int):
+def _post(common: np.ndarray, place: np.ndarray, salts: np.ndarray, buckets: int, turn: int):
+    """Postings of the buckets of one pass, packed by bucket."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen: set[int] = set()
@@ -190,7 +240,10 @@ def _post(common: np.ndarray, place: np.ndarray, salts: np.ndarray, buckets: int
                 hot = (common[at] == token) & (salts[at] > 1)
                 salt[hot] = mix(node[hot].view(np.uint64)) % salts[at[hot]].astype(np.uint64)
             bucket = (mix(token + salt * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
+            mine = np.flatnonzero(bucket % PASSES == turn)
+            if not len(mine):
+                continue
+            order = mine[np.argsort(bucket[mine], kind="stable")]
             cells = np.empty((4, len(order)), np.int64)
             cells[0], cells[1], cells[2], cells[3] = token[order].view(np.int64), node[order], size[order], position[order]
             found, start = np.unique(bucket[order], return_index=True)
@@ -381,8 +434,9 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in (batch.slice(i, 512) for i in range(0, batch.num_rows, 512)):
             sets = list(shingle_sets(part.column(0).to_pylist()))
-            columns = [part.column(1), part.column(2), pa.array([node_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["bucket", "asks", "node", "tokens"])
+            nodes = pa.array([node_of(s) if len(s) else None for s in sets], pa.int64())
+            found = pa.RecordBatch.from_arrays([part.column(1), part.column(2), nodes, pa.array([s.tobytes() for s in sets], pa.binary())], names=["bucket", "asks", "node", "tokens"])
+            yield found.filter(pc.equal(nodes, part.column(3)))  # an id may have several texts
 
 
 class NgramJoin:
@@ -391,53 +445,74 @@ class NgramJoin:
     def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"):
         self.spark = docs.sparkSession
         small_batches(self.spark)
-        self.docs = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+        text = F.col(f"`{text_col}`").cast("string")
+        self.docs = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), text.alias("text"), text_mark(text).alias("mark"))
         self.live = self.docs.filter("doc_id IS NOT NULL")
-        seen = cut(self.docs.mapInArrow(_describe, "doc_id bigint, n bigint, node bigint, sketch binary, token bigint, df bigint"), "ngram-sets")
+        seen = cut(self.docs.mapInArrow(_describe, "doc_id bigint, mark bigint, n bigint, node bigint, sketch binary, token bigint, df bigint"), "ngram-seen")
         rows = seen.filter("token IS NULL")
-        self.sets = rows.select("doc_id", "n", "node")
         nodes = rows.filter("node IS NOT NULL AND doc_id IS NOT NULL").groupBy("node")
         self.nodes = cut(nodes.agg(F.min("doc_id").alias("first_id"), F.count("*").alias("rows"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "ngram-nodes")
         self.count, postings, tokens = self.nodes.agg(F.count("*"), F.sum(F.expr(f"n - ceil({PERCENT} * n / 100) + 1")), F.sum("n")).first()
         self.postings, self.tokens = int(postings or 0), int(tokens or 0)
         floor = max(8, self.count // COMMON)
-        often = seen.filter("token IS NOT NULL").groupBy("token").agg(F.sum("df").alias("df")).filter(F.col("df") >= floor).toPandas()
+        often = seen.filter("token IS NOT NULL").groupBy("token").agg(F.sum("df").alias("df")).filter(F.col("df") >= floor)
+        often = often.orderBy(F.desc("df"), "token").limit(MOST_COMMON).toPandas()
         often = often.assign(token=often.token.to_numpy(np.int64).view(np.uint64)).sort_values("token")
         self.common, df = often.token.to_numpy(np.uint64), often.df.to_numpy(np.int64)
         self.place = np.argsort(np.argsort(df, kind="stable"), kind="stable")
         self.salts = np.maximum(1, -(-df // TASK_POSTINGS))
+        self.sets = cut(rows.select("doc_id", "mark", "n", "node"), "ngram-sets")
+        drop_path(self.spark, seen)
 
-    def candidates(self) -> DataFrame:
-        """Pivot pairs and open blocks."""
+    def candidates(self) -> list[DataFrame]:
+        """Pivot pairs and open blocks, a table for each pass."""
         buckets = max(1, -(-self.postings // TASK_POSTINGS), int(self.spark.conf.get("spark.sql.shuffle.partitions")))
-        blobs = self.live.select("text").mapInArrow(_post(self.common, self.place, self.salts, buckets), "bucket bigint, cells binary")
-        salted = self.common[self.salts > 1].view(np.int64)
-        return cut(blobs.groupBy("bucket").applyInArrow(_blocks(salted), BLOCK_DDL), "ngram-blocks")
+        salted, found = self.common[self.salts > 1].view(np.int64), []
+        for turn in range(PASSES):
+            blobs = self.live.select("text").mapInArrow(_post(self.common, self.place, self.salts, buckets, turn), "bucket bigint, cells binary")
+            found.append(cut(blobs.groupBy("bucket").applyInArrow(_blocks(salted), BLOCK_DDL), "ngram-blocks"))
+        return found
 
     def search(self, pairs: DataFrame) -> DataFrame:
-        """Links found by queries of column q against candidates m; pairs is a cut table of distinct rows."""
-        pairs = self._plausible(pairs)
+        """Links found by queries of column q against candidates m; pairs is a cut table of distinct plausible rows."""
         per_q = cut(pairs.groupBy("q").agg(F.count("*").alias("n")), "ngram-queries")
-        per_q = per_q.withColumn("chunks", F.ceil(F.col("n") / TASK_MEMBERS))
+        chunked = per_q.withColumn("chunks", F.ceil(F.col("n") / TASK_MEMBERS))
         sized = self.nodes.select("node", F.col("n").alias("size"), "first_id")
-        dealt = cut(attach(pairs, per_q, "q", "n").withColumn("deal", F.xxhash64("q", F.pmod(F.xxhash64("m"), "chunks"))).select("deal", "q", "m"), "ngram-dealt")
+        dealt = cut(attach(pairs, chunked, "q", "n").withColumn("deal", F.xxhash64("q", F.pmod(F.xxhash64("m"), "chunks"))).select("deal", "q", "m"), "ngram-dealt")
         roles = dealt.select("deal", F.col("m").alias("node"), F.lit(False).alias("asks")).unionByName(dealt.select("deal", F.col("q").alias("node"), F.lit(True).alias("asks")))
         roles = cut(roles.distinct().join(sized, "node"), "ngram-roles")
-        tokens = roles.agg(F.sum("size")).first()[0] or 0
-        buckets = max(1, -(-tokens // TASK_TOKENS), int(self.spark.conf.get("spark.sql.shuffle.partitions")))
-        asked = roles.select(F.col("first_id").alias("doc_id"), F.pmod("deal", F.lit(buckets)).alias("bucket"), "asks").distinct()
-        asked = F.broadcast(asked) if roles.count() * 24 <= BROADCAST_BYTES else asked  # else texts are shuffled by id
-        sets = self.live.join(asked, "doc_id").select("text", "bucket", "asks").mapInArrow(_sets, "bucket bigint, asks boolean, node bigint, tokens binary")
+        tokens, count = roles.agg(F.sum("size"), F.count("*")).first()
+        buckets = max(1, -(-(tokens or 0) // TASK_TOKENS), int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+        asked = roles.select(F.col("first_id").alias("doc_id"), "node", F.pmod("deal", F.lit(buckets)).alias("bucket"), "asks").distinct()
+        asked = F.broadcast(asked) if count * 32 <= BROADCAST_BYTES else asked  # else texts are shuffled by id
+        sets = self.live.join(asked, "doc_id").select("text", "bucket", "asks", F.col("node").alias("wanted")).mapInArrow(_sets, "bucket bigint, asks boolean, node bigint, tokens binary")
         links = cut(sets.groupBy("bucket").applyInArrow(_search, "a bigint, b bigint").distinct(), "ngram-links")
+        self._drop(per_q, dealt, roles)
         return links
 
+    def _drop(self, *tables: DataFrame) -> None:
+        for t in tables:
+            drop_path(self.spark, t)
+
     def _plausible(self, pairs: DataFrame) -> DataFrame:
         """The pairs that their sketches do not rule out; sketches are a thirtieth of the sets."""
         per_q = pairs.groupBy("q").agg(F.count("*").alias("uses")).join(self.nodes.select(F.col("node").alias("q"), F.col("n").alias("qn"), F.col("sketch").alias("qs")), "q")
         per_q = cut(per_q, "ngram-sketches")
         other = self.nodes.select(F.col("node").alias("m"), F.col("n").alias("mn"), F.col("sketch").alias("ms"))
         both = attach(pairs.select("q", "m"), per_q, "q", "uses", "inner").join(other, "m")
-        return cut(both.select("q", "m", "qn", "qs", "mn", "ms").mapInArrow(_refute, "q bigint, m bigint"), "ngram-plausible")
+        found = cut(both.select("q", "m", "qn", "qs", "mn", "ms").mapInArrow(_refute, "q bigint, m bigint"), "ngram-plausible")
+        self._drop(per_q)
+        return found
+
+    def _link(self, pairs: DataFrame, labels: DataFrame | None, sure: bool = False) -> DataFrame:
+        """Components after the search of pairs, a written table that is deleted; ``sure`` pairs have passed their sketches."""
+        some = pairs if sure else self._plausible(pairs)
+        links = self.search(some)
+        merged = self.merge(labels, links)
+        self._drop(links, *([] if sure else [some]))
+        if labels is not None and merged is not labels:
+            self._drop(labels)
+        return merged
 
     def merge(self, labels: DataFrame | None, links: DataFrame) -> DataFrame:
         """(node, label) after more links: only what still differs is joined anew."""
@@ -447,10 +522,13 @@ class NgramJoin:
         edges = links.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).filter("a <> b").distinct()
         edges = cut(edges, "ngram-edges")
         if edges.isEmpty():
+            self._drop(edges)
             return labels
         higher = cut(connected_components(edges, "label", "above"), "ngram-higher")
         every = labels.unionByName(higher.select(F.col("label").alias("node"), "label").join(labels.select("node"), "node", "left_anti"))
-        return cut(every.join(higher, "label", "left").select("node", F.coalesce("above", "label").alias("label")), "ngram-labels")
+        merged = cut(every.join(higher, "label", "left").select("node", F.coalesce("above", "label").alias("label")), "ngram-labels")
+        self._drop(edges, higher)
+        return merged
 
     def _sized(self, df: DataFrame) -> DataFrame:
         """Broadcast if its counted rows are few."""
@@ -464,17 +542,20 @@ class NgramJoin:
 
     def components(self, rounds: int = 3, eager: int = 8) -> DataFrame:
         """(node, label) for nodes that link with others."""
-        found = self.candidates()
+        parts = self.candidates()
+        found = functools.reduce(DataFrame.unionAll, parts)
         pairs = cut(found.filter("kind = 0").groupBy(F.col("a").alias("q"), F.col("b").alias("m")).agg(F.sum("n").alias("met")), "ngram-pairs")
         open_ = found.filter("kind = 1").groupBy(F.col("a").alias("block"), F.col("b").alias("node")).agg(F.first("n").alias("n"), F.min("pos").alias("pos"))
         open_ = cut(open_, "ngram-open")
+        self._drop(*parts)
         # First each node against the pivot it met most; then the other pivots, where that has not joined them.
         best = pairs.groupBy("m").agg(F.max(F.struct("met", "q")).alias("b")).select(F.col("b.q").alias("q"), "m")
         best = cut(best, "ngram-best")
-        labels = self.merge(None, self.search(best))
+        labels = self._link(best, None)
         other = cut(self._apart(pairs.select("q", "m").join(best, ["q", "m"], "left_anti"), labels), "ngram-other")
-        labels = self.merge(labels, self.search(other))
-        done = pairs.select(F.least("q", "m").alias("x"), F.greatest("q", "m").alias("y"))
+        labels = self._link(other, labels)
+        done = cut(pairs.select(F.least("q", "m").alias("x"), F.greatest("q", "m").alias("y")).distinct(), "ngram-done")
+        self._drop(best, other, pairs)
         pivots, size = None, open_.count()
         for turn in range(rounds + 1):
             named = open_.join(self._sized(labels), "node", "left").withColumn("label", F.coalesce("label", "node"))
@@ -482,33 +563,36 @@ class NgramJoin:
             blocks = cut(blocks.select("block", "rows", (F.col("rows") * (F.col("rows") - 1) / 2).alias("pairs")), "ngram-unsettled")
             left = blocks.agg(F.sum("pairs")).first()[0] or 0
             if not left:
+                self._drop(blocks)
                 break
             rest = cut(attach(named, blocks.select("block", "rows"), "block", "rows", "inner"), "ngram-rest")
+            self._drop(blocks, open_)
             open_ = rest.drop("label", "rows")  # blocks that are settled stay so
-            last = left <= max(eager * size, 100_000) or turn == rounds
-            more = self._all_pairs(rest) if last else self._further(rest, pivots)
-            if not last:
-                more = cut(more, "ngram-further")
-                now = more.select("block", "q").distinct()
-                pivots = cut(now if pivots is None else pivots.unionByName(now).distinct(), "ngram-pivots")
-                more = more.select("q", "m").distinct()
-            more = more.withColumns({"x": F.least("q", "m"), "y": F.greatest("q", "m")}).join(done, ["x", "y"], "left_anti")
-            more = cut(more.groupBy("x", "y").agg(F.first("q").alias("q"), F.first("m").alias("m")).select("q", "m"), "ngram-more")
-            labels = self.merge(labels, self.search(more))
-            done = cut(done.unionByName(more.select(F.least("q", "m").alias("x"), F.greatest("q", "m").alias("y"))).distinct(), "ngram-done")
-            if last:
+            open_.terrane_path = rest.terrane_path
+            if left <= max(eager * size, 100_000) or turn == rounds:
+                more = self._tiles(rest)
+                labels = self._link(more, labels, sure=True)
+                self._drop(more)
                 break
+            further = self._further(rest, pivots)
+            now = further.select("block", "q").distinct()
+            was, pivots = pivots, cut(now if pivots is None else pivots.unionByName(now).distinct(), "ngram-pivots")
+            ways = further.select("q", "m").distinct().withColumns({"x": F.least("q", "m"), "y": F.greatest("q", "m")}).join(done, ["x", "y"], "left_anti")
+            more = cut(ways.groupBy("x", "y").agg(F.first("q").alias("q"), F.first("m").alias("m")).select("q", "m"), "ngram-more")
+            labels = self._link(more, labels)
+            old, done = done, cut(done.unionByName(more.select(F.least("q", "m").alias("x"), F.greatest("q", "m").alias("y"))).distinct(), "ngram-done")
+            self._drop(further, more, old, *([was] if was is not None else []))
+        self._drop(open_, done, *([pivots] if pivots is not None else []))
         return labels
 
-    def _fits(self, l: str, r: str):
-        need = F.expr(f"ceil({PERCENT} * ({l}.n + {r}.n) / {100 + PERCENT})")
-        return F.least(F.col(f"{l}.n") - F.col(f"{l}.pos"), F.col(f"{r}.n") - F.col(f"{r}.pos")) >= need
-
-    def _all_pairs(self, rest: DataFrame) -> DataFrame:
-        """Every pair of an unsettled block whose components still differ and whose sizes and positions allow a link."""
-        l, r = rest.alias("l"), rest.alias("r")
-        on = (F.col("l.block") == F.col("r.block")) & (F.col("l.label") < F.col("r.label")) & self._fits("l", "r")
-        return l.join(r, on).select(F.col("l.node").alias("q"), F.col("r.node").alias("m")).distinct()
+    def _tiles(self, rest: DataFrame) -> DataFrame:
+        """Pairs of unsettled blocks whose components differ and whose sizes, positions and sketches allow a link."""
+        told = rest.join(self.nodes.select("node", "sketch"), "node")
+        tiles = F.ceil(F.col("rows") / TILE_ROWS).cast("bigint")
+        own = F.pmod(F.xxhash64("node"), tiles)
+        dealt = told.select("block", "node", "n", "pos", "label", "sketch", own.alias("tile"), F.explode(F.sequence(F.lit(0).cast("bigint"), tiles - 1)).alias("other"))
+        dealt = dealt.withColumn("low", F.least("tile", "other")).withColumn("high", F.greatest("tile", "other")).drop("other")
+        return cut(dealt.groupBy("block", "low", "high").applyInArrow(_compare, "q bigint, m bigint").distinct(), "ngram-more")
 
     def _further(self, rest: DataFrame, pivots: DataFrame | None) -> DataFrame:
         """The next pivot of each component in a block against the block's other components' nodes: its least rare node."""
@@ -519,17 +603,29 @@ class NgramJoin:
         chosen = cut(best.join(counts, "block"), "ngram-chosen")
         joined = attach(rest.drop("rows"), chosen, "block", "rows", "inner")
         need = F.expr(f"ceil({PERCENT} * (n + qn) / {100 + PERCENT})")
-        return joined.filter((F.col("label") != F.col("qlabel")) & (F.least(F.col("n") - F.col("pos"), F.col("qn") - F.col("qpos")) >= need)).select("block", "q", F.col("node").alias("m"))
+        found = joined.filter((F.col("label") != F.col("qlabel")) & (F.least(F.col("n") - F.col("pos"), F.col("qn") - F.col("qpos")) >= need)).select("block", "q", F.col("node").alias("m"))
+        found = cut(found, "ngram-further")
+        self._drop(chosen)
+        return found
 
-    def report(self) -> DataFrame:
-        """(doc_id, n_shingles, component_id) for every row."""
+    def rows(self) -> DataFrame:
+        """(doc_id, mark, n, node, label, component_id) for every row of the documents."""
         labels = self.components()
         named = self.nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         least = cut(named.groupBy("label").agg(F.min("first_id").alias("component_id"), F.count("*").alias("n_nodes")), "ngram-components")
-        per_node = cut(attach(named.select("node", "rows", "label"), least, "label", "n_nodes").select("node", "rows", "component_id"), "ngram-result")
-        out = attach(self.sets, per_node, "node", "rows")
-        own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-        return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+        per_node = cut(attach(named.select("node", "rows", "label"), least, "label", "n_nodes").select("node", "rows", "label", "component_id"), "ngram-result")
+        self._drop(labels, least, self.nodes)
+        out = attach(self.sets, per_node, "node", "rows").drop("rows")
+        return out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")))
+
+    def report(self) -> DataFrame:
+        """(doc_id, n_shingles, component_id) for every row."""
+        return self.rows().select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+def text_mark(text: Column) -> Column:
+    """Tells apart the texts of rows with one id."""
+    return F.xxhash64(text)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -538,18 +634,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` with the smallest id of each component, once; all columns kept. Rows without an id stay."""
+    """The rows of ``docs`` with the smallest id of each component, one for each; all columns kept.
+
+    Of several such rows the one whose text has the smallest hash stays. Rows without an id or without words stay.
+    """
     spark = docs.sparkSession
-    found = cut(near_duplicates(docs, id_col, text_col), "near-groups")
-    dropped = cut(found.filter("component_id <> doc_id").select("doc_id").distinct(), "near-dropped")
-    keys = {"doc_id": F.col(f"`{id_col}`").cast("bigint")}
-    stay = keep_without(docs, dropped, keys, dropped.count(), 16)
-    twice = cut(found.filter("component_id = doc_id").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "near-twice")
+    found = cut(NgramJoin(docs, id_col, text_col).rows().filter("node IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "mark", "label", "component_id"), "near-groups")
+    first = found.filter("component_id = doc_id").groupBy("label").agg(F.min("mark").alias("mark"), F.first("doc_id").alias("doc_id"), F.count("*").alias("n"))
+    first = cut(first, "near-first")
+    dropped = cut(found.select("doc_id", "mark").distinct().join(first.select("doc_id", "mark"), ["doc_id", "mark"], "left_anti"), "near-dropped")
+    keys = {"doc_id": F.col(f"`{id_col}`").cast("bigint"), "mark": text_mark(F.col(f"`{text_col}`").cast("string"))}
+    stay = keep_without(docs, dropped, keys, dropped.count(), 24)
+    twice = first.filter("n > 1").select("doc_id", "mark").join(found, ["doc_id", "mark"]).groupBy("doc_id", "mark").count().filter("count > 1").select("doc_id", "mark")
+    twice = cut(twice, "near-twice")
     drop_path(spark, found)
-    if n := twice.count():
-        once = keep_without(stay, twice, keys, n, 16)
-        again = stay.join(twice.withColumnRenamed("doc_id", "__id"), F.col(f"`{id_col}`").cast("bigint") == F.col("__id")).drop("__id")
-        stay = once.unionByName(again.dropDuplicates([id_col]))
+    drop_path(spark, first)
+    if n := twice.count():  # repeated rows: one of each set
+        once = keep_without(stay, twice, keys, n, 24)
+        names = free_names(docs.columns, *(f"key_{k}" for k in keys))
+        others = free_names([*docs.columns, *names], *(f"other_{k}" for k in keys))
+        right = few(twice.select(*[F.col(k).alias(o) for k, o in zip(keys, others, strict=True)]), n, 24)
+        again = stay.withColumns(dict(zip(names, keys.values(), strict=True))).join(right, [F.col(a) == F.col(o) for a, o in zip(names, others, strict=True)], "left_semi")
+        stay = once.unionByName(again.dropDuplicates(names).select(*[F.col(f"`{c}`") for c in docs.columns]))
     return stay
 
 
