@@ -4,8 +4,9 @@ New data is reduced to one summary row per digest, told apart from known digests
 against the index, and appended to it. The index is a bucketed table in the shared folder, so neither the join
 nor the final aggregation shuffles it.
 
-Cases. A null text counts as empty. Rows with equal texts and ids: exactly one stays. A null id ranks after all
-others. An empty table gives an empty result; columns other than id and text are not read.
+Cases. A null text counts as empty. Rows with equal texts and ids: exactly one stays. Ids are numbers or strings and
+rank by their type's order, a null id after all others. An empty table gives an empty result; columns other than id and
+text are passed on by exact_dedup and not read otherwise, whatever their names.
 """
 
 from __future__ import annotations
@@ -15,9 +16,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrane.llm.common import SPACE, keep_without
+from terrane.llm.common import SPACE, few, free_names, keep_without
 from terrane.operators.skew import attach
-from terrane.session import cut, drop_path, new_path
+from terrane.session import cut, drop_path, new_path, shuffles_removed
 
 
 def digest_of(text: Column) -> Column:
@@ -42,7 +43,7 @@ def _best(rank: Column) -> Column:
 class DigestIndex:
     """Append-only table of digests. ``fresh`` rows are the index; the others record that a later load met them again."""
 
-    def __init__(self, spark: SparkSession, path: str | None = None, name: str | None = None, buckets: int | None = None):
+    def __init__(self, spark: SparkSession, path: str | None = None, name: str | None = None, buckets: int | None = None, id_type: str = "bigint"):
         self.spark = spark
         self.path = path or new_path(spark, "digest-index")
         self.name = name or f"digest_index_{uuid.uuid4().hex}"
@@ -51,7 +52,7 @@ class DigestIndex:
         if path and not spark.catalog.tableExists(self.name) and self._exists():
             spark.sql(
                 f"CREATE TABLE {self.name} (digest BINARY, load INT, fresh BOOLEAN, best STRUCT<less: BIGINT, "
-                f"no_id: BOOLEAN, id: BIGINT, row: BIGINT>, rows BIGINT) USING parquet LOCATION '{self.path}' "
+                f"no_id: BOOLEAN, id: {id_type}, row: BIGINT>, rows BIGINT) USING parquet LOCATION '{self.path}' "
                 f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS"
             )
         if spark.catalog.tableExists(self.name):
@@ -67,7 +68,7 @@ class DigestIndex:
     def add(self, prints: DataFrame) -> DataFrame:
         """Append a load of fingerprints(); its summary rows, ``fresh`` where the index did not know the digest."""
         summary = prints.groupBy("digest").agg(
-            _best(F.struct((-F.col("points")).alias("less"), F.col("id").isNull().alias("no_id"), F.col("id").cast("bigint").alias("id"), "row")),
+            _best(F.struct((-F.col("points")).alias("less"), F.col("id").isNull().alias("no_id"), "id", "row")),
             F.count("*").alias("rows"),
         )
         summary = cut(summary, "digest-load")
@@ -80,7 +81,8 @@ class DigestIndex:
             delta = summary.withColumn("fresh", F.lit(True))
         load = delta.select("digest", F.lit(self.loads).alias("load"), "fresh", "best", "rows")
         writer = load.repartition(self.buckets, "digest").coalesce(self.buckets).write.mode("append").bucketBy(self.buckets, "digest").sortBy("digest")
-        writer.option("path", self.path).format("parquet").saveAsTable(self.name)
+        with shuffles_removed(self.spark):
+            writer.option("path", self.path).format("parquet").saveAsTable(self.name)
         if self.loads:
             drop_path(self.spark, summary)
         self.loads += 1
@@ -91,8 +93,14 @@ class DigestIndex:
         return self.table().groupBy("digest").agg(_best(F.col("best")), F.sum("rows").alias("rows"))
 
 
+    def drop(self) -> None:
+        """Forget the table and delete its files."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        drop_path(self.spark, self.path)
+
+
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", loads: int = 2) -> DataFrame:
-    """Every row with the row that stays: (id, digest, points, row, best, rows), through a new index.
+    """Every row with the row that stays: (id, digest, points, row, best, rows), through an index of its own.
 
     The rows arrive in ``loads`` loads, split by digest-independent row hash, as new data would.
     """
@@ -102,6 +110,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", load
     for load in range(loads):
         index.add(prints.filter(F.pmod(F.xxhash64("row"), F.lit(loads)) == load))
     kept = cut(index.resolve(), "digest-groups")
+    index.drop()
     return attach(prints, kept, "digest", "rows")
 
 
@@ -134,12 +143,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     stay = keep_without(docs, dropped, keys, dropped.count())
     twice = cut(found.filter(same).groupBy("id", "digest", "points").count().filter("count > 1").drop("count"), "dedup-twice")
     drop_path(spark, found)
-    if n := twice.count():
+    if n := twice.count():  # rows that tie in all that ranks them: one of each set
         once = keep_without(stay, twice, keys, n)
-        again = stay.select("*", *[e.alias(f"__{k}") for k, e in keys.items()])
-        again = again.join(twice.select(*[F.col(k).alias(f"__t_{k}") for k in keys]), [F.col(f"__{k}").eqNullSafe(F.col(f"__t_{k}")) for k in keys])
-        again = again.dropDuplicates([f"__{k}" for k in keys]).select(*[F.col(f"`{c}`") for c in docs.columns])
-        stay = once.unionByName(again)
+        names = free_names(docs.columns, *(f"key_{k}" for k in keys))
+        others = free_names([*docs.columns, *names], *(f"other_{k}" for k in keys))
+        again = stay.withColumns(dict(zip(names, keys.values(), strict=True)))
+        right = few(twice.select(*[F.col(k).alias(o) for k, o in zip(keys, others, strict=True)]), n, 64)
+        again = again.join(right, [F.col(a).eqNullSafe(F.col(o)) for a, o in zip(names, others, strict=True)], "left_semi")
+        stay = once.unionByName(again.dropDuplicates(names).select(*[F.col(f"`{c}`") for c in docs.columns]))
     return stay
 
 
