@@ -5,7 +5,9 @@ the last bytes has its high bits clear, so equal passages give equal chunks wher
 in a Spark aggregation that names one owner for each; a file's row in the store holds its header, the bytes of the
 chunks it owns, and the ordered list of all its chunks. Reading back joins the chunks a file lacks by digest, puts each list in
 order, and verifies every chunk and the whole against their digests. Files equal to another's are stored and read
-once. Only small lists and chunks owned elsewhere are shuffled; a file's own bytes stay where they are read.
+once. Only small lists and chunks owned elsewhere are shuffled; a file's own bytes stay where they are read. What is
+broadcast is measured in bytes first; beyond that bound only keys with many rows are. Files that lack chunks are rebuilt
+in groups of about GROUP_BYTES, however many there are.
 
 Cases. A null text counts as empty: its payload is 64 zero bytes. Null and repeated ids are passed on, row by row.
 Empty tables give empty results; columns other than id and text are not read.
@@ -31,6 +33,8 @@ from terrane.session import cut, new_path
 UNIT, RATE, HEADER = 64, 8000, 44
 #: Smallest, usual and largest chunk. The header is the first part of a list and always the file's own.
 LEAST, USUAL, MOST = 512, 4096, 65536
+#: Bytes of the files that a task rebuilds at a time.
+GROUP_BYTES = 16 << 20
 #: One random 64-bit number for each byte value, made from a rule.
 GEAR = np.array([xxhash.xxh3_64_intdigest(bytes([b]), seed=64) for b in range(256)], np.uint64)
 
@@ -237,8 +241,7 @@ class MediaStore:
         refs = self.files.select("media", F.posexplode("digests").alias("seq", "digest")).filter("seq > 0")
         once = refs.groupBy("digest").agg(F.min(F.struct("media", "seq")).alias("owner"), F.count("*").alias("uses")).filter("uses > 1")
         self.owners = cut(once, "media-owners")
-        shared = self.owners.select("digest")
-        told = attach(refs.join(F.broadcast(shared) if self._small(shared, 32) else shared, "digest"), self.owners, "digest", "uses", "inner")
+        told = attach(refs, self.owners, "digest", "uses", "inner", most=self.most_broadcast)
         mine = (F.col("owner.media") == F.col("media")) & (F.col("owner.seq") == F.col("seq"))
         marks = told.groupBy("media").agg(
             F.collect_list(F.when(~mine, F.col("seq"))).alias("foreign"),
@@ -248,17 +251,12 @@ class MediaStore:
         self.marks = cut(marks, "media-marks")
         self.table = self._write()
 
-    def _small(self, df: DataFrame, row_bytes: int) -> bool:
-        return df.count() * row_bytes <= self.most_broadcast
-
     def _write(self) -> DataFrame:
         """One stored row for each distinct file. Texts are shuffled only where files are equal to others."""
         special = self.files.select("media", "rows").join(self.marks, "media", "left").filter("rows > 1 OR foreign IS NOT NULL")
-        special = cut(special.select(F.col("media").alias("s_media"), "rows", "foreign", "lent"), "media-special")
-        if self._small(special, 128):
-            special = F.broadcast(special)
+        special = cut(special.select("media", "rows", "foreign", "lent"), "media-special")
         rows = self.docs.select("id", "text").mapInArrow(_with_media, "text string, media binary")
-        rows = rows.join(special, F.col("media") == F.col("s_media"), "left").drop("s_media")
+        rows = attach(rows, special, "media", "rows", most=self.most_broadcast)
         columns = ("text", "media", "foreign", "lent")
         alone = rows.filter("rows IS NULL OR rows = 1").select(*columns)
         some = rows.filter("rows > 1").select(*columns).dropDuplicates(["media"])
@@ -272,8 +270,10 @@ class MediaStore:
         lacking = self.table.filter("exists(owned, x -> NOT x)")
         wants = self.marks.filter("size(wants) > 0").select(F.col("media").alias("for_media"), F.explode("wants").alias("digest"))
         parts = self.table.filter("exists(shared, x -> x)").mapInArrow(_shared_chunks, "digest binary, part binary")
-        got = wants.join(parts, "digest")
-        buckets = F.lit(max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")) * 4))
+        parts = cut(parts.join(self.owners.select("digest", "uses"), "digest"), "media-parts")
+        got = attach(wants, parts, "digest", "uses", "inner", most=self.most_broadcast)
+        total = lacking.agg(F.sum(F.aggregate("lengths", F.lit(0).cast("bigint"), lambda a, x: a + x))).first()[0] or 0
+        buckets = F.lit(max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-total // GROUP_BYTES)))
         left = lacking.withColumn("deal", F.pmod(F.xxhash64("media"), buckets))
         right = got.withColumn("deal_for", F.pmod(F.xxhash64("for_media"), buckets))
         joined = left.groupBy("deal").cogroup(right.groupBy("deal_for")).applyInArrow(_read_joined, READ_DDL)
@@ -283,7 +283,7 @@ class MediaStore:
         """One row for each document."""
         counts = self.files.select("media", "rows")
         read = cut(self.read().join(counts, "media"), "media-read")
-        return attach(self.lists.select("id", "media", "n_bytes"), read, "media", "rows", "inner").drop("media", "rows")
+        return attach(self.lists.select("id", "media", "n_bytes"), read, "media", "rows", "inner", most=self.most_broadcast).drop("media", "rows")
 
 
 def _with_media(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
