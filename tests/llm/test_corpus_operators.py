@@ -177,13 +177,109 @@ def test_held_out_accuracy_and_filter(spark):
 def test_calibration_is_plain(spark):
     docs, labels, good = _labelled(600, 5)
     model, _ = quality_cotrain.train(spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int"))
-    x1 = np.array([quality_cotrain.text_features(d[1]) for d in docs])
-    x2 = np.array([quality_cotrain.meta_features(d[3], d[2], d[4]) for d in docs])
+    x1 = model.text_view([d[1] for d in docs])
+    x2 = np.array([quality_cotrain.meta_features(d[3], d[2]) for d in docs])
     text, meta, both = model.scores(x1, x2)
     truth = np.array([good[d[0]] for d in docs])
     assert text[truth].mean() > 0.9 and text[~truth].mean() < 0.1 and meta[truth].mean() > meta[~truth].mean() and both[truth].min() > both[~truth].max()
 
 
+def test_words_are_seen(spark):
+    """Bad documents differ in their words alone: the same letters, lengths and marks."""
+    rnd = random.Random(11)
+    words = ["".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(400)]
+    swapped = {w: w[::-1] for w in words}
+    docs, labels = [], []
+    for i in range(600):
+        bad = i % 3 == 0
+        text = [rnd.choice(words) for _ in range(60)]
+        text = [swapped[w] if bad and rnd.random() < 0.4 else w for w in text]
+        docs.append((i, " ".join(text) + ".", "en", f"src{i % 2}", 0))
+        if i % 2:
+            labels.append((i, 0 if bad else 1, 0))
+    out = quality_cotrain.score_documents(spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")).collect()
+    assert np.mean([r.kept == (r.doc_id % 3 != 0) for r in out if r.doc_id % 2 == 0]) > 0.97
+
+
+def plain_cotraining(docs, labels, held, half):
+    """The same co-training on one machine, with matrices of all rows."""
+    q = quality_cotrain
+    slots = [set(q.word_slots([d[1]])[0].tolist()) for d in docs]
+    shares = np.array([np.float32(q.text_features(d[1])) for d in docs], np.float64)
+    meta = np.array([np.float32(q.meta_features(d[3], d[2])) for d in docs], np.float64)
+    y = np.array([labels.get(d[0], np.nan) for d in docs])
+    teaches = ~np.isnan(y) & ~held
+
+    def odds_of(weight, good, group):
+        out = []
+        for use in (group != 1, group != 0, group > -1):
+            n = np.zeros((2, 1 << q.WORD_BITS))
+            for i in np.flatnonzero(use & (weight > 0)):
+                for w in slots[i]:
+                    n[int(good[i]), w] += weight[i]
+            n = (n + q.SMOOTH) / (n.sum(1, keepdims=True) + q.SMOOTH * n.shape[1])
+            out.append(np.log(n[1] / n[0]))
+        return out
+
+    def text_view(odds):
+        rows = []
+        for i, s in enumerate(slots):
+            z = np.array([odds[1 - half[i] if teaches[i] else 2][w] for w in sorted(s)])
+            rows.append([z.mean(), np.tanh(z.sum() / 20), (z > 1).mean(), (z < -1).mean()] if len(s) else [0.0] * 4)
+        return np.column_stack([shares, rows])
+
+    def sure(model, x):
+        p = q.sigmoid(((x - model[0]) / model[1]) @ model[2][1:] + model[2][0])
+        return np.isnan(y) & ((p >= q.CONFIDENT) | (p <= 1 - q.CONFIDENT)), p >= 0.5
+
+    odds = odds_of(teaches.astype(float), y >= 0.5, half)
+    x = [text_view(odds), meta]
+    scale = [(m.mean(0), np.where(m.std(0) > 1e-6, m.std(0), 1.0)) for m in x]
+    weights, teach = [np.zeros(m.shape[1] + 1) for m in x], None
+    for turn in range(q.ROUNDS):
+        if turn:
+            pseudo, good = sure(teach[1], meta)
+            odds = odds_of(np.where(pseudo, q.PSEUDO_WEIGHT, teaches), np.where(pseudo, good, y >= 0.5), np.where(pseudo, 2, half))
+            x = [text_view(odds), meta]
+        for _ in range(q.STEPS if turn == 0 else q.STEPS // 2):
+            new = []
+            for me in (0, 1):
+                target, w = np.where(teaches, y, 0.0), teaches.astype(float)
+                if teach:
+                    pseudo, good = sure(teach[1 - me], x[1 - me])
+                    target, w = np.where(pseudo, good, target), np.where(pseudo, q.PSEUDO_WEIGHT, w)
+                z = np.column_stack([np.ones(len(y)), (x[me] - scale[me][0]) / scale[me][1]])
+                p = q.sigmoid(z @ weights[me])
+                penalty = np.full(z.shape[1], q.RIDGE)
+                penalty[0] = 1e-6
+                curve = z.T @ (z * (w * p * (1 - p))[:, None]) + np.diag(penalty)
+                new.append(weights[me] + np.clip(np.linalg.lstsq(curve, z.T @ (w * (target - p)) - penalty * weights[me], rcond=None)[0], -5, 5))
+            weights = new
+        teach = [(*scale[k], weights[k]) for k in (0, 1)]
+    return weights
+
+
+def test_weights_equal_plain_cotraining(spark):
+    docs, labels, _ = _labelled(300, 7)
+    df = spark.createDataFrame(docs, DOCS).repartition(3)
+    model, rows = quality_cotrain.train(df, spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int"))
+    marks = {r.doc_id: (r.held, r.half) for r in rows.collect()}
+    held, half = np.array([marks[d[0]][0] for d in docs]), np.array([marks[d[0]][1] for d in docs])
+    plain = plain_cotraining(docs, {d: q for d, q, _ in labels}, held, half)
+    for view, w in zip(model.views, plain, strict=True):
+        assert view.weights == pytest.approx(w, abs=1e-4)
+
+
+def test_threshold():
+    bad, good = np.zeros(100), np.zeros(100)
+    bad[[3, 10]] = 5
+    good[[40, 90]] = 7
+    assert 0.10 < quality_cotrain.best_threshold(bad, good) < 0.41
+    assert quality_cotrain.best_threshold(np.zeros(100), np.ones(100)) == 0.05 and quality_cotrain.best_threshold(np.ones(100), np.zeros(100)) == 0.5
+    bad[60] = 7  # a good document is worth four bad ones
+    assert 0.10 < quality_cotrain.best_threshold(bad, good) < 0.41
+
+
 def test_classifier_without_labels_and_with_nulls(spark):
     df = spark.createDataFrame([(1, None, None, None, None), (None, "", "en", "s", 0), (1, "x " * 90000, "en", "s", 3)], DOCS)
     none = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
