@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import io
+import os
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -10,13 +14,16 @@ from pyspark.sql import functions as F
 from terrane import functions as f
 from terrane.diff.compare import build_diff, compare_dataframes
 from terrane.diff.keys import growth_estimate
-from terrane.diff.result import DiffResult
+from terrane.diff.result import DiffFormatOptions, DiffResult
+from terrane.diff.schema_diff import diff_schemas
+from terrane.errors import AnalysisException, CombinatorialExplosionError
 from terrane.operators import analyze as profile
 from terrane.operators import frame, nested
 from terrane.operators import transformations as tr
 from terrane.operators.graph import connected_components
 from terrane.operators.grouped import group_by
-from terrane.plans.schema import flatten_schema
+from terrane.plans import paths
+from terrane.plans.schema import flatten_schema, simple_string, tree_string
 from terrane.plans.types import name_of
 from terrane.session import load, new_path
 from terrane.sources import Session, Writer
@@ -785,3 +792,252 @@ def write_overwrite_append_roundtrip(spark, d):
     Writer(nation.filter("n_regionkey = 3")).mode("append").save(path)
     Writer(nation).mode("ignore").save(path)
     return Session(spark).table(path)
+
+
+# Actions, texts and names: what is not a table is told as one.
+
+
+def _lines(spark, text: str) -> DataFrame:
+    return spark.createDataFrame(list(enumerate(text.rstrip("\n").split("\n"))), "line bigint, said string")
+
+
+def _said(*lines: str) -> str:
+    """SQL of numbered lines."""
+    rows = ", ".join(f"({i}, '{x.replace(chr(39), chr(39) * 2)}')" for i, x in enumerate(lines))
+    return f"SELECT CAST(line AS BIGINT) AS line, said FROM (VALUES {rows}) t(line, said)"
+
+
+def _refused(error: type[Exception], run: Callable) -> bool:
+    try:
+        run()
+    except error:
+        return True
+    return False
+
+
+@query("SELECT 'collect' AS action, count(*) AS n FROM nation UNION ALL SELECT 'count', count(*) FROM nation UNION ALL SELECT 'iterator', sum(n_nationkey)::BIGINT FROM nation UNION ALL SELECT 'take', 3 UNION ALL SELECT 'pandas', count(*) FROM nation")
+def actions(spark, d):
+    df = load(spark, d, "nation")
+    rows = [("collect", len(df.collect())), ("count", df.count()), ("iterator", sum(r.n_nationkey for r in df.toLocalIterator())), ("take", len(df.take(3))), ("pandas", len(df.toPandas()))]
+    return spark.createDataFrame(rows, "action string, n bigint")
+
+
+@query(_said("+-------------+---------+", "| r_regionkey |  r_name |", "+-------------+---------+", "|           0 |  AFRICA |", "|           1 | AMERICA |", "+-------------+---------+", "only showing top 2 rows"))
+def show_text(spark, d):
+    return _lines(spark, frame.show_string(load(spark, d, "region").orderBy("r_regionkey"), 2))
+
+
+@query(_said("root", " |-- r_regionkey: INTEGER (NULLABLE)", " |-- r_name: STRING (NULLABLE)", "r_regionkey:INTEGER,r_name:STRING"))
+def schema_texts(spark, d):
+    schema = load(spark, d, "region").schema
+    return _lines(spark, tree_string(schema).rstrip("\n") + "\n" + simple_string(schema))
+
+
+@query("SELECT * FROM (VALUES ('alias', 'x'), ('none', NULL), ('bool', 'true'), ('generator', 'true'), ('transform', '25'), ('quoted', 'a.b')) t(name, said)")
+def column_rules(spark, d):
+    nation = load(spark, d, "nation")
+    dotted = nation.select(F.col("n_name").alias("a.b"))
+    rows = [
+        ("alias", f.get_alias(F.col("n_name").alias("x"))),
+        ("none", f.get_alias(F.col("n_name"))),
+        ("bool", str(_refused(Exception, lambda: bool(F.col("n_name") == "x"))).lower()),
+        ("generator", str(_refused(Exception, lambda: nation.select(F.explode(F.array("n_name")) + F.lit(1)).collect())).lower()),
+        ("transform", str(nation.transform(lambda x: x.select("n_name")).count())),
+        ("quoted", dotted.select(nested.quoted("a.b")).columns[0]),
+    ]
+    return spark.createDataFrame(rows, "name string, said string")
+
+
+@query("SELECT * FROM (VALUES (1::BIGINT, 'a'), (2, NULL)) t(id, name)")
+def inline_rows(spark, d):
+    return Session(spark).rows([(1, "a"), (2, None)], "id bigint, name string")
+
+
+@query("SELECT a.n_name AS a_name, b.r_name AS b_name FROM nation a JOIN region b ON a.n_regionkey < b.r_regionkey AND length(a.n_name) > length(b.r_name)")
+def join_theta_only(spark, d):
+    a, b = load(spark, d, "nation"), load(spark, d, "region")
+    on = [F.col("n_regionkey") < F.col("r_regionkey"), F.length("n_name") > F.length("r_name")]
+    return frame.join(a, b, on).select(F.col("n_name").alias("a_name"), F.col("r_name").alias("b_name"))
+
+
+# Aggregates and pivots that need names, or are held against exact ones.
+
+
+@query("SELECT l_returnflag, count(CASE WHEN l_discount = 0.05 THEN 1 END) AS n_five, count(CASE WHEN l_discount = 0.1 THEN 1 END) AS n_ten FROM lineitem GROUP BY 1")
+def pivot_aliased_values(spark, d):
+    grouped = group_by(load(spark, d, "lineitem"), "l_returnflag").pivot("l_discount", [F.lit(0.05).alias("five"), F.lit(0.1).alias("ten")])
+    out = grouped.agg(F.count("l_orderkey").alias("n"))
+    return out.select("l_returnflag", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_five", "n_ten")])
+
+
+@query("SELECT o_custkey, list(p ORDER BY latest DESC, p) AS priorities FROM (SELECT o_custkey, o_orderpriority AS p, max(o_orderdate) AS latest FROM orders GROUP BY 1, 2) GROUP BY 1")
+def agg_array_agg_distinct_by_other(spark, d):
+    latest = f.array_agg("o_orderpriority", order_by=[F.col("o_orderdate").desc(), F.col("o_orderpriority").asc()], distinct=True)
+    return load(spark, d, "orders").groupBy("o_custkey").agg(latest.alias("priorities"))
+
+
+@query("SELECT 'lineitem' AS name, (SELECT count(*) FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_quantity FROM lineitem)) AS hashes UNION ALL SELECT 'orders', count(DISTINCT o_orderpriority) FROM orders")
+def fn_hash_tells_rows_apart(spark, d):
+    line = load(spark, d, "lineitem").select(F.lit("lineitem").alias("name"), f.hash("l_orderkey", "l_linenumber", "l_quantity").alias("h"))
+    both = line.unionByName(load(spark, d, "orders").select(F.lit("orders").alias("name"), f.hash("o_orderpriority").alias("h")))
+    return both.groupBy("name").agg(F.count_distinct("h").alias("hashes"))
+
+
+@query("SELECT * FROM (VALUES ('', ''), ('f', 'MY======'), ('fo', 'MZXQ===='), ('foo', 'MZXW6==='), ('foob', 'MZXW6YQ='), ('fooba', 'MZXW6YTB'), ('foobar', 'MZXW6YTBOI======'), (NULL, NULL)) t(plain, coded)")
+def fn_base32_known(spark, d):
+    words = spark.createDataFrame([(x,) for x in ("", "f", "fo", "foo", "foob", "fooba", "foobar", None)], "plain string")
+    return words.select("plain", f.to_base32(F.col("plain").cast("binary")).alias("coded"))
+
+
+@query("SELECT 'l_orderkey' AS name, true AS near UNION ALL SELECT 'l_partkey', true UNION ALL SELECT 'l_returnflag', true")
+def agg_approx_distinct_near(spark, d):
+    line, names = load(spark, d, "lineitem"), ("l_orderkey", "l_partkey", "l_returnflag")
+    sides = line.agg(*[F.approx_count_distinct(n, 0.02).alias(f"a_{n}") for n in names], *[F.count_distinct(n).alias(f"e_{n}") for n in names])
+    return sides.select(F.inline(F.array(*[F.struct(F.lit(n).alias("name"), (F.abs(F.col(f"a_{n}") - F.col(f"e_{n}")) <= 0.08 * F.col(f"e_{n}")).alias("near")) for n in names])))
+
+
+@query("SELECT n_regionkey AS item, count(*) AS count FROM nation GROUP BY 1")
+def agg_approx_top_few(spark, d):
+    top = load(spark, d, "nation").agg(f.approx_top_count("n_regionkey", 10).alias("top"))
+    return top.select(F.inline("top"))
+
+
+# Nested fields: rules and former names.
+
+
+@query("SELECT * FROM (VALUES ('lambda on nothing', true), ('no such field', true), ('! before a name', true)) t(name, refused)")
+def nested_rules(spark, d):
+    df = orders_nested(spark, d)
+    rows = [
+        ("lambda on nothing", _refused(Exception, lambda: nested.select(df, {"no_such!": lambda x: x}).collect())),
+        ("no such field", _refused(Exception, lambda: nested.select(df, {"customer.no_such": None}).collect())),
+        ("! before a name", _refused(ValueError, lambda: paths.steps("a!b"))),
+    ]
+    return spark.createDataFrame(rows, "name string, refused boolean")
+
+
+@query(
+    "SELECT * FROM (VALUES ('a!.b', 'a!', 'sub', true), ('a!.b', 'a', 'sub', true), ('ab', 'a', 'sub', false), ('a', 'a', 'sub', false), ('a', 'a', 'equal', true), ('a', 'a!.b', 'parent', true), ('a!.b', 'a!.c', 'granularity', true), ('a!.b', 'c', 'granularity', false)) t(path, of, rule, holds)"
+)
+def path_rules(spark, d):
+    rules = {"sub": paths.is_sub_field, "equal": paths.is_sub_field_or_equal, "parent": paths.is_parent_field, "granularity": paths.same_granularity}
+    asked = [("a!.b", "a!", "sub"), ("a!.b", "a", "sub"), ("ab", "a", "sub"), ("a", "a", "sub"), ("a", "a", "equal"), ("a", "a!.b", "parent"), ("a!.b", "a!.c", "granularity"), ("a!.b", "c", "granularity")]
+    return spark.createDataFrame([(*x, rules[x[2]](x[0], x[1])) for x in asked], "path string, of string, rule string, holds boolean")
+
+
+@query("SELECT o_orderkey, c_name AS name FROM orders LEFT JOIN customer ON o_custkey = c_custkey")
+def nested_former_names(spark, d):
+    return nested.select_nested_columns(orders_nested(spark, d), {"o_orderkey": None, "name": lambda s: s["customer"]["name"]})
+
+
+@query("SELECT * FROM (VALUES ('n_nationkey', 'bigint'), ('n_name', 'same')) t(name, kind)")
+def common_columns(spark, d):
+    nation = load(spark, d, "nation")
+    other = nation.select(F.col("n_nationkey").cast("bigint").alias("n_nationkey"), "n_name", F.lit(1).alias("more"))
+    found = tr.get_common_columns(nation.schema, other.schema)
+    return spark.createDataFrame([(k, "same" if v is None else v.simpleString()) for k, v in found.items()], "name string, kind string")
+
+
+@query("SELECT n_regionkey, list(n_name ORDER BY n_name) AS names FROM nation GROUP BY 1")
+def normalized_arrays(spark, d):
+    return tr.normalize_arrays(load(spark, d, "nation").groupBy("n_regionkey").agg(F.collect_list("n_name").alias("names")))
+
+
+# Diffs: schemas, guards, value lists, flags and reports.
+
+
+@query(_said("True", "-n_regionkey INTEGER", "+n_regionkey STRING", "+more STRING", "3"))
+def diff_schema_lines(spark, d):
+    nation = load(spark, d, "nation")
+    found = diff_schemas(nation.schema, nation.withColumn("n_regionkey", F.col("n_regionkey").cast("string")).withColumn("more", F.lit("x")).schema, ["n_nationkey"])
+    changed = [x for x in found.diff_str.split("\n") if x[:1] in "+-"]
+    return _lines(spark, "\n".join([str(not found.same_schema), *changed, str(found.nb_cols)]))
+
+
+@query("SELECT 'n_regionkey' AS keys, true AS refused UNION ALL SELECT 'n_nationkey', false")
+def diff_guard(spark, d):
+    nation = load(spark, d, "nation")
+    said = io.StringIO()
+    with contextlib.redirect_stdout(said):
+        rows = [(k, _refused(CombinatorialExplosionError, lambda k=k: compare_dataframes(nation, nation, [k]))) for k in ("n_regionkey", "n_nationkey")]
+    return spark.createDataFrame(rows, "keys string, refused boolean")
+
+
+_NATIONS = "(SELECT n_nationkey, n_regionkey FROM nation WHERE n_nationkey <> 3) l FULL JOIN (SELECT n_nationkey, CASE WHEN n_nationkey % 4 = 0 THEN n_regionkey + 10 ELSE n_regionkey END AS n_regionkey FROM nation WHERE n_nationkey <> 5) r ON l.n_nationkey = r.n_nationkey"
+
+
+def _changed_nations(spark, d) -> DiffResult:
+    nation = load(spark, d, "nation").select("n_nationkey", "n_regionkey")
+    right = nation.filter("n_nationkey <> 5").withColumn("n_regionkey", F.when(F.col("n_nationkey") % 4 == 0, F.col("n_regionkey") + 10).otherwise(F.col("n_regionkey")))
+    with contextlib.redirect_stdout(io.StringIO()):
+        return compare_dataframes(nation.filter("n_nationkey <> 3"), right, ["n_nationkey"])
+
+
+@query(
+    f"WITH c AS (SELECT CASE WHEN l.n_nationkey IS NULL THEN 'only_in_right' WHEN r.n_nationkey IS NULL THEN 'only_in_left' WHEN l.n_regionkey = r.n_regionkey THEN 'no_change' ELSE 'changed' END AS state, "
+    f"CAST(l.n_regionkey AS VARCHAR) AS left_value, CAST(r.n_regionkey AS VARCHAR) AS right_value, count(*) AS nb FROM {_NATIONS} GROUP BY ALL), "
+    "n AS (SELECT *, row_number() OVER (PARTITION BY state ORDER BY nb DESC, left_value, right_value) AS row_num FROM c) SELECT state, left_value, right_value, nb FROM n WHERE row_num <= 3"
+)
+def diff_value_lists(spark, d):
+    row = _changed_nations(spark, d).get_diff_per_col_df(3).filter("column_name = 'n_regionkey'")
+    value, none = F.col("x.value"), F.lit(None).cast("string")
+    parts = [row.select(F.explode("diff.changed").alias("x")).select(F.lit("changed").alias("state"), "x.left_value", "x.right_value", "x.nb")]
+    for state, left, right in (("no_change", value, value), ("only_in_left", value, none), ("only_in_right", none, value)):
+        parts.append(row.select(F.explode(f"diff.{state}").alias("x")).select(F.lit(state).alias("state"), left.alias("left_value"), right.alias("right_value"), "x.nb"))
+    return tr.union_dataframes(parts)
+
+
+@query(
+    f"SELECT state, CAST(row_num AS INTEGER) AS row_num, nb FROM (SELECT state, nb, row_number() OVER (PARTITION BY state ORDER BY nb DESC, a, b) AS row_num FROM (SELECT CASE WHEN l.n_nationkey IS NULL THEN 'only_in_right' WHEN r.n_nationkey IS NULL THEN 'only_in_left' WHEN l.n_regionkey = r.n_regionkey THEN 'no_change' ELSE 'changed' END AS state, "
+    f"CAST(l.n_regionkey AS VARCHAR) AS a, CAST(r.n_regionkey AS VARCHAR) AS b, count(*) AS nb FROM {_NATIONS} GROUP BY ALL))"
+)
+def diff_ranks(spark, d):
+    return _changed_nations(spark, d).top_per_col_state_df.filter("column_name = 'n_regionkey'").select("state", "row_num", "nb")
+
+
+@query("SELECT true AS same_schema, false AS same_data, false AS is_ok, count(*) AS total FROM nation")
+def diff_flags(spark, d):
+    found = _changed_nations(spark, d)
+    return spark.createDataFrame([(found.same_schema, found.same_data, found.is_ok, found.total_nb_rows)], "same_schema boolean, same_data boolean, is_ok boolean, total bigint")
+
+
+@query("SELECT 'console' AS report, true AS told UNION ALL SELECT 'html', true UNION ALL SELECT 'command', true")
+def diff_reports(spark, d):
+    from terrane.cli import diff as command
+
+    found, said = _changed_nations(spark, d), io.StringIO()
+    with contextlib.redirect_stdout(said), tempfile.TemporaryDirectory() as folder:  # reports are files of the driver
+        found.display(show_examples=True)
+        text = said.getvalue()
+        page, other = os.path.join(folder, "a.html"), os.path.join(folder, "b.html")
+        found.export_to_html(output_file_path=page, diff_format_options=DiffFormatOptions(nb_diffed_rows=2))
+        command.main(["--tables", f"{d}/nation.parquet", f"{d}/nation.parquet", "--join-cols", "n_nationkey", "--output", other])
+        pages = [open(x, encoding="utf-8").read() for x in (page, other)]  # noqa: SIM115
+    rows = [("console", "diff NOT ok" in text and "n_regionkey" in text), ("html", "n_regionkey" in pages[0]), ("command", "n_nationkey" in pages[1])]
+    return spark.createDataFrame(rows, "report string, told boolean")
+
+
+# Star steps on whole tables, and a writer's table.
+
+
+@query(
+    "SELECT o_orderkey * 1000 + 77 AS node_id, CAST(c_nationkey AS BIGINT) AS connected_component_id FROM orders JOIN customer ON o_custkey = c_custkey "
+    "UNION ALL SELECT c_custkey * 1000 + 50, c_nationkey FROM customer UNION ALL SELECT DISTINCT CAST(c_nationkey AS BIGINT), CAST(c_nationkey AS BIGINT) FROM customer"
+)
+def graph_components_tree(spark, d):
+    """Orders hang on customers and these on nations: the star steps alone, over whole tables."""
+    customer = load(spark, d, "customer")
+    edges = customer.select((F.col("c_custkey") * 1000 + 50).alias("a"), F.col("c_nationkey").cast("bigint").alias("b"))
+    orders = load(spark, d, "orders").join(customer.select("c_custkey"), F.col("o_custkey") == F.col("c_custkey"), "left_semi")
+    return connected_components(edges.unionByName(orders.select((F.col("o_orderkey") * 1000 + 77).alias("a"), (F.col("o_custkey") * 1000 + 50).alias("b"))), local_edges=0)
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey FROM nation UNION ALL SELECT n_nationkey, n_name, n_regionkey FROM nation WHERE n_regionkey = 1")
+def write_table_partitioned(spark, d):
+    nation = load(spark, d, "nation")
+    name = "terrane_written_nations"
+    Writer(nation).mode("overwrite").partition_by("n_regionkey").options(description="nations", compression="gzip").save(name)
+    Writer(nation.filter("n_regionkey = 1")).mode("append").save(name)
+    if not _refused(Exception, lambda: Writer(nation).save(name)):
+        raise AnalysisException("an existing table was written over")
+    return Session(spark).table(name).select("n_nationkey", "n_name", "n_regionkey")

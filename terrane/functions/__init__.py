@@ -136,6 +136,16 @@ def is_aliased(value: Column) -> bool:
     return value._jc.node().getClass().getSimpleName() == "Alias"
 
 
+def get_alias(value: Column) -> str | None:
+    """The name that a column has been given."""
+    return value._jc.node().name().mkString(".") if is_aliased(value) else None
+
+
+def without_alias(value: Column) -> Column:
+    """The column before it was named."""
+    return ClassicColumn(SparkContext._jvm.org.apache.spark.sql.Column(value._jc.node().child())) if is_aliased(value) else value
+
+
 def _compare(a: Column, b: Column, descending: bool) -> Column:
     """-1, 0 or 1; nulls come first when ascending and last when descending."""
     order = F.when(a.isNull() & b.isNull(), 0).when(a.isNull(), -1).when(b.isNull(), 1).when(a < b, -1).when(a > b, 1).otherwise(0)
@@ -165,7 +175,10 @@ def transform(value: str | Column, func: Callable[[Column], Column]) -> Column:
 
 
 def array_agg(value: str | Column, order_by: Any = None, distinct: bool = False, ignore_nulls: bool = False, limit: int | None = None) -> Column:
-    """Values of a group as an array: nulls kept unless ignored, sorted by keys, without repeats, at most ``limit``."""
+    """Values of a group as an array: nulls kept unless ignored, sorted by keys, without repeats, at most ``limit``.
+
+    Of repeated values the one that sorts first stays. ``limit`` applies after the whole group is gathered.
+    """
     value = column(value)
     keys = [] if order_by is None else _sort_keys(order_by)
     pairs = [_direction(k) for k in keys]
@@ -186,9 +199,10 @@ def array_agg(value: str | Column, order_by: Any = None, distinct: bool = False,
         collected = F.array_sort(collected, lambda x, y: order(x, y))
     elif distinct:
         collected = F.array_sort(collected)
-    if limit is not None:
-        collected = F.slice(collected, 1, limit)
-    return F.transform(collected, lambda x: x["v"])
+    values = F.transform(collected, lambda x: x["v"])
+    if distinct:
+        values = F.array_distinct(values)
+    return values if limit is None else F.slice(values, 1, limit)
 
 
 def posexplode(value: str | Column, alias: str, outer: bool = False) -> list[Column]:

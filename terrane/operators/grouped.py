@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrane.errors import AnalysisException, UnsupportedOperationException
-from terrane.functions import column, is_aliased
+from terrane.functions import column, get_alias, is_aliased, without_alias
 from terrane.plans.paths import STRUCT, after_last
 from terrane.plans.schema import flatten_schema
 from terrane.plans.types import is_numeric
@@ -31,6 +31,15 @@ def value_name(value) -> str:
     raise AnalysisException(f"values of {type(value).__name__} need an aliased Column to be pivoted")
 
 
+def found_values(values: DataFrame) -> list:
+    """The distinct values of a column, sorted; as many as the session allows to be pivoted."""
+    most = int(values.sparkSession.conf.get("spark.sql.pivotMaxValues", "10000"))
+    found = [r[0] for r in values.distinct().orderBy(values.columns[0]).limit(most + 1).collect()]
+    if len(found) > most:
+        raise AnalysisException(f"more than {most} values to pivot: give the values, or raise spark.sql.pivotMaxValues")
+    return found
+
+
 class Grouped:
     """A table and what it is grouped by; struct paths give columns named by their last part."""
 
@@ -50,8 +59,12 @@ class Grouped:
         """Columns aggregate by aggregate: ``{alias}_{value}``, or just the value for one aggregate without alias."""
         values = self.pivot_values
         if values is None:
-            values = [r[0] for r in self.df.select(F.col(self.pivot_column).alias("v")).distinct().orderBy("v").collect()]
-        names = [value_name(v) for v in values]
+            values = found_values(self.df.select(F.col(self.pivot_column).alias("v")))
+        for v in values:
+            if isinstance(v, Column) and not is_aliased(v):
+                raise AnalysisException("a Column among the pivoted values needs an alias")
+        names = [get_alias(v) if isinstance(v, Column) else value_name(v) for v in values]
+        values = [without_alias(v)._jc if isinstance(v, Column) else v for v in values]
         plain = len(aggs) == 1 and not is_aliased(aggs[0])
         labels = self.df.agg(*aggs).columns
         keyed = self.df.groupBy(*self._by()).pivot(self.pivot_column, values).agg(*[a.alias(f"a{i}") for i, a in enumerate(aggs)])
@@ -91,7 +104,7 @@ class Grouped:
         return self.agg(F.count(F.lit(1)).alias("count"))
 
     def pivot(self, pivot_column: str, values: list | None = None) -> Grouped:
-        """One column for each value; values that are not given are found first."""
+        """One column for each value, which may be a literal Column with an alias; values that are not given are found first."""
         if self.pivot_column is not None:
             raise UnsupportedOperationException("a pivot cannot be pivoted again")
         return Grouped(self.df, self.keys, pivot_column, values)

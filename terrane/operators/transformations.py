@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from terrane.errors import AnalysisException
 from terrane.functions import is_aliased
+from terrane.operators.grouped import found_values
 from terrane.operators.nested import build_from_schema, quoted
 from terrane.plans.schema import flatten_schema
 from terrane.plans.types import common_type, orderable
@@ -142,7 +143,7 @@ def pivot(df: DataFrame, pivot_column: str, aggs: Column | str | list[Column | s
     used = _names_in(df, listed) | {pivot_column}
     rest = [c for c in df.columns if c.lower() not in {u.lower() for u in used}]
     if pivoted_columns is None:
-        pivoted_columns = [r[0] for r in df.select(F.col(pivot_column).cast("string")).distinct().orderBy(pivot_column).collect()]
+        pivoted_columns = found_values(df.select(F.col(pivot_column).cast("string")))
     grouped = df.groupBy(*[quoted(c) for c in rest]).pivot(pivot_column, list(pivoted_columns))
     out = grouped.agg(*[a.alias(f"a{i}") for i, a in enumerate(listed)])
     columns = []
