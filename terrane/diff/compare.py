@@ -61,14 +61,14 @@ def compare_dataframes(left: DataFrame, right: DataFrame, join_cols: list[str] |
 
     Without ``join_cols`` one column is looked for that tells rows apart.
     """
-    print("\nAnalyzing differences...")
+    print("\nComparing two tables ...")
     flat_left = flat_right = None
     if not join_cols:
-        print("No join_cols provided: trying to automatically infer a column that can be used for joining the two DataFrames")
+        print("No join_cols given: looking for a column that tells rows apart on both sides")
         flat_left, flat_right = (flatten(df, P.STRUCT_NAME) for df in (left, right))
         name, _ = infer_key(flat_left, flat_right)
         join_cols = [P.unmangle(name)]
-        print(f"Found the following column: {join_cols[0]}")
+        print(f"Chosen column: {join_cols[0]}")
         how = "inferred"
     else:
         _check_keys(left, right, join_cols)
@@ -83,7 +83,7 @@ def compare_dataframes(left: DataFrame, right: DataFrame, join_cols: list[str] |
         if not keys or not set(keys) <= set(lefts[level].columns) & set(rights[level].columns):
             continue
         shown = [P.unmangle(k) for k in keys]
-        print(f"Generating the diff by joining the DataFrames together using the {how} column{'s' if len(shown) > 1 else ''}: {shown if len(shown) > 1 else shown[0]}")
+        print(f"Joining both tables on the {how} column{'s' if len(shown) > 1 else ''}: {shown if len(shown) > 1 else shown[0]}")
         check_growth(lefts[level], rights[level], keys)
         order = [P.mangle(n) for n in schema.column_names if P.mangle(n) in {*lefts[level].columns, *rights[level].columns}]
         a, b = (df.select(*[quoted(c) for c in order if c in df.columns]) for df in (lefts[level], rights[level]))

@@ -202,20 +202,20 @@ class DiffResult:
             out.append(s.text(left, right))
             if s.changed:
                 changes = [(r.column_name, r.counts.changed, d.left_value, d.right_value, d.nb) for r in here for d in sorted(r.diff.changed, key=lambda d: -d.nb)]
-                out += ["Found the following changes:", table_text(["column_name", "total_nb_diff", "left_value", "right_value", "nb_differences"], _cut(changes, options))]
+                out += ["Changed values:", table_text(["column_name", "total_nb_diff", "left_value", "right_value", "nb_differences"], _cut(changes, options))]
                 if show_examples:
                     out += self._examples(level, here, options)
             for side, name in (("left", left), ("right", right)):
                 n = getattr(s, f"only_in_{side}")
                 if n:
                     values = [(r.column_name, d.value, d.nb) for r in here for d in sorted(r.diff[f"only_in_{side}"], key=lambda d: -d.nb)]
-                    out += [f"{n} rows were only found in '{name}' :", f"Most frequent values in '{name}' for each column :", table_text(["column_name", "value", "nb"], _cut(values, options))]
+                    out += [f"{n} rows are in '{name}' alone:", f"Values that '{name}' has most often there, by column:", table_text(["column_name", "value", "nb"], _cut(values, options))]
         return "\n".join(out)
 
     def _examples(self, level: str, rows: list, options: DiffFormatOptions) -> list[str]:
         df = self.diff_df_shards[level]
         keys = [P.mangle(k) for k in self.join_cols if P.mangle(k) in df.columns]
-        out = ["Detailed examples :"]
+        out = ["Examples by column:"]
         for r in rows:
             c = P.mangle(r.column_name)
             if r.counts.changed and c not in keys:

@@ -67,23 +67,23 @@ def _arrays(spark):
 
 def test_array_as_a_value(spark, capsys):
     result = compare_dataframes(*_arrays(spark))
-    assert "Found the following column: id" in capsys.readouterr().out
+    assert "Chosen column: id" in capsys.readouterr().out
     assert stats(result) == (4, 0, 2, 3, 3, 1, 1)
     result.display(show_examples=True)
     text = capsys.readouterr().out
     assert "-my_array ARRAY<STRUCT<a:INTEGER,b:INTEGER,c:INTEGER>>" in text and "diff NOT ok" in text
-    assert "1 (25.0%) rows are only in 'right'" in text and "Detailed examples" in text
+    assert "1 (25.0%) rows are only in 'right'" in text and "Examples by column" in text
 
 
 def test_array_opened(spark, capsys):
     result = compare_dataframes(*_arrays(spark), join_cols=["id", "my_array!.a"])
-    assert "Generating the diff by joining the DataFrames together using the provided columns: ['id', 'my_array!.a']" in capsys.readouterr().out
+    assert "Joining both tables on the provided columns: ['id', 'my_array!.a']" in capsys.readouterr().out
     assert stats(result) == (4, 2, 0, 3, 3, 1, 1) and stats(result, "my_array!") == (5, 1, 0, 3, 3, 2, 2)
     assert result.schema_diff_result.column_names_diff == {"id": " ", "my_array!.a": " ", "my_array!.b": " ", "my_array!.c": " ", "my_array!.d": "+"}
     result.display()
     text = capsys.readouterr().out
     root, inner = text.split("Granularity : my_array!")
-    assert "my_array!.a" not in root.split("Granularity : root")[1] and "2 rows were only found in 'right'" in inner
+    assert "my_array!.a" not in root.split("Granularity : root")[1] and "2 rows are in 'right' alone" in inner
 
 
 def test_per_column(spark):
