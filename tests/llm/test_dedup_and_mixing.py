@@ -34,6 +34,22 @@ def test_exact_groups(spark):
     assert exact_dedup.exact_dedup(df.limit(0)).count() == 0 and exact_dedup.exact_dedup_report(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("names", [("__id", "__digest", "__points"), ("key_id", "KEY_DIGEST", "other_id"), ("id", "best", "row"), ("copies", "own", "place")])
+def test_columns_of_any_name_and_string_ids(spark, names):
+    rows = [("b", "x y", "s", 1, 2, 3), ("a", "x  y", "s", 4, 5, 6), ("a", "x  y", "t", 7, 8, 9), (None, "xy", None, 1, 1, 1), ("c", "other words here", "s", 0, 0, 0)]
+    df = spark.createDataFrame(rows, "doc_id string, text string, source string, " + ", ".join(f"{n} int" for n in names))
+    before = set(t.name for t in spark.catalog.listTables())
+    report = {(r.doc_id, r.keep_id, r.group_size) for r in exact_dedup.exact_dedup_report(df).collect()}
+    assert report == {("b", "a", 4), ("a", "a", 4), (None, "a", 4), ("c", "c", 1)}
+    kept = exact_dedup.exact_dedup(df)
+    assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == ["a", "c"]
+    assert set(t.name for t in spark.catalog.listTables()) == before
+    numbered = df.withColumn("doc_id", F.monotonically_increasing_id())
+    assert ngram_join.drop_near_duplicates(numbered).columns == df.columns
+    mixed = mixing.mix_documents(df)
+    assert mixed.columns == df.columns and mixed.count() > 0
+
+
 def test_index_persists_and_grows(spark):
     docs = lambda *t: exact_dedup.fingerprints(spark.createDataFrame(list(t), "doc_id bigint, text string"))
     index = exact_dedup.DigestIndex(spark, buckets=4)
@@ -136,6 +152,41 @@ def test_near_filter_and_odd_rows(spark):
     assert ngram_join.near_duplicates(df.limit(0)).count() == 0 and ngram_join.drop_near_duplicates(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("rounds", [0, 3])
+def test_tiles_of_large_blocks(spark, monkeypatch, rounds):
+    """A passage common to many otherwise different documents, and near copies among them."""
+    monkeypatch.setattr(ngram_join, "TILE_ROWS", 6)
+    rnd = random.Random(12)
+    word = lambda: "".join(rnd.choice("abcdefg") for _ in range(6))
+    passage = [word() for _ in range(40)]
+    texts = []
+    for _ in range(25):
+        own = [word() for _ in range(rnd.choice([6, 8, 9, 10, 14]))]
+        texts.append(" ".join(passage + own))
+        if rnd.random() < 0.4:
+            texts.append(" ".join([*passage, *own[:-1], word()]))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    join = ngram_join.NgramJoin(df)
+    parts = collections.defaultdict(list)
+    for r in join.components(rounds=rounds, eager=0).collect():
+        parts[r.label].append(r.node)
+    nodes = {ngram_join.node_of(ngram_join.shingle_set(t)): i for i, t in enumerate(texts)}
+    plain = collections.defaultdict(list)
+    for i, (_, c) in plain_components(list(range(len(texts))), texts).items():
+        plain[c].append(i)
+    assert sorted(sorted(nodes[n] for n in g) for g in parts.values()) == sorted(sorted(g) for g in plain.values() if len(g) > 1)
+
+
+def test_rows_with_one_id_are_documents_of_their_own(spark):
+    one, two = "a b c d e f g h i j", "k l m n o p q r s t"
+    rows = [(1, one), (3, one), (3, two), (5, two), (3, two), (7, one + " z"), (4, ""), (4, ""), (8, "u v w x y z")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted((r.doc_id, r.component_id) for r in ngram_join.near_duplicates(df).collect())
+    assert got == [(1, 1), (3, 1), (3, 3), (3, 3), (4, 4), (4, 4), (5, 3), (7, 1), (8, 8)]
+    kept = sorted((r.doc_id, r.text) for r in ngram_join.drop_near_duplicates(df).collect())
+    assert kept == [(1, one), (3, two), (4, ""), (4, ""), (8, "u v w x y z")]
+
+
 def test_divide_skip_counts_exactly():
     rnd = random.Random(6)
     for _ in range(400):
@@ -231,6 +282,22 @@ def test_mix_query(spark, tmp_path):
     assert mixing.mix_documents(df.limit(0)).count() == 0
 
 
+def test_documents_stay_where_they_are(spark, tmp_path):
+    df = spark.createDataFrame([(i, "w " * (i % 9), f"s{i % 3}") for i in range(90)], "doc_id bigint, text string, source string")
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    for out in (mixing.mix_documents(spark.read.parquet(str(tmp_path / "documents.parquet"))), mixing.op7_mix_sources(spark, str(tmp_path))):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+
+
+def test_the_gap_is_filled_to_the_end(spark):
+    rows = [(i, "w " * (1 if i else 40), "a" if i % 2 else "b") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    mix, _ = mixing.plan_mix(df, F.array("source"), mixing.word_count(F.col("text")), F.col("doc_id"))
+    taken = mixing.apply_mix(df, mix, F.array("source"), F.col("doc_id")).groupBy("source").agg(F.sum(F.col("__copies") * mixing.word_count(F.col("text"))).alias("n"))
+    assert {r.source: r.n for r in taken.collect()} == {s: round(t) for s, t in mix.targets.items()}
+
+
 def test_overlapping_sources(spark):
     df = spark.createDataFrame([(i, ["a"] if i % 2 else ["a", "b"]) for i in range(200)], "id bigint, m array<string>")
     mix, _ = mixing.plan_mix(df, F.col("m"), F.lit(10).cast("bigint"), F.col("id"))

@@ -1,5 +1,6 @@
 """Extraction, formatting and encoding against plain versions."""
 
+import collections
 import hashlib
 import random
 
@@ -91,6 +92,28 @@ def test_spans_and_rewrites():
     assert state.rewrites == [(2, 5)] and state.spans[0] is None
 
 
+def test_chat_query_on_a_whole_table(spark, tmp_path):
+    spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").write.parquet(str(tmp_path / "conversations.parquet"))
+    odd = spark.createDataFrame([(None, 1, "user", "x"), (99_999, 2, "assistant", None), (99_999, 1, "us%0Aer\n", "[INST] <\\s> </s>"), (99_998, 1, None, "<|im_end|>")], "conv_id bigint, turn int, role string, text string")
+    table = spark.read.parquet(str(tmp_path / "conversations.parquet")).select("conv_id", F.col("turn").cast("int").alias("turn"), "role", "text").unionByName(odd)
+    table.write.parquet(str(tmp_path / "all" / "conversations.parquet"))
+    chats = collections.defaultdict(list)
+    for r in table.collect():
+        chats[r.conv_id].append((r.turn, r.role or "", r.text or ""))
+    said = "</s>[INST] ok [/INST]"
+    chats[-7] = [(0, "user", said), (1, "assistant", said)]
+    got = {r.conv_id: r for r in chat_format.op4_chat_format(spark, str(tmp_path / "all")).collect()}
+    assert got.keys() == chats.keys() and len(chats) > 20
+    for conv, turns in chats.items():
+        turns.sort()
+        whole = "".join(f"{role}\n{text}\n" for _, role, text in turns)
+        loss = "".join(text for _, role, text in turns if role == "assistant")
+        r = got[conv]
+        assert (r.n_turns, r.turns_sha256) == (len(turns), hashlib.sha256(whole.encode()).hexdigest())
+        assert (r.loss_chars, r.loss_sha256, r.rewrites_history) == (len(loss), hashlib.sha256(loss.encode()).hexdigest(), False)
+        assert r.formatted_chars == len(chat_format.chatml([(role, text) for _, role, text in turns]))
+
+
 def test_chat_query(spark):
     said = "</s>[INST] ok [/INST]"
     rows = [(1, 1, "assistant", said), (1, 0, "user", said), (2, 0, "user", None), (2, 0, "user", None), (None, 0, None, "x"), (3, 0, "assistant", "long " * 5000)]
