@@ -108,9 +108,11 @@ def connected_components(
     stars = cut(raw.mapInArrow(_forest, _pairs_schema(kind)), "cc-forest")
     if stars.count() < local_edges:
         whole = cut(stars.coalesce(1).mapInArrow(_forest, _pairs_schema(kind)), "cc-whole")
+        drop_path(df.sparkSession, stars)
         return whole.select(F.col("u").alias(node_name), F.col("v").alias(connected_component_col_name))
-    nodes = stars.select("u").unionByName(stars.select(F.col("v").alias("u"))).distinct()
+    nodes = cut(stars.select("u").unionByName(stars.select(F.col("v").alias("u"))).distinct(), "cc-nodes")
     edges = cut(stars.filter("u <> v").distinct(), "cc-edges")
+    drop_path(df.sparkSession, stars)
     before = _state(edges)
     while before[0]:
         bigger = _star(edges, large=True)

@@ -1,6 +1,6 @@
 """Tables in and out."""
 
-from terrane.sources.session import Session
+from terrane.sources.session import Session, persist, release
 from terrane.sources.writer import Writer
 
-__all__ = ["Session", "Writer"]
+__all__ = ["Session", "Writer", "persist", "release"]

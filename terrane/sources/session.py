@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from terrane.operators.frame import estimated_bytes, human_bytes
-from terrane.session import cut
+from terrane.session import cut, drop_path
 
 
 class Stats:
@@ -57,5 +57,10 @@ class Session:
 
 
 def persist(df: DataFrame) -> DataFrame:
-    """A new DataFrame over the written result of this one."""
+    """A new DataFrame over the written result of this one; release() deletes it."""
     return cut(df, "persist")
+
+
+def release(kept: DataFrame) -> None:
+    """Delete what persist() or create_or_replace_temp_table() has written; the DataFrame cannot be read any more."""
+    drop_path(kept.sparkSession, kept)

@@ -1,3 +1,4 @@
+import os
 import pytest
 
 from terrane.session import cut, drop_path, shared_dir
@@ -50,3 +51,13 @@ def test_cut_writes_to_the_shared_folder(spark):
     drop_path(spark, df)
     with pytest.raises(Exception):  # noqa: B017
         df.count()
+
+
+def test_persisted_tables_are_released(spark):
+    from terrane.sources import persist, release
+
+    kept = persist(spark.range(5).toDF("x"))
+    where = kept.terrane_path.replace("file://", "").replace("file:", "")
+    assert kept.count() == 5 and os.path.isdir(where)
+    release(kept)
+    assert not os.path.exists(where)
