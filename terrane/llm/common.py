@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+from collections.abc import Callable
+
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +21,7 @@ BROADCAST_BYTES = 64 << 20
 
 
 #: Rows of an Arrow batch: texts are long, and a worker holds a batch several times over.
-BATCH_ROWS = 1000
+BATCH_ROWS = 500
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -29,6 +34,43 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
 
 
+def give_back() -> None:
+    """Return freed memory to the system, where the C library can; workers outlive their tasks and would keep it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def tidy(run: Callable) -> Callable:
+    """A function over batches that gives memory back at the end of its task."""
+
+    @functools.wraps(run)
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return task
+
+
+def tidy_group(run: Callable) -> Callable:
+    """A function over one group that gives memory back after large groups."""
+
+    @functools.wraps(run)
+    def group(key, table):
+        large = table.nbytes > 1 << 20
+        try:
+            return run(key, table)
+        finally:
+            del table
+            if large:
+                give_back()
+
+    return group
+
+
 def free_names(columns: list[str], *wanted: str) -> list[str]:
     """Names like the wanted ones that no column has, whatever its case."""
     taken = {c.lower() for c in columns}

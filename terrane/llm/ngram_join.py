@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrane.llm.common import BASE, BROADCAST_BYTES, few, free_names, keep_without, mix, small_batches, word_hashes
+from terrane.llm.common import BASE, BROADCAST_BYTES, few, free_names, keep_without, mix, small_batches, tidy, tidy_group, word_hashes
 from terrane.operators.graph import connected_components
 from terrane.operators.skew import attach
 from terrane.session import cut, drop_path
@@ -49,7 +49,7 @@ COMMON = 1000
 #: Tokens that go last, at most.
 MOST_COMMON = 1_000_000
 #: Postings and set members that one task should hold, nodes of a tile, and passes over the texts for postings.
-TASK_POSTINGS, TASK_TOKENS, TASK_MEMBERS, TILE_ROWS, PASSES = 400_000, 4_000_000, 2_000, 2_000, 3
+TASK_POSTINGS, TASK_TOKENS, TASK_MEMBERS, TILE_ROWS, PASSES = 250_000, 2_000_000, 2_000, 2_000, 3
 #: The constant of DivideSkip's rule for the number of long lists.
 MU = 0.0085
 #: Text bytes that are hashed at a time.
@@ -195,7 +195,7 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 held += len(tokens)
         blank = pa.nulls(len(ids), pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), batch.column(2), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(sketches, pa.binary()), blank, blank], names=names)
-        if held > 2_000_000:
+        if held > 1_000_000:
             yield frequent()
             sets, held = {}, 0
     if sets:
@@ -448,7 +448,7 @@ class NgramJoin:
         text = F.col(f"`{text_col}`").cast("string")
         self.docs = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), text.alias("text"), text_mark(text).alias("mark"))
         self.live = self.docs.filter("doc_id IS NOT NULL")
-        seen = cut(self.docs.mapInArrow(_describe, "doc_id bigint, mark bigint, n bigint, node bigint, sketch binary, token bigint, df bigint"), "ngram-seen")
+        seen = cut(self.docs.mapInArrow(tidy(_describe), "doc_id bigint, mark bigint, n bigint, node bigint, sketch binary, token bigint, df bigint"), "ngram-seen")
         rows = seen.filter("token IS NULL")
         nodes = rows.filter("node IS NOT NULL AND doc_id IS NOT NULL").groupBy("node")
         self.nodes = cut(nodes.agg(F.min("doc_id").alias("first_id"), F.count("*").alias("rows"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "ngram-nodes")
@@ -469,8 +469,8 @@ class NgramJoin:
         buckets = max(1, -(-self.postings // TASK_POSTINGS), int(self.spark.conf.get("spark.sql.shuffle.partitions")))
         salted, found = self.common[self.salts > 1].view(np.int64), []
         for turn in range(PASSES):
-            blobs = self.live.select("text").mapInArrow(_post(self.common, self.place, self.salts, buckets, turn), "bucket bigint, cells binary")
-            found.append(cut(blobs.groupBy("bucket").applyInArrow(_blocks(salted), BLOCK_DDL), "ngram-blocks"))
+            blobs = self.live.select("text").mapInArrow(tidy(_post(self.common, self.place, self.salts, buckets, turn)), "bucket bigint, cells binary")
+            found.append(cut(blobs.groupBy("bucket").applyInArrow(tidy_group(_blocks(salted)), BLOCK_DDL), "ngram-blocks"))
         return found
 
     def search(self, pairs: DataFrame) -> DataFrame:
@@ -485,8 +485,8 @@ class NgramJoin:
         buckets = max(1, -(-(tokens or 0) // TASK_TOKENS), int(self.spark.conf.get("spark.sql.shuffle.partitions")))
         asked = roles.select(F.col("first_id").alias("doc_id"), "node", F.pmod("deal", F.lit(buckets)).alias("bucket"), "asks").distinct()
         asked = F.broadcast(asked) if count * 32 <= BROADCAST_BYTES else asked  # else texts are shuffled by id
-        sets = self.live.join(asked, "doc_id").select("text", "bucket", "asks", F.col("node").alias("wanted")).mapInArrow(_sets, "bucket bigint, asks boolean, node bigint, tokens binary")
-        links = cut(sets.groupBy("bucket").applyInArrow(_search, "a bigint, b bigint").distinct(), "ngram-links")
+        sets = self.live.join(asked, "doc_id").select("text", "bucket", "asks", F.col("node").alias("wanted")).mapInArrow(tidy(_sets), "bucket bigint, asks boolean, node bigint, tokens binary")
+        links = cut(sets.groupBy("bucket").applyInArrow(tidy_group(_search), "a bigint, b bigint").distinct(), "ngram-links")
         self._drop(per_q, dealt, roles)
         return links
 
@@ -592,7 +592,7 @@ class NgramJoin:
         own = F.pmod(F.xxhash64("node"), tiles)
         dealt = told.select("block", "node", "n", "pos", "label", "sketch", own.alias("tile"), F.explode(F.sequence(F.lit(0).cast("bigint"), tiles - 1)).alias("other"))
         dealt = dealt.withColumn("low", F.least("tile", "other")).withColumn("high", F.greatest("tile", "other")).drop("other")
-        return cut(dealt.groupBy("block", "low", "high").applyInArrow(_compare, "q bigint, m bigint").distinct(), "ngram-more")
+        return cut(dealt.groupBy("block", "low", "high").applyInArrow(tidy_group(_compare), "q bigint, m bigint").distinct(), "ngram-more")
 
     def _further(self, rest: DataFrame, pivots: DataFrame | None) -> DataFrame:
         """The next pivot of each component in a block against the block's other components' nodes: its least rare node."""

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrane.llm.common import small_batches, word_hashes
+from terrane.llm.common import small_batches, tidy, word_hashes
 from terrane.session import cut, drop_path
 
 #: Rounds of exchange, probability from which a pseudo-label counts as confident, and its weight.
@@ -205,7 +205,7 @@ def _summed(df: DataFrame, per_batch, size: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(range(len(pieces)), pa.int32()), mine, pa.array(pieces, pa.binary())], names=["i", "p", "v"])
 
     out, ddl, parts = np.zeros(size), "i int, p bigint, v binary", df.rdd.getNumPartitions()
-    found = df.mapInArrow(run, ddl)
+    found = df.mapInArrow(tidy(run), ddl)
     while parts > 1:
         found, parts = found.withColumn("p", F.floor(F.col("p") / FAN)).groupBy("i", "p").applyInArrow(_added, ddl), -(-parts // FAN)
     for r in found.collect():
@@ -372,7 +372,7 @@ def feature_table(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col=
     )
     mark = F.pmod(F.xxhash64("doc_id"), F.lit(2 * HELD)).cast("int")
     known = rows.join(given, F.col("doc_id") == F.col("l_id"), "left").select("doc_id", "text", "source", "lang", "label", (mark % HELD == 0).alias("held"), (mark % 2).alias("half"))
-    return known.mapInArrow(_features, FEATURES_DDL)
+    return known.mapInArrow(tidy(_features), FEATURES_DDL)
 
 
 def train(docs: DataFrame, labels: DataFrame, **columns: str) -> tuple[CoTrained | None, DataFrame]:
@@ -418,7 +418,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, text_col="text", source_col="s
     if model is None:
         return docs
     at = [docs.columns.index(c) for c in (text_col, source_col, lang_col)]
-    return docs.mapInArrow(_filter(model, at), docs.schema)
+    return docs.mapInArrow(tidy(_filter(model, at)), docs.schema)
 
 
 def op5_quality_cotrain(spark: SparkSession, sf_dir: str) -> DataFrame:
