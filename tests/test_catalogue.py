@@ -56,15 +56,15 @@ def test_components_of_all_lines(spark, duck):
     for a, b in duck.execute("SELECT l_partkey * 2, l_suppkey * 2 + 1 FROM lineitem").fetchall():
         a, b = sorted((root(a), root(b)))
         parent[b] = a
-    found = catalogue.QUERIES["graph_components_whole"](spark, SF).collect()
+    found = catalogue.QUERIES["graph_components"](spark, SF).collect()
     assert {r.node_id: r.connected_component_id for r in found} == {x: root(x) for x in list(parent)} and len(found) == len(parent)
 
 
 def test_whole_tables_are_joined(spark, duck):
     orders, customers = (duck.execute(f"SELECT count(*) FROM {t}").fetchone()[0] for t in ("orders", "customer"))
-    found = {k: catalogue.QUERIES[f"join_{k}_whole"](spark, SF) for k in ("left", "right", "full")}
+    found = {k: catalogue.QUERIES[f"join_{k}"](spark, SF) for k in ("left", "right", "full")}
     assert found["left"].count() == orders and found["right"].select("c_name").distinct().count() == customers
     full = found["full"]
     assert (full.select("o_orderkey").distinct().na.drop().count(), full.select("c_name").distinct().na.drop().count()) == (orders, customers)
     assert full.filter("c_name IS NULL").count() and full.filter("o_orderkey IS NULL").count()
-    assert catalogue.QUERIES["union_all_whole"](spark, SF).count() == 2 * orders
+    assert catalogue.QUERIES["union_all"](spark, SF).count() == 2 * orders
