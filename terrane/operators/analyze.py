@@ -1,8 +1,8 @@
 """A profile of every field of a table.
 
-All fields of one granularity are profiled together: one aggregation for counts and extremes, and one over the long
-form (field number, value) for distinct and most frequent values. So a table is read twice per granularity however
-many columns it has, and only partial sums are shuffled for all but the values themselves.
+All fields of one granularity are profiled together, from one scan: the long form (field number, value as text) is
+counted, and counts, distinct values, extremes (of the values read back from their texts) and the most frequent values
+follow from the counts of equal values. Only these are shuffled, after partial counts.
 """
 
 from __future__ import annotations
@@ -78,37 +78,38 @@ def _group(group_by: list[str]) -> list[Column]:
     return [F.struct(*[quoted(P.mangle(g)).alias(P.after_last(g, P.STRUCT)) for g in group_by]).alias("group")] if group_by else []
 
 
+def _typed(value: Column, kind: T.DataType) -> Column:
+    """What as_text() made a text of."""
+    return F.unbase64(value) if isinstance(kind, T.BinaryType) else value.try_cast(kind)
+
+
 def _one_granularity(df: DataFrame, found: list[tuple[int, Field]], group_by: list[str]) -> DataFrame:
-    """The default profile of fields that are columns of ``df``."""
+    """The default profile of fields that are columns of ``df``, from one scan: counts of equal values give everything."""
     group = _group(group_by)
     keys = ["group"] if group else []
-    base = df.select(*group, *[quoted(P.mangle(f.name)).alias(f"c{n}") for n, f in found])
-    wide = base.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("rows"),
-        *[x for n, f in found for x in (F.count_if(F.col(f"c{n}").isNull()).alias(f"n{n}"), as_text(F.min(f"c{n}"), f.dataType).alias(f"a{n}"), as_text(F.max(f"c{n}"), f.dataType).alias(f"z{n}"))],
-    )
-    facts = F.array(
-        *[
-            F.struct(
-                F.lit(n).alias("column_number"), F.lit(f.name).alias("column_name"), F.lit(name_of(f.dataType)).alias("column_type"), F.col("rows").alias("count"),
-                F.col(f"n{n}").alias("count_null"), F.col(f"a{n}").alias("min"), F.col(f"z{n}").alias("max"),
-            )
-            for n, f in found
-        ]
-    )
-    facts_df = wide.select(*keys, F.inline(facts))
-    pairs = F.array(*[F.struct(F.lit(n).alias("column_number"), as_text(F.col(f"c{n}"), f.dataType).alias("value")) for n, f in found])
-    values = base.select(*keys, F.inline(pairs)).groupBy(*keys, "column_number", "value").agg(F.count("*").alias("n"))
-    distinct = values.groupBy(*keys, "column_number").agg(F.count("value").alias("count_distinct"))
-    best = Window.partitionBy(*keys, "column_number").orderBy(F.desc("n"), F.col("value"))
+    pairs = F.array(*[F.struct(F.lit(n).alias("column_number"), as_text(quoted(P.mangle(f.name)), f.dataType).alias("value")) for n, f in found])
+    values = df.select(*group, F.inline(pairs)).groupBy(*keys, "column_number", "value").agg(F.count("*").alias("n"))
+    value, number = F.col("value"), F.col("column_number")
+    numbers: dict[str, tuple[T.DataType, list[int]]] = {}
+    for n, f in found:
+        numbers.setdefault(f.dataType.simpleString(), (f.dataType, []))[1].append(n)
+    extremes = []
+    for function, name in ((F.min, "min"), (F.max, "max")):
+        kinds = [as_text(function(F.when(number.isin(*some), value if isinstance(kind, (T.StringType, T.MapType)) else _typed(value, kind))), kind) for kind, some in numbers.values()]
+        extremes.append(F.coalesce(*kinds).alias(name))
+    zero = F.lit(0).cast("bigint")
+    nulls = F.sum(F.when(value.isNull(), F.col("n")).otherwise(zero))
+    facts = values.groupBy(*keys, "column_number").agg(F.sum("n").alias("count"), F.count("value").alias("count_distinct"), nulls.alias("count_null"), *extremes)
+    best = Window.partitionBy(*keys, "column_number").orderBy(F.desc("n"), value)
     top = values.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= TOP)
     entry = F.struct("place", F.coalesce("value", F.lit("NULL")).alias("value"), F.col("n").alias("count"))
     top = top.groupBy(*keys, "column_number").agg(F.sort_array(F.collect_list(entry)).alias("top"))
     top = top.withColumn("approx_top_100", F.transform("top", lambda x: F.struct(x["value"].alias("value"), x["count"].alias("count")))).drop("top")
-    on = [*keys, "column_number"]
-    out = _null_safe(_null_safe(facts_df, distinct, on), top, on)
-    order = [*keys, "column_number", "column_name", "column_type", "count", "count_distinct", "count_null", "min", "max", "approx_top_100"]
-    return out.withColumn("count_distinct", F.coalesce("count_distinct", F.lit(0))).select(*order)
+    out = _null_safe(facts, top, [*keys, "column_number"])
+    named = df.sparkSession.createDataFrame([(n, f.name, name_of(f.dataType)) for n, f in found], "column_number int, column_name string, column_type string")
+    out = F.broadcast(named).join(out, "column_number", "inner" if group else "left")
+    counts = [F.coalesce(c, zero).alias(c) for c in ("count", "count_distinct", "count_null")]
+    return out.select(*keys, "column_number", "column_name", "column_type", *counts, "min", "max", "approx_top_100")
 
 
 def _null_safe(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
