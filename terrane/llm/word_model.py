@@ -992,7 +992,7 @@ def score(docs: DataFrame, model: WordModel | None, rounds: int | None = None) -
     rounds = rounds or ROUNDS
     rows = docs.select(F.col(id_).alias("id"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("row"))
     for turn in range(rounds):
-        some = rows.filter(F.pmod(F.xxhash64("row"), F.lit(rounds)) == turn)
+        some = rows.filter(F.pmod(F.xxhash64("id", "text"), F.lit(rounds)) == turn)  # by content: no row depends on how it is read
         asked = _cut(some.mapInArrow(_chunks(model.deal), ROW_DDL), "chunks")
         answers = _cut(_grouped([*model.pairs, model.words, _kind(asked, "q", "h")], _answer(rule, told)), "answers")
         _forget(asked, "q", "h")
