@@ -25,14 +25,14 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrane.llm.common import small_batches
+from terrane.llm.common import small_batches, tidy
 
 #: Fixed value: the pattern of byte-level pre-tokenization.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: White space as in Unicode; the regex module's own \s has the separators 1C to 1F besides.
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Words kept by a task, pairs of tokens kept by a worker, and characters looked up at a time.
-KEPT_WORDS, KEPT_PAIRS, CHUNK_CHARS = 250_000, 250_000, 1 << 18
+KEPT_WORDS, KEPT_PAIRS, CHUNK_CHARS = 150_000, 150_000, 1 << 18
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -311,7 +311,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    return rows.mapInArrow(_encode(path), f"id {kind}, ids array<int>")
+    return rows.mapInArrow(tidy(_encode(path)), f"id {kind}, ids array<int>")
 
 
 def decode(coded: DataFrame, path: str) -> DataFrame:
@@ -325,7 +325,7 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    back = rows.mapInArrow(_both(path), f"id {kind}, ids array<int>, decoded string")
+    back = rows.mapInArrow(tidy(_both(path)), f"id {kind}, ids array<int>, decoded string")
     joined = F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary")
     return back.select(
         F.col("id").alias(id_col), F.size("ids").cast("bigint").alias("n_tokens"),
