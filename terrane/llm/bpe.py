@@ -32,7 +32,7 @@ SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: White space as in Unicode; the regex module's own \s has the separators 1C to 1F besides.
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Words kept by a task, pairs of tokens kept by a worker, and characters looked up at a time.
-KEPT_WORDS, KEPT_PAIRS, CHUNK_CHARS = 150_000, 150_000, 1 << 18
+KEPT_WORDS, KEPT_PAIRS, CHUNK_CHARS = 200_000, 150_000, 1 << 18
 
 
 def byte_alphabet() -> dict[str, int]:
