@@ -215,10 +215,11 @@ def first_tokens(tokens: np.ndarray, common: np.ndarray, place: np.ndarray) -> n
     return tokens[: prefix_length(len(tokens))]
 
 
-def _post(common: np.ndarray, place: np.ndarray, salts: np.ndarray, buckets: int, turn: int):
-    """Postings of the buckets of one pass, packed by bucket."""
+def _post(told, buckets: int, turn: int):
+    """Postings of the buckets of one pass, packed by bucket. told: the common tokens, their order and their salts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common, place, salts = told.value
         for batch in batches:
             seen: set[int] = set()
             parts: list[tuple[np.ndarray, int, int]] = []
@@ -468,9 +469,11 @@ class NgramJoin:
         """Pivot pairs and open blocks, a table for each pass."""
         buckets = max(1, -(-self.postings // TASK_POSTINGS), int(self.spark.conf.get("spark.sql.shuffle.partitions")))
         salted, found = self.common[self.salts > 1].view(np.int64), []
+        told = self.spark.sparkContext.broadcast((self.common, self.place, self.salts))  # at most 24 bytes for each of MOST_COMMON tokens
         for turn in range(PASSES):
-            blobs = self.live.select("text").mapInArrow(tidy(_post(self.common, self.place, self.salts, buckets, turn)), "bucket bigint, cells binary")
+            blobs = self.live.select("text").mapInArrow(tidy(_post(told, buckets, turn)), "bucket bigint, cells binary")
             found.append(cut(blobs.groupBy("bucket").applyInArrow(tidy_group(_blocks(salted)), BLOCK_DDL), "ngram-blocks"))
+        told.unpersist()
         return found
 
     def search(self, pairs: DataFrame) -> DataFrame:
