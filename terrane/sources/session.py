@@ -9,16 +9,28 @@ from terrane.session import cut, drop_path
 
 
 class Stats:
-    """Bytes that the optimizer expected the session's queries to read."""
+    """Bytes that the optimizer expected the session's queries to read, and bytes that all tasks have read since it began."""
 
-    def __init__(self) -> None:
-        self.estimated_bytes = 0
+    def __init__(self, spark: SparkSession | None = None) -> None:
+        self.estimated_bytes, self.spark = 0, spark
+        self._before = self._read()
+
+    def _read(self) -> int:
+        """Input bytes of all executors, as Spark's status store counts them when tasks end."""
+        if self.spark is None:
+            return 0
+        found = self.spark.sparkContext._jsc.sc().statusStore().executorList(False)
+        return sum(found.apply(i).totalInputBytes() for i in range(found.size()))
+
+    @property
+    def processed_bytes(self) -> int:
+        return self._read() - self._before
 
     def add(self, df: DataFrame) -> None:
         self.estimated_bytes += sum(int(str(x.stats().sizeInBytes())) for x in _leaves(df))
 
     def human_readable(self) -> str:
-        return f"estimated bytes read: {human_bytes(self.estimated_bytes)}"
+        return f"estimated bytes read: {human_bytes(self.estimated_bytes)}" + (f"; read so far: {human_bytes(self.processed_bytes)}" if self.spark else "")
 
 
 def _leaves(df: DataFrame) -> list:
@@ -27,15 +39,28 @@ def _leaves(df: DataFrame) -> list:
 
 
 class Session:
-    def __init__(self, spark: SparkSession):
-        self.spark, self.stats = spark, Stats()
+    """With ``use_query_cache`` a statement that is given again, with no tables of its own, gives the kept result of the first time."""
+
+    def __init__(self, spark: SparkSession, use_query_cache: bool = False):
+        self.spark, self.stats, self.use_query_cache = spark, Stats(spark), use_query_cache
+        self._results: dict[str, DataFrame] = {}
 
     def sql(self, query: str, **tables: DataFrame) -> DataFrame:
         """Raw SQL; ``{name}`` stands for a DataFrame given by name."""
+        cached = self.use_query_cache and not tables
+        if cached and query in self._results:
+            return self._results[query]
         df = self.spark.sql(query, **tables) if tables else self.spark.sql(query)
         self.stats.add(df)
+        if cached:
+            df = self._results[query] = df.persist()
         return df
 
+    def clear_query_cache(self) -> None:
+        for df in self._results.values():
+            df.unpersist()
+        self._results.clear()
+
     def table(self, name: str) -> DataFrame:
         """A catalogue table, or a path of Parquet files."""
         return self.spark.read.parquet(name) if "/" in name else self.spark.table(name)

@@ -61,3 +61,14 @@ def test_persisted_tables_are_released(spark):
     assert kept.count() == 5 and os.path.isdir(where)
     release(kept)
     assert not os.path.exists(where)
+
+
+def test_query_cache_and_bytes_read(spark, tmp_path):
+    spark.range(200_000).write.parquet(str(tmp_path / "t"))
+    session = Session(spark, use_query_cache=True)
+    query = f"SELECT sum(id) AS s FROM parquet.`{tmp_path}/t`"
+    assert session.sql(query) is session.sql(query) and session.sql(query).first().s == 19_999_900_000
+    assert session.sql("SELECT * FROM {x}", x=spark.range(2)) is not session.sql("SELECT * FROM {x}", x=spark.range(2))
+    assert session.stats.processed_bytes > 0 and "read so far" in session.stats.human_readable()
+    session.clear_query_cache()
+    assert Session(spark).sql(query) is not Session(spark).sql(query)
