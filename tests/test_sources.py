@@ -72,3 +72,13 @@ def test_query_cache_and_bytes_read(spark, tmp_path):
     assert session.stats.processed_bytes > 0 and "read so far" in session.stats.human_readable()
     session.clear_query_cache()
     assert Session(spark).sql(query) is not Session(spark).sql(query)
+
+
+def test_written_intermediates_leave_the_setting_as_it_was(spark):
+    from terrane.session import SHUFFLE_CLEANUP
+
+    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    rows = spark.range(100).selectExpr("id % 7 AS k").groupBy("k").count()
+    kept = cut(rows, "seven")
+    assert spark.conf.get(SHUFFLE_CLEANUP) == before and kept.count() == 7 and kept.count() == rows.count()
+    drop_path(spark, kept)
