@@ -82,11 +82,11 @@ def shuffles_removed(spark: SparkSession) -> Iterator[None]:
 
 
 def files_for(df: DataFrame) -> int:
-    """Files for a written intermediate: one for 4 MB that is read up to two for each core, and one for 64 MB beyond that."""
+    """Files for a written intermediate: one for 4 MB that is read up to two for each core, and one for 16 MB beyond that."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
     read = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return max(1, min(read >> 22, max(2 * cores, read >> 26), 1_000_000))
+    return max(1, min(read >> 22, max(2 * cores, read >> 24), 1_000_000))
 
 
 def drop_path(spark: SparkSession, path: str | DataFrame) -> None:
