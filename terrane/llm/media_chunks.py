@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from terrane.llm.common import BROADCAST_BYTES, small_batches
 from terrane.operators.skew import attach
-from terrane.session import cut, new_path
+from terrane.session import cut, drop_path, new_path
 
 UNIT, RATE, HEADER = 64, 8000, 44
 #: Smallest, usual and largest chunk. The header is the first part of a list and always the file's own.
@@ -127,11 +127,11 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, names=["row", "media", "digests", "lengths", "n_bytes"])
 
 
-STORE_DDL = "media binary, digests array<binary>, lengths array<int>, owned array<boolean>, shared array<boolean>, data binary"
+STORE_DDL = "id bigint, many boolean, n_bytes bigint, media binary, digests array<binary>, lengths array<int>, owned array<boolean>, shared array<boolean>, data binary"
 
 
 def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bytes that each file owns, compressed, beside its list. Input: text, media, owned, shared."""
+    """The bytes that each file owns, compressed, beside its list; the id of its row, unless ``many`` rows have it."""
     import zstandard
 
     pack = zstandard.ZstdCompressor(level=6)
@@ -139,14 +139,14 @@ def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[dict] = []
         weight = 0
         for r in batch.to_pylist():
-            media = to_wave(payload_of(r["text"])[0])
-            parts = chunk(media)
+            payload, size = payload_of(r["text"])
+            parts = chunk(to_wave(payload))
             foreign = set(r["foreign"] or ())
             lent = set(r["lent"] or ())
             owned = [i not in foreign for i in range(len(parts))]
             data = pack.compress(b"".join(p for p, own in zip(parts, owned, strict=True) if own))
             rows.append(
-                {"media": r["media"], "digests": [_digest(p)[:16] for p in parts], "lengths": list(map(len, parts)), "owned": owned, "shared": [i in lent for i in range(len(parts))], "data": data}
+                {"id": r["id"], "many": r["many"], "n_bytes": size, "media": r["media"], "digests": [_digest(p)[:16] for p in parts], "lengths": list(map(len, parts)), "owned": owned, "shared": [i in lent for i in range(len(parts))], "data": data}
             )
             weight += len(data)
             if weight > 8_000_000:
@@ -157,7 +157,7 @@ def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 _STORE = pa.schema(
-    [("media", pa.binary()), ("digests", pa.list_(pa.binary())), ("lengths", pa.list_(pa.int32())), ("owned", pa.list_(pa.bool_())), ("shared", pa.list_(pa.bool_())), ("data", pa.binary())]
+    [("id", pa.int64()), ("many", pa.bool_()), ("n_bytes", pa.int64()), ("media", pa.binary()), ("digests", pa.list_(pa.binary())), ("lengths", pa.list_(pa.int32())), ("owned", pa.list_(pa.bool_())), ("shared", pa.list_(pa.bool_())), ("data", pa.binary())]
 )
 
 
@@ -187,9 +187,9 @@ def _shared_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(parts, pa.binary())], names=["digest", "part"])
 
 
-READ_DDL = "media binary, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
+READ_DDL = "id bigint, many boolean, n_bytes bigint, media binary, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
 _READ = pa.schema(
-    [("media", pa.binary()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())]
+    [("id", pa.int64()), ("many", pa.bool_()), ("n_bytes", pa.int64()), ("media", pa.binary()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())]
 )
 
 
@@ -202,7 +202,7 @@ def _rebuild(r: dict, own: dict[int, bytes], lent: dict[bytes, bytes]) -> dict:
         raise ValueError("a file does not match its digest")
     payload = from_wave(media)
     return {
-        "media": r["media"], "payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-UNIT:]),
+        "id": r["id"], "many": r["many"], "n_bytes": r["n_bytes"], "media": r["media"], "payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-UNIT:]),
         "media_bytes": len(media), "media_sha256": r["media"].hex(), "feature": features(payload),
     }
 
@@ -255,11 +255,11 @@ class MediaStore:
         """One stored row for each distinct file. Texts are shuffled only where files are equal to others."""
         special = self.files.select("media", "rows").join(self.marks, "media", "left").filter("rows > 1 OR foreign IS NOT NULL")
         special = cut(special.select("media", "rows", "foreign", "lent"), "media-special")
-        rows = self.docs.select("id", "text").mapInArrow(_with_media, "text string, media binary")
+        rows = self.docs.select("id", "text").mapInArrow(_with_media, "id bigint, text string, media binary")
         rows = attach(rows, special, "media", "rows", most=self.most_broadcast)
         columns = ("text", "media", "foreign", "lent")
-        alone = rows.filter("rows IS NULL OR rows = 1").select(*columns)
-        some = rows.filter("rows > 1").select(*columns).dropDuplicates(["media"])
+        alone = rows.filter("rows IS NULL OR rows = 1").select("id", F.lit(False).alias("many"), *columns)
+        some = rows.filter("rows > 1").select(F.lit(None).cast("bigint").alias("id"), F.lit(True).alias("many"), *columns).dropDuplicates(["media"])
         self.path = new_path(self.spark, "media-store")
         alone.unionByName(some).mapInArrow(_store, STORE_DDL).write.option("compression", "uncompressed").parquet(self.path)
         return self.spark.read.schema(STORE_DDL).parquet(self.path)
@@ -271,6 +271,7 @@ class MediaStore:
         wants = self.marks.filter("size(wants) > 0").select(F.col("media").alias("for_media"), F.explode("wants").alias("digest"))
         parts = self.table.filter("exists(shared, x -> x)").mapInArrow(_shared_chunks, "digest binary, part binary")
         parts = cut(parts.join(self.owners.select("digest", "uses"), "digest"), "media-parts")
+        self.parts = parts
         got = attach(wants, parts, "digest", "uses", "inner", most=self.most_broadcast)
         total = lacking.agg(F.sum(F.aggregate("lengths", F.lit(0).cast("bigint"), lambda a, x: a + x))).first()[0] or 0
         buckets = F.lit(max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-total // GROUP_BYTES)))
@@ -280,16 +281,19 @@ class MediaStore:
         return whole.unionByName(joined)
 
     def report(self) -> DataFrame:
-        """One row for each document."""
-        counts = self.files.select("media", "rows")
-        read = cut(self.read().join(counts, "media"), "media-read")
-        return attach(self.lists.select("id", "media", "n_bytes"), read, "media", "rows", "inner", most=self.most_broadcast).drop("media", "rows")
+        """One row for each document. A file that only one row has carries its id; rows of other files are joined to them."""
+        read = cut(self.read(), "media-read")
+        drop_path(self.spark, self.parts)
+        columns = [c for c in read.columns if c not in ("id", "many", "n_bytes", "media")]
+        counted = cut(read.filter("many").select("media", *columns).join(self.files.select("media", "rows"), "media"), "media-counted")
+        several = attach(self.lists.select("id", "media", "n_bytes"), counted, "media", "rows", "inner", most=self.most_broadcast)
+        return read.filter("NOT many").select("id", "n_bytes", *columns).unionByName(several.select("id", "n_bytes", *columns))
 
 
 def _with_media(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         media = [_digest(to_wave(payload_of(t)[0])) for t in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(media, pa.binary())], names=["text", "media"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(media, pa.binary())], names=["id", "text", "media"])
 
 
 def op3_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
