@@ -6,6 +6,7 @@ import contextlib
 import io
 import os
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -991,7 +992,7 @@ def graph_components_tree(spark, d):
 @query("SELECT n_nationkey, n_name, n_regionkey FROM nation UNION ALL SELECT n_nationkey, n_name, n_regionkey FROM nation WHERE n_regionkey = 1")
 def write_table_partitioned(spark, d):
     nation = load(spark, d, "nation")
-    name = "terrane_written_nations"
+    name = f"terrane_written_{uuid.uuid4().hex}"  # a folder left by another session would be in the way
     Writer(nation).mode("overwrite").partition_by("n_regionkey").options(description="nations", compression="gzip").save(name)
     Writer(nation.filter("n_regionkey = 1")).mode("append").save(name)
     if not _refused(Exception, lambda: Writer(nation).save(name)):
