@@ -32,7 +32,7 @@ SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: White space as in Unicode; the regex module's own \s has the separators 1C to 1F besides.
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Words kept by a task, pairs of tokens kept by a worker, and characters looked up at a time.
-KEPT_WORDS, KEPT_PAIRS, CHUNK_CHARS = 200_000, 150_000, 1 << 18
+KEPT_WORDS, KEPT_PAIRS, CHUNK_CHARS = 250_000, 250_000, 1 << 18
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -67,7 +67,7 @@ class Vocabulary:
         self.begins = {t[:n]: -1 for t in self.ids for n in range(1, len(t))} | self.ids
         ordered = all(self._rank(a) < r and self._rank(b) < r for a, b, r in self.parts.values())
         self._apart = self._apart_by_spines if ordered else self._apart_by_merging
-        self.known_pairs: dict[tuple[int, int], bool] = {}
+        self.known_pairs: dict[int, bool] = {}
         self.known_whole: dict[int, bool] = {}
         self.known_spines: tuple[dict, dict] = ({}, {})
         split = SPLIT.replace(r"[^\s", f"[^{WHITE}").replace(r"\S", f"[^{WHITE}]").replace(r"\s", f"[{WHITE}]")
@@ -126,7 +126,8 @@ class Vocabulary:
 
     def encode_words(self, words: list[bytes]) -> Iterator[list[int]]:
         """The tokens of each word; words must be sorted and distinct. Depth-first over their trie."""
-        begins, pairs = self.begins, self.known_pairs
+        begins, known, pairs = self.begins.get, self.known_pairs.get, self.known_pairs
+        apart, whole, single = self._apart, self.whole, self.single
         last: list[int] = [-1]  # state of each node on the path: its prefix's last token
         width: list[int] = [0]
         alive: list[list[int]] = [[]]  # and from where on the path its end may lie within a token
@@ -137,30 +138,33 @@ class Vocabulary:
             while depth < most and word[depth] == before[depth]:
                 depth += 1
             del last[depth + 1 :], width[depth + 1 :], alive[depth + 1 :]
+            now = alive[-1]
             for end in range(depth + 1, size + 1):
-                starts, chosen, origin = [], -1, 0
-                for start in (*alive[-1], end - 1):
-                    token = begins.get(word[start:end])
+                starts, chosen = [], -1
+                for start in now:
+                    token = begins(word[start:end])
                     if token is None:
                         continue
                     starts.append(start)
                     if token < 0 or chosen >= 0:
                         continue
-                    if start == 0:
-                        if self.whole(token):
-                            chosen = token
-                        continue
-                    pair = (last[start], token)
-                    apart = pairs.get(pair)
-                    if apart is None:
-                        apart = pairs[pair] = self._apart(*pair) and self.whole(token)
-                    if apart:
+                    if start:
+                        left = last[start]
+                        pair = left << 32 | token
+                        fits = known(pair)
+                        if fits is None:
+                            fits = pairs[pair] = apart(left, token) and whole(token)
+                    else:
+                        fits = whole(token)
+                    if fits:
                         chosen, origin = token, start
-                if chosen < 0:
-                    raise ValueError("no token ends here")
+                if chosen < 0:  # a prefix has a last token: if no longer one, its last byte
+                    chosen, origin = single[word[end - 1]], end - 1
+                starts.append(end - 1)
                 alive.append(starts)
                 last.append(chosen)
                 width.append(end - origin)
+                now = starts
             before, out, at = word, [], size
             while at:
                 out.append(last[at])
