@@ -49,7 +49,7 @@ COMMON = 1000
 #: Tokens that go last, at most.
 MOST_COMMON = 1_000_000
 #: Postings and set members that one task should hold, nodes of a tile, and passes over the texts for postings.
-TASK_POSTINGS, TASK_TOKENS, TASK_MEMBERS, TILE_ROWS, PASSES = 250_000, 2_000_000, 2_000, 2_000, 3
+TASK_POSTINGS, TASK_TOKENS, TASK_MEMBERS, TILE_ROWS, PASSES = 250_000, 1_000_000, 2_000, 2_000, 3
 #: The constant of DivideSkip's rule for the number of long lists.
 MU = 0.0085
 #: Text bytes that are hashed at a time.
