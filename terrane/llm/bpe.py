@@ -18,6 +18,7 @@ from __future__ import annotations
 import functools
 import json
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: White space as in Unicode; the regex module's own \s has the separators 1C to 1F besides.
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Words kept by a task, pairs of tokens kept by a worker, and characters looked up at a time.
-KEPT_WORDS, KEPT_PAIRS, CHUNK_CHARS = 250_000, 250_000, 1 << 18
+KEPT_WORDS, KEPT_PAIRS, CHUNK_CHARS = 500_000, 250_000, 1 << 18
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -169,7 +170,8 @@ class Vocabulary:
             while at:
                 out.append(last[at])
                 at -= width[at]
-            yield out[::-1]
+            out.reverse()
+            yield out
 
 
 def _joined(pair) -> str:
@@ -194,8 +196,8 @@ def _gather(values: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.nda
 class Encoder:
     """Texts to token numbers, with the words met so far."""
 
-    def __init__(self, path: str):
-        self.vocabulary = vocabulary(path)
+    def __init__(self, path: str, kept_words: int = KEPT_WORDS):
+        self.vocabulary, self.kept_words = vocabulary(path), kept_words
         self._clear()
 
     def _clear(self) -> None:
@@ -221,13 +223,13 @@ class Encoder:
         for w in [w for _, w in pairs] + list(special):
             self.index[w] = len(self.index)
         self.length = np.concatenate([self.length, np.fromiter(map(len, coded), np.int64, len(coded))])
-        self.tokens = np.concatenate([self.tokens, np.fromiter((t for c in coded for t in c), np.int32)])
+        self.tokens = np.concatenate([self.tokens, np.fromiter(chain.from_iterable(coded), np.int32, sum(map(len, coded)))])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(all tokens, tokens of each text)."""
         split = [self._split(t) for t in texts]
-        words = [w for s in split for w in s]
-        if len(self.index) > KEPT_WORDS:
+        words = list(chain.from_iterable(split))
+        if len(self.index) > self.kept_words:
             self._clear()
         if len(self.vocabulary.known_pairs) > KEPT_PAIRS:
             self.vocabulary.known_pairs.clear()
@@ -250,9 +252,9 @@ def _chunks(sizes: list[int]) -> Iterator[tuple[int, int]]:
         yield first, len(sizes)
 
 
-def _encode(path: str):
+def _encode(path: str, kept_words: int = KEPT_WORDS):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)  # its words go with the task: idle workers hold only the vocabulary
+        encoder = Encoder(path, kept_words)  # its words go with the task: idle workers hold only the vocabulary
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for a, b in _chunks([len(t) for t in texts]):
@@ -299,12 +301,12 @@ def _decode(path: str):
     return run
 
 
-def _both(path: str):
+def _both(path: str, kept_words: int):
     """Encode, and decode what came out, in one worker."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         back = _decode(path)
-        for batch in _encode(path)(batches):
+        for batch in _encode(path, kept_words)(batches):
             yield from back(iter([batch]))
 
     return run
@@ -324,12 +326,12 @@ def decode(coded: DataFrame, path: str) -> DataFrame:
     return coded.select("id", "ids").mapInArrow(_decode(path), f"id {kind}, ids array<int>, decoded string")
 
 
-def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Number of tokens, digest of the tokens and of what they decode to, for each text."""
+def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", kept_words: int = KEPT_WORDS) -> DataFrame:
+    """Number of tokens, digest of the tokens and of what they decode to, for each text. Fewer kept words take less memory and more time."""
     small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    back = rows.mapInArrow(tidy(_both(path)), f"id {kind}, ids array<int>, decoded string")
+    back = rows.mapInArrow(tidy(_both(path, kept_words)), f"id {kind}, ids array<int>, decoded string")
     joined = F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary")
     return back.select(
         F.col("id").alias(id_col), F.size("ids").cast("bigint").alias("n_tokens"),
