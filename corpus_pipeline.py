@@ -33,8 +33,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Tokens of each document, as in the query of the encoder."""
-    return bpe.digests(docs, bpe.default_vocabulary())
+    """Tokens of each document, as in the query of the encoder, with less memory beside what earlier stages hold."""
+    return bpe.digests(docs, bpe.default_vocabulary(), kept_words=120_000)
 
 
 STAGES = [("quality classifier", quality), ("exact dedup", exact), ("n-gram Jaccard join", near), ("mixing to target weights", mix), ("BPE encoding", encode)]
