@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 TABLES = (
     "region nation customer supplier part orders lineitem events "
@@ -81,6 +82,16 @@ def shuffles_removed(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(SHUFFLE_CLEANUP, was)
 
 
+def shrink_heaps(spark: SparkSession) -> None:
+    """A full collection in every executor: heaps that earlier work has grown shrink to a few times what is alive.
+
+    Else a heap stays as large as any work before has made it, beside the Python workers of the work that follows. There
+    is a task for each core, so an executor with no core free may be left out.
+    """
+    cores = max(1, spark.sparkContext.defaultParallelism)
+    spark.range(0, cores, 1, cores).select(F.expr("java_method('java.lang.System', 'gc')")).write.format("noop").mode("overwrite").save()
+
+
 def files_for(df: DataFrame) -> int:
     """Files for a written intermediate: one for 4 MB that is read up to two for each core, and one for 16 MB beyond that."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()

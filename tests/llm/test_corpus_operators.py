@@ -1,10 +1,12 @@
 """Media, archives, classifier and pipeline against plain versions."""
 
 import collections
+import gc
 import hashlib
 import importlib
 import math
 import random
+import time
 import zlib
 
 import numpy as np
@@ -329,3 +331,25 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
     assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and out.count() == sizes[-1]
     text = {r.doc_id: r.text for r in df.collect()}
     assert all(r.decoded_sha256 == sha(text[r.doc_id].encode()) for r in out.collect())
+
+
+def test_stages_of_the_pipeline_begin_with_small_heaps(spark, tmp_path):
+    pipeline = importlib.import_module("corpus_pipeline")
+    docs, labels, _ = _labelled(40)
+    spark.createDataFrame(docs, DOCS).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    state = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    jvm = spark.sparkContext._jvm
+    heap = jvm.java.lang.Runtime.getRuntime()
+    beans = list(jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans())
+    full = lambda: sum(b.getCollectionCount() for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName())
+    held = [jvm.java.nio.ByteBuffer.allocate(64 << 20) for _ in range(12)]
+    grown = heap.totalMemory()
+    del held
+    gc.collect()
+    time.sleep(1)  # the other side lets go of them a little later
+    for name, stage in pipeline.STAGES:
+        before = full()
+        stage(spark, state, str(tmp_path))
+        assert full() > before, name
+    assert heap.totalMemory() < grown
