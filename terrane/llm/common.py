@@ -105,6 +105,7 @@ def keep_without(docs: DataFrame, dropped: DataFrame, keys: dict, rows: int, row
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
+_BLANKS = _BLANK.tobytes()
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 #: A random number for each byte value (blanks weigh nothing), and an odd base with its inverse modulo 2^64.
@@ -126,13 +127,15 @@ def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Where each word of the bytes starts and ends, and its hash: differences of one running sum, moved to the origin."""
-    blank = _BLANK[data]
+    blank = np.frombuffer(data.tobytes().translate(_BLANKS), bool)
     edge = np.flatnonzero(blank[1:] != blank[:-1]) + 1
     edge = np.concatenate(([0], edge)) if len(data) and not blank[0] else edge
     edge = np.append(edge, len(data)) if len(edge) % 2 else edge
     start, end = edge[::2], edge[1::2]
     power, inverse = _powers_to(len(data))
-    total = np.cumsum(_WEIGHT[data] * power[: len(data)])
+    total = _WEIGHT[data]
+    total *= power[: len(data)]
+    np.cumsum(total, out=total)
     before = np.where(start > 0, total[start - 1], np.uint64(0)) if len(start) else np.zeros(0, np.uint64)
     return start, end, mix((total[end - 1] - before) * inverse[start] + (end - start).astype(np.uint64))
 

@@ -55,6 +55,7 @@ ROUNDS = 4
 #: The end token's hash, and the byte that ends a word and stands before it; no word has either.
 END_ID, END = np.uint64(0), 0x20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+_LOWER = LOWER.tobytes()
 #: Bytes of context in the kitchen. Their classes, which are letters, the end, digits, other ASCII, and parts of UTF-8.
 CONTEXT = 3
 CLASS = np.array([b - 0x61 if 0x61 <= b <= 0x7A else 26 if b == END else 27 if 0x30 <= b <= 0x39 else 28 if b < 0x80 else 29 if b < 0xC0 else 30 if b < 0xE0 else 31 for b in range(256)])
@@ -116,9 +117,24 @@ def found_in(keys: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return at, keys[at] == asked
 
 
+def order_of(keys: np.ndarray) -> np.ndarray:
+    """The stable order of whole numbers of 64 bits that are small or spread, as hashes are, by sorting numbers that end in their places."""
+    n = len(keys)
+    bits, top = np.uint64(max(n - 1, 0).bit_length()), int(keys.max(initial=0))
+    place, keys = np.arange(n, dtype=np.uint64), keys.astype(np.uint64, copy=False)
+    exact = top.bit_length() + int(bits) <= 64
+    order = np.sort((keys << bits if exact else keys >> bits << bits) | place) & ((np.uint64(1) << bits) - np.uint64(1))
+    order = order.astype(np.int64)
+    if not exact:  # different keys may agree in the bits that are left
+        found = keys[order]
+        if (found[1:] < found[:-1]).any():
+            return np.argsort(keys, kind="stable")
+    return order
+
+
 def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted distinct keys, where one of each is, and each key's place among them."""
-    order = np.argsort(keys)
+    """Sorted distinct keys, where the first of each is, and each key's place among them."""
+    order = order_of(keys)
     keys = keys[order]
     first, size = runs_of(keys)
     place = np.empty(len(keys), np.int64)
@@ -195,7 +211,7 @@ def groups(texts: list[str | None]) -> Iterator[Group]:
         held.append((text or "").encode("utf-8", "surrogatepass"))
         total += len(held[-1])
         if total >= GROUP_BYTES or i + 1 == len(texts):
-            data = LOWER[np.frombuffer(b"\n".join(held) + b"\n", np.uint8)]
+            data = np.frombuffer((b"\n".join(held) + b"\n").translate(_LOWER), np.uint8)
             start, end, h = word_hashes(data)
             bound = np.searchsorted(start, np.cumsum([0, *(len(t) + 1 for t in held)]))
             last = bound[1:]
@@ -481,7 +497,7 @@ def _count_pairs(deal: Deal):
         k, x, w, c = (np.concatenate([p[i] for p in parts]) for i in range(4))
         k, first, at = distinct(k)
         x, w, c = x[first], w[first], np.bincount(at, c, len(k)).astype(np.int64)
-        order = np.argsort(x)
+        order = order_of(x)
         bucket = deal.of_pairs(x, k)[order]
         again = by_bucket(bucket)
         bucket, order = bucket[again], order[again]
@@ -517,7 +533,7 @@ def _merge_pairs(deal: Deal):
         x, w, c = x[first], w[first], np.bincount(at, c, len(first)).astype(np.int64)
         uw, bucket = deal.word_order(w)
         place = _places(uw, w)
-        order = np.argsort(distinct(x)[2] << 32 | place)
+        order = order_of(distinct(x)[2] * len(uw) + place)
         x, w, c, place = x[order], w[order], c[order], place[order]
         rows = [("b", me, None, pack(*_csr(x), (place & 0xFFFF).astype(np.uint16), slim(place >> 16), slim(c)), None)]
         rows += [("one", None, None, None, float((c == 1).sum())), ("two", None, None, None, float((c == 2).sum()))]
@@ -541,7 +557,7 @@ def _merge_pairs(deal: Deal):
 def _places(listed: np.ndarray, w: np.ndarray) -> np.ndarray:
     """Where each word stands in a list of distinct words that has all of them."""
     rank = distinct(w)[2]
-    return np.argsort(listed)[rank] if len(w) else rank
+    return order_of(listed)[rank] if len(w) else rank
 
 
 def _hot_tables(deal: Deal, x: np.ndarray, t: np.ndarray) -> list[tuple]:
@@ -892,7 +908,7 @@ def _answer(rule: Rule, told):
     def pairs(parts: dict) -> list[tuple]:
         x, w, logp, counts, xs, back = rule.bucket(parts)
         k = pair_key(x, w)
-        order = np.argsort(k)
+        order = order_of(k)
         k, logp, counts = k[order], logp[order], counts[order]
         out = []
         for src, (train, apart, of) in parts["q"]:

@@ -84,6 +84,17 @@ def test_scores_do_not_depend_on_partitions_or_rounds(spark):
     assert found[0] == pytest.approx(found[1], rel=1e-6)
 
 
+def test_orders_are_stable_whatever_the_keys():
+    rng = np.random.default_rng(3)
+    hashes = rng.integers(0, 1 << 64, 5000, np.uint64)
+    near = (np.uint64(1) << np.uint64(63)) + np.arange(5000, dtype=np.uint64)[::-1]  # they agree in all but their lowest bits
+    kinds = [hashes, hashes[rng.integers(0, 900, 5000)], near, rng.integers(0, 50, 5000), np.full(7, word_model.END_ID), np.full(9, 2**64 - 1, np.uint64), hashes[:1], hashes[:0]]
+    for keys in kinds:
+        assert (word_model.order_of(keys) == np.argsort(keys, kind="stable")).all()
+        u, first, place = word_model.distinct(keys)
+        assert (np.unique(keys) == u).all() and (keys[first] == u).all() and (u[place] == keys).all()
+
+
 def test_spelling_is_a_distribution():
     words = [b"the", b"then", b"that", b"cat", b"", b"a"] * 20
     flat, size = np.frombuffer(b"".join(words), np.uint8), np.array([len(w) for w in words])
