@@ -58,7 +58,7 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 _LOWER = LOWER.tobytes()
 #: Bytes of context in the kitchen. Their classes, which are letters, the end, digits, other ASCII, and parts of UTF-8.
 CONTEXT = 3
-CLASS = np.array([b - 0x61 if 0x61 <= b <= 0x7A else 26 if b == END else 27 if 0x30 <= b <= 0x39 else 28 if b < 0x80 else 29 if b < 0xC0 else 30 if b < 0xE0 else 31 for b in range(256)])
+CLASS = np.array([b - 0x61 if 0x61 <= b <= 0x7A else 26 if b == END else 27 if 0x30 <= b <= 0x39 else 28 if b < 0x80 else 29 if b < 0xC0 else 30 if b < 0xE0 else 31 for b in range(256)], np.int32)
 
 
 def held_out(doc_id) -> bool:
@@ -163,7 +163,8 @@ def _table(rows: list[tuple]) -> pa.Table:
 def _parts(table: pa.Table) -> dict[str, list[tuple[int, list[np.ndarray]]]]:
     """kind -> [(src, arrays)], by src."""
     out: dict[str, list] = {}
-    for kind, src, blob in zip(*(table.column(c).to_pylist() for c in ("kind", "src", "blob")), strict=True):
+    blobs = [v.as_buffer() for v in table.column("blob")]  # not copied
+    for kind, src, blob in zip(table.column("kind").to_pylist(), table.column("src").to_pylist(), blobs, strict=True):
         out.setdefault(kind, []).append((src or 0, unpack(blob)))
     for v in out.values():
         v.sort(key=lambda r: r[0])
@@ -228,8 +229,9 @@ def word_id(word: bytes) -> np.uint64:
     return word_hashes(np.frombuffer(word.lower() + b"\n", np.uint8))[2][0] if word else END_ID
 
 
-def pair_key(x: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return mix(mix(x) * _ODD + w)
+def pair_key(x: np.ndarray, w: np.ndarray, size: np.ndarray | int = 1) -> np.ndarray:
+    """Of pairs of words, or of contexts with the words after each, so many of them."""
+    return mix(np.repeat(mix(x) * _ODD, size) + w if np.ndim(size) else mix(x) * _ODD + w)
 
 
 @dataclass
@@ -249,12 +251,14 @@ class Deal:
     def of_words(self, w: np.ndarray) -> np.ndarray:
         return (mix(w + _ODD) % np.uint64(self.words)).astype(np.int64) + self.pairs
 
-    def word_order(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct words by bucket and hash, and their buckets."""
-        u = np.unique(w)
+    def word_order(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct words by bucket and hash, their buckets, and each word's place among them."""
+        u, _, rank = distinct(w)
         bucket = self.of_words(u)
         order = by_bucket(bucket)
-        return u[order], bucket[order]
+        place = np.empty(len(u), np.int64)
+        place[order] = np.arange(len(u))
+        return u[order], bucket[order], place[rank]
 
 
 # Tables of a dish.
@@ -291,6 +295,9 @@ def draw_tables(c: np.ndarray, parent: np.ndarray, others: np.ndarray, discount:
         t = np.arange(1, width + 1)
         for at in range(0, len(rows), max(1, 1_000_000 // width)):
             r = rows[at : at + max(1, 1_000_000 // width)]
+            if width <= 16:  # a vector for each number of tables
+                out[r] = _draw_few(first[r], ladder[:, : width + 1], parent[r], others[r], discount, u[r])
+                continue
             weight = ladder[first[r], 1 : width + 1] + t * np.log(parent[r])[:, None] + np.cumsum(np.log(STRENGTH + discount * (others[r][:, None] + t - 1)), axis=1)
             p = np.cumsum(np.exp(weight - weight.max(axis=1)[:, None]), axis=1)
             out[r] = np.minimum((p < (u[r] * p[:, -1])[:, None]).sum(axis=1) + 1, first[r])
@@ -301,14 +308,30 @@ def draw_tables(c: np.ndarray, parent: np.ndarray, others: np.ndarray, discount:
     return out
 
 
+def _draw_few(c: np.ndarray, ladder: np.ndarray, parent: np.ndarray, others: np.ndarray, d: float, u: np.ndarray) -> np.ndarray:
+    back, ways, weight = np.log(parent), 0.0, []
+    for t in range(1, ladder.shape[1]):
+        ways = ways + np.log(STRENGTH + d * (others + (t - 1)))
+        weight.append(ladder[:, t][c] + t * back + ways)
+    top, total, p = functools.reduce(np.maximum, weight), 0.0, []
+    for w in weight:
+        total = total + np.exp(w - top)
+        p.append(total)
+    out, limit = np.ones(len(c), np.int64), u * total
+    for x in p:
+        out += x < limit
+    return np.minimum(out, c)
+
+
 def _share(t: np.ndarray, c: np.ndarray, d: float) -> np.ndarray:
     """1 - s^d at the saddle point s of the numbers' generating function, by halving log s."""
-    low = np.minimum(np.log(t * d / c), 0.0) / (1 - d) - 1
+    ratio = np.log(t * d / c)
+    low = np.minimum(ratio, 0.0) / (1 - d) - 1
     high = np.zeros(np.broadcast(t, c).shape)
     low = low + high
     for _ in range(40):
         y = (low + high) / 2
-        up = np.log(t * d / c) + np.log(-np.expm1(y)) + (d - 1) * y - np.log(-np.expm1(d * y)) > 0
+        up = ratio + np.log(-np.expm1(y)) + (d - 1) * y - np.log(-np.expm1(d * y)) > 0
         low, high = np.where(up, y, low), np.where(up, high, y)
     return -np.expm1(d * (low + high) / 2)
 
@@ -346,17 +369,17 @@ def discount_from(one: float, two: float) -> float:
 def spelling(data: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each byte of each word and its end: the classes of the bytes before and the byte as one number; and where words start."""
     size = size.astype(np.int64)
-    flat = np.full(int(size.sum()) + (CONTEXT + 1) * len(size), END, np.int64)
-    start = starts_of(size + CONTEXT + 1)
-    flat[np.arange(int(size.sum())) + np.repeat(start + CONTEXT - starts_of(size), size)] = data
-    here = np.ones(len(flat), bool)
-    for i in range(CONTEXT):
-        here[start + i] = False
-    at = np.flatnonzero(here)
-    key, kind = flat[at], CLASS[flat]
+    start, letter = starts_of(size + 1), np.ones(len(data) + len(size), bool)
+    letter[start + size] = False
+    flat = np.full(CONTEXT + len(letter), END, np.uint8)
+    flat[CONTEXT:][letter] = data
+    key, kind = flat[CONTEXT:].astype(np.int32), CLASS[flat]
     for back in range(1, CONTEXT + 1):
-        key |= kind[at - back] << (3 + 5 * back)
-    return key, starts_of(size + 1)
+        before = kind[CONTEXT - back : len(kind) - back] << (3 + 5 * back)
+        for near in range(back - 1):  # bytes of the word before do not count
+            before[start[size >= near] + near] = CLASS[END] << (3 + 5 * back)
+        key |= before
+    return key, start
 
 
 def _lower(keys: np.ndarray, level: int) -> np.ndarray:
@@ -413,13 +436,52 @@ class Speller:
         return out
 
 
+@dataclass
+class Spelled:
+    """Words as cells of the kitchen: the sorted cells that they meet, each byte's place among them, where words start and end."""
+
+    cells: np.ndarray
+    place: np.ndarray
+    bound: np.ndarray
+
+    @classmethod
+    def of(cls, data: np.ndarray, size: np.ndarray) -> Spelled:
+        bound = np.concatenate(([0], np.cumsum(size.astype(np.int64) + 1)))
+        place, at = np.empty(int(bound[-1]), np.int32), 0
+        met, rank = np.zeros(1 << 8 + 5 * CONTEXT, bool), np.empty(1 << 8 + 5 * CONTEXT, np.int32)
+        for some, letters in _portions(data, size):
+            keys = spelling(letters, some)[0]
+            met[keys] = True
+            place[at : at + len(keys)] = keys
+            at += len(keys)
+        cells = np.flatnonzero(met)
+        rank[cells] = np.arange(len(cells))
+        return cls(cells, np.take(rank, place, out=place, mode="clip"), bound)
+
+    def portions(self, words: int = 1 << 15) -> Iterator[tuple[int, int]]:
+        """Some words at a time."""
+        for a in range(0, len(self.bound) - 1, words):
+            yield a, min(len(self.bound) - 1, a + words)
+
+    def log(self, speller: Speller) -> np.ndarray:
+        """log10 probability of spelling each word."""
+        p, out = np.log10(speller.probability(self.cells)), [np.zeros(0)]
+        for a, b in self.portions():
+            first = self.bound[a]
+            out.append(np.add.reduceat(p[self.place[first : self.bound[b]]], self.bound[a:b] - first))
+        return np.concatenate(out)
+
+    def grams(self, t: np.ndarray) -> list[tuple]:
+        """How often each byte follows its context in t orders of each word."""
+        total = np.zeros(len(self.cells))
+        for a, b in self.portions():
+            total += np.bincount(self.place[self.bound[a] : self.bound[b]], np.repeat(t[a:b], np.diff(self.bound[a : b + 1])), len(total))
+        return [("g", i, None, None, n) for i, n in zip(self.cells.tolist(), total.tolist(), strict=True)]
+
+
 def log_words(speller: Speller, data: np.ndarray, size: np.ndarray) -> np.ndarray:
     """log10 probability of spelling each word."""
-    out = [np.zeros(0)]
-    for some, letters in _portions(data, size):
-        keys, start = spelling(letters, some)
-        out.append(np.add.reduceat(np.log10(speller.probability(keys)), start))
-    return np.concatenate(out)
+    return Spelled.of(data, size).log(speller)
 
 
 def _portions(data: np.ndarray, size: np.ndarray, words: int = 1 << 15) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -456,9 +518,11 @@ def _count_words(deal: Deal):
         parts, held = [], 0
         for batch in batches:
             for g in groups(_trained(batch)):
-                u, first, at = distinct(g.w)
-                parts.append((u, np.bincount(at), g.size[first], spans(g.data, g.start[first], g.size[first])))
-                held += len(u)
+                order = order_of(g.w)
+                first, c = runs_of(g.w[order])
+                first = order[first]
+                parts.append((g.w[first], c, g.size[first], spans(g.data, g.start[first], g.size[first])))
+                held += len(c)
                 if held > TASK_TOKENS:
                     yield flush(parts)
                     parts, held = [], 0
@@ -494,9 +558,11 @@ def _csr(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _count_pairs(deal: Deal):
     def flush(parts: list) -> pa.RecordBatch:
-        k, x, w, c = (np.concatenate([p[i] for p in parts]) for i in range(4))
-        k, first, at = distinct(k)
-        x, w, c = x[first], w[first], np.bincount(at, c, len(k)).astype(np.int64)
+        k, x, w = (np.concatenate([p[i] for p in parts]) for i in range(3))
+        order = order_of(k)
+        first, c = runs_of(k[order])
+        order = order[first]
+        k, x, w = k[order], x[order], w[order]
         order = order_of(x)
         bucket = deal.of_pairs(x, k)[order]
         again = by_bucket(bucket)
@@ -509,7 +575,7 @@ def _count_pairs(deal: Deal):
         for batch in batches:
             for g in groups(_trained(batch)):
                 x = g.x
-                parts.append((pair_key(x, g.w), x, g.w, np.ones(len(x), np.uint8)))
+                parts.append((pair_key(x, g.w), x, g.w))
                 held += len(x)
                 if held > TASK_TOKENS:
                     yield flush(parts)
@@ -528,25 +594,26 @@ def _merge_pairs(deal: Deal):
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         me, parts = key[0].as_py(), _parts(table)["p"]
-        x, w, c = np.concatenate([np.repeat(a[0], a[1].astype(np.int64)) for _, a in parts]), _joined(parts, 2, np.uint64), _joined(parts, 3, np.int64)
-        _, first, at = distinct(pair_key(x, w))
-        x, w, c = x[first], w[first], np.bincount(at, c, len(first)).astype(np.int64)
-        uw, bucket = deal.word_order(w)
-        place = _places(uw, w)
-        order = order_of(distinct(x)[2] * len(uw) + place)
-        x, w, c, place = x[order], w[order], c[order], place[order]
+        xs, _, rank = distinct(_joined(parts, 0, np.uint64))
+        uw, bucket, place = deal.word_order(_joined(parts, 2, np.uint64))
+        # A pair as one number: its context's rank, then its word's place.
+        pair, _, at = distinct(np.repeat(rank, _joined(parts, 1, np.int64)) * len(uw) + place)
+        c = np.bincount(at, _joined(parts, 3, np.int64), len(pair)).astype(np.int64)
+        xi, place = np.divmod(pair, len(uw))
+        x = xs[xi]
         rows = [("b", me, None, pack(*_csr(x), (place & 0xFFFF).astype(np.uint16), slim(place >> 16), slim(c)), None)]
         rows += [("one", None, None, None, float((c == 1).sum())), ("two", None, None, None, float((c == 2).sum()))]
         kinds = np.bincount(place, minlength=len(uw))
         rows += [("k", b, me, pack(uw[s], slim(kinds[s])), None) for b, s in _slices(bucket)]
         many = c > 1
-        mx = np.unique(np.concatenate([x[many], x[found_in(deal.hot, x)[1]]]))  # frequent contexts in any case
-        xi = np.searchsorted(mx, x[many])
-        mw, bucket = deal.word_order(w[many])
-        wi = _places(mw, w[many])
-        at, hit = found_in(mx, x[~many])
-        ones = np.bincount(at[hit], minlength=len(mx))
-        n = int(many.sum())
+        kept = found_in(deal.hot, xs)[1]  # frequent contexts in any case
+        kept[xi[many]] = True
+        mx, to = xs[kept], np.cumsum(kept) - 1
+        ones = np.bincount(to[xi[~many & kept[xi]]], minlength=len(mx))
+        xi, place, n = to[xi[many]], place[many], int(many.sum())
+        kept = np.zeros(len(uw), bool)
+        kept[place] = True
+        mw, bucket, wi = uw[kept], bucket[kept], (np.cumsum(kept) - 1)[place]
         rows.append(("m", me, None, pack(mx, slim(ones), mw, slim(xi), slim(wi), slim(c[many]), np.ones(n, np.uint8), np.zeros(n, np.uint8)), None))
         rows += [("e", b, me, pack(mw[s], np.zeros(s.stop - s.start, np.uint8)), None) for b, s in _slices(bucket)]
         return _table(rows + _hot_tables(deal, x, np.ones(len(x), np.int64)))
@@ -554,12 +621,6 @@ def _merge_pairs(deal: Deal):
     return run
 
 
-def _places(listed: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """Where each word stands in a list of distinct words that has all of them."""
-    rank = distinct(w)[2]
-    return order_of(listed)[rank] if len(w) else rank
-
-
 def _hot_tables(deal: Deal, x: np.ndarray, t: np.ndarray) -> list[tuple]:
     """Tables that frequent contexts have in this bucket."""
     at, hit = found_in(deal.hot, x)
@@ -567,18 +628,6 @@ def _hot_tables(deal: Deal, x: np.ndarray, t: np.ndarray) -> list[tuple]:
     return [("hx", i, None, None, float(total[i])) for i in np.flatnonzero(total).tolist()]
 
 
-def _grams(size: np.ndarray, data: np.ndarray, t: np.ndarray) -> list[tuple]:
-    """How often each byte follows its context in the orders of the word restaurant."""
-    parts, at = [], 0
-    for some, letters in _portions(data, size):
-        found, place = np.unique(spelling(letters, some)[0], return_inverse=True)
-        parts.append((found, np.bincount(place, np.repeat(t[at : at + len(some)], some.astype(np.int64) + 1), len(found))))
-        at += len(some)
-    found, place = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-    total = np.bincount(place, np.concatenate([p[1] for p in parts]), len(found))
-    return [("g", i, None, None, n) for i, n in zip(found.tolist(), total.tolist(), strict=True)]
-
-
 def _open_words(key: tuple, table: pa.Table) -> pa.Table:
     """Words with the number of their contexts, one table each."""
     parts = _parts(table)
@@ -587,7 +636,7 @@ def _open_words(key: tuple, table: pa.Table) -> pa.Table:
     kinds = np.bincount(at, _joined(parts.get("k", []), 1, np.int64), len(w)).astype(np.int64)
     rows = [("v", key[0].as_py(), None, pack(w, c, size, data, slim(kinds)), None), ("s", key[0].as_py(), None, pack(np.ones(len(w), np.uint8)), None)]
     rows += [("one", None, None, None, float((kinds == 1).sum())), ("two", None, None, None, float((kinds == 2).sum()))]
-    return _table(rows + _grams(size, data, np.ones(len(w))))
+    return _table(rows + Spelled.of(data, size).grams(np.ones(len(w))))
 
 
 # Gibbs sweeps.
@@ -604,13 +653,14 @@ def _seat_words(turn: int, told, tables: float, discount: float, keep: bool):
         places = {src: found_in(w, asked)[0] for src, (asked, _) in parts.get("e", [])}
         for src, (_, extra) in parts.get("e", []):
             np.add.at(k, places[src], extra.astype(np.int64))
-        h = 10 ** log_words(told.value, data, size)
+        spelled = Spelled.of(data, size)
+        h = 10 ** spelled.log(told.value)
         t = draw_tables(k, np.maximum(h, 1e-300), tables - was, discount, chance(w, 2 * turn))
         own = k - discount * t
         rows = [("r", src, me, pack(own[at], h[at]), None) for src, at in places.items()]
         rows.append(("s", me, None, pack(slim(t), *kept, *([own, h] if keep else [])), None))
         rows += [("tables", None, None, None, float(t.sum())), ("customers", None, None, None, float(k.sum()))]
-        return _table(rows + _grams(size, data, t))
+        return _table(rows + spelled.grams(t))
 
     return run
 
@@ -692,10 +742,10 @@ class Rule:
         return sum(p) / len(p)
 
     def bucket(self, parts: dict) -> tuple:
-        """x, w, log10 probability and count of w of each pair; contexts and the log10 share that goes to their parent."""
+        """Contexts, how many pairs each has, and the log10 share that goes to its parent; w, log10 probability and count of w of each pair."""
         if "b" not in parts:
             none = np.zeros(0)
-            return none.astype(np.uint64), none.astype(np.uint64), none, none.astype(np.int64), none.astype(np.uint64), none
+            return none.astype(np.uint64), none.astype(np.int64), none, none.astype(np.uint64), none, none.astype(np.uint8)
         xs, size, low, high, c = parts["b"][0][1]
         size, place, c = size.astype(np.int64), low.astype(np.int64) | high.astype(np.int64) << 16, c.astype(np.int64)
         t = np.ones(len(c))
@@ -707,9 +757,9 @@ class Rule:
             at, hit = found_in(self.deal.hot, xs)
             customers, tables = np.where(hit, self.hot_counts[at], customers), np.where(hit, self.hot_tables[at], tables)
         back = (STRENGTH + self.of_pair * tables) / (STRENGTH + customers)
-        words, p1, counts = (_joined(parts["a"], i, kind) for i, kind in enumerate((np.uint64, np.float64, np.int64)))
+        words, p1, counts = (_joined(parts["a"], i, kind) for i, kind in enumerate((np.uint64, np.float64, None)))
         p = (c - self.of_pair * t) / np.repeat(STRENGTH + customers, size) + np.repeat(back, size) * p1[place]
-        return np.repeat(xs, size), words[place], np.log10(p), counts[place], xs, np.log10(back)
+        return xs, size, np.log10(back), words[place], np.log10(p), counts[place]
 
 
 def _answer_words(rule: Rule):
@@ -737,8 +787,8 @@ def _show_words(key: tuple, table: pa.Table) -> pa.Table:
 
 def _show_pairs(rule: Rule):
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        x, w, logp, _, xs, back = rule.bucket(_parts(table))
-        return pa.table({"x": np.concatenate([x, xs]).view(np.int64), "w": pa.array([*w.view(np.int64).tolist(), *[None] * len(xs)], pa.int64()), "logp": np.concatenate([logp, back])})
+        xs, size, back, w, logp, _ = rule.bucket(_parts(table))
+        return pa.table({"x": np.concatenate([np.repeat(xs, size), xs]).view(np.int64), "w": pa.array([*w.view(np.int64).tolist(), *[None] * len(xs)], pa.int64()), "logp": np.concatenate([logp, back])})
 
     return run
 
@@ -759,7 +809,8 @@ def _cut(df: DataFrame, name: str) -> DataFrame:
     """Written by kind, so that each kind can be read and deleted by itself."""
     path = new_path(df.sparkSession, name)
     with shuffles_removed(df.sparkSession):
-        df.coalesce(files_for(df)).write.partitionBy("kind").option("compression", "zstd").parquet(path)
+        # A dictionary would hash every blob, and none repeats.
+        df.coalesce(files_for(df)).write.partitionBy("kind").option("compression", "zstd").option("parquet.enable.dictionary#blob", "false").parquet(path)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
     back.terrane_path = path
     return back
@@ -854,12 +905,13 @@ def _chunks(deal: Deal):
         place, rows, sent = np.zeros(len(k), np.int64), [], {}
         for side, use in enumerate((~apart, apart)):
             u, first, at = distinct(k[use])
-            bucket = deal.of_pairs(x[use][first], u)
+            of = x[use][first]
+            bucket = deal.of_pairs(of, u)
             order = by_bucket(bucket)
             rank = np.empty(len(u), np.int64)
             rank[order] = np.arange(len(u))
             place[use] = rank[at]
-            u, of = u[order], x[use][first[order]]
+            u, of = u[order], of[order]
             for b, s in _slices(bucket[order]):
                 sent.setdefault(b, [np.zeros(0, np.uint64)] * 3)[side] = u[s]
                 if side:
@@ -906,10 +958,10 @@ def _answer(rule: Rule, told):
     """A bucket's answers to all chunks: log10 probability and the word's count; a missing pair has none and its context's back-off."""
 
     def pairs(parts: dict) -> list[tuple]:
-        x, w, logp, counts, xs, back = rule.bucket(parts)
-        k = pair_key(x, w)
+        xs, size, back, w, logp, counts = rule.bucket(parts)
+        k = pair_key(xs, w, size)
         order = order_of(k)
-        k, logp, counts = k[order], logp[order], counts[order]
+        k, logp, counts = k[order], logp.astype(np.float32)[order], counts[order]
         out = []
         for src, (train, apart, of) in parts["q"]:
             at, hit = found_in(k, np.concatenate([train, apart]))
@@ -921,23 +973,23 @@ def _answer(rule: Rule, told):
                 where, known = found_in(rule.deal.hot, of[miss])
                 share = (STRENGTH + rule.of_pair * rule.hot_tables) / (STRENGTH + rule.hot_counts)
                 p[len(train) + miss] = np.where(known, np.log10(share[where]), p[len(train) + miss])
-            out.append(("z", src, key_of(parts), pack(p.astype(np.float32), slim(c.astype(np.int64))), None))
+            out.append(("z", src, key_of(parts), pack(p.astype(np.float32, copy=False), slim(c)), None))
         return out
 
     def words(parts: dict) -> list[tuple]:
         w, c, p1 = parts["f"][0][1] if "f" in parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0))
         logp = np.log10(p1.astype(np.float64))
         shares = [math.log10((STRENGTH + rule.of_word * t) / (STRENGTH + k)) for t, k in rule.samples]
-        out = []
-        for src, (asked, size, data) in parts["h"]:
-            at, hit = found_in(w, asked)
-            p, n = (np.where(hit, v[at], 0) if len(w) else np.zeros(len(at)) for v in (logp, c))
-            new = np.flatnonzero(~hit)
-            text = spans(data, starts_of(size)[new], size[new])
-            each = [(share + log_words(s, text, size[new])) * math.log(10) for share, s in zip(shares, told.value, strict=True)]
-            p[new] = (np.logaddexp.reduce(each, axis=0) - math.log(len(each))) / math.log(10)
-            out.append(("z", src, key_of(parts), pack(p.astype(np.float32), slim(n.astype(np.int64))), None))
-        return out
+        srcs = [src for src, _ in parts["h"]]
+        asked, size, data = (_joined(parts["h"], i, kind) for i, kind in enumerate((np.uint64, np.int64, np.uint8)))
+        at, hit = found_in(w, asked)
+        p, n = (np.where(hit, v[at], 0) if len(w) else np.zeros(len(at)) for v in (logp, c))
+        new = np.flatnonzero(~hit)
+        spelled = Spelled.of(spans(data, starts_of(size)[new], size[new]), size[new])
+        each = [(share + spelled.log(s)) * math.log(10) for share, s in zip(shares, told.value, strict=True)]
+        p[new] = (np.logaddexp.reduce(each, axis=0) - math.log(len(each))) / math.log(10)
+        bound = np.cumsum([len(a[0]) for _, a in parts["h"]])[:-1]
+        return [("z", src, key_of(parts), pack(a.astype(np.float32), slim(b.astype(np.int64))), None) for src, a, b in zip(srcs, np.split(p, bound), np.split(n, bound), strict=True)]
 
     def key_of(parts: dict) -> int:
         return parts["me"]
@@ -1007,8 +1059,10 @@ def score(docs: DataFrame, model: WordModel | None, rounds: int | None = None) -
     told, rule, out = spark.sparkContext.broadcast(model.spellers), model._rule(), []
     rounds = rounds or ROUNDS
     rows = docs.select(F.col(id_).alias("id"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("row"))
+    # By what a row holds (its id, and its text's length and beginning): no row depends on how it is read.
+    part = F.pmod(F.xxhash64("id", F.octet_length("text"), F.substring("text", 1, 256)), F.lit(rounds))
     for turn in range(rounds):
-        some = rows.filter(F.pmod(F.xxhash64("id", "text"), F.lit(rounds)) == turn)  # by content: no row depends on how it is read
+        some = rows.filter(part == turn)
         asked = _cut(some.mapInArrow(_chunks(model.deal), ROW_DDL), "chunks")
         answers = _cut(_grouped([*model.pairs, model.words, _kind(asked, "q", "h")], _answer(rule, told)), "answers")
         _forget(asked, "q", "h")

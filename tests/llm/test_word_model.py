@@ -3,10 +3,12 @@
 import collections
 import itertools
 import math
+import pathlib
 import random
 import zlib
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -113,6 +115,62 @@ def test_spelling_is_a_distribution():
     assert the > het
 
 
+def test_spelling_is_that_of_a_plain_loop(monkeypatch):
+    rnd = random.Random(2)
+    words = [bytes(rnd.choices(b"abz09.\xc3\xa9\xed\x95\x9c", k=rnd.choice([0, 1, 2, 3, 9]))) for _ in range(70_000)]
+    expected, starts = [], []
+    for w in words:
+        starts.append(len(expected))
+        padded = bytes([word_model.END] * word_model.CONTEXT) + w + bytes([word_model.END])
+        for i in range(word_model.CONTEXT, len(padded)):
+            context = 0
+            for b in padded[i - word_model.CONTEXT : i]:
+                context = context << 5 | int(word_model.CLASS[b])
+            expected.append(context << 8 | padded[i])
+    flat, size = np.frombuffer(b"".join(words), np.uint8), np.array([len(w) for w in words])
+    keys, start = word_model.spelling(flat, size)
+    assert keys.tolist() == expected and start.tolist() == starts
+    found, count = np.unique(keys, return_counts=True)
+    model = word_model.Speller.sample(found[::2], count[::2], None, 0)
+    logs = np.log10(model.probability(np.array(expected)))
+    asked = []
+    probability = word_model.Speller.probability
+    monkeypatch.setattr(word_model.Speller, "probability", lambda self, keys, *level: (asked.append(len(keys)), probability(self, keys, *level))[1])
+    assert (word_model.log_words(model, flat, size) == np.add.reduceat(logs, starts)).all()
+    assert max(asked) <= len(found)  # each cell is looked up once, however often it is met
+    times = np.array([rnd.randrange(5) for _ in words])
+    grams = {i: n for _, i, _, _, n in word_model.Spelled.of(flat, size).grams(times)}
+    plain = collections.Counter()
+    for i, at in enumerate(np.split(keys, starts[1:])):
+        for key in at.tolist():
+            plain[key] += times[i]
+    assert grams == dict(plain)
+    none = word_model.Spelled.of(flat[:0], size[:0])
+    assert none.log(model).tolist() == [] and none.grams(times[:0]) == []
+
+
+def test_few_customers_are_drawn_as_by_the_full_table():
+    rng = np.random.default_rng(1)
+    n, d = 5000, 0.7
+    c, parent, others, u = rng.integers(1, 17, n), rng.random(n), rng.integers(0, 900, n), rng.random(n)
+    ladder, t = word_model.stirling(d), np.arange(1, 17)
+    weight = ladder[c, 1:17] + t * np.log(parent)[:, None] + np.cumsum(np.log(word_model.STRENGTH + d * (others[:, None] + t - 1)), axis=1)
+    p = np.cumsum(np.exp(weight - weight.max(axis=1)[:, None]), axis=1)
+    expected = np.minimum((p < (u * p[:, -1])[:, None]).sum(axis=1) + 1, c)
+    assert (word_model.draw_tables(c, parent, others, d, u) == expected).mean() > 0.999
+
+
+def test_blobs_are_written_without_dictionaries(spark):
+    rows = [("b", i, None, b"same" * 50, None) for i in range(20)]
+    table = word_model._cut(spark.createDataFrame(rows, word_model.ROW_DDL), "packed")
+    files = list(pathlib.Path(table.terrane_path.removeprefix("file:")).rglob("*.parquet"))
+    assert files and [r.blob for r in table.collect()] == [r[3] for r in rows]
+    for f in files:
+        group = pq.ParquetFile(f).metadata.row_group(0)
+        blob = next(group.column(i) for i in range(group.num_columns) if group.column(i).path_in_schema == "blob")
+        assert not any("DICTIONARY" in e for e in blob.encodings)
+
+
 def _seatings(n):
     """All ways to seat n customers, as sizes of their tables."""
     if n == 0:
