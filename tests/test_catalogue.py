@@ -68,3 +68,9 @@ def test_whole_tables_are_joined(spark, duck):
     assert (full.select("o_orderkey").distinct().na.drop().count(), full.select("c_name").distinct().na.drop().count()) == (orders, customers)
     assert full.filter("c_name IS NULL").count() and full.filter("o_orderkey IS NULL").count()
     assert catalogue.QUERIES["union_all"](spark, SF).count() == 2 * orders
+
+
+def test_sketches_are_not_kept_for_each_distinct_value(spark):
+    df = catalogue.QUERIES["agg_approx_distinct_near"](spark, SF)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "approx_count_distinct" in plan and "Expand" not in plan
