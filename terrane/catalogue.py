@@ -26,7 +26,7 @@ from terrane.operators.grouped import group_by
 from terrane.plans import paths
 from terrane.plans.schema import flatten_schema, simple_string, tree_string
 from terrane.plans.types import name_of
-from terrane.session import load, new_path
+from terrane.session import cut, drop_path, load, new_path
 from terrane.sources import Session, Writer
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -710,13 +710,17 @@ def diff_growth(spark, d):
     return spark.createDataFrame(rows, "k string, growth double")
 
 
-def _two_line_tables(spark, d):
-    line = load(spark, d, "lineitem").groupBy("l_orderkey", "l_partkey", "l_suppkey").agg(F.max("l_quantity").alias("q"))
+def _lines_by_order(spark, d):
+    """Orders with their lines and with what becomes of these, from one shuffle: by order, which also keeps a line's rows together."""
+    rows = load(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_quantity").repartition("l_orderkey")
+    line = rows.groupBy("l_orderkey", "l_partkey", "l_suppkey").agg(F.max("l_quantity").alias("q"))
+    key = F.concat_ws("-", "l_partkey", "l_suppkey").alias("id")
+    changed = F.struct(key, F.when(F.col("l_partkey") % 7 == 0, F.col("q") + 1).otherwise(F.col("q")).alias("q"))
+    return line.groupBy("l_orderkey").agg(F.collect_list(F.struct(key, "q")).alias("lines"), F.collect_list(F.when(F.col("l_partkey") % 11 != 0, changed)).alias("changed"))
 
-    def nest(df):
-        return df.groupBy("l_orderkey").agg(F.collect_list(F.struct(F.concat_ws("-", "l_partkey", "l_suppkey").alias("id"), "q")).alias("lines"))
 
-    return nest(line), nest(line.filter("l_partkey % 11 <> 0").withColumn("q", F.when(F.col("l_partkey") % 7 == 0, F.col("q") + 1).otherwise(F.col("q"))))
+def _two_line_tables(orders):
+    return orders.select("l_orderkey", "lines"), orders.select("l_orderkey", F.col("changed").alias("lines")).filter(F.size("lines") > 0)
 
 
 _LINE_KEYS = "(SELECT l_orderkey, l_partkey, l_suppkey FROM lineitem GROUP BY ALL)"
@@ -727,8 +731,11 @@ _LINE_KEYS = "(SELECT l_orderkey, l_partkey, l_suppkey FROM lineitem GROUP BY AL
     f"UNION ALL SELECT '', count(*), count(CASE WHEN n > 0 THEN 1 END), 0, count(*), count(CASE WHEN n > 0 THEN 1 END), count(CASE WHEN n = 0 THEN 1 END), 0 FROM (SELECT l_orderkey, count(CASE WHEN l_partkey % 11 <> 0 THEN 1 END) AS n FROM {_LINE_KEYS} GROUP BY 1)"
 )
 def diff_granular_lines(spark, d):
-    left, right = _two_line_tables(spark, d)
-    return _stats_frame(spark, compare_dataframes(left, right, ["l_orderkey", "lines!.id"]))
+    orders = cut(_lines_by_order(spark, d), "lines")
+    try:
+        return _stats_frame(spark, compare_dataframes(*_two_line_tables(orders), ["l_orderkey", "lines!.id"]))
+    finally:
+        drop_path(spark, orders)
 
 
 # Graph and sinks.

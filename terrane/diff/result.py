@@ -101,15 +101,22 @@ STATES = ("changed", "no_change", "only_in_left", "only_in_right")
 
 
 class DiffResult:
-    """Everything is computed when it is asked for, once; diff frames are cached for the two passes over them."""
+    """Everything is computed when it is asked for, once; counts of rows take one pass, and what takes more caches the diff frames."""
 
     def __init__(self, schema_diff: SchemaDiffResult, shards: dict[str, DataFrame], join_cols: list[str]):
         self.schema_diff_result, self.join_cols = schema_diff, join_cols
-        self.diff_df_shards = {k: df.persist() for k, df in shards.items()}
+        self.diff_df_shards = dict(shards)
+
+    def keep(self) -> None:
+        """From now on the diff frames are cached."""
+        for df in self.diff_df_shards.values():
+            if not df.is_cached:
+                df.persist()
 
     def close(self) -> None:
         for df in self.diff_df_shards.values():
-            df.unpersist()
+            if df.is_cached:
+                df.unpersist()
 
     @property
     def same_schema(self) -> bool:
@@ -155,6 +162,7 @@ class DiffResult:
     @functools.cached_property
     def top_per_col_state_df(self) -> DataFrame:
         """Counts of equal (column, state, values), ranked within column and state."""
+        self.keep()
         parts = [self._long(k, df) for k, df in self.diff_df_shards.items() if any(P.granularity(P.unmangle(c)) == k for c in df.columns)]
         counts = union_dataframes(parts).groupBy("column_name", "state", "left_value", "right_value").agg(F.count(F.lit(1)).alias("nb"))
         rank = Window.partitionBy("column_name", "state").orderBy(F.desc("nb"), "left_value", "right_value")
@@ -187,6 +195,7 @@ class DiffResult:
 
     def _text(self, show_examples: bool, options: DiffFormatOptions) -> str:
         left, right = options.left_df_alias, options.right_df_alias
+        self.keep()
         out = [self.schema_diff_result.text()]
         stats = self.diff_stats_shards
         if self.is_ok or (self.same_data and self.same_schema):
@@ -233,6 +242,7 @@ class DiffResult:
 
     def summary(self, options: DiffFormatOptions = DiffFormatOptions()) -> dict:  # noqa: B008
         """Everything a report shows, as plain values."""
+        self.keep()
         return {
             "same_schema": self.same_schema, "schema_diff": self.schema_diff_result.diff_str, "column_names_diff": self.schema_diff_result.column_names_diff, "same_data": self.same_data,
             "total_nb_rows": self.total_nb_rows, "join_cols": self.join_cols, "left": options.left_df_alias, "right": options.right_df_alias,

@@ -74,3 +74,15 @@ def test_sketches_are_not_kept_for_each_distinct_value(spark):
     df = catalogue.QUERIES["agg_approx_distinct_near"](spark, SF)
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert "approx_count_distinct" in plan and "Expand" not in plan
+
+
+def test_diffed_lines_are_gathered_once(spark, monkeypatch):
+    plans, compare = [], catalogue.compare_dataframes
+
+    def seen(left, right, keys):
+        plans.extend(df._jdf.queryExecution().optimizedPlan().toString() for df in (left, right))
+        return compare(left, right, keys)
+
+    monkeypatch.setattr(catalogue, "compare_dataframes", seen)
+    assert catalogue.QUERIES["diff_granular_lines"](spark, SF).count() == 2
+    assert len(plans) == 2 and not any("Aggregate" in p or "Join" in p for p in plans)

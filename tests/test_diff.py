@@ -175,3 +175,13 @@ def test_percentages_of_nothing():
     assert empty.percent_changed == 0.0 and empty.same_data
     assert "Row count changed" in DiffStats(3, 1, 0, 3, 1, 2, 0).text("a", "b")
     assert DiffFormatOptions().nb_diffed_rows == 10
+
+
+def test_counts_alone_cache_nothing(spark):
+    left, right = make(spark, "id int, c string", (1, "a"), (2, "b")), make(spark, "id int, c string", (1, "a"), (2, "x"))
+    result = compare_dataframes(left, right, ["id"])
+    assert result.diff_stats_shards[""].changed == 1 and not result.diff_df_shards[""].is_cached
+    summary = result.summary()
+    assert summary["stats"]["root"]["changed"] == 1 and result.diff_df_shards[""].is_cached
+    result.close()
+    assert not result.diff_df_shards[""].is_cached
